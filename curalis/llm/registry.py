@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from curalis.llm import mixing, url_filters
+from curalis.llm import mixing, packing, url_filters
 
 QUERIES = {
+    "op5_pack": packing.op5_pack,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_poisson_mix": mixing.op9_poisson_mix,
 }
