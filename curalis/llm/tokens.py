@@ -9,7 +9,7 @@ import os
 import numpy as np
 import regex
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 CACHE_BYTES = 48 << 20
 
 
@@ -72,7 +72,7 @@ class WordEndBpe:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(chunks), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
         words = [len(self._pre.findall(x)) for x in chunks]
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != sum(words):
@@ -94,7 +94,13 @@ class WordEndBpe:
                 missing.update(chunks)
         missing.difference_update(self.cache)
         if missing:
+            # a word and the mark after it are separate pre-tokens: only the word needs encoding
+            marked = [x for x in missing if x[-1] in ",." and x[:-1].isalpha()]
+            missing.difference_update(marked)
+            missing.update(x[:-1] for x in marked if x[:-1] not in self.cache)
+            missing.update(x for x in ",." if x not in self.cache)
             self._learn(sorted(missing))
+            self.cache.update((x, self.cache[x[:-1]] + self.cache[x[-1]]) for x in marked)
         get = self.cache.__getitem__
         return [self.whole(x) if chunks is None else b"".join(map(get, chunks))
                 for x, chunks in zip(texts, split, strict=True)]
