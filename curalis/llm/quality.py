@@ -17,12 +17,14 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\v\f\r"
-#: A band is the group's median, plus or minus so many quartile distances, plus what a short text may vary.
-SPREADS = 6.0
-LEAST_SPREAD = {"chars_per_token": 0.05, "fallback_share": 0.005, "entropy_ratio": 0.02}
-SHORT_TEXT = {"chars_per_token": 6.0, "fallback_share": 0.5, "entropy_ratio": 1.0}
-#: Groups with fewer texts use the bands of all texts.
-LEAST_GROUP = 30
+#: A band reaches from the group's median so many quartile distances either way.
+SPREADS = 7.0
+LEAST_SPREAD = {"chars_per_token": 0.02, "fallback_share": 0.005, "entropy_ratio": 0.003}
+#: Token entropy depends on length, so bands are per language and half octave of the token count. Groups of
+#: fewer texts use the language's (or script's) band of all lengths, languages of fewer texts that of all
+#: texts; such a band is wider by this, over the root of the token count.
+LEAST_GROUP = 50
+ANY_LENGTH = {"chars_per_token": 6.0, "fallback_share": 0.5, "entropy_ratio": 1.0}
 
 _LONGS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
 _DOUBLES = ("chars_per_token", "fallback_share", "entropy_ratio")
@@ -161,17 +163,23 @@ def quality_features(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     return read.mapInArrow(_measure(byte_vocabulary, piece_vocabulary), FEATURES)
 
 
+def _octave() -> F.Column:
+    return F.floor(2 * F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
+
+
 def fertility_bands(features: DataFrame) -> DataFrame:
-    """Per language or script: middle and half width of each measure, from all rows that the base rules keep.
+    """Middle and half width of each measure, from all rows that the base rules keep.
 
-    One row more, with null ``band``, has the bands of all rows together.
+    Per ``band`` (language or script) and ``octave`` of the token count; per band with null
+    octave; and one row with both null, from all rows.
     """
-    made = []
-    for c in _DOUBLES:
-        made.append(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(c))
-    found = features.where("NOT base_failed").groupBy("band").agg(F.count("*").alias("texts"), *made)
-    whole = features.where("NOT base_failed").agg(F.count("*").alias("texts"), *made).select(F.lit(None).cast("string").alias("band"), "texts", *_DOUBLES)
-    out = found.unionByName(whole)
+    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(c) for c in _DOUBLES]
+    good = features.where("NOT base_failed").withColumn("octave", _octave())
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    measured = lambda *by: good.groupBy(*by).agg(F.count("*").alias("texts"), *quartiles)
+    out = measured("band", "octave").unionByName(
+        measured("band").select("band", none("octave", "int"), "texts", *_DOUBLES)).unionByName(
+        measured().select(none("band", "string"), none("octave", "int"), "texts", *_DOUBLES))
     for c in _DOUBLES:
         spread = F.greatest(F.col(c)[2] - F.col(c)[1], F.col(c)[1] - F.col(c)[0], F.lit(LEAST_SPREAD[c]))
         out = out.withColumn(f"{c}_mid", F.col(c)[1]).withColumn(f"{c}_half", F.lit(SPREADS) * spread)
@@ -183,27 +191,26 @@ def quality_rules(docs: DataFrame, *, key: str = "doc_id", text: str = "text", l
 
     A document fails the base rules with under ``MIN_WORDS`` words or over ``MAX_REPEAT_PERCENT``
     percent of words in repeated five-word windows. The method rejects a document whose characters
-    per token are under its band, byte-fallback share over it, or token entropy under it; short
-    texts get a wider band (``SHORT_TEXT`` over the root of the token count). Groups of under
-    ``LEAST_GROUP`` texts use the bands of all. Null or empty texts fail the base rules; repeated
-    rows are judged alike; an empty table gives an empty result.
+    per token, byte-fallback share or token entropy lie outside the band of its language (or script)
+    and length. Null or empty texts fail the base rules; repeated rows are judged alike; an empty
+    table gives an empty result; the three measures of a text without words are null.
     """
     base = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
     found = stage(quality_features(docs, key=key, text=text, lang=lang, **vocabularies).withColumn("base_failed", base), "quality")
     bands = stage(fertility_bands(found), "bands")
-    own = bands.where(F.col("band").isNotNull() & (F.col("texts") >= LEAST_GROUP)).drop("texts")
-    rest = bands.where("band IS NULL").drop("band", "texts")
-    rest = rest.select([F.col(c).alias(f"all_{c}") for c in rest.columns])
-    whole = rest.first()
-    judged = found.join(own, "band", "left")
-    for c in rest.columns:  # one row: values of the bands of all texts
-        judged = judged.withColumn(c[4:], F.coalesce(c[4:], F.lit(whole[c] if whole else None).cast("double")))
-    slack = lambda c: F.col(f"{c}_half") + F.lit(SHORT_TEXT[c]) / F.sqrt("n_tokens")
-    low = lambda c: F.col(c) < F.col(f"{c}_mid") - slack(c)
-    out = low("chars_per_token") | (F.col("fallback_share") > F.col("fallback_share_mid") + slack("fallback_share")) | low("entropy_ratio")
+    values = [c for c in bands.columns if c not in ("band", "octave", "texts")]
+    own = bands.where((F.col("texts") >= LEAST_GROUP) & F.col("octave").isNotNull()).select("band", "octave", *[F.col(c).alias(f"own_{c}") for c in values])
+    any_ = bands.where((F.col("texts") >= LEAST_GROUP) & F.col("octave").isNull() & F.col("band").isNotNull()).select("band", *[F.col(c).alias(f"any_{c}") for c in values])
+    whole = bands.where("band IS NULL").first()  # one row
+    judged = found.withColumn("octave", _octave()).join(own, ["band", "octave"], "left").join(any_, "band", "left")
+    outside = F.lit(False)
+    for c in _DOUBLES:
+        pick = lambda x, c=c: F.coalesce(f"own_{c}_{x}", f"any_{c}_{x}", F.lit(whole[f"{c}_{x}"]).cast("double"))
+        slack = F.when(F.col(f"own_{c}_mid").isNull(), F.lit(ANY_LENGTH[c]) / F.sqrt("n_tokens")).otherwise(F.lit(0.0))
+        outside |= F.coalesce(F.abs(F.col(c) - pick("mid")) > pick("half") + slack, F.lit(False))
     return judged.select(
         F.col("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.coalesce(out, F.lit(False))).alias("kept"), "n_tokens", *_DOUBLES, "band")
+        (~F.col("base_failed") & ~outside).alias("kept"), "n_tokens", *_DOUBLES, "band")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

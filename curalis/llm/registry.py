@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from curalis.llm import mixing, packing, url_filters
+from curalis.llm import attribution, mixing, packing, quality, url_filters
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op6_section_tokens": attribution.op6_section_tokens,
     "op5_pack": packing.op5_pack,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_poisson_mix": mixing.op9_poisson_mix,
