@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from curalis.llm import attribution, mixing, packing, quality, url_filters
+from curalis.llm import attribution, mixing, packing, quality, suffix_dedup, url_filters
 
 QUERIES = {
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op1_quality": quality.op1_quality,
     "op6_section_tokens": attribution.op6_section_tokens,
     "op5_pack": packing.op5_pack,
