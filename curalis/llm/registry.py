@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from curalis.llm import attribution, chosen_path, mixing, packing, quality, suffix_dedup, url_filters
+from curalis.llm import attribution, chosen_path, mixing, packing, quality, quantised, suffix_dedup, url_filters
 
 QUERIES = {
+    "op3_near_vectors": quantised.op3_near_vectors,
     "op2_jaccard_join": chosen_path.op2_jaccard_join,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op1_quality": quality.op1_quality,
