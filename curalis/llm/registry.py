@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from curalis.llm import attribution, chosen_path, mixing, packing, quality, quantised, suffix_dedup, url_filters
+from curalis.llm import attribution, chosen_path, language, mixing, packing, quality, quantised, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op4_language": language.op4_language,
     "op3_near_vectors": quantised.op3_near_vectors,
     "op2_jaccard_join": chosen_path.op2_jaccard_join,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
