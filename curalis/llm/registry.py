@@ -23,7 +23,9 @@ SQL = {
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
