@@ -19,8 +19,8 @@ def mean(v: Column) -> Column:
 
 
 def std(v: Column) -> Column:
-    m = mean(v)
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v))
+    both = F.struct(v.alias("v"), mean(v).alias("m"))
+    return H.let(both, lambda p: F.sqrt(F.aggregate(p["v"], F.lit(0.0), lambda s, x: s + (x - p["m"]) * (x - p["m"])) / F.size(p["v"])))
 
 
 def quantile(v: Column, q: float) -> Column:
@@ -34,14 +34,13 @@ def quantile(v: Column, q: float) -> Column:
 def histogram(v: Column, low: float, high: float, bins: int) -> Column:
     """Counts per equal bin; values outside go to the end bins."""
     place = lambda x: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((x.cast("double") - low) / ((high - low) / bins)).cast("int")))
-    places = F.transform(v, place)
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(places, lambda p: p == b)))
+    return H.let(F.transform(v, place), lambda places: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(places, lambda p: p == b))))
 
 
 def entropy(counts: Column) -> Column:
     """Shannon entropy of counts, in bits."""
-    n = F.aggregate(counts, F.lit(0), lambda s, x: s + x)
-    return F.aggregate(counts, F.lit(0.0), lambda s, x: s - F.when(x > 0, x / n * F.log2(x / n)).otherwise(0.0))
+    both = lambda c: F.struct(c.alias("c"), F.aggregate(c, F.lit(0), lambda s, x: s + x).alias("n"))
+    return H.let(H.let(counts, both), lambda p: F.aggregate(p["c"], F.lit(0.0), lambda s, x: s - F.when(x > 0, x / p["n"] * F.log2(x / p["n"])).otherwise(0.0)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,14 +48,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / n)
+    both = lambda w: F.struct(w.alias("v"), F.sqrt(dot(w, w)).alias("n"))
+    return H.let(H.let(v, both), lambda p: F.transform(p["v"], lambda x: x / p["n"]))
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    e = H.let(v, lambda w: F.transform(w, lambda x: F.exp(x - F.array_max(w))))
+    return H.let(e, lambda w: F.transform(w, lambda x: x / total(w)))
 
 
 def gated_fusion(layers: Column, gate: list[float], bias: list[float]) -> Column:
@@ -73,24 +71,27 @@ def neighbours(grid: Column, side: int, kernel: list[list[float]]) -> Column:
     """Convolution with a 3 by 3 kernel; the border is mirrored without repeating the edge."""
     mirror = lambda i: F.when(i < 0, -i).when(i >= side, 2 * side - 2 - i).otherwise(i)
 
-    def cell(i: Column) -> Column:
+    def cell(g: Column, i: Column) -> Column:
         r, c = F.floor(i / side).cast("int"), i % side
         out = F.lit(0.0)
         for dr in (-1, 0, 1):
             for dc in (-1, 0, 1):
                 if kernel[dr + 1][dc + 1]:
-                    out += F.lit(float(kernel[dr + 1][dc + 1])) * F.element_at(grid, mirror(r + dr) * side + mirror(c + dc) + 1)
+                    out += F.lit(float(kernel[dr + 1][dc + 1])) * F.element_at(g, mirror(r + dr) * side + mirror(c + dc) + 1)
         return out
 
-    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cell)
+    return H.let(grid, lambda g: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: cell(g, i)))
 
 
 def moments(v: Column) -> Column:
     """Mean, deviation, mean of absolute values, fourth standardised moment (0 without spread)."""
-    m, s = mean(v), std(v)
-    fourth = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(x - m, 4)) / F.size(v)
-    return F.struct(m.alias("mean"), s.alias("std"), (F.aggregate(v, F.lit(0.0), lambda a, x: a + F.abs(x)) / F.size(v)).alias("mean_abs"),
-                    F.when(s > 0, fourth / F.pow(s, 4)).otherwise(0.0).alias("kurtosis"))
+    def made(p: Column) -> Column:
+        w, m, s = p["v"], p["m"], p["s"]
+        fourth = F.aggregate(w, F.lit(0.0), lambda a, x: a + F.pow(x - m, 4)) / F.size(w)
+        return F.struct(m.alias("mean"), s.alias("std"), (F.aggregate(w, F.lit(0.0), lambda a, x: a + F.abs(x)) / F.size(w)).alias("mean_abs"),
+                        F.when(s > 0, fourth / F.pow(s, 4)).otherwise(0.0).alias("kurtosis"))
+
+    return H.let(H.let(v, lambda w: F.struct(w.alias("v"), mean(w).alias("m"), std(w).alias("s"))), made)
 
 
 def gaussian_matrix(side: int, sigma: float) -> list[list[float]]:
@@ -162,8 +163,8 @@ def jittered(grid: Column, identity: Column, amount: float) -> Column:
     bright = lambda v: F.transform(v, lambda x: clip(x * b))
 
     def contrast(v: Column) -> Column:
-        m = mean(v)
-        return F.transform(v, lambda x: clip((x - m) * k + m))
+        both = lambda w: F.struct(w.alias("v"), mean(w).alias("m"))
+        return H.let(H.let(v, both), lambda p: F.transform(p["v"], lambda x: clip((x - p["m"]) * k + p["m"])))
 
     return F.when(u("order") < 0.5, contrast(bright(grid))).otherwise(bright(contrast(grid)))
 

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 NUL = "\u0000"
 
 
+def let(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def text_of(part) -> Column:
     """A part of an identity as text; null is the word None."""
     c = part if isinstance(part, Column) else F.lit(part)
@@ -67,8 +72,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 def bits_to_hex(bits: Column, n: int) -> Column:
     """Hex digits of an array of ``n`` booleans, first bit highest."""
-    digit = lambda i: F.aggregate(F.slice(bits, i * 4 + 1, 4), F.lit(0), lambda s, x: s * 2 + x.cast("int"))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n // 4 - 1)), lambda i: F.lower(F.hex(digit(i)))), "")
+    digit = lambda b, i: F.aggregate(F.slice(b, i * 4 + 1, 4), F.lit(0), lambda s, x: s * 2 + x.cast("int"))
+    return let(bits, lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n // 4 - 1)), lambda i: F.lower(F.hex(digit(b, i)))), ""))
 
 
 def difference_signature(v: Column, n: int) -> Column:
@@ -87,19 +92,19 @@ def matrix_column(matrix: list[list[float]]) -> Column:
 
 def sandwich(left: list[list[float]], grid: Column, right: list[list[float]], side: int) -> Column:
     """``left`` times the row-major square grid times the transpose of ``right``, row-major; terms are added in the grid's order."""
-    lm, rm = matrix_column(left), matrix_column(right)
-    cell = lambda i: F.element_at(grid, i + 1).cast("double")
-    one = lambda a, b: F.aggregate(F.sequence(F.lit(0), F.lit(side * side - 1)), F.lit(0.0),
-                                   lambda s, i: s + cell(i) * F.element_at(a, (F.floor(i / side) + 1).cast("int")) * F.element_at(b, i % side + 1))
-    return F.flatten(F.transform(lm, lambda a: F.transform(rm, lambda b: one(a, b))))
+    places = F.sequence(F.lit(0), F.lit(side * side - 1))
+    one = lambda g, a, b: F.aggregate(places, F.lit(0.0), lambda s, i: s + F.element_at(g, i + 1) * F.element_at(a, (F.floor(i / side) + 1).cast("int")) * F.element_at(b, i % side + 1))
+    cells = F.transform(grid, lambda x: x.cast("double"))
+    return let(F.struct(cells.alias("g"), matrix_column(left).alias("l"), matrix_column(right).alias("r")),
+               lambda x: F.flatten(F.transform(x["l"], lambda a: F.transform(x["r"], lambda b: one(x["g"], a, b)))))
 
 
 def cosine_signature(grid: Column, side: int = 8) -> Column:
     """Which coefficients of a grid's two-dimensional cosine transform exceed their lower median, as hex."""
     c = cosine_matrix(side)
     coefficients = F.transform(sandwich(c, grid, c, side), lambda x: F.round(x, 6))
-    middle = F.element_at(F.array_sort(coefficients), side * side // 2)
-    return bits_to_hex(F.transform(coefficients, lambda x: x > middle), side * side)
+    pair = lambda c: F.struct(c.alias("c"), F.element_at(F.array_sort(c), side * side // 2).alias("m"))
+    return bits_to_hex(let(let(coefficients, pair), lambda p: F.transform(p["c"], lambda x: x > p["m"])), side * side)
 
 
 def segment_signatures(text: Column) -> Column:

@@ -13,8 +13,15 @@ from curalis.functions import identity as H
 from curalis.plans.base import query
 from curalis.plans.scalars import sandwich_sql
 
-E = F.col("embedding")
-GRID = F.transform(E, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.cast("double") + 0.5)))
+
+def vector():
+    return F.col("embedding")
+
+
+def grid():
+    return F.transform(vector(), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.cast("double") + 0.5)))
+
+
 _GRID = "list_transform(embedding, lambda x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, x::DOUBLE + 0.5)))"
 
 
@@ -32,22 +39,22 @@ def digest_sql(v: str, places: int = 6) -> str:
 WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, unnest(v) AS e FROM x)
 SELECT vec_id, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS std, round(quantile_cont(e, 0.1), 6) AS q10, round(quantile_cont(e, 0.9), 6) AS q90, count(*) FILTER (e < 0) AS low FROM u GROUP BY 1""")
 def _(t):
-    h = V.histogram(E, -1.0, 1.0, 8)
+    h = V.histogram(vector(), -1.0, 1.0, 8)
     low = F.aggregate(F.slice(h, 1, 4), F.lit(0), lambda s, x: s + x)
-    return t("embeddings").select("vec_id", F.round(V.mean(E), 6).alias("mean"), F.round(V.std(E), 6).alias("std"), F.round(V.quantile(E, 0.1), 6).alias("q10"), F.round(V.quantile(E, 0.9), 6).alias("q90"), low.cast("long").alias("low"))
+    return t("embeddings").select("vec_id", F.round(V.mean(vector()), 6).alias("mean"), F.round(V.std(vector()), 6).alias("std"), F.round(V.quantile(vector(), 0.1), 6).alias("q10"), F.round(V.quantile(vector(), 0.9), 6).alias("q90"), low.cast("long").alias("low"))
 
 
 @query("v2_entropy", """
 WITH b AS (SELECT vec_id, greatest(0, least(63, floor((unnest(embedding)::DOUBLE + 0.5) / (1.0 / 64)))) AS b FROM embeddings), c AS (SELECT vec_id, b, count(*) AS n FROM b GROUP BY 1, 2)
 SELECT vec_id, round(-sum(n / 64 * log2(n / 64)), 6) AS entropy FROM c GROUP BY 1""")
 def _(t):
-    return t("embeddings").select("vec_id", F.round(V.entropy(V.histogram(E, -0.5, 0.5, 64)), 6).alias("entropy"))
+    return t("embeddings").select("vec_id", F.round(V.entropy(V.histogram(vector(), -0.5, 0.5, 64)), 6).alias("entropy"))
 
 
 @query("v3_edges")
 def _(t):
-    grad = V.neighbours(GRID, 8, [[0, 0, 0], [-0.5, 0, 0.5], [0, 0, 0]])
-    lap = V.neighbours(GRID, 8, [[0, 1, 0], [1, -4, 1], [0, 1, 0]])
+    grad = V.neighbours(grid(), 8, [[0, 0, 0], [-0.5, 0, 0.5], [0, 0, 0]])
+    lap = V.neighbours(grid(), 8, [[0, 1, 0], [1, -4, 1], [0, 1, 0]])
     g = t("embeddings").select("vec_id", F.transform(grad, lambda x: F.abs(x)).alias("g"), lap.alias("l"))
     m = V.mean(F.col("g")) + V.std(F.col("g"))
     return g.select("vec_id", F.round(V.mean(F.col("g")), 6).alias("gradient"), (F.size(F.filter("g", lambda x: x > m)) / 64).alias("edge_density"), F.round(F.pow(V.std(F.col("l")), 2), 6).alias("laplacian_variance"))
@@ -70,7 +77,7 @@ def _(t):
 
 @query("v5_residual_statistics")
 def _(t):
-    lap = V.neighbours(GRID, 8, [[0, 1, 0], [1, -4, 1], [0, 1, 0]])
+    lap = V.neighbours(grid(), 8, [[0, 1, 0], [1, -4, 1], [0, 1, 0]])
     return t("embeddings").select("vec_id", lap.alias("r")).select("vec_id", V.moments(F.col("r")).alias("m")).select("vec_id", *[F.round(f"m.{c}", 6).alias(c) for c in ("mean", "std", "mean_abs", "kurtosis")])
 
 
@@ -87,12 +94,12 @@ def _(t):
 WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE * 3 + 0.1) AS v FROM embeddings), y AS (SELECT vec_id, list_transform(v, lambda e: e / sqrt(list_inner_product(v, v))) AS v FROM x)
 SELECT vec_id, {digest_sql("v")} FROM y""")
 def _(t):
-    return t("embeddings").select("vec_id", V.normalised(F.transform(E, lambda x: x.cast("double") * 3 + 0.1)).alias("v")).select("vec_id", *digest(F.col("v")))
+    return t("embeddings").select("vec_id", V.normalised(F.transform(vector(), lambda x: x.cast("double") * 3 + 0.1)).alias("v")).select("vec_id", *digest(F.col("v")))
 
 
 @query("v8_gated_fusion")
 def _(t):
-    layers = F.array(*[F.transform(F.slice(E, k * 16 + 1, 16), lambda x: x.cast("double")) for k in range(4)])
+    layers = F.array(*[F.transform(F.slice(vector(), k * 16 + 1, 16), lambda x: x.cast("double")) for k in range(4)])
     fused = V.gated_fusion(layers, [((k * 7) % 5 - 2) / 4 for k in range(16)], [0.0, 0.1, -0.1, 0.2])
     return t("embeddings").select("vec_id", fused.alias("v")).select("vec_id", *digest(F.col("v")))
 
@@ -109,7 +116,7 @@ def _(t):
 SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ((i * 7) % 11 - 5) / 10.0)) + 0.25, 6) AS logit FROM embeddings""")
 def _(t):
     w = F.array(*[F.lit(((i * 7) % 11 - 5) / 10.0) for i in range(1, 65)])
-    return t("embeddings").select("vec_id", F.round(V.dot(E, w) + 0.25, 6).alias("logit"))
+    return t("embeddings").select("vec_id", F.round(V.dot(vector(), w) + 0.25, 6).alias("logit"))
 
 
 @query("v11_trained_head")
@@ -117,7 +124,7 @@ def _(t):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    x = t("embeddings").select("vec_id", (F.col("label") < 5).cast("double").alias("y"), array_to_vector(F.transform(E, lambda v: v.cast("double"))).alias("features"))
+    x = t("embeddings").select("vec_id", (F.col("label") < 5).cast("double").alias("y"), array_to_vector(F.transform(vector(), lambda v: v.cast("double"))).alias("features"))
     model = LogisticRegression(labelCol="y", regParam=0.01, maxIter=30).fit(x.where("vec_id % 5 <> 0"))
     return model.transform(x.where("vec_id % 5 = 0")).select("vec_id", "y", "prediction")
 
@@ -149,13 +156,13 @@ def _(t):
 
 @query("v15_noise")
 def _(t):
-    return t("embeddings").select("vec_id", V.noisy(GRID, F.col("vec_id").cast("string"), 0.05).alias("v")).select("vec_id", *digest(F.col("v")))
+    return t("embeddings").select("vec_id", V.noisy(grid(), F.col("vec_id").cast("string"), 0.05).alias("v")).select("vec_id", *digest(F.col("v")))
 
 
 def _matrix(name: str, matrix):
     @query(name, f"WITH x AS (SELECT vec_id, {_GRID} AS g FROM embeddings), y AS (SELECT vec_id, {sandwich_sql(matrix, 'g', matrix, 8)} AS v FROM x) SELECT vec_id, {digest_sql('v')} FROM y")
     def _(t):
-        return t("embeddings").select("vec_id", GRID.alias("g")).select("vec_id", V.apply_matrix(F.col("g"), matrix, 8).alias("v")).select("vec_id", *digest(F.col("v")))
+        return t("embeddings").select("vec_id", grid().alias("g")).select("vec_id", V.apply_matrix(F.col("g"), matrix, 8).alias("v")).select("vec_id", *digest(F.col("v")))
 
 
 _matrix("v16_smoothing", V.gaussian_matrix(8, 1.0))
@@ -165,17 +172,17 @@ _matrix("v19_crop", V.crop_matrix(8, 0.8))
 
 @query("v18_jitter")
 def _(t):
-    return t("embeddings").select("vec_id", V.jittered(GRID, F.col("vec_id").cast("string"), 0.2).alias("v")).select("vec_id", *digest(F.col("v")))
+    return t("embeddings").select("vec_id", V.jittered(grid(), F.col("vec_id").cast("string"), 0.2).alias("v")).select("vec_id", *digest(F.col("v")))
 
 
 @query("v20_quantised")
 def _(t):
-    return t("embeddings").select("vec_id", GRID.alias("g")).select("vec_id", V.quantised(F.col("g"), 8, 0.1).alias("v")).select("vec_id", *digest(F.col("v"), 5))
+    return t("embeddings").select("vec_id", grid().alias("g")).select("vec_id", V.quantised(F.col("g"), 8, 0.1).alias("v")).select("vec_id", *digest(F.col("v"), 5))
 
 
 @query("v21_scenarios")
 def _(t):
-    g = t("embeddings").select("vec_id", GRID.alias("g"))
+    g = t("embeddings").select("vec_id", grid().alias("g"))
     made = {"clean": F.col("g"), "blur_1.0": V.apply_matrix(F.col("g"), V.gaussian_matrix(8, 1.0), 8), "noise_0.05": V.noisy(F.col("g"), F.col("vec_id").cast("string"), 0.05)}
     both = F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), v.alias("v")) for k, v in made.items()]))
     return g.select("vec_id", both.alias("x")).select("vec_id", "x.scenario", *digest(F.col("x.v")))
