@@ -8,106 +8,118 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalis.llm.common import slots, stage
+from curalis.llm.common import stage
 from curalis.llm.suffix_sort import Texts, anchors, extents
 
 LENGTH = 400
-GRAM = 32
+GRAM = 64
 #: Anchors that occur more often are compared by window hashes over many tasks instead of in one.
 MAX_GROUP = 4096
 BUCKETS = 64
-_SORT_ROWS = 3000
+_SORT_ROWS = 4000
 _NO_KEY = -(1 << 63)
 
-_TEXT = "did long, digest string, text string, spots array<struct<pos: int, h: long, hot: boolean>>"
-_CONTEXT = "h long, hot boolean, did long, digest string, pos array<int>, before binary, after binary"
-_SPAN = "did long, digest string, lo int, hi int"
+_FOUND = ("rid long, did long, digest string, n_bytes long, pos array<int>, h array<long>, c array<long>, "
+          "own array<struct<lo: int, hi: int>>")
+_CONTEXT = "h long, rid long, pos int, alone boolean, before binary, after binary"
+_SPAN = "rid long, lo int, hi int"
+
+
+def _reach(at: np.ndarray, size: int, length: int, back: int) -> tuple[np.ndarray, np.ndarray]:
+    """Span of each anchor's whole context."""
+    return np.maximum(at - back, 0), np.minimum(at + length, size)
 
 
 def _anchors(length: int, gram: int):
+    """Anchors of each text, each context once; a context that a text repeats is a span of its own already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        next_id = TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 cut = batch.slice(lo, 512)
-                sizes, counts, places, hashes = [], [], [], []
+                sizes, made, own = [], [], []
                 for text in cut.column("text").to_pylist():
                     data = text.encode() if text else b""
-                    at, h = anchors(data, length, gram)
+                    at, h, c = anchors(data, length, gram)
                     sizes.append(len(data))
-                    counts.append(len(at))
-                    places.append(at)
-                    hashes.append(h)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                flat = (np.concatenate(places) if places else np.zeros(0), np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))
+                    _, first, place, count = np.unique(c, return_index=True, return_inverse=True, return_counts=True)
+                    spans: list[dict] = []
+                    if len(first) < len(at):
+                        starts, ends = _reach(at[count[place] > 1], len(data), length, length - gram)
+                        good = ends - starts >= length
+                        end = -1
+                        for a, b in zip(starts[good].tolist(), ends[good].tolist(), strict=True):
+                            if a <= end:
+                                spans[-1]["hi"] = end = b
+                            else:
+                                spans.append({"lo": a, "hi": b})
+                                end = b
+                        at, h, c = at[first], h[first], c[first]
+                    own.append(spans)
+                    made.append((at.astype(np.int32), h.view(np.int64), c.view(np.int64)))
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in made])]), pa.int32())
+                flat = [pa.array(np.concatenate([x[k] for x in made])) for k in range(3)]
+                ids = pa.array(np.arange(next_id, next_id + cut.num_rows))
+                next_id += cut.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [cut.column("did"), cut.column("digest"), pa.array(sizes, pa.int64()),
-                     pa.ListArray.from_arrays(offsets, pa.array(flat[0].astype(np.int32))),
-                     pa.ListArray.from_arrays(offsets, pa.array(flat[1].view(np.int64)))],
-                    names=["did", "digest", "n_bytes", "pos", "h"])
+                    [ids, cut.column("did"), cut.column("digest"), pa.array(sizes, pa.int64()), *(pa.ListArray.from_arrays(offsets, x) for x in flat),
+                     pa.array(own, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))],
+                    names=["rid", "did", "digest", "n_bytes", "pos", "h", "c", "own"])
 
     return run
 
 
-def _contexts(length: int):
+def _contexts(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 rows = []
                 for r in batch.slice(lo, 64).to_pylist():
                     data = r["text"].encode()
-                    seen: dict[tuple, list[int]] = {}
                     for s in r["spots"]:
                         p = s["pos"]
-                        seen.setdefault((s["h"], s["hot"], data[max(0, p - length):p], data[p:p + length]), []).append(p)
-                    rows += [(h, hot, r["did"], r["digest"], at, before, after) for (h, hot, before, after), at in seen.items()]
+                        rows.append((s["h"], r["rid"], p, s["alone"], data[max(0, p - length + gram):p], data[p:p + length]))
                 if rows:
-                    columns = list(zip(*rows, strict=True))
-                    types = (pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                                     names=["h", "hot", "did", "digest", "pos", "before", "after"])
+                    types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                                                     names=["h", "rid", "pos", "alone", "before", "after"])
 
     return run
 
 
 def _spans(rows, reach_left, reach_right):
-    """Span rows of contexts: (did, digest, [positions]) with their reach; a context that a document repeats matches itself."""
-    out = []
-    for (did, digest, at), a, b in zip(rows, reach_left.tolist(), reach_right.tolist(), strict=True):
-        if a or b:
-            out += [(did, digest, p - a, p + b) for p in at]
-    return out
-
-
-def _span_batch(out) -> pa.RecordBatch:
-    types = (pa.int64(), pa.string(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["did", "digest", "lo", "hi"])
+    """Span rows of contexts (rid, pos) with their reach."""
+    return [(rid, p - a, p + b) for (rid, p), a, b in zip(rows, reach_left.tolist(), reach_right.tolist(), strict=True) if a or b]
 
 
 def _match(length: int):
     def settle(rows: list[tuple]) -> list[tuple]:
         _, group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
-        # a context at several places of one document is a match of its own: it stands twice
-        twice = [k for k, r in enumerate(rows) if len(r[3]) > 1]
-        use = [*range(len(rows)), *twice]
-        left, right = extents([rows[k][4] for k in use], [rows[k][5] for k in use], group[use], length)
-        n = len(rows)
-        return _spans([r[1:4] for r in rows], left[:n], right[:n])
+        alone = np.array([r[3] for r in rows])
+        left, right = extents([r[4] for r in rows], [r[5] for r in rows], group, length, wanted=alone)
+        return _spans([r[1:3] for r in rows], np.where(alone, left, 0), np.where(alone, right, 0))
+
+    def batch_of(out) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)],
+                                          names=["rid", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:  # a batch of the session's Arrow batch size at most
-            names = ("h", "did", "digest", "pos", "before", "after")
-            held += list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
-            if len(held) > _SORT_ROWS:  # all but the last group of equal anchors, of which more may follow
-                cut = next((k for k in range(len(held) - 1, 0, -1) if held[k][0] != held[k - 1][0]), 0)
-                if cut and (out := settle(held[:cut])):
-                    yield _span_batch(out)
-                held = held[cut:]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _SORT_ROWS):
+                held += list(zip(*(c.to_pylist() for c in batch.slice(lo, _SORT_ROWS).columns), strict=True))
+                if len(held) > _SORT_ROWS:  # all but the last group of equal anchors, of which more may follow
+                    cut = next((k for k in range(len(held) - 1, 0, -1) if held[k][0] != held[k - 1][0]), 0)
+                    if cut and (out := settle(held[:cut])):
+                        yield batch_of(out)
+                    held = held[cut:]
         if held and (out := settle(held)):
-            yield _span_batch(out)
+            yield batch_of(out)
 
     return run
 
@@ -161,20 +173,20 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
 def _settle_hot(length: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame([], columns=["did", "digest", "lo", "hi"])
+            return pd.DataFrame([], columns=["rid", "lo", "hi"])
         shared = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in right["keys"]]) if len(right) else np.zeros((0, 2), np.uint64)
         shared_one = np.unique(shared[:, 0])
         high, low = np.full(len(left), -1), np.full(len(left), length + 1)
-        repeated = np.array([len(x) > 1 for x in left["pos"]])
+        alone = left["alone"].to_numpy(bool)
         for d, rows, one, _ in _window_keys(left, length):
             _, place, count = np.unique(one, return_inverse=True, return_counts=True)
-            hit = rows[(count[place] > 1) | np.isin(one, shared_one) | repeated[rows]]
+            hit = rows[(count[place] > 1) | np.isin(one, shared_one)]
             high[hit] = d
             low[hit] = np.minimum(low[hit], d)
         found = high >= 0
-        rows = list(zip(left["did"].tolist(), left["digest"].tolist(), [list(x) for x in left["pos"]], strict=True))
-        out = _spans(rows, np.where(found, high, 0), np.where(found, length - low, 0))
-        return pd.DataFrame(out, columns=["did", "digest", "lo", "hi"])
+        rows = list(zip(left["rid"].tolist(), left["pos"].tolist(), strict=True))
+        out = _spans(rows, np.where(found & alone, high, 0), np.where(found & alone, length - low, 0))
+        return pd.DataFrame(out, columns=["rid", "lo", "hi"])
 
     return run
 
@@ -216,54 +228,69 @@ def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
                  max_group: int = MAX_GROUP, with_text: bool = False) -> DataFrame:
     """Judge every byte of every whole text; one row per input row.
 
-    doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` kept_text (what is left
-    where something was removed, else null; characters cut in two are dropped from it). A byte goes if
-    a string of ``length`` bytes over it starts anywhere else too. Steps:
+    doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` digest and kept_text (what is
+    left where something was removed, else null; characters cut in two are dropped from it). A byte goes
+    if a string of ``length`` bytes over it starts anywhere else too. Steps:
 
     1. Each text marks its anchors, positions whose ``gram`` bytes hash least in some window of
-       ``length`` bytes: equal windows have equal anchors. Equal texts are compared once.
-    2. Anchors that occur once are dropped (a count per hash); for the others the bytes around are
-       dealt by anchor, suffix-sorted both ways by prefix hashes, and matched with their neighbours.
-       The union of matches over anchors is exactly the repeated strings' bytes.
-    3. Anchors in over ``max_group`` texts are dealt in blocks, which exchange window hashes of 128
-       bits instead of bytes: no task holds a group.
+       ``length`` bytes: equal windows have equal anchors.
+    2. Anchors that occur once are dropped (a count per hash). Where an anchor's whole context occurs
+       twice (128 bits of hashes), the match is as long as the context.
+    3. Of the other contexts one of each kind is dealt by anchor with its bytes, suffix-sorted both ways
+       by prefix hashes, matched with its neighbours and verified. The union of matches over all anchors
+       is exactly the repeated strings' bytes.
+    4. Anchors with over ``max_group`` kinds of contexts are dealt in blocks, which exchange window hashes
+       of 128 bits instead of bytes: no task holds a group.
 
     Null texts count as empty. Texts shorter than ``length`` lose nothing. Repeated rows, or two rows
     with equal text, lose everything from ``length`` bytes on. Null keys are kept. An empty table gives an
     empty result. Other columns are not read.
     """
+    back = length - gram
     read = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
-        F.coalesce("doc_id", F.lit(_NO_KEY)).alias("did"), "text", F.sha2(F.col("text"), 256).alias("digest"), "doc_id")
-    found = stage(read.select("did", "digest", "text").mapInArrow(
-        _anchors(length, gram), "did long, digest string, n_bytes long, pos array<int>, h array<long>"), "anchors")
-    texts = stage(found.groupBy("digest").agg(F.min("did").alias("did"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")), "texts")
-
-    # each distinct text once; a row repeated with its key brings the same anchors again, which distinct() removes
-    once = found.where(F.size("pos") > 0).join(texts.select("digest", "did"), ["digest", "did"])
-    spots = once.select("did", "digest", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("did", "digest", "x.pos", "x.h")
-    spots = stage(spots.distinct(), "spots")
-    twice = stage(spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > max_group).alias("hot")), "twice")
-    any_hot = bool(twice.where("hot").limit(1).count())
-    chosen = spots.join(twice, "h").groupBy("did", "digest").agg(F.collect_list(F.struct("pos", "h", "hot")).alias("spots"))
-    sources = stage(read.select("did", "digest", "text").join(chosen, ["did", "digest"]).dropDuplicates(["did", "digest"])
-                    .select("did", "digest", "text", "spots"), "sources")
-
-    contexts = sources.repartition(slots(docs.sparkSession)).mapInArrow(_contexts(length), _CONTEXT)
+        F.coalesce("doc_id", F.lit(_NO_KEY)).alias("did"), "text", F.sha2("text", 256).alias("digest"))
+    found = stage(read.mapInArrow(_anchors(length, gram), _FOUND), "anchors")
+    texts = stage(found.groupBy("digest").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")), "texts")
+
+    spots = found.select("rid", F.col("n_bytes").cast("int").alias("size"), F.explode(F.arrays_zip("pos", "h", "c")).alias("x")).select(
+        "rid", "size", "x.pos", "x.h", "x.c")
+    twice = stage(spots.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
+                  .select("h", (F.col("c0") != F.col("c1")).alias("several")), "twice")
+    shared = stage(spots.join(twice, "h"), "shared")
+    mixed = shared.where("several")
+    kinds = stage(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("rep")), "kinds")
+    hot = stage(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_group), "hot")
+    whole_span = (F.greatest(F.col("pos") - back, F.lit(0)).alias("lo"), F.least(F.col("pos") + length, F.col("size")).alias("hi"))
+    equal = shared.where("NOT several").unionByName(mixed.join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select(shared.columns))
+    spans = equal.select("rid", *whole_span).where(F.col("hi") - F.col("lo") >= length)
+
+    asked = kinds.select("rep.rid", F.struct("rep.pos", "h", (F.col("n") == 1).alias("alone")).alias("spot"), "h")
+    any_hot = bool(hot.limit(1).count())
     if any_hot:
-        contexts = stage(contexts, "contexts")
-    cold = contexts.where("NOT hot").repartition("h").sortWithinPartitions("h")
-    spans = cold.mapInArrow(_match(length), _SPAN)
+        hot_asked = asked.join(hot.select("h"), "h", "left_semi")
+        asked = asked.join(hot.select("h"), "h", "left_anti")
+    per_text = lambda x: x.groupBy("rid").agg(F.collect_list("spot").alias("spots"))
+    # texts that lose something or are compared; copies of a text lose everything and are represented by one
+    involved = spans.select("rid").unionByName(kinds.select("rep.rid")).unionByName(found.where(F.size("own") > 0).select("rid")).distinct()
+    places = found.select("rid", "did", "digest").join(involved, "rid").join(texts.select("digest", "copies", F.col("rid").alias("low")), "digest")
+    places = places.select("rid", "did", "digest", (F.col("copies") == 1).alias("single"))
+    asked_ids = kinds.select("rep.rid").distinct().withColumn("asked", F.lit(True))
+    places = places.join(asked_ids, "rid", "left").where(F.col("single") | F.col("asked"))
+    sources = stage(read.join(places.drop("asked"), ["did", "digest"]).dropDuplicates(["rid"]).select("rid", "single", "digest", "text"), "sources")
+
+    def contexts(of: DataFrame) -> DataFrame:
+        return sources.select("rid", "text").join(per_text(of), "rid").select("rid", "text", "spots").mapInArrow(_contexts(length, gram), _CONTEXT)
+
+    spans = spans.unionByName(contexts(asked).repartition("h").sortWithinPartitions("h").mapInArrow(_match(length), _SPAN))
     if any_hot:
-        hot = contexts.where("hot")
-        sizes = hot.groupBy("h").agg(F.ceil(F.count("*") / F.lit(max(2, max_group // 2))).alias("blocks"))
-        hot = stage(hot.join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, "h").withColumn(
-            "block", F.pmod(F.xxhash64("did", "digest", "pos"), F.col("blocks"))).drop("blocks"), "hot")
-        published = hot.groupBy("h", "block").applyInPandas(_publish(length, BUCKETS), "h long, block long, bucket long, keys binary")
-        shared = published.groupBy("h", "bucket").applyInPandas(_shared, "h long, block long, keys binary")
-        spans = spans.unionByName(hot.groupBy("h", "block").cogroup(shared.groupBy("h", "block")).applyInPandas(_settle_hot(length), _SPAN))
-    single = texts.where("copies = 1").select("digest", "did")
-    gathered = spans.join(single, ["digest", "did"], "left_semi").groupBy("did", "digest").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    done = sources.select("did", "digest", "text").join(gathered, ["did", "digest"]).mapInArrow(
+        blocks = hot.select("h", F.ceil(F.col("kinds") / F.lit(max(2, max_group // 2))).alias("blocks"))
+        crowd = stage(contexts(hot_asked).join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("rid", "pos"), F.col("blocks"))).drop("blocks"), "crowd")
+        published = crowd.groupBy("h", "block").applyInPandas(_publish(length, BUCKETS), "h long, block long, bucket long, keys binary")
+        common = published.groupBy("h", "bucket").applyInPandas(_shared, "h long, block long, keys binary")
+        spans = spans.unionByName(crowd.groupBy("h", "block").cogroup(common.groupBy("h", "block")).applyInPandas(_settle_hot(length), _SPAN))
+    own = found.select("rid", F.explode("own").alias("x")).select("rid", "x.lo", "x.hi")
+    gathered = spans.unionByName(own).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    done = sources.where("single").select("rid", "digest", "text").join(gathered, "rid").mapInArrow(
         _cut(with_text), "digest string, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     outcome = texts.select("digest", "copies", "n_bytes").join(done, "digest", "left").select(

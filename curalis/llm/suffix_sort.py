@@ -96,18 +96,6 @@ class Texts:
         return out
 
 
-def gram_hashes(raw: np.ndarray, width: int) -> np.ndarray:
-    """Mixed hash of every ``width`` bytes."""
-    up, down = powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(VALUES[raw] * up[:len(raw)], out=sums[1:])
-    h = (sums[width:] - sums[:-width]) * down[:len(raw) - width + 1]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
-
-
 def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
     """``of`` (minimum or maximum) over every ``width`` neighbours, by doubling."""
     have = 1
@@ -117,38 +105,53 @@ def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
     return of(x[:len(x) - (width - have)], x[width - have:]) if have < width else x
 
 
-def anchors(data: bytes, length: int, width: int, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Positions, and gram hashes there, that are least in some window of ``length`` bytes.
+def _scramble(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def anchors(data: bytes, length: int, width: int, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions whose ``width`` bytes hash least in some window of ``length`` bytes, these hashes, and context hashes.
 
     The choice depends on the window's bytes alone, so equal windows have equal anchors, and every
-    window has one. Long texts are taken in segments.
+    window has one. A context is what a window over the anchor can reach: ``length - width`` bytes
+    before it and ``length`` from it on, less at a text's ends. Long texts are taken in segments.
     """
-    n = len(data)
+    n, back = len(data), length - width
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     raw = np.frombuffer(data, np.uint8)
-    grams = length - width + 1
-    places, found = [], []
+    made = []
     for lo in range(0, n - length + 1, segment):
-        h = gram_hashes(raw[lo:min(n, lo + segment + length - 1)], width)
-        least = _sliding(h, grams, np.minimum)
-        padded = np.concatenate([np.zeros(grams - 1, np.uint64), least, np.zeros(grams - 1, np.uint64)])
-        chosen = np.flatnonzero(_sliding(padded, grams, np.maximum) == h)
-        places.append(chosen + lo)
-        found.append(h[chosen])
-    if len(places) == 1:
-        return places[0], found[0]
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(found)[first]
-
-
-def extents(lefts: list[bytes], rights: list[bytes], group: np.ndarray, length: int, steps: int = 48) -> tuple[np.ndarray, np.ndarray]:
+        first, last = max(0, lo - back), min(n, lo + segment + 2 * length)
+        part = raw[first:last]
+        up, down = powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(VALUES[part] * up[:len(part)], out=sums[1:])
+        at, to = lo - first, min(n, lo + segment + length - 1) - first
+        h = _scramble((sums[at + width:to + 1] - sums[at:to + 1 - width]) * down[at:to + 1 - width])
+        least = _sliding(h, back + 1, np.minimum)
+        edge = np.zeros(back, np.uint64)
+        chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), back + 1, np.maximum) == h)
+        place = chosen + at
+        start, end = np.maximum(place - back, 0), np.minimum(place + length, len(part))
+        context = (sums[end] - sums[start]) * down[start] + (place - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (end - place).astype(np.uint64)
+        made.append((place + first, h[chosen], _scramble(context)))
+    if len(made) == 1:
+        return made[0]
+    places, hashes, contexts = (np.concatenate(x) for x in zip(*made, strict=True))
+    places, one = np.unique(places, return_index=True)
+    return places, hashes[one], contexts[one]
+
+
+def extents(lefts: list[bytes], rights: list[bytes], group: np.ndarray, length: int, steps: int = 48, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Per row, how far matches of at least ``length`` bytes reach left and right of its anchor (0, 0: none).
 
     Row i matches row j of its group over ``L + R`` bytes, the common suffix of the left contexts and
     the common prefix of the right ones. Rows are suffix-sorted both ways; neighbours in sorted order
     have the longest extensions, so each row looks outwards until a neighbour qualifies or none can.
-    Rows undecided after ``steps`` neighbours are settled window by window.
+    Rows undecided after ``steps`` neighbours are settled window by window. Only ``wanted`` rows are
+    looked up (default: all); the others are there to be found.
     """
     n = len(lefts)
     right, left = Texts(rights), Texts([x[::-1] for x in lefts])
@@ -166,6 +169,8 @@ def extents(lefts: list[bytes], rights: list[bytes], group: np.ndarray, length:
         near.append(lcp)
     most = [np.maximum(lcp[r], lcp[r + 1]) for r, lcp in zip(rank, near, strict=True)]
     possible = most[0] + most[1] >= length
+    if wanted is not None:
+        possible &= wanted
     reach = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
     undecided = np.zeros(n, bool)
     proof = [[], [], [], []]  # i, j, L, R of each extension found
