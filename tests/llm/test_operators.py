@@ -1,0 +1,412 @@
+"""The training-data operators against brute force on small inputs, with nulls, empty tables, ties and repeats."""
+
+import hashlib
+import itertools
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from curalis.llm import attribution, chosen_path, common, language, mixing, packing, quality, quantised, suffix_dedup, suffix_sort, tokens, toxicity, url_filters
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, h string"
+WORDS = "the of and river stone walks under morning light quick brown fox jumps over lazy dogs while seven clouds drift past old towers".split()
+
+
+def make(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    out = []
+    passage = make(rng, 120)
+    for i in range(40):
+        text = make(rng, rng.choice([3, 12, 60, 200]))
+        if i % 7 == 0:
+            text = text + "\n" + passage + "\n" + make(rng, 20)
+        out.append([i, text, "en", f"s{i % 3}", len(text), 0, "x"])
+    words = out[5][1].split()
+    base = make(rng, 150).split()
+    for k in range(6):  # near copies
+        own = list(base)
+        own[20 * k + 3] = "changed"
+        out.append([50 + k, " ".join(own), "en", "s0", 1, 0, "x"])
+    out += [[60, out[3][1], None, None, 2, 1, None], [61, None, None, "s1", None, None, None], [62, "", "en", "", 0, 0, ""],
+            [63, " \n\t ", "de", "s1", 4, 0, "x"], [None, make(rng, 30), None, None, 5, 0, "x"], [64, " ".join(words), "en", "s1", 1, 0, "x"],
+            [65, "ab " * 3000, "en", "s2", 9000, 0, "x"], [65, "ab " * 3000, "en", "s2", 9000, 0, "x"]]
+    return [tuple(r) for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# 1
+
+
+def brute_quality(text):
+    words = (text or "").encode().split()
+    windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+    twice = {w for w in windows if windows.count(w) > 1} if len(words) < 1000 else set(windows)
+    covered = {i + k for i, w in enumerate(windows) if w in twice for k in range(5)}
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\v\f\r")]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    return len(words), sum(len(w.decode()) for w in words), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(covered)
+
+
+def test_quality_base_counts(spark):
+    rng = random.Random(2)
+    texts = [None, "", "a b c", "#x $y\n\n#x $y\n z\u00a0q \u2003w", "é ü\vß\f|", "one two three four five six " * 4, "l1\nl1\n \nl1"]
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(40))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")).withColumn("band", F.lit(1))
+    got = {r.doc_id: tuple(r)[1:6] for r in quality.quality_rules(df).collect()}
+    assert got == {i: brute_quality(t) for i, t in enumerate(texts)}
+
+
+def test_quality_rejects_outside_the_band(spark, docs, empty):
+    rng = random.Random(3)
+    clean = [(i, make(rng, 80), "en") for i in range(120)]
+    odd = [(1000, " ".join("☃" + "ൠ" * 3 + str(i) for i in range(80)), "en"), (1001, make(rng, 80).upper().replace(" ", "!! "), "en")]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(clean + odd, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i, _, _ in clean) and not got[1000].kept and not got[1000].base_failed and not got[1001].kept
+    assert got[1000].fallback_share > 0
+    assert quality.quality_rules(docs).count() == docs.count()
+    assert quality.quality_rules(empty).count() == 0
+
+
+# 2
+
+
+def brute_jaccard(rows):
+    def of(t):
+        w = (t or "").encode().split()
+        return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else None
+
+    sets = [of(r[1]) for r in rows]
+    links, parent = [0] * len(rows), list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            links[i] += 1
+            links[j] += 1
+            parent[root(i)] = root(j)
+    low = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            low[root(i)] = min(low.get(root(i), 1 << 60), r[0])
+    return sorted((str(r[0]), str(low.get(root(i))), links[i]) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("settings", [{}, {"bucket": 2, "max_depth": 4}])
+def test_jaccard_join(docs, rows, settings):
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in chosen_path.jaccard_join(docs, **settings).collect())
+    assert got == brute_jaccard(rows)
+
+
+def test_jaccard_join_of_nothing(empty):
+    assert chosen_path.jaccard_join(empty).count() == 0
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    base = make(rng, 150).split()
+    rows = []
+    for i in range(40):
+        own = list(base)
+        own[rng.randrange(150)] = f"edit{i}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(chosen_path, "BLOCK_ROWS", 8)
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in chosen_path.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), bucket=4).collect())
+    assert got == brute_jaccard(rows)
+
+
+def test_runs_reach_the_recall():
+    assert 1 - (1 - chosen_path.survival(6, 0.8)) ** chosen_path.runs_for(0.999) >= 0.999
+
+
+# 3
+
+
+def brute_vectors(rows, cosine=0.9):
+    unit = []
+    for _, v in rows:
+        ok = v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+        unit.append(np.array(v, float) / np.linalg.norm(np.array(v, float)) if ok else None)
+    n = len(rows)
+    linked = [[i != j and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= cosine for j in range(n)] for i in range(n)]
+    label = list(range(n))
+    for _ in range(n):
+        label = [min([label[i], *(label[j] for j in range(n) if linked[i][j])]) for i in range(n)]
+    return {rows[i][0]: (sum(linked[i]), rows[label[i]][0]) for i in range(n)}
+
+
+def test_near_vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(150):
+        v = rng.normal(size=16) if i % 3 else rows[i - 1][1] + rng.normal(0, 0.12, 16) if i else rng.normal(size=16)
+        rows.append((i, np.array(v)))
+    rows = [(i, [float(x) for x in v]) for i, v in rows]
+    rows += [(200, None), (201, [0.0] * 16), (202, [float("nan")] + [1.0] * 15), (203, [None] + [1.0] * 15), (204, []), (205, [2 * x for x in rows[7][1]]), (206, [1.0, 2.0]), (207, [1.0, 2.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit(1))
+    for settings in ({"probes": 64}, {"probes": 8, "lists": 8, "list_rows": 20}):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in quantised.near_duplicates(df, **settings).collect()}
+        assert got == brute_vectors(rows)
+    assert quantised.near_duplicates(df.where("vec_id < 0")).count() == 0
+
+
+def test_recall_of_default_probes(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.array([r[0] for r in df.orderBy("vec_id").select("embedding").collect()], float)
+    x = np.concatenate([x, x[:300] + np.random.default_rng(2).normal(0, 0.04, (300, x.shape[1]))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((x @ x.T >= 0.9).sum() - len(x))
+    got = quantised.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert got.agg(F.sum("n_links")).first()[0] >= 0.97 * want > 0
+
+
+# 4
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(0)
+    net = language.ByteGru(3, 4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, mask, y = rng.integers(0, 256, (5, 4)).astype(np.uint8), np.ones((5, 4), bool), np.array([0, 1, 2, 1])
+    mask[3:, 1] = False
+    _, grad = net.gradients(x, mask, y)
+    for k, g in grad.items():
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept = net.p[k][i]
+        net.p[k][i] = kept + 1e-3
+        up = net.gradients(x, mask, y)[0]
+        net.p[k][i] = kept - 1e-3
+        down = net.gradients(x, mask, y)[0]
+        net.p[k][i] = kept
+        assert abs(g[i] - (up - down) / 2e-3) < 1e-3 * max(1, abs(g[i]))
+
+
+def test_language_on_held_out(spark, empty):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.97 and len(got) > 150
+    assert all((zlib.crc32(str(i).encode()) % 4 == 2) for i in got.doc_id)
+    odd = df.limit(300).unionByName(spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "", "en", "s", 0), (-3, "123 !?", "en", "s", 0), (-4, "x" * 5000, None, "s", 0)], df.schema))
+    und = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(odd).where("doc_id < 0").collect()}
+    assert und[-1] == und[-2] == und[-3] == ("und", 0.0) and und[-4][0] != "und"
+    assert language.identify(empty).count() == 0
+
+
+# 5 and tokenizers
+
+
+def test_cached_ids_equal_whole_texts(rows):
+    coder = tokens.WordEndBpe()
+    odd = ["", "<|endoftext|> hi", "it's 12ab\x1cc don't\x85x\xa0y İ Σ ΑΣ", "ﬁ é", "日本語 テスト", "'ll've '' ''s", "a, b.. c!,", "x" * 300, "é. ü, 1.", None]
+    texts = [r[1] for r in rows] + odd
+    assert coder.encode(texts) == [coder.whole(t or "") for t in texts]
+
+
+@pytest.mark.parametrize("settings", [{}, {"window": 64, "open_windows": 2}])
+def test_packing_round_trip(docs, rows, empty, settings, monkeypatch):
+    if settings:
+        monkeypatch.setattr(packing, "FAN_IN", 2)
+    window = settings.get("window", 4096)
+    coder = tokens.WordEndBpe()
+    pieces = packing.pack(docs, **settings).collect()
+    want = sorted((str(r[0]), coder.whole(r[1] or "") + (2).to_bytes(4, "little")) for r in rows)
+    left = [(k, ids, 0) for k, ids in want]
+    for p in sorted(pieces, key=lambda p: p.start):
+        at = next(i for i, (k, ids, done) in enumerate(left) if k == str(p.doc_id) and done == p.start and len(ids) == 4 * p.doc_tokens
+                  and zlib.crc32(ids[4 * p.start:4 * (p.start + p.length)]) == p.ids_crc32)
+        left[at] = (*left[at][:2], p.start + p.length)
+    assert all(4 * done == len(ids) for _, ids, done in left)
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= window
+    assert len(by) <= 1.3 * sum(len(i) // 4 for _, i in want) / window + 1
+    assert packing.pack(empty).count() == 0
+
+
+# 6
+
+
+def test_section_tokens(spark, docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    texts = [r[1] for r in rows if r[1] is not None] + ["a\n\nb\n \n  c\r\nd", "é\nü 日\n本 語", "\n", "x\n\n\n\n\ny"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("section", F.lit("clash"))
+    for rule in attribution.RULES:
+        got = {(r.doc_id, r.section): r.n_tokens for r in attribution.section_tokens(df, rule=rule).collect()}
+        want = {}
+        for i, text in enumerate(texts):
+            cuts = [0, *(k + 1 for k, c in enumerate(text) if c == "\n"), len(text)]
+            cuts = sorted(set(cuts))
+            spans = [(cuts[k], cuts[k + 1]) for k in range(len(cuts) - 1)] or [(0, 0)]
+            want.update({(i, k): 0 for k in range(len(spans))})
+            for a, b in whole.encode(text, add_special_tokens=False).offsets:
+                held = [max(0, min(b, y) - max(a, x)) for x, y in spans]
+                some = [k for k, n in enumerate(held) if n]
+                want[i, {"first": some[0], "last": some[-1], "most": held.index(max(held))}[rule]] += 1
+        assert got == want
+    assert attribution.section_tokens(docs).count() >= docs.count() and attribution.section_tokens(empty).count() == 0
+
+
+# 7
+
+
+def test_decoding_and_scores(spark, empty):
+    rng = random.Random(6)
+    bad = ["stupid", "moron", "worthless", "idiot"]
+    texts, labels = [], []
+    for i in range(400):
+        t, y = make(rng, 40).split(), int(i % 4 == 0)
+        if y:
+            t[rng.randrange(40)] = rng.choice(bad)
+        texts.append((i, " ".join(t)))
+        labels.append((i, y))
+    hidden = [(1000, make(rng, 30) + " you m0r0n " + make(rng, 5)), (1001, make(rng, 30) + " s t u p i d " + make(rng, 9)), (1002, make(rng, 20) + " idiiiiot"),
+              (1003, make(rng, 30)), (1004, None), (1005, ""), (1006, make(rng, 3000)), (None, make(rng, 9))]
+    df = spark.createDataFrame(texts + hidden, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = {r.doc_id: r for r in toxicity.toxicity(df, spark.createDataFrame(labels + [(2, None), (None, 1)], "doc_id long, toxic int")).collect()}
+    assert all(got[i].predicted == 1 for i in (1000, 1001, 1002)) and all(got[i].predicted == 0 for i in (1003, 1004, 1005, 1006, None))
+    assert np.mean([got[i].predicted == y for i, y in labels]) > 0.98
+    assert got[5].held_out == (zlib.crc32(b"5") % 5 == 0)
+    assert toxicity.toxicity(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+# 8
+
+
+def test_url_rules(spark):
+    urls = ["http://a.example.net/en/x?q#z", "HTTP://Example.NET/en", "https://net", "https://x.net/", "http://b.example.com/de/1", "http://example.com/fr/", "http://q.org/fr/",
+            "http://org/fr", "nothing", None, "://", "http://evilnet/", "http://a.net?x/", "x://É.net/Q", "http://net:80/", "a://b.net/c://d.org/fr/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit(1))
+    got = {r.page_id: r for r in url_filters.url_filter(df).collect()}
+    rules = {0: "example.net/en/", 1: "net/", 2: "", 3: "net/", 4: "example.com/de/", 6: "org/fr/", 13: "net/", 15: "net/"}
+    for i in range(len(urls)):
+        assert (got[i].rule or "") == rules.get(i, ""), urls[i]
+        assert got[i].verdict == ("block" if got[i].rule in ("net/", "example.com/de/") else "allow")
+    assert (got[0].host, got[0].path, got[13].host) == ("a.example.net", "/en/x", "É.net") and (got[9].host, got[8].path) == ("", "")
+    longer = url_filters.Trie([("block", "a.b", "/x"), ("allow", "a.b", "/x/y/"), ("block", "b", "/")])
+    assert [longer.find("z.a.b", p) for p in ("/xyz", "/x/y/z", "/q", "")] == [("a.b/x", "block"), ("a.b/x/y/", "allow"), ("b/", "block"), None]
+
+
+# 9
+
+
+def test_poisson_mix(spark, docs, rows, empty):
+    out = mixing.poisson_mix(docs).collect()
+    want = {}
+    sizes = {}
+    for r in rows:
+        sizes[r[3] or ""] = sizes.get(r[3] or "", 0) + 1
+    w = {s: n**0.7 for s, n in sizes.items()}
+    for r in rows:
+        rate = len(rows) * w[r[3] or ""] / sum(w.values()) / sizes[r[3] or ""]
+        u = (int(hashlib.md5(f"mix-1|{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) + 1) / (2**52 + 1)
+        k, p = 0, math.exp(-rate)
+        c = p
+        while c < u:
+            k += 1
+            p *= rate / k
+            c += p
+        want[str(r[0]), r[1]] = want.get((str(r[0]), r[1]), 0) + k
+    got = {}
+    for r in out:
+        got[str(r.doc_id), r.text] = got.get((str(r.doc_id), r.text), 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert mixing.poisson_mix(empty).count() == 0
+    many = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    given = mixing.poisson_mix(many, spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double")).groupBy("source").count().collect()
+    assert {r[0]: round(r[1] / 20000, 1) for r in given} == {"a": 0.8, "b": 0.2} or abs({r[0]: r[1] for r in given}["a"] / 20000 - 0.75) < 0.03
+
+
+# 10
+
+
+def brute_repeats(rows, length):
+    seen = {}
+    data = [(r[1] or "").encode() for r in rows]
+    for b in data:
+        for p in range(len(b) - length + 1):
+            seen[b[p:p + length]] = seen.get(b[p:p + length], 0) + 1
+    out = []
+    for r, b in zip(rows, data, strict=True):
+        spans = [(p, p + length) for p in range(len(b) - length + 1) if seen[b[p:p + length]] > 1]
+        removed, runs, kept = suffix_dedup.cut_spans(b, spans)
+        out.append((str(r[0]), len(b), removed, runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("settings", [{}, {"length": 60, "gram": 16}, {"length": 60, "gram": 16, "max_group": 2}])
+def test_repeated_strings(docs, rows, settings):
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs, **settings).collect())
+    assert got == brute_repeats(rows, settings.get("length", 400))
+
+
+def test_repeated_strings_of_nothing(empty):
+    assert suffix_dedup.suffix_dedup(empty).count() == 0
+
+
+def test_suffix_sort_and_extents():
+    rng = random.Random(1)
+    for _ in range(60):
+        n = rng.randrange(1, 40)
+        s = [bytes(rng.choices(b"ab", k=rng.randrange(12))) for _ in range(n)]
+        g = np.sort([rng.randrange(3) for _ in range(n)])
+        assert suffix_sort.Texts(s).sort(g).tolist() == sorted(range(n), key=lambda i: (g[i], s[i], i))
+        top = rng.randrange(3, 12)
+        a = [bytes(rng.choices(b"ab", k=rng.randrange(top + 1))) for _ in range(n)]
+        b = [bytes(rng.choices(b"ab", k=rng.randrange(top + 1))) for _ in range(n)]
+        left, right = suffix_sort.extents(a, b, g, top, steps=rng.choice([1, 2, 48]))
+        for k in set(g.tolist()):
+            at = np.flatnonzero(g == k)
+            x, y = suffix_sort.by_windows([a[i] for i in at], [b[i] for i in at], top)
+            assert left[at].tolist() == x.tolist() and right[at].tolist() == y.tolist()
+
+
+def test_every_window_has_an_anchor():
+    rng = random.Random(8)
+    data = bytes(rng.choices(b"abcd", k=3000)) + b"a" * 900
+    whole = suffix_sort.anchors(data, 100, 16)
+    parts = suffix_sort.anchors(data, 100, 16, segment=128)
+    assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
+    at = set(whole[0].tolist())
+    assert all(any(p in at for p in range(s, s + 85)) for s in range(len(data) - 99))
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(400, k) for k in range(401, 480)]
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == label
