@@ -191,3 +191,18 @@ def _(t):
 @query("v22_variants", "SELECT vec_id, variant, label FROM embeddings, range(0, 3) r(variant)")
 def _(t):
     return t("embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<long>")).alias("variant"), "label")
+
+
+@query("v13_permutation_importance")
+def _(t):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from curalis.operators.probes import permutation_importance
+
+    d = t("documents").join(t("labels"), "doc_id").select("doc_id", F.col("quality").cast("double").alias("y"), F.length("text").cast("double").alias("size"),
+                                                          (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.length("text")).alias("upper"))
+    names = ["size", "upper"]
+    assemble = lambda x: VectorAssembler(inputCols=names, outputCol="features").transform(x)
+    model = LogisticRegression(labelCol="y", regParam=0.01, maxIter=10).fit(assemble(d.where("doc_id % 5 <> 0")))
+    return permutation_importance(model, assemble, d.where("doc_id % 5 = 0"), "doc_id", names, "y", 2)

@@ -45,3 +45,60 @@ def _(t):
     versions = t.spark.read.schema("doc_id long, source string, r string").parquet(f"{d}/reserve/v*").withColumn("v", F.regexp_extract(F.input_file_name(), r"/v(\d+)/", 1).cast("int"))
     last = versions.agg(F.max("v").alias("v"))
     return versions.join(F.broadcast(last), "v").drop("v")
+
+
+@query("r4_early_stop", "SELECT user_id % 4 AS g, 3::BIGINT AS n FROM events GROUP BY 1")
+def _(t):
+    d = _folder(t)
+    t("events").select("event_id", (F.col("user_id") % 4).alias("g"), H.stable_rank(7, F.col("event_id")).alias("r")).repartition(3, "event_id").write.parquet(f"{d}/in")
+    schema = "event_id long, g long, r string"
+    full = lambda x: x.groupBy("g").count().where("count >= 3").count() >= 4
+    R.keep_lowest(R.files(t.spark, f"{d}/in", schema), f"{d}/kept", f"{d}/check", ["g"], "r", 3, full)
+    return t.spark.read.schema(schema).parquet(f"{d}/kept/v0").groupBy("g").agg(F.count("*").alias("n"))
+
+
+@query("r6_metric_log", """
+WITH x AS (SELECT event_id, user_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events)
+SELECT event_id, user_id, b IS NULL OR value > b AS improved FROM x""")
+def _(t):
+    from curalis.operators.selection import improvements
+
+    d = _folder(t)
+    t("events").select("event_id", "user_id", "ts", "value").repartition(2).write.parquet(f"{d}/in")
+    schema = t("events").select("event_id", "user_id", "ts", "value").schema
+    R.ingest(R.files(t.spark, f"{d}/in", schema), f"{d}/log", f"{d}/check")
+    return improvements(t.spark.read.schema(schema).parquet(f"{d}/log"), "user_id", "ts", "value").select("event_id", "user_id", "improved")
+
+
+@query("s1_manifest", "SELECT d.doc_id AS id, CASE WHEN d.doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, toxic::INTEGER AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 10 <> 0")
+def _(t):
+    from curalis.sources.tables import read_manifest
+
+    d = _folder(t)
+    t("documents").join(t("labels"), "doc_id").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train").alias("split"), F.col("toxic").alias("label")).write.json(f"{d}/manifest")
+    return read_manifest(t.spark, f"{d}/manifest", "id long, split string, label int", "train", ["id", "label"])
+
+
+@query("s2_metadata_csv", "SELECT p_partkey::VARCHAR AS p_partkey, p_brand, p_type FROM part")
+def _(t):
+    from curalis.sources.tables import read_metadata_csv
+
+    d = _folder(t)
+    t("part").select("p_partkey", "p_brand", "p_type").write.option("header", True).csv(f"{d}/part")
+    return read_metadata_csv(t.spark, f"{d}/part", ["p_brand", "p_type"])
+
+
+@query("s8_prediction_sink", "SELECT l_orderkey AS id, l_linenumber AS line, l_discount AS pred FROM lineitem")
+def _(t):
+    d = _folder(t)
+    t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_discount").alias("pred")).write.json(f"{d}/predictions")
+    return t.spark.read.schema("id long, line int, pred double").json(f"{d}/predictions")
+
+
+@query("s12_feature_table", "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, label FROM embeddings")
+def _(t):
+    from curalis.sources.tables import write_features
+
+    d = _folder(t)
+    write_features(t("embeddings").select("vec_id", "embedding", "label", F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"), F.lit(0).alias("variant")), f"{d}/features", 64)
+    return t.spark.read.parquet(f"{d}/features").select("vec_id", "split", "label")
