@@ -29,6 +29,8 @@ LOOSE = 0.6
 BLOCK_ROWS = 512
 BLOCK_BYTES = 16 << 20
 
+#: Odd multipliers of the words of a window, by place.
+_PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _K1, _K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -76,8 +78,8 @@ class Shingles:
             k = min(width, n)
             code = np.full(n - k + 1, k, np.uint64)
             for i in range(k):
-                code = mix(code + h[i:n - k + 1 + i])
-            out.append(np.unique(code))
+                code += h[i:n - k + 1 + i] * _PLACE[i % len(_PLACE)]
+            out.append(np.unique(mix(code)))
         return out
 
 
@@ -86,31 +88,36 @@ def shingles() -> Shingles:
     return Shingles()
 
 
-def children(tokens: np.ndarray, node: int, split: float) -> np.ndarray:
-    """Nodes below ``node`` that this set goes to: one for each token it chooses there."""
-    h = mix(tokens ^ np.uint64(node))
+def children(tokens: np.ndarray, nodes: np.ndarray, split: float) -> np.ndarray:
+    """Nodes below ``nodes`` that this set goes to: one for each token it chooses in one of them."""
+    if len(nodes) > 1 and len(nodes) * len(tokens) > 1 << 18:
+        return np.concatenate([children(tokens, nodes[k:k + 1], split) for k in range(len(nodes))])
+    h = (tokens[None, :] ^ nodes[:, None]) * _K1
+    h ^= h >> np.uint64(32)
+    h *= _K2
     chance = 1 / (split * len(tokens))
-    return mix(h + np.uint64(1))[h <= np.uint64(min(1.0, chance) * (2**64 - 2048))]
+    return mix(h[h <= np.uint64(min(1.0, chance) * (2**64 - 2048))] + np.uint64(1))
 
 
-def paths(tokens: np.ndarray, runs: int, depth: int, split: float) -> list[int]:
+def paths(tokens: np.ndarray, runs: int, depth: int, split: float) -> np.ndarray:
     """All nodes of a set at ``depth``, over all runs."""
-    level = [int(x) for x in mix(np.arange(1, runs + 1, dtype=np.uint64))]
+    level = mix(np.arange(1, runs + 1, dtype=np.uint64))
     for _ in range(depth):
-        level = [c for node in level for c in children(tokens, node, split).tolist()]
-    return list(dict.fromkeys(level))
+        level = children(tokens, level, split)
+    return np.unique(level)
 
 
-_SEEDS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(7919))
+_SEEDS = (mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(7919)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Low 16 bits of the least mixed hash under each of ``SKETCH`` seeds."""
-    if len(tokens) <= 2048:
-        least = ((tokens[None, :] ^ _SEEDS[:, None]) * _K1).min(axis=1)
+    """Low 16 bits of the least hash under each of ``SKETCH`` multipliers."""
+    short = (tokens >> np.uint64(16)).astype(np.uint32)
+    if len(short) <= 2048:
+        least = (short[None, :] * _SEEDS[:, None]).min(axis=1)
     else:
-        least = np.array([((tokens ^ s) * _K1).min() for s in _SEEDS], np.uint64)
-    return (least >> np.uint64(20)).astype("<u2").tobytes()
+        least = np.array([(short * s).min() for s in _SEEDS], np.uint32)
+    return least.astype("<u2").tobytes()
 
 
 def _sets(width: int, runs: int, split: float):
@@ -125,7 +132,7 @@ def _sets(width: int, runs: int, split: float):
                     keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if some else None)
                     sizes.append(len(tokens))
                     sketches.append(sketch(tokens) if some else None)
-                    nodes.append(np.array(paths(tokens, runs, FIRST_DEPTH, split) if some else [], np.uint64).view(np.int64))
+                    nodes.append(paths(tokens, runs, FIRST_DEPTH, split).view(np.int64) if some else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [cut.column("doc_id"), cut.column("did"), cut.column("digest"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
                      pa.array(sketches, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
@@ -144,10 +151,9 @@ def _split(width: int, split: float):
                 out: tuple[list, list] = ([], [])
                 for sid, tokens, nodes in zip(cut.column("sid").to_pylist(), cut.column("tokens").to_pylist(), cut.column("nodes").to_pylist(), strict=True):
                     tokens = np.frombuffer(tokens, np.uint64)
-                    for node in nodes:
-                        found = children(tokens, node & (1 << 64) - 1, split).view(np.int64).tolist()
-                        out[0].extend(found)
-                        out[1].extend([sid] * len(found))
+                    found = np.unique(children(tokens, np.array(nodes, np.int64).view(np.uint64), split)).view(np.int64).tolist()
+                    out[0].extend(found)
+                    out[1].extend([sid] * len(found))
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["node", "sid"])
 
@@ -190,12 +196,26 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _pivoted(share: float):
+    """Members of crowded nodes beside one of them (vid, sketch, pivot, pivot_sketch) -> edges to it where sketches agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (1, 3))
+                agree = (a == b).sum(axis=1) >= share * a.shape[1]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(agree))
+
+    return run
+
+
 def _loose(share: float):
     """Buckets (node, vid, sketch) -> edges that hold together the sets whose sketches agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
         for _, rows in groups(batches, 3):
+            rows.sort(key=lambda r: r[3])  # edges then lead to the smallest id, in every bucket
             ids = np.array([r[3] for r in rows])
             s = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), -1)
             agree = np.zeros((len(rows), len(rows)), np.int16)
@@ -284,8 +304,8 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
 
     1. Rows with equal sets are one set. Each set follows the tokens it samples to its nodes at depth
        2, in as many runs as ``recall`` takes; sets that sample the same shared tokens meet.
-    2. Nodes of one set are dropped, nodes of over ``bucket`` sets split again, down to ``max_depth``.
-       What is still crowded then is compared in blocks. In a bucket, sets whose sketches agree in
+    2. Nodes of one set are dropped, nodes of over ``bucket`` sets split again, down to ``max_depth``, unless
+       all their sets are held together already. What is still crowded then is compared in blocks. In a bucket, sets whose sketches agree in
        ``LOOSE`` of their min-hashes are held together.
     3. Sets held together are compared exactly, block by block; links are counted there and not
        written as pairs.
@@ -309,14 +329,29 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     reps = made.join(sets.select("sid", "did", "digest"), ["sid", "did", "digest"]).dropDuplicates(["sid"])
     reps = stage(reps.select("sid", "did", "digest", "sketch", "nodes"), "reps")
 
-    def shared(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        counts = stage(members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "counts")
-        both = stage(members.join(counts, "node"), "nodes")
-        return both.where(F.col("size") <= bucket).drop("size"), both.where(F.col("size") > bucket).drop("size")
+    def shared(members: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Members of small nodes, and of crowded ones whose sets are not all held together already."""
+        if held is None:
+            counts = stage(members.groupBy("node").agg(F.count("*").alias("size"), F.lit(True).alias("open")).where("size > 1"), "counts")
+        else:
+            members = stage(members.join(held, "sid"), "held")
+            counts = stage(members.groupBy("node").agg(F.count("*").alias("size"), (F.min("held") != F.max("held")).alias("open")).where("size > 1 AND open"), "counts")
+        both = stage(members.select("sid", "node").join(counts, "node"), "nodes")
+        return both.where(F.col("size") <= bucket).select("sid", "node"), both.where(F.col("size") > bucket).select("sid", "node")
 
+    light = reps.select("sid", vid.alias("vid"), "sketch")
     small, crowded = shared(reps.select("sid", F.explode("nodes").alias("node")))
     buckets, depth = [small], FIRST_DEPTH
-    tokens = None
+    tokens, held, stars = None, None, None
+    if crowded.limit(1).count():
+        # a crowd of similar sets stays together at any depth: sets like the node's first one are held together at once
+        members = stage(crowded.join(light, "sid").select("node", "vid", "sketch"), "crowd")
+        pivots = stage(members.groupBy("node").agg(F.min(F.struct("vid", "sketch")).alias("p")).select("node", F.col("p.vid").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")), "pivots")
+        met = members.join(pivots, "node").where("vid <> pivot").select("vid", "sketch", "pivot", "pivot_sketch")
+        stars = stage(met.mapInArrow(_pivoted(LOOSE), "a long, b long").distinct(), "stars")
+        together = connected_components(stars)
+        held = stage(light.select("sid", "vid").join(together, F.col("vid") == F.col("node"), "left").select("sid", F.coalesce("component", "vid").alias("held")), "held")
+
     while depth < max_depth and crowded.limit(1).count():
         if tokens is None:
             deep = crowded.select("sid").distinct().join(reps.select("sid", "did", "digest"), "sid")
@@ -324,10 +359,9 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
                            .mapInArrow(_tokens(words), "sid binary, tokens binary"), "tokens")
         below = crowded.groupBy("sid").agg(F.collect_list("node").alias("nodes")).join(tokens, "sid")
         members = stage(below.select("sid", "tokens", "nodes").repartition(slots(spark)).mapInArrow(_split(words, split), "node long, sid binary").distinct(), "members")
-        small, crowded = shared(members)
+        small, crowded = shared(members, held)
         buckets.append(small)
         depth += 1
-    light = reps.select("sid", vid.alias("vid"), "sketch")
     near = None
     for part in buckets:
         near = part if near is None else near.unionByName(part)
@@ -336,7 +370,8 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
         rest = _blocks(crowded.join(light, "sid").withColumn("weight", F.lit(1)), BLOCK_ROWS, BLOCK_BYTES, "node", "weight")
         near = near.unionByName(rest.select("node", "b1", "b2", "vid", "sketch"))
     near = near.repartition("node", "b1", "b2").sortWithinPartitions("node", "b1", "b2")
-    loose = connected_components(near.mapInArrow(_loose(LOOSE), "a long, b long"))
+    edges = near.mapInArrow(_loose(LOOSE), "a long, b long")
+    loose = connected_components(edges.unionByName(stars) if stars is not None else edges)
 
     linked = stage(sets.join(loose.withColumnRenamed("node", "vid"), "vid"), "linked")
     found = read.select("did", "digest", "text").join(linked.select("did", "digest", "sid"), ["did", "digest"]).dropDuplicates(["sid"])
