@@ -6,6 +6,7 @@ import functools
 import hashlib
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -244,21 +245,23 @@ def intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     token, owner = rank[token[use]], owner[use]
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n), np.int64)
     top = int(token[-1]) + 1 if len(token) else 0
     for lo in range(0, top, width):
         a, b = np.searchsorted(token, [lo, lo + width])
         part = np.zeros((n, min(width, top - lo)), np.float32)
         part[owner[a:b], token[a:b] - lo] = 1
-        out += part @ part.T
+        out += (part @ part.T).astype(np.int64)  # at most ``width``, so exact
     return out
 
 
 def _exact(similarity: float):
     """Blocks of a loose component: (comp, b1, b2, block, vid, copies, tokens) -> links per set and edges.
 
-    Output rows (a, b, links): an edge a-b with null links, or the links of a with null b.
+    Output rows (a, b, links): an edge a-b with null links, or the links of a with null b. The
+    similarity is taken as a fraction and compared in whole numbers.
     """
+    part, whole = Fraction(similarity).limit_denominator(1_000_000).as_integer_ratio()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -267,7 +270,7 @@ def _exact(similarity: float):
             block = np.array([r[3] for r in rows])
             copies = np.array([r[5] for r in rows], np.int64)
             size = np.array([len(x) for x in sets])
-            linked = intersections(sets) * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-6
+            linked = intersections(sets) * (whole + part) >= part * (size[:, None] + size[None, :])
             np.fill_diagonal(linked, False)
             if b1 != b2:
                 linked &= block[:, None] != block[None, :]

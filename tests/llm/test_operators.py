@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,25 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert got == brute_jaccard(rows)
 
 
+def test_pairs_of_exactly_the_similarity():
+    for k in range(1, 400):  # 4k shared of 5k in all, and one shared less
+        for shared, links in ((4 * k, 2), (4 * k - 1, 0)):
+            a, b = np.arange(shared, dtype=np.uint64), np.arange(9 * k - 4 * k, dtype=np.uint64)
+            a = np.concatenate([a, np.arange(10 * k, 10 * k + 4 * k - shared, dtype=np.uint64)])
+            batch = pa.RecordBatch.from_pydict({"comp": [0, 0], "b1": [0, 0], "b2": [0, 0], "block": [0, 0], "vid": [1, 2], "copies": [1, 1], "tokens": [a.tobytes(), b.tobytes()]})
+            assert sum(x or 0 for out in chosen_path._exact(0.8)([batch]) for x in out.column("links").to_pylist()) == links, k
+
+
+def test_jaccard_join_at_the_threshold(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in (3, 6, 7, 8, 9, 11):
+        text = make(rng, 4 * k + 4)
+        rows += [(2 * k, text), (2 * k + 1, text + " " + make(rng, k))]
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in chosen_path.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_jaccard(rows)
+
+
 def test_runs_reach_the_recall():
     assert 1 - (1 - chosen_path.survival(6, 0.8)) ** chosen_path.runs_for(0.999) >= 0.999
 
