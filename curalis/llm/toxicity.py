@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -23,8 +24,13 @@ LEET = {
 GAPS = " .-_*~'·,"
 #: Channel costs, natural logarithms.
 AS_LEET, AS_ANY, DROP_GAP, DROP_REPEAT, DROP_DOUBLE, DROP_OTHER = -0.5, -2.0, -0.1, -0.4, -4.0, -9.0
-LONGEST = 48
+#: A gap that ends a word: of one character, and of more.
+BREAK, WIDE_BREAK = -1.0, -0.2
+#: Signs that may also be marks before or after a word.
+MARKS = "!|+(*#%"
 BEAM = 32
+#: Readings of tokens of up to so many characters are kept; longer ones are decoded each time.
+KEPT = 100
 
 #: The word weights and the final scale are learnt on at most so many texts of each label, those with the least hashes.
 SAMPLE = 2500
@@ -79,89 +85,167 @@ def character_model(docs: DataFrame, text: str = "text") -> CharModel:
     return CharModel(counts)
 
 
-def decode(span: str, model: CharModel) -> str:
-    """The likeliest word behind a disguised span: Viterbi over its character lattice.
+def decode(span: str, model: CharModel, *, breaks: bool = False, doubles: bool = True) -> str:
+    """The likeliest words behind a disguised span: Viterbi over its character lattice, left to right.
 
-    A letter stands for itself, or, after the same letter, for nothing; a sign stands for the letters
-    of ``LEET``, or at a price for nothing; a gap stands for nothing. States are the last two letters
-    written; ``BEAM`` states go on at each place.
+    A letter stands for itself, a run of one for one or two of it; a sign stands for the letters of
+    ``LEET``, or at a price for nothing; gaps stand for nothing or, with ``breaks``, for the end of a
+    word. Without ``doubles`` no sign stands for nothing. States are the last two letters written;
+    ``BEAM`` states go on at each place, with back pointers, so spans may be of any length.
     """
     rows = model.rows
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    before, low = "", span.lower()
-    for place, c in enumerate(low):
-        choices: list[tuple[str, float]] = []
-        if c in _CODE:
-            choices.append((c, 0.0))
-            if c == before:
-                longer = low[place + 1:place + 2] == c or place > 1 and low[place - 2] == c
-                choices.append(("", DROP_REPEAT if longer else DROP_DOUBLE))
-        elif c in LEET:
+    low = span.lower()
+    runs = [(c, len(list(g))) for c, g in itertools.groupby(low)]
+    doubled = len(runs) > 2 and all(n > 1 for _, n in runs)
+    places: list[list[tuple[str, float]]] = []
+    at = 0
+    while at < len(runs):
+        c, n = runs[at]
+        at += 1
+        if c in LEET:
             cost = AS_ANY if len(LEET[c]) > 2 else AS_LEET
-            choices += [(x, cost) for x in LEET[c]]
-            choices.append(("", DROP_GAP if c in GAPS else DROP_REPEAT if c == before else DROP_OTHER))
-        elif c in GAPS:
-            choices.append(("", DROP_GAP))
+            write = [(x, cost) for x in LEET[c]]
+            if breaks and not c.isalnum():
+                write.append((" ", BREAK))
+            again = DROP_REPEAT if n > 2 or doubled else DROP_DOUBLE
+            for k in range(n):
+                places.append([*write, ("", DROP_GAP if c in GAPS else again if k else DROP_OTHER)] if doubles else write)
+        elif c in GAPS or c.isspace():
+            while at < len(runs) and (runs[at][0] in GAPS and runs[at][0] not in LEET or runs[at][0].isspace()):
+                n += runs[at][1]
+                at += 1
+            places.append([("", DROP_GAP), (" ", BREAK if n == 1 else WIDE_BREAK)] if breaks else [("", DROP_GAP)])
+        elif not c.isalpha():
+            places.append([("", DROP_OTHER)])
+        elif n == 1:
+            places.append([(c, 0.0)])
         else:
-            choices.append((c if c.isalpha() else "", 0.0 if c.isalpha() else DROP_OTHER))
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in states.items():
-            for x, cost in choices:
-                if x:
-                    k = _CODE.get(x, _OTHER)
-                    state, total, made = (b, k), score + cost + rows[a][b][k], word + x
-                else:
-                    state, total, made = (a, b), score + cost, word
-                if state not in following or total > following[state][0]:
-                    following[state] = (total, made)
+            places.append([(c, DROP_REPEAT if n > 2 or doubled else DROP_DOUBLE), (c + c, DROP_DOUBLE if doubled and n == 2 else 0.0)])
+    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    trail: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+    for choices in places:
+        coded = [(x, tuple(0 if y == " " else _CODE.get(y, _OTHER) for y in x), cost) for x, cost in choices]
+        following: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for state, score in states.items():
+            for x, codes, cost in coded:
+                (i, j), total = state, score + cost
+                if codes == (0,) and not j:  # a word ends once
+                    codes = ()
+                for k in codes:
+                    total += rows[i][j][k]
+                    i, j = j, k
+                if (i, j) not in following or total > following[i, j]:
+                    following[i, j], came[i, j] = total, (state, x)
         if len(following) > BEAM:
-            following = dict(sorted(following.items(), key=lambda s: -s[1][0])[:BEAM])
+            following = dict(sorted(following.items(), key=lambda s: -s[1])[:BEAM])
         states = following
-        before = c
-    return max((score + rows[a][b][0], word) for (a, b), (score, word) in states.items())[1]
+        trail.append(came)
+    state = max(states, key=lambda s: states[s] + (rows[s[0]][s[1]][0] if s[1] else 0.0))
+    out = []
+    for came in reversed(trail):
+        state, x = came[state]
+        out.append(x)
+    return "".join(reversed(out))
 
 
 _SIGNS = regex.escape("".join(LEET), special_only=False)
 _GAPS = regex.escape(GAPS, special_only=False)
-#: Spans with more than one reading: letters with signs among them, a letter three times or more, single letters with gaps.
-_SPAN = regex.compile(
-    rf"(?<![^\s.,;:?\"()])(?:[\p{{L}}{_SIGNS}][{_GAPS}]{{1,2}}){{3,}}[\p{{L}}{_SIGNS}](?![\p{{L}}{_SIGNS}])"
-    rf"|(?<![\p{{L}}{_SIGNS}])(?=[{_SIGNS}]*\p{{L}})(?=\p{{L}}*[{_SIGNS}])[\p{{L}}{_SIGNS}]*\p{{L}}"
-    r"|\p{L}*(\p{L})\1\1\p{L}*")
-_HINT = regex.compile(rf"[{_SIGNS}]\p{{L}}|(\p{{L}})\1\1|(?<!\p{{L}})\p{{L}}[{_GAPS}]{{1,2}}[\p{{L}}{_SIGNS}][{_GAPS}]{{1,2}}[\p{{L}}{_SIGNS}](?!\p{{L}})", regex.IGNORECASE)
+_SINGLE = rf"[\p{{L}}{regex.escape(''.join(c for c in LEET if c not in GAPS), special_only=False)}]"
+#: Letters and signs written together; single letters (or signs) with gaps of any width between them.
+_SPAN = regex.compile(rf"[\p{{L}}{_SIGNS}]+")
+_SPACED = regex.compile(rf"(?<!{_SINGLE}|\p{{N}}){_SINGLE}(?:[{_GAPS}\s]++{_SINGLE}(?!{_SINGLE}|\p{{N}})){{2,}}+")
+#: Characters that ``_SPACED`` takes for a letter or that may not stand beside one.
+_BESIDE = np.array([c.isalpha() or c.isnumeric() or c in LEET and c not in GAPS for c in map(chr, range(0x10000))])
+_FIRST, _LAST = regex.compile(rf"^.[{_GAPS}\s]+"), regex.compile(rf"(?<![{_GAPS}\s])[{_GAPS}\s]+.$")
 _WORD = regex.compile(r"\p{L}+")
+_LETTER = regex.compile(r"\p{L}")
+_DISGUISED = regex.compile(rf"[{_SIGNS}]|(\p{{L}})\1")
+_TWO_SIGNS = regex.compile(rf"([{_SIGNS}])(?<!\1\1)\1(?!\1)")
+_DOUBLE = regex.compile(r"(\p{L})\1")
+#: Doubles beside each other, or longer runs.
+_CROWDED = regex.compile(r"(\p{L})\1(?:\1|(\p{L})\2)")
+_ENDS = ".,;:!?\"'()"
+
+
+def single(word: str, model: CharModel) -> str:
+    """``decode`` of a word of letters: doubles that stand apart are decided one by one, as no other choice meets them."""
+    if _CROWDED.search(word) is not None:
+        return decode(word, model)
+    code, rows = _CODE.get, model.rows
+    out, done = [], 0
+    for m in _DOUBLE.finditer(word):
+        at = m.start()
+        a, x, b = (code(word[at - 1], _OTHER) if at else 0), code(m[1], _OTHER), (code(word[at + 2], _OTHER) if at + 2 < len(word) else 0)
+        if DROP_DOUBLE + rows[a][x][b] > rows[a][x][x] + rows[x][x][b]:
+            out.append(word[done:at + 1])
+            done = at + 2
+    return "".join(out) + word[done:]
+
+
+def may_be_spaced(text: str) -> bool:
+    """Whether three letters in a row stand alone, as ``_SPACED`` needs; a quick look before its search."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(points) or points.max() > 0xFFFF:
+        return True
+    edges = np.flatnonzero(np.diff(_BESIDE[points], prepend=False, append=False))
+    alone = edges[1::2] - edges[::2] == 1
+    return bool((alone[:-2] & alone[1:-1] & alone[2:]).any())
 
 
 class Restorer:
-    """Words of a text, each disguised span replaced by its reading; readings are kept per worker."""
+    """Words of a text and of the readings of its disguised spans; readings of short tokens are kept per worker."""
 
     def __init__(self, model: CharModel):
         self.model = model
-        self.seen: dict[str, str] = {}
-
-    def reading(self, span: str) -> str:
-        if len(span) > LONGEST:
-            return span
-        found = self.seen.get(span)
+        self.seen: dict[str, tuple[str, ...]] = {}
+
+    def readings(self, span: str) -> set[str]:
+        """Readings of letters and signs written together: marks at either end are signs for letters or mere marks."""
+        out = set()
+        for cut in {span, span.lstrip(MARKS), span.rstrip(MARKS), span.strip(MARKS)}:
+            if _LETTER.search(cut) is None:
+                continue
+            if cut.isalpha():
+                out.add(single(cut, self.model))
+                continue
+            out.add(decode(cut, self.model))
+            if _TWO_SIGNS.search(cut) is not None:
+                out.add(decode(cut, self.model, doubles=False))
+        return out
+
+    def token(self, token: str) -> tuple[str, ...]:
+        """Words of a token without white space: itself without sentence marks, its runs of letters, its readings."""
+        found = self.seen.get(token)
         if found is None:
-            if len(self.seen) > 200_000:
-                self.seen = {}
-            found = self.seen[span] = decode(span, self.model)
+            words = {token.strip(_ENDS)}
+            if (core := token.strip(".,;:?\"')")).isalpha():
+                words.add(single(core, self.model))
+            else:
+                words.update(_WORD.findall(token))
+                for span in _SPAN.findall(token):
+                    if _DISGUISED.search(span) is not None:
+                        words.update(self.readings(span))
+            words.discard("")
+            found = tuple(words)
+            if len(token) <= KEPT:
+                if len(self.seen) > 200_000:
+                    self.seen = {}
+                self.seen[token] = found
         return found
 
-    def restore(self, text: str) -> str:
-        if _HINT.search(text) is None:
-            return text
-        return _SPAN.sub(lambda m: self.reading(m[0]), text)
-
     def words(self, text: str | None) -> set[str]:
-        """Distinct lower-case words of the text and of its restored form, and their four- and five-letter beginnings."""
+        """Distinct lower-case words of the text and of the readings of its disguised spans."""
         if not text:
             return set()
         plain = text.lower()
-        words = {w.strip(".,;:!?\"'()") for w in plain.split()}
-        if _HINT.search(plain) is not None:
-            words.update(_WORD.findall(_SPAN.sub(lambda m: self.reading(m[0]), plain)))
+        words = set().union(*[self.seen.get(t) or self.token(t) for t in set(plain.split())])
+        for span in _SPACED.findall(plain) if may_be_spaced(plain) else ():
+            if _LETTER.search(span) is not None:
+                words.add(decode(span, self.model))
+                # the first or last letter may be a word by itself: 'a s c u m'
+                for part in (span, _FIRST.sub("", span), _LAST.sub("", span)):
+                    words.update(decode(part, self.model, breaks=True).split())
         words.discard("")
         return words
 
@@ -275,9 +359,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     """Toxicity of every whole text: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
     Labels are learnt from rows whose crc32 of the key as text, modulo 5, is not 0. A character model is
-    counted over all texts; spans that may be disguised words (signs for letters, repeated letters,
-    letters spaced apart) are decoded under it; a text is scored by its plain and restored words. Spans
-    of over ``LONGEST`` characters are not decoded. Rows of ``labels`` without a label or key are not
+    counted over all texts; spans of any length that may be disguised words (signs for letters, doubled
+    or repeated letters, letters spaced apart) are decoded under it; a text is scored by its plain and
+    restored words. Rows of ``labels`` without a label or key are not
     used; of several labels for one text toxic wins. Null and empty texts have no words and get the
     score of a text without any weighty word. Without labels, scores are the fit's 0.5 and below.
     Repeated rows are judged alike; an empty table gives an empty result; other columns are not read.

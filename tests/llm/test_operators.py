@@ -319,6 +319,34 @@ def test_decoding_and_scores(spark, empty):
     assert toxicity.toxicity(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+@pytest.fixture(scope="module")
+def restorer():
+    rng = random.Random(7)
+    common = "the of and river stone walks under morning light quick brown over lazy dogs seven clouds old towers a class grass pass boss stupid moron idiot scum worthless ass".split()
+    counts = np.zeros(toxicity._SIZE**3, np.int64)
+    c = np.concatenate([[0, 0], toxicity.letter_codes(" ".join(rng.choice(common) for _ in range(4000))), [0]])
+    np.add.at(counts, (c[:-2] * toxicity._SIZE + c[1:-1]) * toxicity._SIZE + c[2:], 1)
+    return toxicity.Restorer(toxicity.CharModel(counts))
+
+
+@pytest.mark.parametrize(("disguised", "words"), [
+    ("1d107", "idiot"), ("idi07", "idiot"), ("a55", "ass"), ("a$$", "ass"), ("a$$!", "ass"), ("idiot!", "idiot"), ("#id10t", "idiot"), ("$tup1d!!", "stupid"),
+    ("iiddiioott", "idiot"), ("ssttuuppiidd", "stupid"), ("a s c u m", "a scum"), ("i d i o t s c u m", "idiot scum"), ("s t u p i d  m o r o n", "stupid moron"),
+    ("s   t   u   p   i   d", "stupid"), ("s.t.u.p.i.d", "stupid"), ("m0r0n", "moron"), ("idiiiot", "idiot")])
+def test_disguises(restorer, disguised, words):
+    assert set(words.split()) <= restorer.words(f"the river {disguised} walks under") and set(words.split()) <= restorer.words(disguised)
+
+
+@pytest.mark.parametrize("disguised", ["id" + "i" * 60 + "ot", " ".join("the old stupid towers of the worthless moron and idiot".replace(" ", "")), "s t u p i d  " * 500, "1d10t-" * 500 + "x"])
+def test_disguises_of_any_length(restorer, disguised):
+    assert restorer.words(disguised) & {"idiot", "stupid", "worthless", "moron"}
+
+
+def test_doubles_apart_are_decoded_alike(restorer):
+    for word in ("sstupid", "idiott", "moroon", "grass", "tootter", "class", "bboss", "aabcc", "scuum"):
+        assert toxicity.single(word, restorer.model) == toxicity.decode(word, restorer.model)
+
+
 # 8
 
 
