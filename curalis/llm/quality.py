@@ -17,13 +17,17 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\v\f\r"
-#: A band reaches from the group's median so many quartile distances either way.
-SPREADS = 7.0
+#: A limit lies so many quartile distances from the group's median as one normal value in 10,000 goes beyond.
+SPREADS = 3.719 / 0.6745
 LEAST_SPREAD = {"chars_per_token": 0.02, "fallback_share": 0.005, "entropy_ratio": 0.003}
 #: Token entropy depends on length, so bands are per language and half octave of the token count. Groups of
 #: fewer texts use the language's (or script's) band of all lengths, languages of fewer texts that of all
 #: texts; such a band is wider by this, over the root of the token count.
+#: The quartile distances of each side come from a line (medians of slopes and heights) through their logarithms over
+#: all half octaves of the language, so that junk in one of them does not widen its own band; with under ``LEAST_FIT``
+#: of them they are its own. They are widened by two standard errors, about 4 over the root of the number of texts.
 LEAST_GROUP = 50
+LEAST_FIT = 3
 ANY_LENGTH = {"chars_per_token": 6.0, "fallback_share": 0.5, "entropy_ratio": 1.0}
 
 _LONGS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
@@ -168,7 +172,7 @@ def _octave() -> F.Column:
 
 
 def fertility_bands(features: DataFrame) -> DataFrame:
-    """Middle and half width of each measure, from all rows that the base rules keep.
+    """Lower and upper limit of each measure, from all rows that the base rules keep.
 
     Per ``band`` (language or script) and ``octave`` of the token count; per band with null
     octave; and one row with both null, from all rows.
@@ -180,10 +184,27 @@ def fertility_bands(features: DataFrame) -> DataFrame:
     out = measured("band", "octave").unionByName(
         measured("band").select("band", none("octave", "int"), "texts", *_DOUBLES)).unionByName(
         measured().select(none("band", "string"), none("octave", "int"), "texts", *_DOUBLES))
-    for c in _DOUBLES:
-        spread = F.greatest(F.col(c)[2] - F.col(c)[1], F.col(c)[1] - F.col(c)[0], F.lit(LEAST_SPREAD[c]))
-        out = out.withColumn(f"{c}_mid", F.col(c)[1]).withColumn(f"{c}_half", F.lit(SPREADS) * spread)
-    return out.drop(*_DOUBLES)
+    sides = [(c, side) for c in _DOUBLES for side in ("low", "high")]
+    for c, side in sides:
+        wide = F.col(c)[1] - F.col(c)[0] if side == "low" else F.col(c)[2] - F.col(c)[1]
+        out = out.withColumn(f"{c}_{side}_spread", F.greatest(wide, F.lit(LEAST_SPREAD[c])))
+    out = stage(out, "quartiles")
+    lines = out.where((F.col("texts") >= LEAST_GROUP) & F.col("octave").isNotNull()).select(
+        "band", "octave", "texts", F.explode(F.array(*[F.struct(F.lit(f"{c}_{side}").alias("name"), F.log(f"{c}_{side}_spread").alias("y")) for c, side in sides])).alias("p"))
+    lines = lines.select("band", "octave", "texts", "p.name", "p.y")  # a row for each language, half octave and limit
+    left, right = lines.select("band", "name", F.col("octave").alias("o"), F.col("y").alias("z")), lines.select("band", "name", "octave", "y")
+    slopes = left.join(right, ["band", "name"]).where("o < octave").groupBy("band", "name").agg(F.median((F.col("y") - F.col("z")) / (F.col("octave") - F.col("o"))).alias("slope"))
+    fits = lines.join(slopes, ["band", "name"]).groupBy("band", "name").agg(
+        F.count("*").alias("groups"), F.sum("texts").alias("n"), F.first("slope").alias("slope"), F.median(F.col("y") - F.col("slope") * F.col("octave")).alias("base"))
+    fits = fits.where(F.col("groups") >= LEAST_FIT).groupBy("band").agg(F.max("n").alias("fitted"), *[
+        F.max(F.when(F.col("name") == f"{c}_{side}", F.col(x))).alias(f"{c}_{side}_{x}") for c, side in sides for x in ("slope", "base")])
+    out = out.join(fits, "band", "left")
+    of = F.coalesce(F.when(F.col("octave").isNotNull(), F.col("fitted")), "texts")
+    for c, side in sides:
+        fit = F.when(F.col("octave").isNotNull(), F.exp(F.col(f"{c}_{side}_base") + F.col(f"{c}_{side}_slope") * F.col("octave")))
+        spread = F.greatest(F.coalesce(fit, f"{c}_{side}_spread"), F.lit(LEAST_SPREAD[c])) * (1 + 4 / F.sqrt(F.greatest(of, F.lit(1))))
+        out = out.withColumn(f"{c}_{side}", F.col(c)[1] + F.lit(-SPREADS if side == "low" else SPREADS) * spread)
+    return out.select("band", "octave", "texts", *[f"{c}_{side}" for c, side in sides])
 
 
 def quality_rules(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", **vocabularies) -> DataFrame:
@@ -206,8 +227,8 @@ def quality_rules(docs: DataFrame, *, key: str = "doc_id", text: str = "text", l
     outside = F.lit(False)
     for c in _DOUBLES:
         pick = lambda x, c=c: F.coalesce(f"own_{c}_{x}", f"any_{c}_{x}", F.lit(whole[f"{c}_{x}"]).cast("double"))
-        slack = F.when(F.col(f"own_{c}_mid").isNull(), F.lit(ANY_LENGTH[c]) / F.sqrt("n_tokens")).otherwise(F.lit(0.0))
-        outside |= F.coalesce(F.abs(F.col(c) - pick("mid")) > pick("half") + slack, F.lit(False))
+        slack = F.when(F.col(f"own_{c}_low").isNull(), F.lit(ANY_LENGTH[c]) / F.sqrt(F.greatest("n_tokens", F.lit(1)))).otherwise(F.lit(0.0))
+        outside |= F.coalesce((F.col(c) < pick("low") - slack) | (F.col(c) > pick("high") + slack), F.lit(False))
     return judged.select(
         F.col("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~outside).alias("kept"), "n_tokens", *_DOUBLES, "band")

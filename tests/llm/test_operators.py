@@ -86,6 +86,14 @@ def test_quality_rejects_outside_the_band(spark, docs, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_junk_does_not_widen_its_own_band(spark):
+    rng = random.Random(13)
+    clean = [(1000 * k + i, make(rng, n), "en") for k, n in enumerate((40, 80, 160, 320, 640)) for i in range(120)]
+    junk = [(9000 + i, " ".join(w + "###" * (j % 2 == 0) for j, w in enumerate(make(rng, 130).split())), "en") for i in range(50)]
+    got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()}
+    assert np.mean([got[i] for i, _, _ in clean]) > 0.99 and not any(got[i] for i, _, _ in junk)
+
+
 # 2
 
 
