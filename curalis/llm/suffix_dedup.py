@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,25 +18,32 @@ from curalis.llm.suffix_sort import Texts, anchors, extents
 
 LENGTH = 400
 GRAM = 64
-#: Anchors that occur more often are compared by window hashes over many tasks instead of in one.
+#: Anchors with more kinds of context are compared by window hashes over many tasks instead of in one.
 MAX_GROUP = 4096
+#: Kinds of context of a hot anchor for each bucket of window hashes; there are at least ``BUCKETS``.
+BUCKET_KINDS = 1024
 BUCKETS = 64
 _SORT_ROWS = 4000
 _NO_KEY = -(1 << 63)
 
-_FOUND = ("rid long, did long, digest string, n_bytes long, pos array<int>, h array<long>, c array<long>, "
+_FOUND = ("rid long, did long, digest string, n_bytes long, pos array<int>, h array<long>, c array<long>, d array<long>, "
           "own array<struct<lo: int, hi: int>>")
 _CONTEXT = "h long, rid long, pos int, alone boolean, before binary, after binary"
 _SPAN = "rid long, lo int, hi int"
 
 
-def _reach(at: np.ndarray, size: int, length: int, back: int) -> tuple[np.ndarray, np.ndarray]:
-    """Span of each anchor's whole context."""
-    return np.maximum(at - back, 0), np.minimum(at + length, size)
+def _context_digests(data: bytes, at: list[int], length: int, back: int) -> list[bytes]:
+    """16 bytes of BLAKE2 for each anchor's context and place in it: ``back`` bytes before it and ``length`` from it on, less at a text's ends."""
+    made = []
+    for p in at:
+        lo = p - back if p > back else 0
+        made.append(hashlib.blake2b(data[lo:p + length], digest_size=16, salt=(p - lo).to_bytes(4, "little")).digest())
+    return made
 
 
 def _anchors(length: int, gram: int):
     """Anchors of each text, each context once; a context that a text repeats is a span of its own already."""
+    back = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_id = TaskContext.get().partitionId() << 33
@@ -45,31 +53,34 @@ def _anchors(length: int, gram: int):
                 sizes, made, own = [], [], []
                 for text in cut.column("text").to_pylist():
                     data = text.encode() if text else b""
-                    at, h, c = anchors(data, length, gram)
+                    at, h = anchors(data, length, gram)
                     sizes.append(len(data))
-                    _, first, place, count = np.unique(c, return_index=True, return_inverse=True, return_counts=True)
+                    digests = _context_digests(data, at.tolist(), length, back)
                     spans: list[dict] = []
-                    if len(first) < len(at):
-                        starts, ends = _reach(at[count[place] > 1], len(data), length, length - gram)
-                        good = ends - starts >= length
+                    if len(set(digests)) < len(digests):
+                        count = Counter(digests)
                         end = -1
-                        for a, b in zip(starts[good].tolist(), ends[good].tolist(), strict=True):
-                            if a <= end:
-                                spans[-1]["hi"] = end = b
-                            else:
-                                spans.append({"lo": a, "hi": b})
+                        for p, x in zip(at.tolist(), digests, strict=True):
+                            a, b = max(p - back, 0), min(p + length, len(data))
+                            if count[x] > 1 and b - a >= length:
+                                if a <= end:
+                                    spans[-1]["hi"] = b
+                                else:
+                                    spans.append({"lo": a, "hi": b})
                                 end = b
-                        at, h, c = at[first], h[first], c[first]
+                        first = sorted({x: k for k, x in reversed(list(enumerate(digests)))}.values())
+                        at, h, digests = at[first], h[first], [digests[k] for k in first]
                     own.append(spans)
-                    made.append((at.astype(np.int32), h.view(np.int64), c.view(np.int64)))
+                    made.append((at.astype(np.int32), h.view(np.int64), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in made])]), pa.int32())
-                flat = [pa.array(np.concatenate([x[k] for x in made])) for k in range(3)]
+                both = np.concatenate([x[2] for x in made])
+                flat = [pa.array(np.concatenate([x[k] for x in made])) for k in range(2)] + [pa.array(both[:, k].copy()) for k in range(2)]
                 ids = pa.array(np.arange(next_id, next_id + cut.num_rows))
                 next_id += cut.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [ids, cut.column("did"), cut.column("digest"), pa.array(sizes, pa.int64()), *(pa.ListArray.from_arrays(offsets, x) for x in flat),
                      pa.array(own, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))],
-                    names=["rid", "did", "digest", "n_bytes", "pos", "h", "c", "own"])
+                    names=["rid", "did", "digest", "n_bytes", "pos", "h", "c", "d", "own"])
 
     return run
 
@@ -92,34 +103,36 @@ def _contexts(length: int, gram: int):
     return run
 
 
-def _spans(rows, reach_left, reach_right):
-    """Span rows of contexts (rid, pos) with their reach."""
-    return [(rid, p - a, p + b) for (rid, p), a, b in zip(rows, reach_left.tolist(), reach_right.tolist(), strict=True) if a or b]
+def _reached(rid: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    """Span rows of contexts that reach anywhere."""
+    some = (left > 0) | (right > 0)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rid[some]), pa.array((pos - left)[some].astype(np.int32)), pa.array((pos + right)[some].astype(np.int32))], names=["rid", "lo", "hi"])
 
 
 def _match(length: int):
-    def settle(rows: list[tuple]) -> list[tuple]:
-        _, group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
-        alone = np.array([r[3] for r in rows])
-        left, right = extents([r[4] for r in rows], [r[5] for r in rows], group, length, wanted=alone)
-        return _spans([r[1:3] for r in rows], np.where(alone, left, 0), np.where(alone, right, 0))
+    """Contexts sorted by anchor -> spans; whole groups of equal anchors are suffix-sorted together."""
 
-    def batch_of(out) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)],
-                                          names=["rid", "lo", "hi"])
+    def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
+        _, group = np.unique(rows.column("h").to_numpy(), return_inverse=True)
+        alone = rows.column("alone").to_numpy(zero_copy_only=False)
+        left, right = extents(Texts.column(rows.column("before"), back=True), Texts.column(rows.column("after")), group, length, wanted=alone)
+        return _reached(rows.column("rid").to_numpy(), rows.column("pos").to_numpy().astype(np.int64), left, right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held = None
         for batch in batches:
             for lo in range(0, batch.num_rows, _SORT_ROWS):
-                held += list(zip(*(c.to_pylist() for c in batch.slice(lo, _SORT_ROWS).columns), strict=True))
-                if len(held) > _SORT_ROWS:  # all but the last group of equal anchors, of which more may follow
-                    cut = next((k for k in range(len(held) - 1, 0, -1) if held[k][0] != held[k - 1][0]), 0)
-                    if cut and (out := settle(held[:cut])):
-                        yield batch_of(out)
-                    held = held[cut:]
-        if held and (out := settle(held)):
-            yield batch_of(out)
+                part = batch.slice(lo, _SORT_ROWS)
+                held = pa.concat_batches([held, part]) if held is not None else part
+                if held.num_rows > _SORT_ROWS:  # all but the last group of equal anchors, of which more may follow
+                    h = held.column("h").to_numpy()
+                    cut = int(np.flatnonzero(h[1:] != h[:-1])[-1]) + 1 if h[0] != h[-1] else 0
+                    if cut:
+                        yield settle(held.slice(0, cut))
+                        held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield settle(held)
 
     return run
 
@@ -127,26 +140,36 @@ def _match(length: int):
 def _window_keys(pdf: pd.DataFrame, length: int):
     """For each offset d: the rows that have a window starting d before the anchor, and its two 64-bit hashes."""
     before, after = pdf["before"].tolist(), pdf["after"].tolist()
-    whole = Texts([a + b for a, b in zip(before, after, strict=True)])
+    whole = Texts.of([a + b for a, b in zip(before, after, strict=True)])
     back = np.fromiter(map(len, before), np.int64)
     ahead = np.fromiter(map(len, after), np.int64)
     half = length // 2
     for d in range(length + 1):
         rows = np.flatnonzero((back >= d) & (ahead >= length - d))
         if len(rows):
-            start = whole.at[rows] + back[rows] - d
-            one = whole.hashes(start, np.full(len(rows), length))
-            two = whole.hashes(start, np.full(len(rows), half)) * np.uint64(0xD6E8FEB86659FD93) ^ whole.hashes(start + half, np.full(len(rows), length - half))
+            start = back[rows] - d
+            one = whole.hashes(rows, start, length)
+            two = whole.hashes(rows, start, half) * np.uint64(0xD6E8FEB86659FD93) ^ whole.hashes(rows, start + half, length - half)
             yield d, rows, one + np.uint64(d * 0x9E3779B97F4A7C15 & (1 << 64) - 1), two
 
 
-def _publish(length: int, buckets: int):
+def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys (pairs of numbers), and how often each key in that order occurs."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    made = keys[order]
+    run = np.cumsum(np.r_[True, (made[1:] != made[:-1]).any(axis=1)][:len(made)]) - 1
+    return order, np.bincount(run)[run] if len(made) else np.zeros(0, np.int64)
+
+
+def _publish(length: int):
     """Per block of a hot anchor's contexts: its distinct window keys, packed by bucket."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         made = [np.stack([one, two], axis=1) for _, _, one, two in _window_keys(pdf, length)]
-        keys = np.unique(np.concatenate(made), axis=0) if made else np.zeros((0, 2), np.uint64)
-        h, block = int(pdf["h"].iloc[0]), int(pdf["block"].iloc[0])
+        keys = np.concatenate(made) if made else np.zeros((0, 2), np.uint64)
+        keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
+        keys = keys[np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)][:len(keys)]]
+        h, block, buckets = int(pdf["h"].iloc[0]), int(pdf["block"].iloc[0]), int(pdf["buckets"].iloc[0])
         bucket = (keys[:, 1] % np.uint64(buckets)).astype(int)
         order = np.argsort(bucket, kind="stable")
         parts = np.split(keys[order], np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
@@ -158,16 +181,13 @@ def _publish(length: int, buckets: int):
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per bucket of a hot anchor: the keys that two blocks or more have, handed back to each."""
     keys = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in pdf["keys"]]
-    every, count = np.unique(np.concatenate(keys), axis=0, return_counts=True)
-    every = every[count > 1]
-    rows = []
-    for block, own in zip(pdf["block"].tolist(), keys, strict=True):
-        hit = own[np.isin(own[:, 0], every[:, 0])]
-        if len(hit):
-            both = {(a, b) for a, b in every[np.isin(every[:, 0], hit[:, 0])].tolist()}
-            hit = np.array([x for x in hit.tolist() if tuple(x) in both], np.uint64).reshape(-1, 2)
-            rows.append((int(pdf["h"].iloc[0]), block, hit.tobytes()))
-    return pd.DataFrame(rows, columns=["h", "block", "keys"])
+    whole = np.concatenate(keys)
+    order, count = _repeats(whole)
+    shared = np.zeros(len(whole), bool)
+    shared[order] = count > 1
+    parts = zip(pdf["block"].tolist(), keys, np.split(shared, np.cumsum([len(k) for k in keys])[:-1]), strict=True)
+    h = int(pdf["h"].iloc[0])
+    return pd.DataFrame([(h, block, own[hit].tobytes()) for block, own, hit in parts if hit.any()], columns=["h", "block", "keys"])
 
 
 def _settle_hot(length: int):
@@ -175,18 +195,22 @@ def _settle_hot(length: int):
         if not len(left):
             return pd.DataFrame([], columns=["rid", "lo", "hi"])
         shared = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in right["keys"]]) if len(right) else np.zeros((0, 2), np.uint64)
-        shared_one = np.unique(shared[:, 0])
+        shared = shared[np.argsort(shared[:, 0])]
         high, low = np.full(len(left), -1), np.full(len(left), length + 1)
         alone = left["alone"].to_numpy(bool)
-        for d, rows, one, _ in _window_keys(left, length):
-            _, place, count = np.unique(one, return_inverse=True, return_counts=True)
-            hit = rows[(count[place] > 1) | np.isin(one, shared_one)]
+        for d, rows, one, two in _window_keys(left, length):
+            order, count = _repeats(np.stack([one, two], axis=1))
+            twice = np.zeros(len(rows), bool)
+            twice[order] = count > 1
+            if len(shared):
+                at = np.minimum(np.searchsorted(shared[:, 0], one), len(shared) - 1)
+                twice |= (shared[at, 0] == one) & (shared[at, 1] == two)
+            hit = rows[twice]
             high[hit] = d
             low[hit] = np.minimum(low[hit], d)
-        found = high >= 0
-        rows = list(zip(left["rid"].tolist(), left["pos"].tolist(), strict=True))
-        out = _spans(rows, np.where(found & alone, high, 0), np.where(found & alone, length - low, 0))
-        return pd.DataFrame(out, columns=["rid", "lo", "hi"])
+        found = (high >= 0) & alone
+        out = _reached(left["rid"].to_numpy(), left["pos"].to_numpy(np.int64), np.where(found, high, 0), np.where(found, length - low, 0))
+        return out.to_pandas()
 
     return run
 
@@ -235,7 +259,8 @@ def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     1. Each text marks its anchors, positions whose ``gram`` bytes hash least in some window of
        ``length`` bytes: equal windows have equal anchors.
     2. Anchors that occur once are dropped (a count per hash). Where an anchor's whole context occurs
-       twice (128 bits of hashes), the match is as long as the context.
+       twice (told by 128 bits of BLAKE2, which no two texts are known to share), the match is as long
+       as the context.
     3. Of the other contexts one of each kind is dealt by anchor with its bytes, suffix-sorted both ways
        by prefix hashes, matched with its neighbours and verified. The union of matches over all anchors
        is exactly the repeated strings' bytes.
@@ -252,16 +277,16 @@ def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     found = stage(read.mapInArrow(_anchors(length, gram), _FOUND), "anchors")
     texts = stage(found.groupBy("digest").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")), "texts")
 
-    spots = found.select("rid", F.col("n_bytes").cast("int").alias("size"), F.explode(F.arrays_zip("pos", "h", "c")).alias("x")).select(
-        "rid", "size", "x.pos", "x.h", "x.c")
-    twice = stage(spots.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-                  .select("h", (F.col("c0") != F.col("c1")).alias("several")), "twice")
+    spots = found.select("rid", F.col("n_bytes").cast("int").alias("size"), F.explode(F.arrays_zip("pos", "h", "c", "d")).alias("x")).select(
+        "rid", "size", "x.pos", "x.h", "x.c", "x.d")
+    several = (F.min("c") != F.max("c")) | (F.min("d") != F.max("d"))
+    twice = stage(spots.groupBy("h").agg(F.count("*").alias("n"), several.alias("several")).where("n > 1").select("h", "several"), "twice")
     shared = stage(spots.join(twice, "h"), "shared")
     mixed = shared.where("several")
-    kinds = stage(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("rep")), "kinds")
+    kinds = stage(mixed.groupBy("h", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("rep")), "kinds")
     hot = stage(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_group), "hot")
     whole_span = (F.greatest(F.col("pos") - back, F.lit(0)).alias("lo"), F.least(F.col("pos") + length, F.col("size")).alias("hi"))
-    equal = shared.where("NOT several").unionByName(mixed.join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select(shared.columns))
+    equal = shared.where("NOT several").unionByName(mixed.join(kinds.where("n > 1").select("h", "c", "d"), ["h", "c", "d"]).select(shared.columns))
     spans = equal.select("rid", *whole_span).where(F.col("hi") - F.col("lo") >= length)
 
     asked = kinds.select("rep.rid", F.struct("rep.pos", "h", (F.col("n") == 1).alias("alone")).alias("spot"), "h")
@@ -283,9 +308,10 @@ def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
 
     spans = spans.unionByName(contexts(asked).repartition("h").sortWithinPartitions("h").mapInArrow(_match(length), _SPAN))
     if any_hot:
-        blocks = hot.select("h", F.ceil(F.col("kinds") / F.lit(max(2, max_group // 2))).alias("blocks"))
+        blocks = hot.select("h", F.ceil(F.col("kinds") / F.lit(max(2, max_group // 2))).alias("blocks"),
+                            F.greatest(F.lit(BUCKETS), F.ceil(F.col("kinds") / F.lit(BUCKET_KINDS))).alias("buckets"))
         crowd = stage(contexts(hot_asked).join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("rid", "pos"), F.col("blocks"))).drop("blocks"), "crowd")
-        published = crowd.groupBy("h", "block").applyInPandas(_publish(length, BUCKETS), "h long, block long, bucket long, keys binary")
+        published = crowd.groupBy("h", "block").applyInPandas(_publish(length), "h long, block long, bucket long, keys binary")
         common = published.groupBy("h", "bucket").applyInPandas(_shared, "h long, block long, keys binary")
         spans = spans.unionByName(crowd.groupBy("h", "block").cogroup(common.groupBy("h", "block")).applyInPandas(_settle_hot(length), _SPAN))
     own = found.select("rid", F.explode("own").alias("x")).select("rid", "x.lo", "x.hi")

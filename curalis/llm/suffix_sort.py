@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _RNG = np.random.default_rng(20240607)
 #: One random 64-bit value per byte, and an odd base with its inverse: hashes are sums modulo 2**64.
@@ -23,78 +24,107 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Texts:
-    """Many byte strings in one buffer with prefix hashes; string ``i`` is ``raw[at[i]:at[i] + length[i]]``."""
-
-    def __init__(self, strings: list[bytes]):
-        self.strings = strings
-        self.length = np.fromiter(map(len, strings), np.int64, len(strings))
-        self.at = np.cumsum(self.length) - self.length
-        self.raw = np.frombuffer(b"".join(strings) + b"\0", np.uint8)
-        up, self.down = powers(len(self.raw))
-        self.sums = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum(VALUES[self.raw] * up[:len(self.raw)], out=self.sums[1:])
-
-    def hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Hash of ``raw[start:start + length]``, the same wherever the bytes stand."""
-        return (self.sums[start + length] - self.sums[start]) * self.down[start]
+    """Many short byte strings as rows of a matrix, with the hash of every prefix; string ``i`` is ``raw[i, :length[i]]``."""
+
+    def __init__(self, raw: np.ndarray, length: np.ndarray):
+        self.raw, self.length = raw, length.astype(np.int64)
+        up, self.down = powers(raw.shape[1])
+        self.sums = np.zeros((len(raw), raw.shape[1] + 1), np.uint64)
+        np.multiply(VALUES[raw], up[:raw.shape[1]], out=self.sums[:, 1:])
+        np.cumsum(self.sums, axis=1, out=self.sums)
+        self._flat, self._step = self.sums.reshape(-1), raw.shape[1] + 1
+
+    @classmethod
+    def of(cls, strings: list[bytes], back: bool = False) -> Texts:
+        return cls.column(pa.array(strings, pa.large_binary()), back)
+
+    @classmethod
+    def column(cls, strings: pa.Array, back: bool = False) -> Texts:
+        """From a binary column; with ``back`` every string is turned round."""
+        strings = strings.cast(pa.large_binary())
+        at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset:strings.offset + len(strings) + 1]
+        raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+        length = np.diff(at)
+        k = np.arange(max(1, int(length.max(initial=0))))
+        place = (at[1:, None] - 1 - k if back else at[:-1, None] + k)
+        inside = k < length[:, None]
+        out = raw[np.where(inside, place, 0)] if len(raw) else np.zeros(inside.shape, np.uint8)
+        out[~inside] = 0
+        return cls(out, length)
+
+    def strings(self, back: bool = False) -> list[bytes]:
+        made = [x[:n].tobytes() for x, n in zip(self.raw, self.length.tolist(), strict=True)]
+        return [x[::-1] for x in made] if back else made
+
+    def hashes(self, rows: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+        """Hash of ``length`` bytes of the rows' strings from ``start`` on, the same wherever the bytes stand."""
+        at = rows * self._step + start
+        return (self._flat[at + length] - self._flat[at]) * self.down[start]
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common prefix of strings i and j: binary search on prefix hashes."""
-        a, b = self.at[i], self.at[j]
+        a, b = i * self._step, j * self._step
         low = np.zeros(len(i), np.int64)
         high = np.minimum(self.length[i], self.length[j])
         for _ in range(int(high.max(initial=0)).bit_length()):
             mid = (low + high + 1) >> 1
-            same = self.hashes(a, mid) == self.hashes(b, mid)
+            same = self._flat[a + mid] == self._flat[b + mid]
             low = np.where(same, mid, low)
             high = np.where(same, high, mid - 1)
         return low
 
-    def less(self, i: np.ndarray, j: np.ndarray, group: np.ndarray, equal: bool) -> np.ndarray:
-        """Whether string i sorts before j (or, with ``equal``, is the same): group first, then bytes."""
+    def less(self, i: np.ndarray, j: np.ndarray, equal: np.ndarray) -> np.ndarray:
+        """Whether string i sorts before j or, where ``equal``, is the same."""
         n = self.common(i, j)
-        x = np.where(n < self.length[i], self.raw[np.minimum(self.at[i] + n, len(self.raw) - 1)].astype(np.int64), -1)
-        y = np.where(n < self.length[j], self.raw[np.minimum(self.at[j] + n, len(self.raw) - 1)].astype(np.int64), -1)
-        within = (x < y) | (equal & (x == y))
-        return np.where(group[i] != group[j], group[i] < group[j], within)
+        last = self.raw.shape[1] - 1
+        x = np.where(n < self.length[i], self.raw[i, np.minimum(n, last)].astype(np.int64), -1)
+        y = np.where(n < self.length[j], self.raw[j, np.minimum(n, last)].astype(np.int64), -1)
+        return (x < y) | (equal & (x == y))
+
+    def same(self, i: np.ndarray, j: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the first ``length`` bytes of strings i and j are the same, byte by byte."""
+        out = np.empty(len(i), bool)
+        k = np.arange(self.raw.shape[1])
+        for lo in range(0, len(i), 4096):
+            part = slice(lo, lo + 4096)
+            out[part] = ((self.raw[i[part]] == self.raw[j[part]]) | (k >= length[part, None])).all(axis=1)
+        return out
 
     def sort(self, group: np.ndarray) -> np.ndarray:
-        """Order of all strings by group and bytes: bottom-up mergesort whose runs merge by binary search.
+        """Order of all strings inside their groups (consecutive rows with one number): bottom-up mergesort by binary search.
 
-        Each comparison takes a logarithmic number of hash look-ups. Equal strings keep their order.
+        All groups are merged at once, each within itself. A comparison takes a logarithmic number
+        of hash look-ups. Equal strings keep their order.
         """
-        n = len(self.strings)
-        order, run = np.arange(n), 1
-        while run < n:
-            place = np.arange(n)
-            left = (place // run) % 2 == 0
-            other = np.where(left, (place // run + 1) * run, (place // run - 1) * run)
-            low, high = np.minimum(other, n), np.minimum(other + run, n)
-            first = low.copy()
-            for _ in range(run.bit_length()):
-                open_ = np.flatnonzero(low < high)
-                if not len(open_):
-                    break
-                mid = (low[open_] + high[open_]) >> 1
+        n = len(group)
+        place = np.arange(n)
+        if not n:
+            return place
+        first = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+        size = np.diff(first, append=n)
+        begin, room = np.repeat(first, size), np.repeat(size, size)
+        order, run = place.copy(), 1
+        while run < size.max():
+            k = (place - begin) // run
+            left = k % 2 == 0
+            other = begin + np.where(left, k + 1, k - 1) * run
+            low = np.minimum(other, begin + room)
+            high = np.minimum(low + run, begin + room)
+            base = low.copy()
+            todo = np.flatnonzero(low < high)
+            while len(todo):
+                mid = (low[todo] + high[todo]) >> 1
                 # from the left run: others strictly less come before; from the right run: also equal ones
-                before = self._before(order, open_, mid, left[open_], group)
-                low[open_] = np.where(before, mid + 1, low[open_])
-                high[open_] = np.where(before, high[open_], mid)
-            start = (place // (2 * run)) * 2 * run
-            target = start + (place - (place // run) * run) + (low - first)
+                before = self.less(order[mid], order[todo], ~left[todo])
+                low[todo] = np.where(before, mid + 1, low[todo])
+                high[todo] = np.where(before, high[todo], mid)
+                todo = todo[low[todo] < high[todo]]
+            target = begin + (k // 2) * 2 * run + (place - begin - k * run) + (low - base)
             merged = np.empty(n, np.int64)
             merged[target] = order
             order, run = merged, run * 2
         return order
 
-    def _before(self, order, rows, mid, left, group):
-        out = np.empty(len(rows), bool)
-        for side in (True, False):
-            k = np.flatnonzero(left == side)
-            if len(k):
-                out[k] = self.less(order[mid[k]], order[rows[k]], group, equal=not side)
-        return out
-
 
 def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
     """``of`` (minimum or maximum) over every ``width`` neighbours, by doubling."""
@@ -110,51 +140,46 @@ def _scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(data: bytes, length: int, width: int, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions whose ``width`` bytes hash least in some window of ``length`` bytes, these hashes, and context hashes.
+def anchors(data: bytes, length: int, width: int, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose ``width`` bytes hash least in some window of ``length`` bytes, and these hashes.
 
     The choice depends on the window's bytes alone, so equal windows have equal anchors, and every
-    window has one. A context is what a window over the anchor can reach: ``length - width`` bytes
-    before it and ``length`` from it on, less at a text's ends. Long texts are taken in segments.
+    window has one. Long texts are taken in segments.
     """
     n, back = len(data), length - width
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     raw = np.frombuffer(data, np.uint8)
     made = []
     for lo in range(0, n - length + 1, segment):
-        first, last = max(0, lo - back), min(n, lo + segment + 2 * length)
-        part = raw[first:last]
+        hi = min(n, lo + segment + length - 1)
+        part = raw[lo:hi]
         up, down = powers(len(part))
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(VALUES[part] * up[:len(part)], out=sums[1:])
-        at, to = lo - first, min(n, lo + segment + length - 1) - first
-        h = _scramble((sums[at + width:to + 1] - sums[at:to + 1 - width]) * down[at:to + 1 - width])
+        h = _scramble((sums[width:] - sums[:-width]) * down[:len(part) + 1 - width])
         least = _sliding(h, back + 1, np.minimum)
         edge = np.zeros(back, np.uint64)
         chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), back + 1, np.maximum) == h)
-        place = chosen + at
-        start, end = np.maximum(place - back, 0), np.minimum(place + length, len(part))
-        context = (sums[end] - sums[start]) * down[start] + (place - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (end - place).astype(np.uint64)
-        made.append((place + first, h[chosen], _scramble(context)))
+        made.append((chosen + lo, h[chosen]))
     if len(made) == 1:
         return made[0]
-    places, hashes, contexts = (np.concatenate(x) for x in zip(*made, strict=True))
+    places, hashes = (np.concatenate(x) for x in zip(*made, strict=True))
     places, one = np.unique(places, return_index=True)
-    return places, hashes[one], contexts[one]
+    return places, hashes[one]
 
 
-def extents(lefts: list[bytes], rights: list[bytes], group: np.ndarray, length: int, steps: int = 48, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def extents(left: Texts, right: Texts, group: np.ndarray, length: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Per row, how far matches of at least ``length`` bytes reach left and right of its anchor (0, 0: none).
 
-    Row i matches row j of its group over ``L + R`` bytes, the common suffix of the left contexts and
-    the common prefix of the right ones. Rows are suffix-sorted both ways; neighbours in sorted order
-    have the longest extensions, so each row looks outwards until a neighbour qualifies or none can.
-    Rows undecided after ``steps`` neighbours are settled window by window. Only ``wanted`` rows are
-    looked up (default: all); the others are there to be found.
+    Row i matches row j of its group over ``L + R`` bytes, the common prefix of the left contexts
+    (which are turned round) and that of the right ones. Rows are suffix-sorted both ways; neighbours
+    in sorted order have the longest extensions, so each row looks outwards until a neighbour
+    qualifies or none can. Every match is checked on its bytes; a group in which one fails (its hashes
+    collide) is settled window by window. Only ``wanted`` rows are looked up (default: all); the
+    others are there to be found. Rows of a group are consecutive.
     """
-    n = len(lefts)
-    right, left = Texts(rights), Texts([x[::-1] for x in lefts])
+    n = len(group)
     sides = (left, right)
     orders = [t.sort(group) for t in sides]
     rank, near = [], []
@@ -172,44 +197,32 @@ def extents(lefts: list[bytes], rights: list[bytes], group: np.ndarray, length:
     if wanted is not None:
         possible &= wanted
     reach = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
-    undecided = np.zeros(n, bool)
-    proof = [[], [], [], []]  # i, j, L, R of each extension found
+    failed = np.zeros(n, bool)
     for side in (0, 1):
-        t, other, order, lcp = sides[side], sides[1 - side], orders[side], near[side]
+        order, lcp = orders[side], near[side]
         for direction in (-1, 1):
             i = np.flatnonzero(possible)
             at = rank[side][i]
             low = np.full(len(i), 1 << 40)
-            for _ in range(steps):
-                edge = at + (direction > 0)
-                low = np.minimum(low, lcp[edge])
+            while len(i):
+                low = np.minimum(low, lcp[at + (direction > 0)])
                 at = at + direction
                 # stops: group's end (extension 0), nothing better than known, or the rest cannot make up the length
                 go = (low > reach[side][i]) & (low + most[1 - side][i] >= length) & (at >= 0) & (at < n)
                 i, at, low = i[go], at[go], low[go]
-                if not len(i):
-                    break
                 j = order[at]
-                far = other.common(i, j)
+                far = sides[1 - side].common(i, j)
                 hit = low + far >= length
                 if hit.any():
-                    k = i[hit]
-                    reach[side][k] = np.maximum(reach[side][k], low[hit])
-                    pair = (low[hit], far[hit]) if side == 0 else (far[hit], low[hit])
-                    for x, y in zip(proof, (k, j[hit], *pair), strict=True):
-                        x.append(y)
+                    k, m, a, b = i[hit], j[hit], low[hit], far[hit]
+                    good = sides[side].same(k, m, a) & sides[1 - side].same(k, m, b)
+                    failed[k[~good]] = True
+                    reach[side][k] = np.maximum(reach[side][k], a)
                     i, at, low = i[~hit], at[~hit], low[~hit]
-            else:
-                undecided[i] = True
-    # hashes can only promise too much: every extension is checked on the bytes
-    for i, j, a, b in zip(*(np.concatenate(x).tolist() if x else [] for x in proof), strict=True):
-        if lefts[i][len(lefts[i]) - a:] != lefts[j][len(lefts[j]) - a:] or rights[i][:b] != rights[j][:b]:
-            undecided[i] = True
-    if undecided.any():
-        for g in np.unique(group[undecided]):
-            rows = np.flatnonzero(group == g)
-            a, b = by_windows([lefts[k] for k in rows], [rights[k] for k in rows], length)
-            reach[0][rows], reach[1][rows] = a, b
+    for g in np.unique(group[failed]):
+        rows = np.flatnonzero(group == g)
+        before, after = left.strings(back=True), right.strings()
+        reach[0][rows], reach[1][rows] = by_windows([before[k] for k in rows], [after[k] for k in rows], length)
     none = (reach[0] == 0) & (reach[1] == 0)
     return np.where(none, 0, reach[0]), np.where(none, 0, reach[1])
 

@@ -435,17 +435,27 @@ def test_suffix_sort_and_extents():
         n = rng.randrange(1, 40)
         s = [bytes(rng.choices(b"ab", k=rng.randrange(12))) for _ in range(n)]
         g = np.sort([rng.randrange(3) for _ in range(n)])
-        assert suffix_sort.Texts(s).sort(g).tolist() == sorted(range(n), key=lambda i: (g[i], s[i], i))
+        assert suffix_sort.Texts.of(s).sort(g).tolist() == sorted(range(n), key=lambda i: (g[i], s[i], i))
         top = rng.randrange(3, 12)
         a = [bytes(rng.choices(b"ab", k=rng.randrange(top + 1))) for _ in range(n)]
         b = [bytes(rng.choices(b"ab", k=rng.randrange(top + 1))) for _ in range(n)]
-        left, right = suffix_sort.extents(a, b, g, top, steps=rng.choice([1, 2, 48]))
+        left, right = suffix_sort.extents(suffix_sort.Texts.of(a, back=True), suffix_sort.Texts.of(b), g, top)
         for k in set(g.tolist()):
             at = np.flatnonzero(g == k)
             x, y = suffix_sort.by_windows([a[i] for i in at], [b[i] for i in at], top)
             assert left[at].tolist() == x.tolist() and right[at].tolist() == y.tolist()
 
 
+def test_colliding_hashes_are_settled_by_bytes(monkeypatch):
+    rng = random.Random(4)
+    a, b = ([bytes(rng.choices(b"abcd", k=12)) for _ in range(12)] for _ in range(2))
+    a, b = a + a[:3], b + b[:3]
+    monkeypatch.setattr(suffix_sort, "VALUES", np.ones(257, np.uint64))  # all strings of one length collide
+    left, right = suffix_sort.extents(suffix_sort.Texts.of(a, back=True), suffix_sort.Texts.of(b), np.zeros(15, int), 10)
+    x, y = suffix_sort.by_windows(a, b, 10)
+    assert left.tolist() == x.tolist() and right.tolist() == y.tolist()
+
+
 def test_every_window_has_an_anchor():
     rng = random.Random(8)
     data = bytes(rng.choices(b"abcd", k=3000)) + b"a" * 900
