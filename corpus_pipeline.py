@@ -16,6 +16,8 @@ from curalis.llm.packing import pack
 from curalis.llm.quality import quality_rules
 from curalis.llm.suffix_dedup import suffix_dedup
 
+#: Strings of so many bytes count as passages: 50 words are longer in any of the languages, even at three letters a word.
+PASSAGE_BYTES = 200
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -44,8 +46,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings that occur elsewhere too; documents of which nothing is left go."""
-    cut = suffix_dedup(docs, with_text=True).where("n_removed > 0").select(F.col("digest").alias("_key"), "kept_text").distinct()
+    """Texts without the bytes of strings of ``PASSAGE_BYTES`` that occur elsewhere too; documents of which nothing is left go.
+
+    Null and shorter texts stay as they are. A repeated row, or a row with another's text, loses all of
+    it. Rows without id are judged like others; an empty table gives an empty result.
+    """
+    cut = suffix_dedup(docs, length=PASSAGE_BYTES, with_text=True).where("n_removed > 0").select(F.col("digest").alias("_key"), "kept_text").distinct()
     rows = _key(docs).join(cut, "_key", "left")
     text = F.when(F.col("kept_text").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
     changed = F.col("kept_text").isNotNull()
@@ -54,12 +60,18 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the sources' target shares and shuffled."""
+    """Documents repeated to the sources' target shares and shuffled.
+
+    Null ids, texts and sources are rows like others; equal rows are drawn alike; an empty table gives an empty result.
+    """
     return poisson_mix(docs).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 ids."""
+    """Pieces of documents in sequences of 4096 ids.
+
+    A null text is packed as an empty one (its end mark alone); repeated rows are packed each; an empty table gives an empty result.
+    """
     return pack(docs)
 
 
