@@ -27,6 +27,9 @@ RECALL = 0.999
 #: A sketch has so many min-hashes of 16 bits. Sets in one bucket whose sketches agree in this share are compared exactly.
 SKETCH = 64
 LOOSE = 0.6
+#: A set like one that agrees in ``LOOSE`` with a pivot is at a Jaccard distance of 0.6 from the pivot at most (0.4 and 0.2
+#: by the triangle inequality), so its sketch agrees with the pivot's in 0.4 on average; five standard deviations less are held.
+BESIDE = 0.1
 BLOCK_ROWS = 512
 BLOCK_BYTES = 16 << 20
 
@@ -197,15 +200,31 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _pivoted(share: float):
-    """Members of crowded nodes beside one of them (vid, sketch, pivot, pivot_sketch) -> edges to it where sketches agree."""
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of crowded nodes beside one of them (..., sketch, pivot, pivot_sketch) -> the same with the share of min-hashes that agree."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in ("sketch", "pivot_sketch"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("node", "sid", "vid", "pivot")), pa.array((a == b).mean(axis=1))],
+                                             names=["node", "sid", "vid", "pivot", "agree"])
+
+
+def _beside(share: float):
+    """Blocks (pivot, inner block, outer block, inner, vid, sketch) -> an edge from each outer set to an inner one whose sketch agrees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (1, 3))
-                agree = (a == b).sum(axis=1) >= share * a.shape[1]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(agree))
+        for _, rows in groups(batches, 3):
+            ids = np.array([r[4] for r in rows])
+            s = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(len(rows), -1)
+            inner = np.array([r[3] for r in rows])
+            x, y = s[~inner], s[inner]
+            agree = np.zeros((len(x), len(y)), np.int16)
+            for k in range(s.shape[1]):
+                agree += x[:, None, k] == y[None, :, k]
+            if agree.size:
+                best = agree.argmax(axis=1)
+                hit = agree[np.arange(len(x)), best] >= share * s.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[~inner][hit]), pa.array(ids[inner][best[hit]])], names=["a", "b"])
 
     return run
 
@@ -307,9 +326,11 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
 
     1. Rows with equal sets are one set. Each set follows the tokens it samples to its nodes at depth
        2, in as many runs as ``recall`` takes; sets that sample the same shared tokens meet.
-    2. Nodes of one set are dropped, nodes of over ``bucket`` sets split again, down to ``max_depth``, unless
-       all their sets are held together already. What is still crowded then is compared in blocks. In a bucket, sets whose sketches agree in
-       ``LOOSE`` of their min-hashes are held together.
+    2. Nodes of one set are dropped, nodes of over ``bucket`` sets split again, down to ``max_depth``. Before
+       that, sets like a crowded node's first one (its pivot) are held together with it and leave the
+       node; those that stay but may be like one that left are looked up among these, in blocks. What
+       is still crowded at ``max_depth`` is compared in blocks. In a bucket, sets whose sketches agree
+       in ``LOOSE`` of their min-hashes are held together.
     3. Sets held together are compared exactly, block by block; links are counted there and not
        written as pairs.
 
@@ -317,7 +338,7 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     one window, all of it; a null text, or one without words, links with nothing. Null keys never
     become a class id; where a class has no other key, class_id is null and its rows are kept.
     Repeated rows are copies of each other. An empty table gives an empty result. Other columns are
-    not read. Sets are told apart by 128-bit digests, in the graph of links by 64 bits.
+    not read. Sets are told apart by 128-bit digests and numbered for the graph of links.
     """
     spark = docs.sparkSession
     runs = runs_for(recall, max_depth, similarity, split)
@@ -326,45 +347,55 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     made = stage(read.mapInArrow(_sets(words, runs, split),
                                  "doc_id long, did long, digest string, sid binary, n long, sketch binary, nodes array<long>"), "sets")
     full = made.where("sid IS NOT NULL")
-    vid = F.conv(F.substring(F.hex("sid"), 1, 15), 16, 10).cast("long")
     sets = stage(full.groupBy("sid").agg(F.min(F.struct("did", "digest")).alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies"))
-                 .select("sid", vid.alias("vid"), "rep.did", "rep.digest", "low", "copies"), "classes")
-    reps = made.join(sets.select("sid", "did", "digest"), ["sid", "did", "digest"]).dropDuplicates(["sid"])
-    reps = stage(reps.select("sid", "did", "digest", "sketch", "nodes"), "reps")
-
-    def shared(members: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Members of small nodes, and of crowded ones whose sets are not all held together already."""
-        if held is None:
-            counts = stage(members.groupBy("node").agg(F.count("*").alias("size"), F.lit(True).alias("open")).where("size > 1"), "counts")
-        else:
-            members = stage(members.join(held, "sid"), "held")
-            counts = stage(members.groupBy("node").agg(F.count("*").alias("size"), (F.min("held") != F.max("held")).alias("open")).where("size > 1 AND open"), "counts")
+                 .select("sid", F.monotonically_increasing_id().alias("vid"), "rep.did", "rep.digest", "low", "copies"), "classes")
+    reps = made.join(sets.select("sid", "did", "digest", "vid"), ["sid", "did", "digest"]).dropDuplicates(["sid"])
+    reps = stage(reps.select("sid", "vid", "did", "digest", "sketch", "nodes"), "reps")
+
+    light = reps.select("sid", "vid", "sketch")
+
+    def parted(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members (node, sid) of nodes of two sets or more, small and crowded."""
+        counts = stage(members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "counts")
         both = stage(members.select("sid", "node").join(counts, "node"), "nodes")
         return both.where(F.col("size") <= bucket).select("sid", "node"), both.where(F.col("size") > bucket).select("sid", "node")
 
-    light = reps.select("sid", vid.alias("vid"), "sketch")
-    small, crowded = shared(reps.select("sid", F.explode("nodes").alias("node")))
+    small, crowded = parted(reps.select("sid", F.explode("nodes").alias("node")))
     buckets, depth = [small], FIRST_DEPTH
-    tokens, held, stars = None, None, None
-    if crowded.limit(1).count():
-        # a crowd of similar sets stays together at any depth: sets like the node's first one are held together at once
-        members = stage(crowded.join(light, "sid").select("node", "vid", "sketch"), "crowd")
-        pivots = stage(members.groupBy("node").agg(F.min(F.struct("vid", "sketch")).alias("p")).select("node", F.col("p.vid").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")), "pivots")
-        met = members.join(pivots, "node").where("vid <> pivot").select("vid", "sketch", "pivot", "pivot_sketch")
-        stars = stage(met.mapInArrow(_pivoted(LOOSE), "a long, b long").distinct(), "stars")
-        together = connected_components(stars)
-        held = stage(light.select("sid", "vid").join(together, F.col("vid") == F.col("node"), "left").select("sid", F.coalesce("component", "vid").alias("held")), "held")
-
-    while depth < max_depth and crowded.limit(1).count():
+    tokens, families = None, None
+    while crowded.limit(1).count():
+        # a crowd of similar sets would stay together at any depth: those like the node's first set leave it here
+        members = stage(crowded.join(light, "sid").select("node", "sid", "vid", "sketch"), "crowd")
+        pivots = stage(members.groupBy("node").agg(F.min(F.struct("vid", "sketch")).alias("p")).select(
+            "node", F.col("p.vid").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")), "pivots")
+        met = stage(members.join(pivots, "node").mapInArrow(_agreement, "node long, sid binary, vid long, pivot long, agree double"), "met")
+        family = met.where(F.col("agree") >= BESIDE).groupBy("pivot", "vid").agg((F.max("agree") >= LOOSE).alias("inner"))
+        families = family if families is None else families.unionByName(family)
+        small, crowded = parted(met.where(F.col("agree") < LOOSE))
+        buckets.append(small)
+        if depth == max_depth:
+            break
         if tokens is None:
             deep = crowded.select("sid").distinct().join(reps.select("sid", "did", "digest"), "sid")
             tokens = stage(read.select("did", "digest", "text").join(deep, ["did", "digest"]).dropDuplicates(["sid"]).select("sid", "text")
                            .mapInArrow(_tokens(words), "sid binary, tokens binary"), "tokens")
         below = crowded.groupBy("sid").agg(F.collect_list("node").alias("nodes")).join(tokens, "sid")
         members = stage(below.select("sid", "tokens", "nodes").repartition(slots(spark)).mapInArrow(_split(words, split), "node long, sid binary").distinct(), "members")
-        small, crowded = shared(members, held)
+        small, crowded = parted(members)
         buckets.append(small)
         depth += 1
+    def beside(families: DataFrame) -> DataFrame:
+        """Edges between the sets that left a node with its pivot and those that stayed but may be like one of them, in blocks."""
+        blocks = stage(families.groupBy("pivot").agg(*[
+            F.ceil(F.count_if(F.col("inner") == side) / F.lit(BLOCK_ROWS)).cast("int").alias(name) for side, name in ((True, "inner_blocks"), (False, "outer_blocks"))])
+            .where("outer_blocks > 0"), "beside")
+        own = lambda name: F.pmod(F.xxhash64("vid"), F.col(name)).cast("int")
+        every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        dealt = families.join(blocks, "pivot").join(light.select("vid", "sketch"), "vid")
+        inner = dealt.where("inner").select("pivot", own("inner_blocks").alias("b1"), every("outer_blocks").alias("b2"), "inner", "vid", "sketch")
+        outer = dealt.where("NOT inner").select("pivot", every("inner_blocks").alias("b1"), own("outer_blocks").alias("b2"), "inner", "vid", "sketch")
+        return inner.unionByName(outer).repartition("pivot", "b1", "b2").sortWithinPartitions("pivot", "b1", "b2").mapInArrow(_beside(LOOSE), "a long, b long")
+
     near = None
     for part in buckets:
         near = part if near is None else near.unionByName(part)
@@ -374,7 +405,10 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
         near = near.unionByName(rest.select("node", "b1", "b2", "vid", "sketch"))
     near = near.repartition("node", "b1", "b2").sortWithinPartitions("node", "b1", "b2")
     edges = near.mapInArrow(_loose(LOOSE), "a long, b long")
-    loose = connected_components(edges.unionByName(stars) if stars is not None else edges)
+    if families is not None:
+        families = stage(families.groupBy("pivot", "vid").agg(F.max("inner").alias("inner")), "families")
+        edges = edges.unionByName(families.where("inner").select(F.col("vid").alias("a"), F.col("pivot").alias("b"))).unionByName(beside(families))
+    loose = connected_components(edges)
 
     linked = stage(sets.join(loose.withColumnRenamed("node", "vid"), "vid"), "linked")
     found = read.select("did", "digest", "text").join(linked.select("did", "digest", "sid"), ["did", "digest"]).dropDuplicates(["sid"])

@@ -1,5 +1,7 @@
 """Each stage of the pipeline against what its operator decides, and the registered SQL."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ def test_stages(spark):
     single = common.stage(P.near_duplicates(spark, kept, DATA), "b")
     assert ids(single) == ids(chosen_path.jaccard_join(kept).where("kept"))
     cut = common.stage(P.repeated_strings(spark, single, DATA), "c")
-    lost = {r.doc_id: r for r in suffix_dedup.suffix_dedup(single).collect()}
+    lost = {r.doc_id: r for r in suffix_dedup.suffix_dedup(single, length=P.PASSAGE_BYTES).collect()}
     whole = {r.doc_id: r.text for r in single.collect()}
     for r in cut.collect():
         assert (r.text == whole[r.doc_id]) == (lost[r.doc_id].n_removed == 0)
@@ -36,6 +38,20 @@ def test_pipeline_of_odd_rows(spark):
     assert df.count() <= 1
 
 
+def test_planted_passages_go(spark):
+    rng = random.Random(3)
+    words = [a + b for a in ("st", "wal", "mor", "qui", "ri", "cl") for b in ("one", "ks", "ning", "ck", "ver", "oud", "a", "es")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    planted = [text(51 + k) for k in range(20)]
+    rows = []
+    for k in range(80):
+        body = f"{text(120)}\n{planted[k // 3]}\n{text(90)}" if k < 60 else text(200)
+        rows.append((k, body, "en", "s", len(body)))
+    got = {r.doc_id: r.text for r in P.repeated_strings(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), DATA).collect()}
+    assert all(planted[k // 3] not in got[k] and len(got[k]) > 500 for k in range(60))
+    assert all(got[k] == rows[k][1] for k in range(60, 80))
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
