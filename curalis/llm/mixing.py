@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curalis.llm.common import stage
+
 #: Without given weights a source's target weight is its row count to this power.
 TEMPERATURE = 0.7
 EPOCHS = 1.0
+#: A table of rates with at most so many entries of distribution functions (8 bytes each) is broadcast; a larger one is
+#: joined by source, where Spark splits hot sources.
+BROADCAST_ENTRIES = 4_000_000
 SEED = "mix-1"
 
 
@@ -32,6 +37,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, *, source: s
         given = weights.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("_source")).agg(
             F.sum(F.col("weight").cast("double")).alias("w"))
         sizes = sizes.join(given, "_source", "left").withColumn("w", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)))
+    sizes = stage(sizes, "sizes")
     total = sizes.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     rows, weight = float(total["n"] or 0), float(total["w"] or 0)
     if rows and not weight:
@@ -59,11 +65,14 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, *, key: str =
     ``key``, so reruns give the same rows and rows that share a key share the draw. Rows are
     dealt to partitions and ordered inside them by ``shuffle_key``, a hash of seed, key and
     replica. Null keys and null texts are rows like any other; columns of the input named like
-    an added one are replaced. Rows that are equal stay separate. A source with a third of all
-    rows only makes its own rate smaller: no step groups documents by source.
+    an added one are replaced. Rows that are equal stay separate. An empty table gives an empty result. The table of
+    rates is broadcast after a check of its size, so documents are shuffled once, by ``shuffle_key``; over
+    ``BROADCAST_ENTRIES`` they are joined by source first.
     """
     rates = source_rates(docs, weights, source=source, temperature=temperature, epochs=epochs)
-    cdf = rates.select("_source", poisson_cdf(F.col("rate")).alias("_cdf"))
+    cdf = stage(rates.select("_source", poisson_cdf(F.col("rate")).alias("_cdf")), "cdf")
+    if (cdf.agg(F.sum(F.size("_cdf") + 8)).first()[0] or 0) <= BROADCAST_ENTRIES:
+        cdf = F.broadcast(cdf)
     columns = [c for c in docs.columns if c not in ("replica", "n_copies", "shuffle_key", "_source", "_cdf")]
     drawn = (docs.select(*columns).withColumn("_source", F.coalesce(F.col(source), F.lit("")))
              .join(cdf, "_source")
