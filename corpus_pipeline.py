@@ -16,8 +16,8 @@ from curalis.llm.packing import pack
 from curalis.llm.quality import quality_rules
 from curalis.llm.suffix_dedup import suffix_dedup
 
-#: Strings of so many bytes count as passages: 50 words are longer in any of the languages, even at three letters a word.
-PASSAGE_BYTES = 200
+#: Strings of so many bytes count as passages: 50 words are longer where a word and its blank have 4.8 bytes or more.
+PASSAGE_BYTES = 240
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
