@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalis.llm.common import connected_components, slots, stage
+from curalis.llm.common import connected_components, slots, stage, working
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -340,6 +340,12 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     Repeated rows are copies of each other. An empty table gives an empty result. Other columns are
     not read. Sets are told apart by 128-bit digests and numbered for the graph of links.
     """
+    with working(docs.sparkSession) as keep:
+        return keep(stage(_classes(docs, key, text, words, similarity, recall, split, bucket, max_depth), "joined"))
+
+
+def _classes(docs: DataFrame, key: str, text: str, words: int, similarity: float, recall: float, split: float, bucket: int, max_depth: int) -> DataFrame:
+    """``jaccard_join``, reading staged tables."""
     spark = docs.sparkSession
     runs = runs_for(recall, max_depth, similarity, split)
     read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).select(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +36,46 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Paths of the tables staged since each open ``working`` block began.
+_WORKING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def working(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside the block are removed at its end, but for those given to the function that the block gets.
+
+    What the block hands on must read kept tables only.
+    """
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._staged_at)
+        return df
+
+    _WORKING.append(made)
+    try:
+        yield keep
+    finally:
+        _WORKING.pop()
+        for path in made:
+            if path not in kept:
+                _remove(spark, path)
+        if _WORKING:
+            _WORKING[-1].extend(kept)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: later steps restart from the table, not from its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _WORKING:
+        _WORKING[-1].append(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._staged_at = path
+    return made
 
 
 def slots(spark: SparkSession, least: int = 1) -> int:

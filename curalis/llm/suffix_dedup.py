@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalis.llm.common import stage
+from curalis.llm.common import stage, working
 from curalis.llm.suffix_sort import Texts, anchors, extents
 
 LENGTH = 400
@@ -271,6 +271,14 @@ def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     with equal text, lose everything from ``length`` bytes on. Null keys are kept. An empty table gives an
     empty result. Other columns are not read.
     """
+    with working(docs.sparkSession) as keep:
+        rows, outcome = map(keep, _settle(docs, key, text, length, gram, max_group, with_text))
+    return rows.join(outcome, "digest").select(F.nullif(F.col("did"), F.lit(_NO_KEY)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256",
+                                               *(["digest", "kept_text"] if with_text else []))
+
+
+def _settle(docs: DataFrame, key: str, text: str, length: int, gram: int, max_group: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """Staged tables of ``suffix_dedup``: a row for each input row, and what becomes of each text."""
     back = length - gram
     read = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
         F.coalesce("doc_id", F.lit(_NO_KEY)).alias("did"), "text", F.sha2("text", 256).alias("digest"))
@@ -279,15 +287,15 @@ def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
 
     spots = found.select("rid", F.col("n_bytes").cast("int").alias("size"), F.explode(F.arrays_zip("pos", "h", "c", "d")).alias("x")).select(
         "rid", "size", "x.pos", "x.h", "x.c", "x.d")
-    several = (F.min("c") != F.max("c")) | (F.min("d") != F.max("d"))
-    twice = stage(spots.groupBy("h").agg(F.count("*").alias("n"), several.alias("several")).where("n > 1").select("h", "several"), "twice")
+    twice = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared = stage(spots.join(twice, "h"), "shared")
-    mixed = shared.where("several")
-    kinds = stage(mixed.groupBy("h", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("rep")), "kinds")
-    hot = stage(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_group), "hot")
+    every = stage(shared.groupBy("h", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("rep")), "every")
+    several = every.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = stage(every.join(several, "h"), "kinds")
+    hot = stage(kinds.where(F.col("kinds") > max_group).select("h", "kinds").distinct(), "hot")
     whole_span = (F.greatest(F.col("pos") - back, F.lit(0)).alias("lo"), F.least(F.col("pos") + length, F.col("size")).alias("hi"))
-    equal = shared.where("NOT several").unionByName(mixed.join(kinds.where("n > 1").select("h", "c", "d"), ["h", "c", "d"]).select(shared.columns))
-    spans = equal.select("rid", *whole_span).where(F.col("hi") - F.col("lo") >= length)
+    equal = shared.join(every.where("n > 1").select("h", "c", "d"), ["h", "c", "d"])
+    spans = stage(equal.select("rid", *whole_span).where(F.col("hi") - F.col("lo") >= length), "equal")
 
     asked = kinds.select("rep.rid", F.struct("rep.pos", "h", (F.col("n") == 1).alias("alone")).alias("spot"), "h")
     any_hot = bool(hot.limit(1).count())
@@ -325,10 +333,7 @@ def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
         F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
-    outcome = stage(outcome, "outcome")
-    rows = found.select("did", "digest", "n_bytes").join(outcome, "digest")
-    return rows.select(F.nullif(F.col("did"), F.lit(_NO_KEY)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256",
-                       *(["digest", "kept_text"] if with_text else []))
+    return stage(found.select("did", "digest", "n_bytes"), "rows"), stage(outcome, "outcome")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
