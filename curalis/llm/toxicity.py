@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalis.llm.common import stage
+from curalis.llm.common import slots, stage, working
 from curalis.llm.language import training_rows
 
 #: What a sign may stand for in a disguised word.
@@ -28,9 +29,9 @@ AS_LEET, AS_ANY, DROP_GAP, DROP_REPEAT, DROP_DOUBLE, DROP_OTHER = -0.5, -2.0, -0
 BREAK, WIDE_BREAK = -1.0, -0.2
 #: Signs that may also be marks before or after a word.
 MARKS = "!|+(*#%"
-BEAM = 32
-#: Readings of tokens of up to so many characters are kept; longer ones are decoded each time.
+#: Readings of tokens of up to so many characters are kept by each worker, so many of them; others are decoded each time.
 KEPT = 100
+KEPT_TOKENS = 300_000
 
 #: The word weights and the final scale are learnt on at most so many texts of each label, those with the least hashes.
 SAMPLE = 2500
@@ -75,6 +76,7 @@ class CharModel:
         p2 = (two + 20 * p1) / (two.sum(axis=1, keepdims=True) + 20)
         self.log = np.log((three + 20 * p2[None]) / (three.sum(axis=2, keepdims=True) + 20))
         self.rows = self.log.tolist()
+        self.tails: dict[tuple, str] = {}
 
 
 def character_model(docs: DataFrame, text: str = "text") -> CharModel:
@@ -90,13 +92,35 @@ def decode(span: str, model: CharModel, *, breaks: bool = False, doubles: bool =
 
     A letter stands for itself, a run of one for one or two of it; a sign stands for the letters of
     ``LEET``, or at a price for nothing; gaps stand for nothing or, with ``breaks``, for the end of a
-    word. Without ``doubles`` no sign stands for nothing. States are the last two letters written;
-    ``BEAM`` states go on at each place, with back pointers, so spans may be of any length.
+    word. Without ``doubles`` no sign stands for nothing. States are the last two letters written, all
+    of them go on at each place, with back pointers, so spans may be of any length.
+
+    Single letters at the start leave one state; what follows depends on the last two of them alone,
+    so readings of short rests are kept.
     """
-    rows = model.rows
     low = span.lower()
     runs = [(c, len(list(g))) for c, g in itertools.groupby(low)]
     doubled = len(runs) > 2 and all(n > 1 for _, n in runs)
+    plain = 0
+    while plain < len(runs) and runs[plain][1] == 1 and runs[plain][0].isalpha() and runs[plain][0] not in LEET:
+        plain += 1
+    if plain == len(runs):
+        return low
+    start = (_CODE.get(low[plain - 2], _OTHER) if plain > 1 else 0, _CODE.get(low[plain - 1], _OTHER) if plain else 0)
+    rest = low[plain:]
+    key = (start, rest, breaks, doubles, doubled)
+    found = model.tails.get(key)
+    if found is None:
+        found = viterbi(lattice(runs[plain:], breaks, doubles, doubled), start, model)
+        if len(rest) <= KEPT:
+            if len(model.tails) > KEPT_TOKENS:
+                model.tails = {}
+            model.tails[key] = found
+    return low[:plain] + found
+
+
+def lattice(runs: list[tuple[str, int]], breaks: bool, doubles: bool, doubled: bool) -> list[list[tuple[str, float]]]:
+    """For each place of a span, given as runs of equal characters: what may be written there, and its cost."""
     places: list[list[tuple[str, float]]] = []
     at = 0
     while at < len(runs):
@@ -121,7 +145,13 @@ def decode(span: str, model: CharModel, *, breaks: bool = False, doubles: bool =
             places.append([(c, 0.0)])
         else:
             places.append([(c, DROP_REPEAT if n > 2 or doubled else DROP_DOUBLE), (c + c, DROP_DOUBLE if doubled and n == 2 else 0.0)])
-    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    return places
+
+
+def viterbi(places: list[list[tuple[str, float]]], start: tuple[int, int], model: CharModel) -> str:
+    """What is likeliest written over the lattice's places after the two letters ``start``, up to a word's end."""
+    rows = model.rows
+    states: dict[tuple[int, int], float] = {start: 0.0}
     trail: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     for choices in places:
         coded = [(x, tuple(0 if y == " " else _CODE.get(y, _OTHER) for y in x), cost) for x, cost in choices]
@@ -137,8 +167,6 @@ def decode(span: str, model: CharModel, *, breaks: bool = False, doubles: bool =
                     i, j = j, k
                 if (i, j) not in following or total > following[i, j]:
                     following[i, j], came[i, j] = total, (state, x)
-        if len(following) > BEAM:
-            following = dict(sorted(following.items(), key=lambda s: -s[1])[:BEAM])
         states = following
         trail.append(came)
     state = max(states, key=lambda s: states[s] + (rows[s[0]][s[1]][0] if s[1] else 0.0))
@@ -163,6 +191,7 @@ _LETTER = regex.compile(r"\p{L}")
 _DISGUISED = regex.compile(rf"[{_SIGNS}]|(\p{{L}})\1")
 _TWO_SIGNS = regex.compile(rf"([{_SIGNS}])(?<!\1\1)\1(?!\1)")
 _DOUBLE = regex.compile(r"(\p{L})\1")
+_ANY_DOUBLE = re.compile(r"(.)\1")
 #: Doubles beside each other, or longer runs.
 _CROWDED = regex.compile(r"(\p{L})\1(?:\1|(\p{L})\2)")
 _ENDS = ".,;:!?\"'()"
@@ -170,6 +199,8 @@ _ENDS = ".,;:!?\"'()"
 
 def single(word: str, model: CharModel) -> str:
     """``decode`` of a word of letters: doubles that stand apart are decided one by one, as no other choice meets them."""
+    if _ANY_DOUBLE.search(word) is None:
+        return word
     if _CROWDED.search(word) is not None:
         return decode(word, model)
     code, rows = _CODE.get, model.rows
@@ -214,22 +245,26 @@ class Restorer:
                 out.add(decode(cut, self.model, doubles=False))
         return out
 
-    def token(self, token: str) -> tuple[str, ...]:
+    def read(self, token: str) -> set[str]:
         """Words of a token without white space: itself without sentence marks, its runs of letters, its readings."""
+        words = {token.strip(_ENDS)}
+        if (core := token.strip(".,;:?\"')")).isalpha():
+            words.add(single(core, self.model))
+        else:
+            words.update(_WORD.findall(token))
+            for span in _SPAN.findall(token):
+                if _DISGUISED.search(span) is not None:
+                    words.update(self.readings(span))
+        words.discard("")
+        return words
+
+    def token(self, token: str) -> tuple[str, ...]:
+        """``read``, kept for short tokens."""
         found = self.seen.get(token)
         if found is None:
-            words = {token.strip(_ENDS)}
-            if (core := token.strip(".,;:?\"')")).isalpha():
-                words.add(single(core, self.model))
-            else:
-                words.update(_WORD.findall(token))
-                for span in _SPAN.findall(token):
-                    if _DISGUISED.search(span) is not None:
-                        words.update(self.readings(span))
-            words.discard("")
-            found = tuple(words)
+            found = tuple(self.read(token))
             if len(token) <= KEPT:
-                if len(self.seen) > 200_000:
+                if len(self.seen) > KEPT_TOKENS:
                     self.seen = {}
                 self.seen[token] = found
         return found
@@ -240,6 +275,13 @@ class Restorer:
             return set()
         plain = text.lower()
         words = set().union(*[self.seen.get(t) or self.token(t) for t in set(plain.split())])
+        words |= self.spaced(plain)
+        words.discard("")
+        return words
+
+    def spaced(self, plain: str) -> set[str]:
+        """Words of the readings of spaced-out letters in a lower-case text."""
+        words: set[str] = set()
         for span in _SPACED.findall(plain) if may_be_spaced(plain) else ():
             if _LETTER.search(span) is not None:
                 words.add(decode(span, self.model))
@@ -250,48 +292,64 @@ class Restorer:
         return words
 
 
+class KnownFeatures(Restorer):
+    """Those features of a text that have a weight; of a token that has been read before only these are kept."""
+
+    def __init__(self, model: CharModel, known: dict[str, float]):
+        super().__init__(model)
+        self.known = known
+        self.held: dict[str, tuple[str, ...]] = {}
+
+    def _of(self, words) -> tuple[str, ...]:
+        return tuple(f for f in features(set(words)) if f in self.known)
+
+    def of(self, text: str | None) -> set[str]:
+        found: set[str] = set()
+        if not text:
+            return found
+        plain = text.lower()
+        held = self.held
+        if len(held) > KEPT_TOKENS:
+            held.clear()
+        for token in set(plain.split()):
+            some = held.get(token)
+            if some is None:
+                some = self._of(self.read(token))
+                if len(token) <= KEPT:
+                    held[token] = some
+            if some:
+                found.update(some)
+        found.update(self._of(self.spaced(plain)))
+        return found
+
+
 def features(words: set[str]) -> set[str]:
     return words | {f"{w[:4]}-" for w in words if len(w) > 4} | {f"{w[:5]}-" for w in words if len(w) > 5}
 
 
-class Scorer:
-    """Word weights and a logistic scale on (largest weight, sum of weights of the weightiest words).
+def weigh(counts: pa.Table, texts: dict[tuple[int, int], int], folds: tuple[int, ...]) -> dict[str, float]:
+    """Log ratio of a feature's share among toxic texts (a cautious one) to that among the others, in some folds.
 
-    ``texts`` is read several times; each item is a text's set of words.
+    ``counts`` has a row for each feature with the number of texts of fold f and label y in column
+    ``n<f><y>``; ``texts`` has their totals by (f, y).
     """
+    total = lambda y: sum(texts.get((f, y), 0) for f in folds) or 1
+    of = lambda y: sum(counts[f"n{f}{y}"].to_numpy() for f in folds)
+    yes, no = of(1), of(0)
+    weight = np.log(np.maximum(yes - 1.3 * np.sqrt(yes), 0.2) / total(1)) - np.log((no + 0.7) / total(0))
+    good = (yes >= LEAST_TEXTS) & (weight > 1)
+    return dict(zip(counts["feature"].filter(pa.array(good)).to_pylist(), weight[good].tolist(), strict=True))
 
-    def __init__(self, texts, label: np.ndarray):
-        n = len(label)
-        # numbers instead of words: names of the few that get a weight are looked up afterwards
-        use = [np.fromiter((hash(f) for f in features(w)), np.int64) for w in texts()]
-        x = np.zeros((n, 2))
-        for fold in (0, 1):  # signals of each half under the other half's weights
-            other = np.arange(n) % 2 != fold
-            self.weights = self._weigh(use, label, other)
-            for k in np.flatnonzero(~other):
-                x[k] = self.signals(use[k].tolist())
-        self.scale = self._fit(x, label.astype(float))
-        numbered = self._weigh(use, label, np.ones(n, bool))
-        self.weights = {f: numbered[hash(f)] for w, y in zip(texts(), label.tolist(), strict=True) if y for f in features(w) if hash(f) in numbered}
 
-    @staticmethod
-    def _weigh(use: list[np.ndarray], label: np.ndarray, rows: np.ndarray) -> dict[int, float]:
-        """Log ratio of a feature's share among toxic texts (a cautious one) to that among the others."""
-        def counts(y: int):
-            chosen = [use[k] for k in np.flatnonzero(rows & (label == y))]
-            return (*np.unique(np.concatenate(chosen), return_counts=True), len(chosen)) if chosen else (np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
-
-        names, yes, n = counts(1)
-        others, no, m = counts(0)
-        names, yes = names[yes >= LEAST_TEXTS], yes[yes >= LEAST_TEXTS]
-        place = np.minimum(np.searchsorted(others, names), max(0, len(others) - 1))
-        clean = np.where(others[place] == names, no[place], 0) if len(others) else np.zeros(len(names))
-        weight = np.log(np.maximum(yes - 1.3 * np.sqrt(yes), 0.2) / n) - np.log((clean + 0.7) / m)
-        return dict(zip(names[weight > 1].tolist(), weight[weight > 1].tolist(), strict=True))
+class Scorer:
+    """Word weights and a logistic scale on (largest weight, sum of weights of the weightiest words)."""
+
+    def __init__(self, weights: dict[str, float], signals: np.ndarray, label: np.ndarray):
+        self.weights = weights
+        self.scale = self._fit(signals, label.astype(float))
 
     def signals(self, found) -> tuple[float, float]:
-        top = sorted((self.weights[f] for f in found if f in self.weights), reverse=True)[:6]
-        return (top[0], sum(top)) if top else (0.0, 0.0)
+        return strongest(self.weights, found)
 
     @staticmethod
     def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 60) -> np.ndarray:
@@ -312,19 +370,42 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.scale @ (a, b, 1.0), -30, 30))))
 
 
+def strongest(weights: dict[str, float], found) -> tuple[float, float]:
+    top = sorted((weights[f] for f in found if f in weights), reverse=True)[:6]
+    return (top[0], sum(top)) if top else (0.0, 0.0)
+
+
+def _features(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                cut = batch.slice(lo, 64)
+                found = [sorted(features(restorer.words(t))) for t in cut.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([cut.column("fold"), cut.column("y"), pa.array(found, pa.list_(pa.string()))], names=["fold", "y", "features"])
+
+    return run
+
+
+def _signals(weights):
+    """Signals of each fold's texts under the weights learnt from the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = weights.value
+        for batch in batches:
+            made = [strongest(other[f], found) for f, found in zip(batch.column("fold").to_pylist(), batch.column("features").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([a for a, _ in made], pa.float64()), pa.array([b for _, b in made], pa.float64())],
+                                             names=["y", "top", "sum"])
+
+    return run
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars, scorer = model.value
-        restorer = Restorer(chars)
-        known = scorer.weights
+        reader = KnownFeatures(chars, scorer.weights)
         for batch in batches:
-            scores = []
-            for text in batch.column("text").to_pylist():
-                words = restorer.words(text)
-                found = {w for w in words if w in known}
-                found |= {f for w in words if len(w) > 4 and (f := w[:4] + "-") in known}
-                found |= {f for w in words if len(w) > 5 and (f := w[:5] + "-") in known}
-                scores.append(scorer.score(found))
+            scores = [scorer.score(reader.of(text)) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
                 names=["doc_id", "held_out", "score", "predicted"])
@@ -340,15 +421,24 @@ def train(taught: DataFrame, rows: DataFrame, chars: CharModel, sample: int) ->
     """Word weights from labelled texts: equal texts once, at most ``sample`` of each label, at the labels' true shares.
 
     ``taught`` (doc_id, digest, toxic) has no texts; those of the chosen rows alone are looked up in ``rows``.
+    Words are read and counted in tasks; the driver gets the words that enough toxic texts have, and two numbers for each text.
     """
     distinct = taught.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
     totals = {r[0]: r[1] for r in distinct.groupBy("toxic").count().collect()}
     chosen = training_rows(distinct.withColumn("text", F.col("digest")), "toxic", sample, "toxicity").select("digest", "doc_id", F.col("toxic").alias("y"))
     full = rows.select("doc_id", "text", _digest()).join(F.broadcast(chosen), ["digest", "doc_id"])  # at most 2 * sample rows
-    made = full.dropDuplicates(["digest"]).select("y", "text").orderBy("digest").toArrow()
-    restorer = Restorer(chars)
-    label = np.array(made["y"].to_pylist(), int)
-    scorer = Scorer(lambda: (restorer.words(t.as_py()) for t in made["text"]), label)
+    spark = rows.sparkSession
+    texts = full.dropDuplicates(["digest"]).select((F.pmod(F.xxhash64("digest"), F.lit(2))).cast("int").alias("fold"), "y", "text").repartition(slots(spark))
+    found = stage(texts.mapInArrow(_features(spark.sparkContext.broadcast(chars)), "fold int, y int, features array<string>"), "features")
+    cells = [(f, y) for f in (0, 1) for y in (0, 1)]
+    counts = found.select("fold", "y", F.explode("features").alias("feature")).groupBy("feature").agg(
+        *[F.count_if((F.col("fold") == f) & (F.col("y") == y)).alias(f"n{f}{y}") for f, y in cells]).where(
+        F.col("n01") + F.col("n11") >= LEAST_TEXTS).orderBy("feature").toArrow()  # words of at least so many of the chosen texts
+    number = {(r.fold, r.y): r["count"] for r in found.groupBy("fold", "y").count().collect()}
+    halves = spark.sparkContext.broadcast({0: weigh(counts, number, (1,)), 1: weigh(counts, number, (0,))})
+    made = found.mapInArrow(_signals(halves), "y int, top double, sum double").orderBy("y", "top", "sum").toArrow()
+    label = made["y"].to_numpy()
+    scorer = Scorer(weigh(counts, number, (0, 1)), np.stack([made["top"].to_numpy(), made["sum"].to_numpy()], axis=1).reshape(-1, 2), label)
     yes, no = int(label.sum()), int((label == 0).sum())
     if yes and no:  # labels may have been drawn at different rates
         scorer.scale[2] += math.log(totals.get(1, yes) / yes) - math.log(totals.get(0, no) / no)
@@ -371,8 +461,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("toxic"))
     chars = character_model(rows)
     open_ = rows.where("NOT held_out")
-    taught = stage(open_.select("doc_id", _digest()).join(known, "doc_id"), "taught")
-    scorer = train(taught, open_, chars, sample)
+    with working(docs.sparkSession):
+        taught = stage(open_.select("doc_id", _digest()).join(known, "doc_id"), "taught")
+        scorer = train(taught, open_, chars, sample)
     model = docs.sparkSession.sparkContext.broadcast((chars, scorer))
     return rows.select("doc_id", "held_out", "text").mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
 

@@ -318,10 +318,12 @@ def test_decoding_and_scores(spark, empty):
         texts.append((i, " ".join(t)))
         labels.append((i, y))
     hidden = [(1000, make(rng, 30) + " you m0r0n " + make(rng, 5)), (1001, make(rng, 30) + " s t u p i d " + make(rng, 9)), (1002, make(rng, 20) + " idiiiiot"),
-              (1003, make(rng, 30)), (1004, None), (1005, ""), (1006, make(rng, 3000)), (None, make(rng, 9))]
+              (1003, make(rng, 30)), (1004, None), (1005, ""), (1006, make(rng, 3000)), (None, make(rng, 9)), (1007, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(150_000))), (1003, "you 1d107"), (1003, "you 1d107")]
     df = spark.createDataFrame(texts + hidden, "doc_id long, text string").withColumn("score", F.lit("clash"))
-    got = {r.doc_id: r for r in toxicity.toxicity(df, spark.createDataFrame(labels + [(2, None), (None, 1)], "doc_id long, toxic int")).collect()}
-    assert all(got[i].predicted == 1 for i in (1000, 1001, 1002)) and all(got[i].predicted == 0 for i in (1003, 1004, 1005, 1006, None))
+    rows = toxicity.toxicity(df, spark.createDataFrame(labels + [(2, None), (None, 1)], "doc_id long, toxic int")).collect()
+    assert sorted(r.predicted for r in rows if r.doc_id == 1003) == [0, 1, 1]  # repeated rows are judged each
+    got = {r.doc_id: r for r in rows if r.doc_id != 1003}
+    assert all(got[i].predicted == 1 for i in (1000, 1001, 1002)) and all(got[i].predicted == 0 for i in (1004, 1005, 1006, 1007, None))
     assert np.mean([got[i].predicted == y for i, y in labels]) > 0.98
     assert got[5].held_out == (zlib.crc32(b"5") % 5 == 0)
     assert toxicity.toxicity(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
@@ -350,6 +352,47 @@ def test_disguises_of_any_length(restorer, disguised):
     assert restorer.words(disguised) & {"idiot", "stupid", "worthless", "moron"}
 
 
+def all_readings(span, model, **how):
+    """Best score over every path of the lattice, and the texts that reach it."""
+    low = span.lower()
+    runs = [(c, len(list(g))) for c, g in itertools.groupby(low)]
+    doubled = len(runs) > 2 and all(n > 1 for _, n in runs)
+    settings = {"breaks": False, "doubles": True} | how
+    best = {}
+    for path in itertools.product(*toxicity.lattice(runs, settings["breaks"], settings["doubles"], doubled)):
+        (i, j), total = (0, 0), 0.0
+        for x, cost in path:
+            total += cost
+            codes = [0 if y == " " else toxicity._CODE.get(y, toxicity._OTHER) for y in x]
+            if codes == [0] and not j:
+                codes = []
+            for k in codes:
+                total += model.log[i, j, k]
+                i, j = j, k
+        text = "".join(x for x, _ in path)
+        best[text] = max(best.get(text, -1e9), total + (model.log[i, j, 0] if j else 0.0))
+    top = max(best.values())
+    return {t for t, v in best.items() if v > top - 1e-9}
+
+
+def test_viterbi_finds_the_best_of_all_readings(restorer):
+    rng = random.Random(12)
+    for _ in range(300):
+        span = "".join(rng.choice("stupidmoran" + "013457@$!*# .-") * rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randrange(1, 7)))
+        for how in ({}, {"breaks": True}, {"doubles": False}):
+            assert toxicity.decode(span, restorer.model, **how) in all_readings(span, restorer.model, **how), (span, how)
+
+
+def test_known_features_are_those_of_all_words(restorer):
+    rng = random.Random(13)
+    words = "stupid 1d107 grass m0r0n the_river ssttuuppiidd a$$! s c u m old,towers worthless".split()
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(20)] + [None, "", "i d i o t"]
+    known = {f: 1.0 for f in toxicity.features(restorer.words(" ".join(words))) if rng.random() < 0.6} | {"idiot": 2.0}
+    reader = toxicity.KnownFeatures(restorer.model, known)
+    for text in texts + texts:
+        assert reader.of(text) == {f for f in toxicity.features(restorer.words(text)) if f in known}
+
+
 def test_doubles_apart_are_decoded_alike(restorer):
     for word in ("sstupid", "idiott", "moroon", "grass", "tootter", "class", "bboss", "aabcc", "scuum"):
         assert toxicity.single(word, restorer.model) == toxicity.decode(word, restorer.model)
