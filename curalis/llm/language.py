@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from curalis.llm.common import DEFAULT_SEED
 
 HIDDEN = 8
+#: Texts are read in windows of so many bytes, each from the states that the network is in after so many bytes beside it.
 WINDOW = 256
-#: Training reads at most so many labelled rows of each language, those with the least hashes, and from each so many bytes.
+BESIDE = 32
+#: Training reads whole texts of each language in the order of their hashes (longer ones than ``SAMPLE_BYTES`` last), at
+#: most so many and together at most so many bytes, but one text at least.
 SAMPLE = 600
-TRAIN_BYTES = 160
-EPOCHS = 12
+SAMPLE_BYTES = 150_000
+EPOCHS = 9
 BATCH = 96
 UNKNOWN = "und"
 
@@ -126,17 +129,19 @@ class ByteGru:
                     pace = rate * (1 - 0.9 * step / steps)
                     self.p[k] -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def label_windows(self, x: np.ndarray) -> np.ndarray:
-        """Class probabilities (K, T, B) at every byte of windows ``x`` (T, B).
+    def label_windows(self, x: np.ndarray, real: np.ndarray, beside: int = 0) -> np.ndarray:
+        """Class probabilities (K, T - 2 * beside, B) at the bytes of windows ``x`` (T, B), without ``beside`` bytes at either end.
 
-        The same network as in training, laid out so that gates are contiguous rows.
+        The same network as in training, laid out so that gates are contiguous rows. Where bytes are
+        not ``real`` (T, B), before a text's start or after its end, states are zero.
         """
         n, (length, size) = self.hidden, x.shape
         half = np.ones(3 * n, np.float32)
         half[:2 * n] = 0.5  # sigmoid by tanh of half the argument
-        states = np.empty((length, 2 * n, size), np.float32)
+        states = np.empty((length - 2 * beside, 2 * n, size), np.float32)
         gate, a = np.empty((3 * n, size), np.float32), np.empty((3 * n, size), np.float32)
-        for d, lo, steps in (("f", 0, range(length)), ("b", n, range(length - 1, -1, -1))):
+        padded = ~real.all(axis=1)
+        for d, lo, steps in (("f", 0, range(length - beside)), ("b", n, range(length - 1, beside - 1, -1))):
             w = np.ascontiguousarray(((self.p["w" + d] + self.p["c" + d]) * half).T)
             u = np.ascontiguousarray((self.p["u" + d] * half).T)
             h = np.zeros((n, size), np.float32)
@@ -153,7 +158,10 @@ class ByteGru:
                 h -= c
                 h *= rz[n:]
                 h += c
-                states[t, lo:lo + n] = h
+                if padded[t]:
+                    h *= real[t]
+                if 0 <= t - beside < len(states):
+                    states[t - beside, lo:lo + n] = h
         logits = np.einsum("hk,thb->ktb", self.p["v"], states, optimize=True) + self.p["o"][:, None, None]
         logits -= logits.max(axis=0)
         np.exp(logits, out=logits)
@@ -171,27 +179,31 @@ def columns(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(x.T), np.arange(length)[:, None] < size[None, :]
 
 
-def pooled(model: ByteGru, texts: list[bytes], window: int, most: int = 2048) -> np.ndarray:
-    """Mean class probabilities over all bytes of each text, read in windows of ``window`` bytes."""
-    count = np.array([-(-len(t) // window) for t in texts])
+def pooled(model: ByteGru, texts: list[bytes], window: int, beside: int = BESIDE, most: int = 2048) -> np.ndarray:
+    """Mean class probabilities over all bytes of each text, read in windows of ``window`` bytes and ``beside`` at either side."""
+    count = np.array([-(-len(t) // window) for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), count)
-    raw = np.zeros((len(owner), window), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    start = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * window
+    raw = np.zeros((len(owner), window + 2 * beside), np.uint8)
     at = 0
-    sizes = np.empty(len(owner), np.int64)
     for t, k in zip(texts, count.tolist(), strict=True):
-        flat = raw[at:at + k].reshape(-1)
-        flat[:len(t)] = np.frombuffer(t, np.uint8)
-        sizes[at:at + k] = np.minimum(window, len(t) - np.arange(k) * window)
+        flat = np.zeros(k * window + 2 * beside, np.uint8)
+        flat[beside:beside + len(t)] = np.frombuffer(t, np.uint8)
+        raw[at:at + k] = np.lib.stride_tricks.sliding_window_view(flat, window + 2 * beside)[::window]
         at += k
+    own = np.minimum(window, size[owner] - start)
     out = np.zeros((len(texts), model.p["o"].shape[0]))
-    order = np.argsort(-sizes, kind="stable")
+    order = np.argsort(-own, kind="stable")
     for lo in range(0, len(order), most):
         chosen = order[lo:lo + most]
-        length = int(sizes[chosen[0]])
-        prob = model.label_windows(np.ascontiguousarray(raw[chosen, :length].T))
-        prob *= np.arange(length)[:, None] < sizes[chosen][None, :]
+        length = int(own[chosen[0]])
+        place = start[chosen] - beside + np.arange(length + 2 * beside)[:, None]
+        real = (place >= 0) & (place < size[owner[chosen]])
+        prob = model.label_windows(np.ascontiguousarray(raw[chosen, :length + 2 * beside].T), real, beside)
+        prob *= np.arange(length)[:, None] < own[chosen][None, :]
         np.add.at(out, owner[chosen], prob.sum(axis=1).T)
-    return out / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
+    return out / np.maximum(1, size)[:, None]
 
 
 def _predict(model, names: list[str], window: int):
@@ -230,18 +242,24 @@ def training_rows(rows: DataFrame, label: str, most: int, salt: str) -> DataFram
     return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank", "_h")
 
 
-def train(docs: DataFrame, *, sample: int = SAMPLE, hidden: int = HIDDEN, seed: int = DEFAULT_SEED, epochs: int = EPOCHS) -> tuple[ByteGru, list[str]]:
-    """The network and its class names, from rows (doc_id, text, lang); each row gives ``TRAIN_BYTES`` bytes at a hashed place."""
+def train(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, hidden: int = HIDDEN, seed: int = DEFAULT_SEED,
+          epochs: int = EPOCHS, window: int = WINDOW) -> tuple[ByteGru, list[str]]:
+    """The network and its class names, from rows (doc_id, text, lang): whole texts, cut into windows for back-propagation."""
     chosen = training_rows(docs.where("lang IS NOT NULL AND length(text) > 0"), "lang", sample, "language")
-    size = F.length("text")
-    start = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(size - TRAIN_BYTES, F.lit(0)) + 1) + 1
-    rows = chosen.select("doc_id", "lang", F.substring("text", start.cast("int"), F.lit(TRAIN_BYTES)).alias("text")).orderBy("lang", "doc_id", "text").toArrow()
+    order = Window.partitionBy("lang").orderBy(F.col("bytes") > sample_bytes, F.xxhash64(F.lit("language"), "doc_id"), "text").rowsBetween(Window.unboundedPreceding, 0)
+    held = chosen.withColumn("bytes", F.octet_length("text")).withColumn("so_far", F.sum("bytes").over(order)).withColumn("place", F.count("*").over(order))
+    rows = held.where((F.col("so_far") <= sample_bytes) | (F.col("place") == 1)).select("doc_id", "lang", "text").orderBy("lang", "doc_id", "text").toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
     if not names:
         return ByteGru(1, 1), [UNKNOWN]
-    label = np.array([names.index(x) for x in rows["lang"].to_pylist()])
+    parts, label = [], []
+    for text, lang in zip(rows["text"].to_pylist(), rows["lang"].to_pylist(), strict=True):
+        data = text.encode()
+        cut = [data[k:k + window] for k in range(0, len(data), window)]
+        parts += cut
+        label += [names.index(lang)] * len(cut)
     net = ByteGru(len(names), hidden, seed)
-    net.fit([t.encode()[:TRAIN_BYTES] for t in rows["text"].to_pylist()], label, epochs=epochs, seed=seed)
+    net.fit(parts, np.array(label), epochs=epochs, seed=seed)
     return net, names
 
 
@@ -250,9 +268,9 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     """Predicted language of every whole text: doc_id, held_out, lang_pred, score (mean probability over its bytes).
 
     Learns from rows with a language that are not ``held_out`` (default: crc32 of the key as text,
-    modulo 4, is 2), at most ``SAMPLE`` of each language. Every byte of a text gets class
-    probabilities from the network run over its window of ``window`` bytes from both sides; the
-    text's are their mean. Null texts and texts without a letter are ``und`` with score 0; without any
+    modulo 4, is 2): whole texts of each language within ``SAMPLE`` and ``SAMPLE_BYTES``. Every byte of
+    a text gets class probabilities from the network run from both sides over its window of ``window``
+    bytes and ``BESIDE`` bytes before and after; the text's are their mean. Null texts and texts without a letter are ``und`` with score 0; without any
     labelled row every text is. Null keys are not held out; repeated rows are judged alike; an empty
     table gives an empty result; other columns are not read.
     """

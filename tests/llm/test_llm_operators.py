@@ -230,6 +230,35 @@ def test_gradients_by_differences():
         assert abs(g[i] - (up - down) / 2e-3) < 1e-3 * max(1, abs(g[i]))
 
 
+def plain_states(net, data):
+    """Class probabilities of one text by the training network, byte by byte from end to end."""
+    x, mask = language.columns([data])
+    both = np.concatenate([net._forward(x, mask, d)[0] for d in "fb"], axis=2)[:, 0]
+    e = np.exp(both @ net.p["v"] + net.p["o"])
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def test_labels_equal_the_trained_network():
+    rng = np.random.default_rng(3)
+    net = language.ByteGru(3, 5)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (1, 7, 40, 64, 65, 300)]
+    whole = language.pooled(net, texts, 512)
+    assert np.allclose(whole, [plain_states(net, t).mean(axis=0) for t in texts], atol=1e-5)
+    # states forget: windows with bytes beside them come close to reading from end to end
+    assert np.abs(language.pooled(net, texts, 64, 32, most=2) - whole).max() < 1e-3
+    assert np.allclose(language.pooled(net, texts, 64, 300), whole, atol=1e-5)
+
+
+def test_language_of_odd_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, make(rng, 30) if i % 2 else " ".join(w[::-1].upper() for w in make(rng, 30).split()), "ab"[i % 2]) for i in range(300)]
+    rows += [(None, make(rng, 20), "b"), (7, rows[7][1], "b"), (7, rows[7][1], "b"), (900, make(rng, 200_000), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash")).withColumn("held_out", F.lit("clash"))
+    got = language.identify(df).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id in (None, 7, 900)} == {"b"}
+    assert np.mean([r.lang_pred == "ab"[r.doc_id % 2] for r in got if r.doc_id is not None and r.doc_id < 300]) > 0.98
+
+
 def test_language_on_held_out(spark, empty):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
