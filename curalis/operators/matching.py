@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curalis.functions import identity as H
+from curalis.functions.lineage import checkpointed
 
 
 def verified_join(payload: DataFrame, chosen: DataFrame, key: str, same: list[str]) -> DataFrame:
@@ -16,13 +17,17 @@ def verified_join(payload: DataFrame, chosen: DataFrame, key: str, same: list[st
 
 
 def exact_duplicates(df: DataFrame, key: str, digests: list[str]) -> DataFrame:
-    """Rows (kept, discarded, kind): each row under the smallest key of its first digest that repeats."""
-    out = None
+    """Rows (kept, discarded, kind): each row under the smallest key of its first digest that repeats.
+
+    One pass over ``df`` and one small aggregate for each kind; a digest that many rows share is no
+    group in any task, as least keys are found by partial aggregation and joined back.
+    """
+    rows = checkpointed(df.select(key, *digests))
     for kind in digests:
-        best = df.groupBy(kind).agg(F.min(key).alias("kept"))
-        pairs = df.join(best, kind).where(F.col(key) != F.col("kept")).select("kept", F.col(key).alias("discarded"), F.lit(kind).alias("kind"))
-        out = pairs if out is None else out.unionByName(pairs.join(out.select("discarded"), "discarded", "left_anti"))
-    return out
+        least = rows.groupBy(kind).agg(F.min(key).alias(f"_kept_{kind}"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        rows = rows.join(least, kind, "left")
+    found = F.coalesce(*[F.when(F.col(f"_kept_{k}") != F.col(key), F.struct(F.col(f"_kept_{k}").alias("kept"), F.lit(k).alias("kind"))) for k in digests])
+    return rows.withColumn("_f", found).where("_f IS NOT NULL").select("_f.kept", F.col(key).alias("discarded"), "_f.kind")
 
 
 def hamming_join(a: DataFrame, b: DataFrame, key_a: str, key_b: str, signature: str, radius: int, digits: int) -> DataFrame:
@@ -51,6 +56,12 @@ def segment_matches(a: DataFrame, b: DataFrame, key_a: str, key_b: str, segments
     return x.join(y, "s").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def sharing_parents(df: DataFrame, protected: DataFrame, parent: str, segments: str) -> DataFrame:
+    """Parents with a segment that ``protected`` has too: a semi-join on distinct segments, no pairs."""
+    own = df.select(parent, F.explode(F.array_distinct(segments)).alias("_s"))
+    return own.join(protected.select(F.explode(segments).alias("_s")).distinct(), "_s", "left_semi").select(parent).distinct()
+
+
 def exclude_parents(df: DataFrame, parent: str, hits: DataFrame) -> DataFrame:
     """Rows whose parent has no hit; ``hits`` has the parent column."""
     return df.join(hits.select(parent).distinct(), parent, "left_anti")

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curalis.functions.lineage import checkpointed, running_sums
+
+
+#: Curves are drawn for so many groups at most; each has a row for every threshold.
+MAX_GROUPS = 10_000
+
 
 def value_counts(df: DataFrame, fields: list[str]) -> DataFrame:
     """Rows (field, value, n) of every field, in one pass."""
@@ -26,30 +32,33 @@ def quota_audit(df: DataFrame, quotas: DataFrame, keys: list[str]) -> DataFrame:
 
 def index_quantiles(df: DataFrame, value: str, fractions: list[float]) -> DataFrame:
     """Sorted values at places ``min(n - 1, floor(n * f))``, from running counts per distinct value: (fraction, value)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(F.lit(0)).orderBy(value)
-    running = counts.withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(F.lit(0))))
-    places = running.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-    place = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.col("fraction")))
+    counts = checkpointed(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")))
+    n = counts.agg(F.sum("_c")).first()[0] or 0
+    places = running_sums(counts, [], [value], {"_hi": F.col("_c")}).withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    place = F.least(F.lit(n - 1), F.floor(F.lit(n) * F.col("fraction")))
     return places.where((place < F.col("_hi")) & (place >= F.col("_hi") - F.col("_c"))).select("fraction", F.col(value).alias("value"))
 
 
 def score_table(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
-    """Per group and distinct score: positives and negatives there, and totals of the group; ties are one row."""
-    s = df.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("neg"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return s.withColumn("P", F.sum("pos").over(w)).withColumn("N", F.sum("neg").over(w))
+    """Per group and distinct score: positives and negatives there, their running sums up to it, and the group's totals; ties are one row."""
+    s = checkpointed(df.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("neg")))
+    totals = s.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    running = running_sums(s, by, [score], {"_pos_to": F.col("pos"), "_neg_to": F.col("neg")})
+    if not by:
+        return running.join(F.broadcast(totals))  # one row
+    same = [F.col(f"_t_{c}") for c in by]
+    on = running[by[0]].eqNullSafe(same[0])
+    for c, t in zip(by[1:], same[1:], strict=True):
+        on &= running[c].eqNullSafe(t)
+    return running.join(totals.select(*[F.col(c).alias(f"_t_{c}") for c in by], "P", "N"), on).drop(*[f"_t_{c}" for c in by])
 
 
 def ranking_metrics(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """AUROC and average precision per group, ties counted half and in one step; null where a class is missing."""
     by = by or []
     s = score_table(df, label, score, by)
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    below = F.coalesce(F.sum("neg").over(w.orderBy(F.asc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    down = w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_below", below).withColumn("_tp", F.sum("pos").over(down)).withColumn("_fp", F.sum("neg").over(down))
-    s = s.withColumn("_a", F.col("pos") * (F.col("_below") + F.col("neg") / 2)).withColumn("_p", F.col("pos") * (F.col("_tp") / (F.col("_tp") + F.col("_fp"))))
+    tp, fp = F.col("P") - F.col("_pos_to") + F.col("pos"), F.col("N") - F.col("_neg_to") + F.col("neg")  # at this score and above
+    s = s.withColumn("_a", F.col("pos") * (F.col("_neg_to") - F.col("neg") + F.col("neg") / 2)).withColumn("_p", F.col("pos") * (tp / (tp + fp)))
     ok = (F.max("P") > 0) & (F.max("N") > 0)
     return s.groupBy(*by).agg(F.when(ok, F.sum("_a") / (F.max("P").cast("double") * F.max("N"))).alias("auroc"), F.when(ok, F.sum("_p") / F.max("P")).alias("average_precision"))
 
@@ -77,19 +86,22 @@ def accuracy_curve(df: DataFrame, label: str, score: str, group: str, extra: tup
     thresholds times all scores. Groups without both labels are left out.
     """
     spark = df.sparkSession
-    s = score_table(df, label, score, [group]).where("P > 0 AND N > 0")
-    thresholds = df.select(F.col(score).cast("double").alias("t")).unionByName(spark.createDataFrame([(float(x),) for x in extra], "t double")).distinct()
-    totals = s.select(group, "P", "N").distinct()
-    points = thresholds.join(F.broadcast(totals))  # few groups beside every threshold
-    events = points.join(s.select(group, F.col(score).cast("double").alias("t"), "pos", "neg"), [group, "t"], "left").fillna(0, ["pos", "neg"])
-    before = Window.partitionBy(group).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    low = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    return events.withColumn("balanced_accuracy", 0.5 * ((F.col("P") - low("pos")) / F.col("P") + low("neg") / F.col("N"))).select(group, F.col("t").alias("threshold"), "balanced_accuracy")
+    s = checkpointed(df.groupBy(group, F.col(score).cast("double").alias("t")).agg(
+        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("neg")))
+    totals = checkpointed(s.groupBy(group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).where("P > 0 AND N > 0"))
+    if totals.count() > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    thresholds = s.select("t").unionByName(spark.createDataFrame([(float(x),) for x in extra], "t double")).distinct()
+    points = thresholds.join(F.broadcast(totals))  # every threshold for each of a checked number of groups
+    events = points.join(s.select(group, "t", "pos", "neg"), [group, "t"], "left").fillna(0, ["pos", "neg"])
+    out = running_sums(events, [group], ["t"], {"_pos_to": F.col("pos"), "_neg_to": F.col("neg")})
+    low = lambda c: F.col(f"_{c}_to") - F.col(c)
+    return out.withColumn("balanced_accuracy", 0.5 * ((F.col("P") - low("pos")) / F.col("P") + low("neg") / F.col("N"))).select(group, F.col("t").alias("threshold"), "balanced_accuracy")
 
 
 def robust_threshold(curve: DataFrame, group: str, clean: Column, max_drop: float) -> DataFrame:
     """The threshold best for the worst group, among those whose clean mean is within ``max_drop`` of the best."""
-    t = curve.groupBy("threshold").agg(F.min("balanced_accuracy").alias("worst"), F.avg("balanced_accuracy").alias("macro"), F.avg(F.when(clean, F.col("balanced_accuracy"))).alias("clean_macro"))
+    t = checkpointed(curve.groupBy("threshold").agg(F.min("balanced_accuracy").alias("worst"), F.avg("balanced_accuracy").alias("macro"), F.avg(F.when(clean, F.col("balanced_accuracy"))).alias("clean_macro")))
     best = t.agg(F.max("clean_macro").alias("best"))
     return t.join(F.broadcast(best)).where(F.col("clean_macro") >= F.col("best") - max_drop - 1e-12).orderBy(
         F.desc("worst"), F.desc("macro"), F.abs(F.col("threshold") - 0.5), "threshold").limit(1)

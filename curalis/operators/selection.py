@@ -2,44 +2,49 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curalis.functions import identity as H
-from curalis.functions.lineage import checkpointed
+from curalis.functions.lineage import checkpointed, running_sums
 
 MAX_STRATA = 1_000_000
 
 
-def square_root_allocation(total: int, counts: dict[str, int], cap: int | None = None) -> dict[str, int]:
-    """Whole numbers near proportion to the root of what is there, at most that and ``cap``, in rounds over sorted names.
+def square_root_quotas(strata: DataFrame, total: int, cap: int | None = None, fill: bool = False) -> DataFrame:
+    """``total`` over strata (``_g``, ``n``) in proportion to the roots of their sizes: columns ``_g``, ``_quota``.
 
-    Works on the counts of strata, a table of bounded size, not on records.
+    Strata whose share is more than they have (or than ``cap``) give all of it; these are the first ones
+    in the order of room over weight, as the share of a weight only grows when they leave. The others
+    share the rest: whole parts first, then one more to the largest remainders. A ``total`` of more than
+    there is fails, or with ``fill`` takes everything. Over ``MAX_STRATA`` strata are refused.
     """
-    room = {k: min(n, cap) if cap is not None else n for k, n in counts.items() if n > 0}
-    if total < 0 or total > sum(room.values()):
-        raise ValueError(f"{total} records asked of {sum(room.values())}")
-    given = dict.fromkeys(room, 0)
-    left = total
-    while left:
-        open_ = sorted(k for k in room if given[k] < room[k])
-        whole = sum(math.sqrt(counts[k]) for k in open_)
-        shares = [(k, min(room[k] - given[k], max(1, int(left * math.sqrt(counts[k]) / whole)))) for k in open_]
-        for k, share in shares:
-            taken = min(share, left)
-            given[k] += taken
-            left -= taken
-    return given
-
-
-def strata(df: DataFrame, group: Column) -> dict[str, int]:
-    """Rows of each stratum, on the driver; more than ``MAX_STRATA`` strata are refused."""
-    rows = df.groupBy(group.cast("string").alias("g")).agg(F.count("*").alias("n")).limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
+    room = strata.where("n > 0").select("_g", F.least("n", F.lit(cap)).alias("room") if cap is not None else F.col("n").alias("room"), F.sqrt("n").alias("w"))
+    room = checkpointed(room)
+    size = room.agg(F.count("*").alias("strata"), F.sum("room").alias("there")).first()
+    there = size["there"] or 0
+    if size["strata"] > MAX_STRATA:
         raise ValueError("too many strata")
-    return {r["g"]: r["n"] for r in rows}
+    if total < 0 or total > there and not fill:
+        raise ValueError(f"{total} records asked of {there}")
+    total = min(total, there)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("room") / F.col("w"), "_g")  # a bounded table of strata
+    before = F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    full = room.withColumn("full", before + F.col("room") / F.col("w") * rest <= total)
+    everything = Window.partitionBy(F.lit(0))
+    left = F.lit(total) - F.coalesce(F.sum(F.when(F.col("full"), F.col("room"))).over(everything), F.lit(0))
+    weight = F.sum(F.when(~F.col("full"), F.col("w"))).over(everything)
+    shared = full.withColumn("left", left).withColumn("share", F.when(F.col("full"), F.col("room").cast("double")).otherwise(F.col("left") * F.col("w") / weight))
+    shared = shared.withColumn("whole", F.least(F.floor("share"), "room"))
+    spare = F.col("left") - F.sum(F.when(~F.col("full"), F.col("whole"))).over(everything)
+    place = F.row_number().over(everything.orderBy("full", F.desc(F.round(F.col("share") - F.col("whole"), 9)), "_g"))
+    return shared.select("_g", (F.col("whole") + F.when(~F.col("full") & (place <= spare), 1).otherwise(0)).cast("long").alias("_quota"))
+
+
+def strata(df: DataFrame, group: Column) -> DataFrame:
+    """Rows of each stratum: columns ``_g``, ``n``."""
+    return df.groupBy(group.cast("string").alias("_g")).agg(F.count("*").alias("n"))
 
 
 def quota_table(df: DataFrame, quotas: dict[str, int]) -> DataFrame:
@@ -52,9 +57,9 @@ def lowest_per_group(df: DataFrame, group: Column, quotas: DataFrame, rank: Colu
     return ranked.join(quotas, "_g").where(F.col("_n") <= F.col("_quota")).drop("_g", "_n", "_quota")
 
 
-def select_by_groups(df: DataFrame, total: int, group: Column, rank: Column, cap: int | None = None) -> DataFrame:
-    """``total`` rows, spread over groups by the root of their sizes."""
-    return lowest_per_group(df, group, quota_table(df, square_root_allocation(total, strata(df, group), cap)), rank)
+def select_by_groups(df: DataFrame, total: int, group: Column, rank: Column, cap: int | None = None, fill: bool = False) -> DataFrame:
+    """``total`` rows, spread over groups by the root of their sizes; see ``square_root_quotas``."""
+    return lowest_per_group(df, group, square_root_quotas(strata(df, group), total, cap, fill), rank)
 
 
 def even_quotas(names: DataFrame, total: int, name: str, by: list[str] | None = None) -> DataFrame:
@@ -96,8 +101,7 @@ def hold_out_groups(df: DataFrame, group: str, cap: int, target: int, seed: int)
     """Whole groups in hash order until their capped sizes reach the target."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n")).withColumn("rank", H.stable_rank(seed, F.col(group)))
     own = F.least(F.col("n"), F.lit(cap))
-    before = F.sum(own).over(Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - own
-    return sizes.withColumn("before", before).where(F.col("before") < target).select(group, "n")
+    return running_sums(sizes, [], ["rank"], {"running": own}).where(F.col("running") - own < target).select(group, "n")
 
 
 def roles(df: DataFrame, by: list[str], rank: Column, train: int, val: int, every: int = 14) -> DataFrame:
@@ -129,10 +133,9 @@ def priority(df: DataFrame, bucket: list[str], digest: Column) -> DataFrame:
     return df.join(n, bucket).withColumn("priority", -F.log(H.uniform(digest)) * F.sqrt("_n")).drop("_n")
 
 
-def budget_prefix(df: DataFrame, size: str, order: list[Column | str], budget: int, by: list[str] | None = None) -> DataFrame:
-    """Rows in order while the running size stays within the budget."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget)
+def budget_prefix(df: DataFrame, size: str, order: list[str], budget: int, by: list[str] | None = None) -> DataFrame:
+    """Rows in order while the running size stays within the budget; ``order`` tells the rows of a group apart."""
+    return running_sums(df, by or [], order, {"running": F.col(size)}).where(F.col("running") <= budget)
 
 
 def contiguous(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
@@ -150,32 +153,73 @@ def improvements(df: DataFrame, by: str, order: str, metric: str) -> DataFrame:
     return marked.withColumn("since_improvement", F.col("_n") - last).drop("_n")
 
 
-def two_marginals(df: DataFrame, a: str, b: str, model: str, per_model: int, total: int, rank: Column) -> DataFrame:
+def two_marginals(df: DataFrame, a: str, b: str, model: str, per_model: int, total: int, rank: Column, fill: bool = False) -> DataFrame:
     """``total`` rows under a cap per model, spread over the cells of two marginals by the root of their sizes, topped up by rank."""
     capped = bottom_k(df, [model], rank, per_model)
     cell = F.concat_ws("|", a, b)
-    return select_by_groups(capped, total, cell, rank)
+    return select_by_groups(capped, total, cell, rank, fill=fill)
+
+
+def _any(conditions: list[Column]) -> Column:
+    found = conditions[0]
+    for c in conditions[1:]:
+        found |= c
+    return found
+
 
+def admit(units: DataFrame, edges: DataFrame, key: str, order: str, caps: dict[str, DataFrame], *, deny: DataFrame | None = None,
+          label: str | None = None, rounds: int = 100) -> DataFrame:
+    """What a walk through the units in ``order`` admits.
 
-def admit(units: DataFrame, edges: DataFrame, key: str, order: str, quota: str, quotas: DataFrame, rounds: int = 50) -> DataFrame:
-    """Admission by order with quotas: a row goes in unless a better admitted row is its duplicate or its quota is full.
+    A unit is passed over if a cap of it is full; then if it is the duplicate of a denied row or of an
+    admitted unit; else it is admitted. So a unit passed over for a full cap strikes no duplicate of its
+    own. ``edges`` (a, b) holds duplicate pairs of units, ``deny`` the keys of units that equal a denied
+    row (with ``label``, that row's label). ``caps``: for each column of ``units`` a table ``_g``, ``_quota``;
+    a value without a quota is never admitted under the first cap and not limited under the others. With
+    ``label``, a duplicate that is not passed over for a cap and has another label fails the job.
 
-    ``edges`` (a, b) holds duplicate pairs. Rows without an undecided better neighbour are admitted, their worse
-    neighbours rejected, until none is left; then each quota takes its first rows. Rounds are checkpointed.
+    In rounds over the whole table: a unit goes in when no better unit that is still open could fill its
+    caps or strike it, and is rejected when admitted ones do. The first open unit is decided in every
+    round. Rounds are checkpointed; counts per cap are running sums over ranges, so no task holds a cap.
     """
-    ranked = units.select(key, order)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    o = lambda x, n: ranked.select(F.col(key).alias(x), F.col(order).alias(n))
-    better = both.join(o("a", "oa"), "a").join(o("b", "ob"), "b").where("ob < oa").select("a", "b")  # b is better than a
-    undecided, admitted = ranked.select(key), None
+    first = next(iter(caps))
+    state = units.select(key, order, *caps, *([label] if label else []))
+    for name, quotas in caps.items():
+        limit = quotas.select(F.col("_g").alias("_n"), F.col("_quota").alias(f"_cap_{name}"))
+        state = state.join(limit, state[name].cast("string") == F.col("_n"), "left").drop("_n")
+    struck = (deny.select(key) if deny is not None else units.select(key).limit(0)).distinct().withColumn("_denied", F.lit(True))
+    state = state.join(struck, key, "left").withColumn("_denied", F.coalesce("_denied", F.lit(False)))
+    state = checkpointed(state.withColumn("_in", F.when(F.col(f"_cap_{first}").isNull() | F.col("_denied"), F.lit(False))))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    o = lambda x, n: units.select(F.col(key).alias(x), F.col(order).alias(n))
+    better = checkpointed(both.join(o("a", "_oa"), "a").join(o("b", "_ob"), "b").where("_ob < _oa").select("a", "b"))  # b comes before a
+
+    def counted(state: DataFrame) -> DataFrame:
+        """With, for each cap, how many better units are in, and how many are in or open."""
+        for name in caps:
+            one = {f"_in_{name}": F.when(F.col("_in"), 1).otherwise(0), f"_open_{name}": F.when(F.coalesce("_in", F.lit(True)), 1).otherwise(0)}
+            state = running_sums(state, [name], [order], one).withColumns({k: F.col(k) - v for k, v in one.items()})
+        return state
+
+    reaches = lambda kind: _any([F.coalesce(F.col(f"_{kind}_{n}") >= F.col(f"_cap_{n}"), F.lit(False)) for n in caps])
     for _ in range(rounds):
-        open_ = better.join(undecided.withColumnRenamed(key, "a"), "a").join(undecided.withColumnRenamed(key, "b"), "b")
-        now = checkpointed(undecided.join(open_.select(F.col("a").alias(key)).distinct(), key, "left_anti"))
-        beaten = better.join(now.withColumnRenamed(key, "b"), "b").select(F.col("a").alias(key)).distinct()
-        admitted = now if admitted is None else admitted.unionByName(now)
-        undecided = checkpointed(undecided.join(now, key, "left_anti").join(beaten, key, "left_anti"))
-        if not undecided.limit(1).count():
+        neighbours = better.join(state.select(F.col(key).alias("b"), F.col("_in").alias("_b")), "b").groupBy(F.col("a").alias(key)).agg(
+            F.coalesce(F.bool_or(F.col("_b")), F.lit(False)).alias("_hit"), F.bool_or(F.col("_b").isNull()).alias("_waits"))
+        seen = counted(state).join(neighbours, key, "left")
+        hit, waits = F.coalesce("_hit", F.lit(False)), F.coalesce("_waits", F.lit(False))
+        now = F.when(hit | reaches("in"), F.lit(False)).when(~waits & ~reaches("open"), F.lit(True))
+        state = checkpointed(seen.withColumn("_in", F.coalesce("_in", now)).select(*state.columns))
+        if not state.where("_in IS NULL").limit(1).count():
             break
     else:
         raise RuntimeError("admission did not settle")
-    return lowest_per_group(units.join(admitted, key, "left_semi"), F.col(quota), quotas, F.col(order))
+    if label:
+        held = state.where("_in").select(F.col(key).alias("b"), F.col(label).alias("_other"))
+        met = better.join(held, "b").select(F.col("a").alias(key), "_other")
+        if deny is not None:
+            met = met.unionByName(deny.select(key, F.col(label).alias("_other")))
+        open_ = counted(state).where(~reaches("in") & F.col(f"_cap_{first}").isNotNull())
+        found = open_.join(met, key).where(F.col(label) != F.col("_other")).select(key).first()
+        if found:
+            raise ValueError(f"{found[0]} has another label than its duplicate")
+    return units.join(state.where("_in").select(key), key, "left_semi")

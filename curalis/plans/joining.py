@@ -18,10 +18,10 @@ def _(t):
 
 
 @query("j2_denied_paths", """
-SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.page_id % 10 = 0 AND split_part(p.url, '?', 1) = split_part(q.url, '?', 1))""")
+SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE length(q.html) < 1024 AND split_part(p.url, '?', 1) = split_part(q.url, '?', 1))""")
 def _(t):
     p = t("pages").withColumn("path", F.substring_index("url", "?", 1))
-    return p.join(p.where("page_id % 10 = 0").select("path"), "path", "left_anti").select("page_id", "url")
+    return p.join(p.where(F.length("html") < 1024).select("path"), "path", "left_anti").select("page_id", "url")
 
 
 _CANON = "trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
@@ -42,10 +42,10 @@ n AS (SELECT vec_id, ('0x' || substr(s, 1, 7))::BIGINT AS a, ('0x' || substr(s,
 
 
 @query("j4_hamming_join", _SIGN + """
-SELECT x.vec_id AS a, y.vec_id AS b, (bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)))::INTEGER AS distance FROM n x JOIN n y ON x.vec_id % 2 = 0 AND y.vec_id % 2 = 1 WHERE bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 12""")
+SELECT x.vec_id AS a, y.vec_id AS b, (bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)))::INTEGER AS distance FROM n x JOIN n y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 12""")
 def _(t):
     s = t("embeddings").select("vec_id", H.difference_signature(F.col("embedding"), 60).alias("s"))
-    return J.hamming_join(s.where("vec_id % 2 = 0"), s.where("vec_id % 2 = 1"), "vec_id", "vec_id", "s", 12, 15)
+    return J.hamming_join(s, s, "vec_id", "vec_id", "s", 12, 15).where("a < b")
 
 
 _SEG = "SELECT {0} AS k, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+[ \\t\\n]*'), lambda s: trim(regexp_replace(lower(s), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lambda s: s <> ''))) AS s FROM {1}"
@@ -59,12 +59,12 @@ def _(t):
 
 
 @query("j6_leakage_exclusion", f"""
-WITH a AS ({_SEG.format("conv_id", "conversations")}), b AS (SELECT s FROM ({_SEG.format("doc_id", "documents")}) WHERE k % 5 = 0)
-SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT k FROM a WHERE s IN (SELECT s FROM b))""")
+WITH a AS ({_SEG.format("doc_id", "documents")}), b AS (SELECT s FROM ({_SEG.format("item_id", "benchmark")}))
+SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT k FROM a WHERE s IN (SELECT s FROM b))""")
 def _(t):
-    c = t("conversations").select("conv_id", H.segment_signatures(F.col("text")).alias("s"))
-    hits = J.segment_matches(c, t("documents").where("doc_id % 5 = 0").select("doc_id", H.segment_signatures(F.col("text")).alias("s")), "conv_id", "doc_id", "s")
-    return J.exclude_parents(t("conversations"), "conv_id", hits.withColumnRenamed("a", "conv_id")).select("conv_id", "turn")
+    d = t("documents").select("doc_id", H.segment_signatures(F.col("text")).alias("s"))
+    hits = J.sharing_parents(d, t("benchmark").select(H.segment_signatures(F.col("text")).alias("s")), "doc_id", "s")
+    return J.exclude_parents(t("documents"), "doc_id", hits).select("doc_id", "lang")
 
 
 @query("j7_shared_digest_parents", """
@@ -80,10 +80,10 @@ def _(t):
 
 
 @query("j9_reconcile", """
-SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'unknown' END AS side FROM (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0) a
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'unknown' END AS side FROM (SELECT DISTINCT o_orderkey AS k FROM orders) a
 FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
 def _(t):
-    return J.reconcile(t("orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k")), t("lineitem").select(F.col("l_orderkey").alias("k")), "k")
+    return J.reconcile(t("orders").select(F.col("o_orderkey").alias("k")), t("lineitem").select(F.col("l_orderkey").alias("k")), "k")
 
 
 @query("j10_scenario_fan_out", "SELECT scenario, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings, (SELECT unnest(['clean', 'blur_1.0', 'resize_0.5']) AS scenario) GROUP BY 1")
@@ -178,10 +178,10 @@ def _(t):
     return t("orders").select("o_orderkey").distinct().join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
 
 
-@query("u3_intersection", "SELECT count(*) AS n FROM (SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1)")
+@query("u3_intersection", "SELECT count(*) AS n FROM (SELECT text FROM documents WHERE source = 'src0' INTERSECT SELECT text FROM documents WHERE source <> 'src0')")
 def _(t):
-    d = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return d.where("doc_id % 2 = 0").select("h").intersect(d.where("doc_id % 2 = 1").select("h")).agg(F.count("*").alias("n"))
+    d = t("documents").select("source", F.sha2("text", 256).alias("h"))
+    return d.where("source = 'src0'").select("h").intersect(d.where("source <> 'src0'").select("h")).agg(F.count("*").alias("n"))
 
 
 @query("u4_last_write_wins", "SELECT user_id, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1")

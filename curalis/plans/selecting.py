@@ -17,15 +17,29 @@ def rank(c):
     return H.stable_rank(7, F.col(c))
 
 
-@query("w1_square_root_allocation")
+def root_quotas(counts: str, total: str, cap: str = "n") -> str:
+    """SQL (with ``c``: g, n) for quotas in proportion to roots; ``total`` at most what is there."""
+    return f"""c AS ({counts}), rm AS (SELECT g, least(n, {cap}) AS room, sqrt(n) AS w FROM c), tt AS (SELECT least({total}, sum(room)) AS total FROM rm),
+fl AS (SELECT *, coalesce(sum(room) OVER (ORDER BY room / w, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + room / w * sum(w) OVER (ORDER BY room / w, g ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= total AS f FROM rm, tt),
+lf AS (SELECT *, total - coalesce(sum(CASE WHEN f THEN room END) OVER (), 0) AS rest, sum(CASE WHEN NOT f THEN w END) OVER () AS ww FROM fl),
+sh AS (SELECT *, CASE WHEN f THEN room::DOUBLE ELSE rest * w / ww END AS share FROM lf), wh AS (SELECT *, least(floor(share), room)::BIGINT AS whole FROM sh),
+sp AS (SELECT *, rest - sum(CASE WHEN NOT f THEN whole END) OVER () AS spare, row_number() OVER (ORDER BY f, round(share - whole, 9) DESC, g) AS place FROM wh),
+q AS (SELECT g, whole + CASE WHEN NOT f AND place <= spare THEN 1 ELSE 0 END AS quota FROM sp)"""
+
+
+@query("w1_square_root_quotas", f"""
+WITH {root_quotas("SELECT p_brand AS g, count(*) AS n FROM part GROUP BY 1", "500")} SELECT g AS p_brand, quota FROM q""")
 def _(t):
-    a = W.square_root_allocation(500, W.strata(t("part"), F.col("p_brand")))
-    return W.quota_table(t("part"), a).select(F.col("_g").alias("p_brand"), F.col("_quota").alias("quota"))
+    q = W.square_root_quotas(W.strata(t("part"), F.col("p_brand")), 500, fill=True)
+    return q.select(F.col("_g").alias("p_brand"), F.col("_quota").alias("quota"))
 
 
-@query("w2_select_by_groups")
+@query("w2_select_by_groups", f"""
+WITH {root_quotas("SELECT lang AS g, count(*) AS n FROM documents GROUP BY 1", "300")},
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_R.format("doc_id")}) AS n FROM documents)
+SELECT doc_id, lang FROM r JOIN q ON q.g = r.lang WHERE n <= quota""")
 def _(t):
-    return W.select_by_groups(t("documents"), 300, F.col("lang"), rank("doc_id")).select("doc_id", "lang")
+    return W.select_by_groups(t("documents"), 300, F.col("lang"), rank("doc_id"), fill=True).select("doc_id", "lang")
 
 
 @query("w2_literal_quotas", f"""
@@ -102,9 +116,13 @@ def _(t):
     return W.weighted_targets(c, 1500).select("name", "n", "target")
 
 
-@query("w10_two_marginals")
+@query("w10_two_marginals", f"""
+WITH k AS (SELECT p_partkey, p_type, p_brand, p_size, concat_ws('|', p_type, p_brand) AS cell FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY {_R.format("p_partkey")}) <= 20),
+{root_quotas("SELECT cell AS g, count(*) AS n FROM k GROUP BY 1", "600")},
+r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {_R.format("p_partkey")}) AS n FROM k)
+SELECT p_partkey, p_type, p_brand, p_size FROM r JOIN q ON q.g = r.cell WHERE n <= quota""")
 def _(t):
-    return W.two_marginals(t("part"), "p_type", "p_brand", "p_size", 20, 600, rank("p_partkey")).select("p_partkey", "p_type", "p_brand", "p_size")
+    return W.two_marginals(t("part"), "p_type", "p_brand", "p_size", 20, 600, rank("p_partkey"), fill=True).select("p_partkey", "p_type", "p_brand", "p_size")
 
 
 @query("w11_reserve_pruning", f"""
@@ -115,12 +133,18 @@ def _(t):
     return W.bottom_k(t("documents"), ["source"], rank("doc_id"), cap).select("doc_id", "source")
 
 
-@query("w12_successive_draws")
+@query("w12_successive_draws", f"""
+WITH {root_quotas("SELECT source AS g, count(*) AS n FROM documents GROUP BY 1", "100")},
+r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY source ORDER BY {_R.format("doc_id")}) AS n FROM documents),
+first AS (SELECT doc_id, lang, source FROM r JOIN q ON q.g = r.source WHERE n <= quota), left_ AS (SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM first)),
+second AS (WITH {root_quotas("SELECT lang AS g, count(*) AS n FROM left_ GROUP BY 1", "50")},
+r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY {_R.format("doc_id")}) AS n FROM left_) SELECT doc_id, lang, source FROM r JOIN q ON q.g = r.lang WHERE n <= quota)
+SELECT *, 'train' AS role FROM first UNION ALL SELECT *, 'val' FROM second""")
 def _(t):
     d = t("documents").select("doc_id", "lang", "source")
-    first = checkpointed(W.select_by_groups(d, 200, F.col("source"), rank("doc_id")).withColumn("role", F.lit("train")))
+    first = checkpointed(W.select_by_groups(d, 100, F.col("source"), rank("doc_id"), fill=True).withColumn("role", F.lit("train")))
     rest = d.join(first.select("doc_id"), "doc_id", "left_anti")
-    return first.unionByName(W.select_by_groups(rest, 100, F.col("lang"), rank("doc_id")).withColumn("role", F.lit("val")))
+    return first.unionByName(W.select_by_groups(rest, 50, F.col("lang"), rank("doc_id"), fill=True).withColumn("role", F.lit("val")))
 
 
 @query("w13_roles", f"""
@@ -179,30 +203,45 @@ def _(t):
     return part.withColumn("k", inside).join(F.broadcast(sizes), "part").select("doc_id", (F.col("before") + F.col("k")).alias("place"))
 
 
-@query("w20_admission", f"""
+@query("w20_admission")
+def _(t):
+    # copies of a text share a digest, whatever their languages; a test holds the walk against a sequential one
+    d = t("documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("h"), rank("doc_id").alias("r"))
+    edges = d.join(d.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "h").select(F.col("doc_id").alias("a"), "h")
+    pairs = edges.join(edges.withColumnRenamed("a", "b"), "h").where("a < b").select("a", "b")
+    caps = {"lang": W.quota_table(d, {"en": 60, "de": 40, "fr": 40, "es": 40}), "source": W.quota_table(d, {"src0": 50})}
+    return W.admit(d.drop("h"), pairs, "doc_id", "r", caps).select("doc_id", "lang", "source")
+
+
+@query("w20_one_per_text", f"""
 WITH d AS (SELECT doc_id, lang, sha256(text) AS h, {_R.format("doc_id")} AS r FROM documents),
 f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY h ORDER BY r) = 1)
-SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY r) AS n FROM f) WHERE n <= 60""")
+SELECT doc_id, lang FROM f""")
 def _(t):
-    d = t("documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"), rank("doc_id").alias("r"))
+    d = t("documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"), rank("doc_id").alias("r"), F.lit("all").alias("whole"))
     best = d.groupBy("h").agg(F.min_by("doc_id", "r").alias("b"))
     edges = d.join(best, "h").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")  # copies lead to the best of them
-    return W.admit(d.drop("h"), edges, "doc_id", "r", "lang", W.quota_table(d, {"en": 60, "de": 60, "fr": 60, "es": 60})).select("doc_id", "lang")
+    return W.admit(d.drop("h"), edges, "doc_id", "r", {"whole": W.quota_table(d, {"all": 1 << 40})}).select("doc_id", "lang")
 
 
 @query("w21_budget_prefix", f"""
 SELECT * FROM (SELECT doc_id, lang, sum(n_chars) OVER (PARTITION BY lang ORDER BY {_R.format("doc_id")} ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents) WHERE running <= 100000""")
 def _(t):
-    return W.budget_prefix(t("documents"), "n_chars", [rank("doc_id")], 100000, ["lang"]).select("doc_id", "lang", "running")
+    d = t("documents").select("doc_id", "lang", "n_chars", rank("doc_id").alias("r"))
+    return W.budget_prefix(d, "n_chars", ["r"], 100000, ["lang"]).select("doc_id", "lang", "running")
+
+
+_FAMILIES = ("ECONOMY", "STANDARD", "PROMO")
 
 
-@query("w22_quota_table")
+@query("w22_quota_table", "\nUNION ALL ".join(
+    "SELECT * FROM (WITH " + root_quotas(f"SELECT p_brand AS g, count(*) AS n FROM part WHERE p_type = '{kind}' GROUP BY 1", "100", "1000") + f" SELECT '{kind}' AS p_type, g AS p_brand, quota FROM q)"
+    for kind in _FAMILIES))
 def _(t):
-    part, out = t("part"), None
-    for kind in ("ECONOMY", "STANDARD", "PROMO"):
-        own = part.where(F.col("p_type") == kind)
-        have = W.strata(own, F.col("p_brand"))
-        q = W.quota_table(part, W.square_root_allocation(min(100, sum(have.values())), have, 1000)).select(F.lit(kind).alias("p_type"), F.col("_g").alias("p_brand"), F.col("_quota").alias("quota"))
+    out = None
+    for kind in _FAMILIES:
+        own = W.strata(t("part").where(F.col("p_type") == kind), F.col("p_brand"))
+        q = W.square_root_quotas(own, 100, 1000, fill=True).select(F.lit(kind).alias("p_type"), F.col("_g").alias("p_brand"), F.col("_quota").alias("quota"))
         out = q if out is None else out.unionByName(q)
     return out
 

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from curalis.functions import identity as H
+from curalis.functions.lineage import shared_folder
 from curalis.plans.base import query
 from curalis.streaming import ingest as R
 
 
 def _folder(t) -> str:
-    found = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("r1_resumable_ingest", "SELECT event_id, user_id, event_type FROM events")

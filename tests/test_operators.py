@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curalis.functions import identity as H
+from curalis.functions import lineage
 from curalis.functions import normalise as N
 from curalis.operators import matching as J
 from curalis.operators import metrics as A
@@ -12,21 +13,38 @@ from curalis.sources import tables as S
 from curalis.streaming import ingest as R
 
 
-def test_allocation_is_exact_and_ordered():
-    given = W.square_root_allocation(12, {"large": 100, "small": 4, "medium": 25})
-    assert sum(given.values()) == 12 and given["large"] > given["medium"] > given["small"]
-    assert given == W.square_root_allocation(12, {"medium": 25, "small": 4, "large": 100})
+def test_root_quotas(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    for total in (0, 7, 61, 500):
+        sizes = {f"g{i}": rng.randrange(1, 400) for i in range(17)}
+        counts = spark.createDataFrame(list(sizes.items()), "_g string, n long")
+        got = {r[0]: r[1] for r in W.square_root_quotas(counts, total, cap=60).collect()}
+        assert sum(got.values()) == total and all(got[g] <= min(60, n) for g, n in sizes.items())
+        open_ = [g for g, n in sizes.items() if got[g] < min(60, n)]
+        level = [got[g] / math.sqrt(sizes[g]) for g in open_]
+        assert all(abs(got[g] - math.sqrt(sizes[g]) * (sum(got[x] for x in open_) / sum(math.sqrt(sizes[x]) for x in open_))) <= 1 for g in open_) or not level
     with pytest.raises(ValueError):
-        W.square_root_allocation(200, {"a": 100})
+        W.square_root_quotas(counts, 10_000)
+    assert W.square_root_quotas(counts, 10_000, fill=True).agg(F.sum("_quota")).first()[0] == sum(sizes.values())
+
+
+def test_running_sums_over_a_hot_group(spark):
+    rows = [("hot" if i % 9 else None, (i * 7919) % 1000, i % 5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, o long, v long")
+    got = {(r.g, r.o): r.s for r in lineage.running_sums(df, ["g"], ["o"], {"s": F.col("v")}).collect()}
+    assert got == {(g, o): sum(v for h, p, v in rows if h == g and p <= o) for g, o, _ in rows}
 
 
 def test_buckets_and_aliases(spark):
-    df = spark.createDataFrame([(191, 400, "JPEG", 10), (256, 256, "PNG", 10), (800, 500, "WEBP", 10)], "w int, h int, k string, b int")
+    df = spark.createDataFrame([(900, 383, "png", 7), (384, 512, "tiff", 99), (640, 600, "jpg", 3)], "w int, h int, k string, b int")
     b = N.nuisance_buckets(F.col("w"), F.col("h"), F.col("k"), F.col("b"))
-    got = df.select(b["resolution_bucket"], b["aspect_bucket"], b["format_bucket"]).collect()
-    assert [r[0] for r in got] == ["lt192", "256_383", "384_511"] and got[2][1] == "landscape"
-    df = spark.createDataFrame([("MAGE-v2",), ("ImageMagick",)], "g string")
-    assert [r[0] for r in df.select(N.matches_alias(F.col("g"), "mage")).collect()] == [True, False]
+    got = df.select(b["resolution_bucket"], b["aspect_bucket"]).collect()
+    assert [r[0] for r in got] == ["256_383", "384_511", "512_767"] and got[0][1] == "landscape"
+    df = spark.createDataFrame([("sd15-turbo",), ("SD-15-XL",), ("sd15 7b",)], "g string")
+    assert [r[0] for r in df.select(N.matches_alias(F.col("g"), "sd15")).collect()] == [False, True, True]
 
 
 def test_hamming_join_finds_all_pairs(spark):
@@ -51,11 +69,48 @@ def test_confusion_and_single_class(spark):
     assert A.ranking_metrics(one, "y", "s").first().auroc is None
 
 
-def test_admission_uses_reserves(spark):
-    units = spark.createDataFrame([("deny", 0, "x"), ("dup", 1, "r"), ("reserve", 2, "r"), ("real", 1, "q")], "id string, o int, q string")
-    edges = spark.createDataFrame([("deny", "dup")], "a string, b string")
-    got = W.admit(units, edges, "id", "o", "q", W.quota_table(units, {"r": 1, "q": 1, "x": 0}))
-    assert {r.id for r in got.collect()} == {"reserve", "real"}
+def walk(units, pairs, caps, denied):
+    """Admission one by one: units (id, order, quota key, bucket)."""
+    taken, held = {}, set()
+    for i, _, q, m in sorted(units, key=lambda u: u[1]):
+        if taken.get(("q", q), 0) >= caps["q"].get(q, 0) or taken.get(("m", m), 0) >= caps["m"].get(m, 1 << 60):
+            continue
+        if i in denied or any(j in held for j in pairs.get(i, ())):
+            continue
+        held.add(i)
+        taken["q", q] = taken.get(("q", q), 0) + 1
+        taken["m", m] = taken.get(("m", m), 0) + 1
+    return held
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_admission_equals_a_walk(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    units = [(f"u{i}", i * 7 % 61, rng.choice("abcz"), rng.choice(["m", "n", None])) for i in range(60)]
+    edges = [(a[0], b[0]) for a, b in (rng.sample(units, 2) for _ in range(45))]
+    pairs = {}
+    for a, b in edges:
+        pairs.setdefault(a, set()).add(b)
+        pairs.setdefault(b, set()).add(a)
+    caps = {"q": {"a": 5, "b": 9, "c": 30}, "m": {"m": 8}}
+    df = spark.createDataFrame(units, "id string, o int, q string, m string")
+    got = W.admit(df, spark.createDataFrame(edges, "a string, b string"), "id", "o", {k: W.quota_table(df, v) for k, v in caps.items()},
+                  deny=spark.createDataFrame([("u3",), ("u10",)], "id string"))
+    assert {r.id for r in got.collect()} == walk(units, pairs, caps, {"u3", "u10"})
+
+
+def test_full_quota_strikes_no_duplicate(spark):
+    df = spark.createDataFrame([("A", 0, "r", 0), ("B", 1, "r", 1), ("C", 2, "s", 0)], "id string, o int, q string, y int")
+    edges = spark.createDataFrame([("B", "C")], "a string, b string")
+    quotas = lambda n: {"q": W.quota_table(df, {"r": n, "s": 1})}
+    assert {r.id for r in W.admit(df, edges, "id", "o", quotas(1), label="y").collect()} == {"A", "C"}
+    with pytest.raises(ValueError):  # B is admitted, and C is its duplicate under another label
+        W.admit(df, edges, "id", "o", quotas(2), label="y")
+    deny = spark.createDataFrame([("C", 1)], "id string, y int")
+    with pytest.raises(ValueError):
+        W.admit(df, edges, "id", "o", quotas(1), deny=deny, label="y")
 
 
 def test_manifest_csv_and_sinks(spark, tmp_path):
