@@ -205,12 +205,14 @@ def _(t):
 
 @query("w20_admission")
 def _(t):
-    # copies of a text share a digest, whatever their languages; a test holds the walk against a sequential one
-    d = t("documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("h"), rank("doc_id").alias("r"))
-    edges = d.join(d.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "h").select(F.col("doc_id").alias("a"), "h")
-    pairs = edges.join(edges.withColumnRenamed("a", "b"), "h").where("a < b").select("a", "b")
-    caps = {"lang": W.quota_table(d, {"en": 60, "de": 40, "fr": 40, "es": 40}), "source": W.quota_table(d, {"src0": 50})}
-    return W.admit(d.drop("h"), pairs, "doc_id", "r", caps).select("doc_id", "lang", "source")
+    # one copy of each text, by a cap of one for each digest; rows whose canonical texts agree are duplicates of the first.
+    # A test holds the walk against a sequential one.
+    d = t("documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("h"), H.content_digest(H.canonical_text(F.col("text"))).alias("c"), rank("doc_id").alias("r"))
+    d = checkpointed(d)
+    edges = d.join(d.groupBy("c").agg(F.min_by("doc_id", "r").alias("b")), "c").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    copies = d.select(F.col("h").alias("_g")).distinct().withColumn("_quota", F.lit(1).cast("long"))
+    caps = {"lang": W.quota_table(d, {"en": 60, "de": 40, "fr": 40, "es": 40}), "source": W.quota_table(d, {"src0": 50}), "h": copies}
+    return W.admit(d.drop("c"), edges, "doc_id", "r", caps).select("doc_id", "lang", "source")
 
 
 @query("w20_one_per_text", f"""
