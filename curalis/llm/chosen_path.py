@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
+import itertools
 import math
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalis.llm.common import connected_components, slots, stage, working
+from curalis.llm.suffix_sort import VALUES, powers
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -57,39 +58,43 @@ def runs_for(recall: float, depth: int = MAX_DEPTH, overlap: float = SIMILARITY,
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth, overlap, split)))
 
 
-class Shingles:
-    """Hashes of word windows; each worker keeps the hashes of the words it has seen."""
-
-    def __init__(self):
-        self.words: dict[bytes, int] = {}
-
-    def of(self, texts: list[str | None], width: int) -> list[np.ndarray]:
-        """Sorted distinct window hashes of each text. A text of fewer words is one window; without words it has none."""
-        split = [x.encode().split() if x else [] for x in texts]
-        if len(self.words) > 500_000:
-            self.words = {}
-        new = set().union(*split)
-        new.difference_update(self.words)
-        self.words.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        get = self.words.__getitem__
-        out = []
-        for words in split:
-            n = len(words)
-            if not n:
-                out.append(np.zeros(0, np.uint64))
-                continue
-            h = np.fromiter(map(get, words), np.uint64, n)
-            k = min(width, n)
-            code = np.full(n - k + 1, k, np.uint64)
-            for i in range(k):
-                code += h[i:n - k + 1 + i] * _PLACE[i % len(_PLACE)]
-            out.append(np.unique(mix(code)))
-        return out
-
-
-@functools.cache
-def shingles() -> Shingles:
-    return Shingles()
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BREAK = re.compile(rb"[ \t\n\v\f\r]")
+
+
+def word_hashes(data: bytes, segment: int = 1 << 20) -> np.ndarray:
+    """Hash of every word, a run of bytes other than ASCII white space: differences of polynomial prefix sums.
+
+    Long texts are taken in segments that end between words.
+    """
+    made, lo = [], 0
+    while lo < len(data) or not made:
+        found = _BREAK.search(data, lo + segment) if len(data) - lo > segment else None
+        hi = found.end() if found else len(data)
+        raw = np.frombuffer(data, np.uint8, hi - lo, lo) if hi > lo else np.zeros(0, np.uint8)
+        edges = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+        start, end = edges[::2], edges[1::2]
+        up, down = powers(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(VALUES[raw] * up[:len(raw)], out=sums[1:])
+        made.append(mix((sums[end] - sums[start]) * down[start]))
+        lo = hi
+        if not len(data):
+            break
+    return made[0] if len(made) == 1 else np.concatenate(made)
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct window hashes of a text. A text of fewer words is one window; without words it has none."""
+    h = word_hashes(text.encode()) if text else np.zeros(0, np.uint64)
+    n = len(h)
+    if not n:
+        return h
+    k = min(width, n)
+    code = np.full(n - k + 1, k, np.uint64)
+    for i in range(k):
+        code += h[i:n - k + 1 + i] * _PLACE[i % len(_PLACE)]
+    return np.unique(mix(code))
 
 
 def children(tokens: np.ndarray, nodes: np.ndarray, split: float) -> np.ndarray:
@@ -126,12 +131,11 @@ def sketch(tokens: np.ndarray) -> bytes:
 
 def _sets(width: int, runs: int, split: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = shingles()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 cut = batch.slice(lo, 256)
                 keys, sizes, sketches, nodes = [], [], [], []
-                for tokens in make.of(cut.column("text").to_pylist(), width):
+                for tokens in (shingles(t, width) for t in cut.column("text").to_pylist()):
                     some = len(tokens) > 0
                     keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if some else None)
                     sizes.append(len(tokens))
@@ -166,11 +170,10 @@ def _split(width: int, split: float):
 
 def _tokens(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = shingles()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 cut = batch.slice(lo, 256)
-                made = [x.tobytes() for x in make.of(cut.column("text").to_pylist(), width)]
+                made = [shingles(t, width).tobytes() for t in cut.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([cut.column("sid"), pa.array(made, pa.binary())], names=["sid", "tokens"])
 
     return run
@@ -229,27 +232,62 @@ def _beside(share: float):
     return run
 
 
+#: Every two sets of a bucket of so many are compared side by side with those of other buckets; larger ones get a matrix each.
+_SIDE_BY_SIDE = 8
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    """Rows of min-hashes from a column of sketches of one length."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]].reshape(len(column), -1).view("<u2")
+
+
+def _held_together(rows: pa.RecordBatch, share: float) -> set[tuple[int, int]]:
+    """Edges (larger id, smaller id) that hold together the sets of each bucket whose sketches agree; buckets are whole."""
+    keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
+    start = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+    size = np.diff(start, append=rows.num_rows)
+    ids, s = rows.column(3).to_numpy(), _sketches(rows.column(4))
+    least = share * s.shape[1]
+    out: set[tuple[int, int]] = set()
+    beside = np.repeat(np.where(size <= _SIDE_BY_SIDE, size, 0), size) - (np.arange(rows.num_rows) - np.repeat(start, size))  # rows from here to the bucket's end
+    for d in range(1, _SIDE_BY_SIDE):
+        i = np.flatnonzero(beside > d)
+        for lo in range(0, len(i), 16384):
+            k = i[lo:lo + 16384]
+            k = k[(s[k] == s[k + d]).sum(axis=1) >= least]
+            x, y = ids[k], ids[k + d]
+            out.update(zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist(), strict=True))
+    for lo, n in zip(start[size > _SIDE_BY_SIDE].tolist(), size[size > _SIDE_BY_SIDE].tolist(), strict=True):
+        order = lo + np.argsort(ids[lo:lo + n], kind="stable")  # edges then lead to the smallest id, in every bucket
+        part, own = s[order], ids[order]
+        agree = np.zeros((n, n), np.int16)
+        for k in range(s.shape[1]):
+            agree += part[:, None, k] == part[None, :, k]
+        label = forest(agree >= least)
+        out.update((x, y) for x, y in zip(own.tolist(), own[label].tolist(), strict=True) if x != y)
+    return out
+
+
 def _loose(share: float):
-    """Buckets (node, vid, sketch) -> edges that hold together the sets whose sketches agree."""
+    """Buckets (node, b1, b2, vid, sketch), sorted -> edges that hold together the sets whose sketches agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
-        for _, rows in groups(batches, 3):
-            rows.sort(key=lambda r: r[3])  # edges then lead to the smallest id, in every bucket
-            ids = np.array([r[3] for r in rows])
-            s = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), -1)
-            agree = np.zeros((len(rows), len(rows)), np.int16)
-            for k in range(s.shape[1]):
-                agree += s[:, None, k] == s[None, :, k]
-            label = forest(agree >= share * s.shape[1])
-            for a, b in zip(ids.tolist(), ids[label].tolist(), strict=True):
-                if a != b:
-                    out.add((a, b))
-            if len(out) > 50_000:
+        held, out = None, set()
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = pa.concat_batches([held, batch]) if held is not None and held.num_rows else batch
+                keys = [held.column(k).to_numpy() for k in range(3)]
+                cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+                ready, held = (held.slice(0, int(cut[-1]) + 1), held.slice(int(cut[-1]) + 1)) if len(cut) else (None, held)
+            else:
+                ready = held if held is not None and held.num_rows else None
+            if ready is not None:
+                out |= _held_together(ready, share)
+            if len(out) > 50_000 or batch is None and out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
                 out = set()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 

@@ -10,17 +10,15 @@ _RNG = np.random.default_rng(20240607)
 VALUES = _RNG.integers(1, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse."""
-    size = 1 << max(12, int(n).bit_length())
-    if size not in _POWERS:
-        one = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (BASE, INVERSE)]
-        _POWERS.clear()
-        _POWERS[size] = (one[0], one[1])
-    return _POWERS[size]
+    """Powers 0 to n, at least, of the base and of its inverse; the longest table so far is kept."""
+    if len(_POWERS[0]) <= n:
+        size = 1 << max(12, int(n).bit_length())
+        _POWERS[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (BASE, INVERSE)]
+    return _POWERS[0], _POWERS[1]
 
 
 class Texts:

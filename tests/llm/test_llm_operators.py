@@ -164,6 +164,40 @@ def test_jaccard_join_at_the_threshold(spark):
     assert got == brute_jaccard(rows)
 
 
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(11)
+    text = "".join(rng.choice(["ab", "b", "é", "stone", " ", "\n", "\t ", "\x0b", "\u00a0"]) for _ in range(5000)).encode()
+    for data in (text, b"", b"  ", b"x", b" x ", b"y" * 300):
+        words = data.split()
+        for segment in (7, 64, 1 << 20):
+            h = chosen_path.word_hashes(data, segment).tolist()
+            assert len(h) == len(words) and len(set(zip(h, words))) == len(set(words)) == len(set(h))
+
+
+def test_small_and_large_buckets_are_held_together():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 16, (6, 64)).astype("<u2")
+    rows = []
+    for node in range(60):
+        for k in range(rng.integers(1, 25)):
+            s = base[rng.integers(6)].copy()
+            s[rng.integers(0, 64, rng.integers(0, 40))] = 1
+            rows.append((node, 0, 0, int(rng.integers(1 << 40)), s.tobytes()))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["node", "b1", "b2", "vid", "sketch"])
+    edges = {e for out in chosen_path._loose(0.6)(iter([batch.slice(0, 100), batch.slice(100)])) for e in zip(out["a"].to_pylist(), out["b"].to_pylist())}
+    label = {r[3]: r[3] for r in rows}
+    want = dict(label)
+    for _ in range(60):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+        for x, y in itertools.combinations(rows, 2):
+            if x[0] == y[0] and (np.frombuffer(x[4], "<u2") == np.frombuffer(y[4], "<u2")).mean() >= 0.6:
+                want[x[3]] = want[y[3]] = min(want[x[3]], want[y[3]])
+        if _ > 3:
+            break
+    assert label == want
+
+
 def test_runs_reach_the_recall():
     assert 1 - (1 - chosen_path.survival(6, 0.8)) ** chosen_path.runs_for(0.999) >= 0.999
 
