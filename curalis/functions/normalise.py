@@ -22,6 +22,7 @@ DIFFUSION_ARCHITECTURES = (
     "adm", "ddim", "ddpm", "fluxschnell", "glide", "imagen", "kandinsky22", "latdiff",
     "pixartsigma", "pixdiff", "sd14", "sd15", "sdxl", "vqdm", "wuerstchen", "wukong",
 )
+# Words that may follow a generator's name as its version, and the operations of composed scenarios.
 VERSION_SUFFIXES = ("v", "base", "large", "small", "xl")
 COMPOSED_OPERATIONS = {
     "combo_social_resize_0.5_jpeg_70": ["resize_0.5", "jpeg_70"],
@@ -98,6 +99,7 @@ def cut(c: Column, edges: list, names: list[str]) -> Column:
     return out.otherwise(names[-1])
 
 
+# The cut points and names of the buckets below are fixed values.
 def nuisance_buckets(width: Column, height: Column, kind: Column, size: Column) -> dict[str, Column]:
     """Buckets of technical metadata that a label should not depend on."""
     ratio = width.cast("double") / F.greatest(F.lit(1), height)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Suffixes of image files.
 SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tif", ".tiff")
+# The order of splits in manifests.
 SPLIT_ORDER = {"train": 0, "val": 1, "val_id": 2, "val_dg": 3, "test": 4}
 
 
