@@ -197,12 +197,13 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     made = stage(vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
                  .mapInArrow(_unit(key, vector), "vec_id long, unit binary"), "unit")
     some = made.where("unit IS NOT NULL")
-    vid = F.conv(F.substring(F.sha2("unit", 256), 1, 15), 16, 10).cast("long")
-    entries = stage(some.withColumn("vid", vid).groupBy("vid").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "entries")
+    digest = F.unhex(F.sha2("unit", 256)).alias("digest")
+    entries = stage(some.select("vec_id", "unit", digest).groupBy("digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+                    .withColumn("vid", F.monotonically_increasing_id()), "entries")
     exact = None
     for (width,) in entries.select(F.length("unit")).distinct().collect():  # lengths of vectors: as a rule one
         own = entries.where(F.length("unit") == width)
-        drawn = own.select("unit").orderBy(F.xxhash64("vid")).limit(sample).toArrow()["unit"].to_pylist()
+        drawn = own.select("unit").orderBy(F.xxhash64("digest"), "digest").limit(sample).toArrow()["unit"].to_pylist()
         fitted = np.frombuffer(b"".join(drawn), np.float64).reshape(len(drawn), -1)
         model = spark.sparkContext.broadcast(Quantiser(fitted, lists, subspaces, codes))
         indexed = stage(own.select("vid", "copies", "unit").repartition(slots(spark)).mapInArrow(
@@ -230,9 +231,9 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     links = exact.where("b IS NULL").groupBy(F.col("a").alias("vid")).agg(F.sum("links").alias("links"))
     comps = connected_components(exact.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "vid")
     lowest = comps.join(entries.select("vid", "low"), "vid").groupBy("component").agg(F.min("low").alias("lowest"))
-    outcome = stage(entries.select("vid", "low", "copies").join(links, "vid", "left").join(comps, "vid", "left").join(lowest, "component", "left").select(
-        "vid", F.coalesce("lowest", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "outcome")
-    rows = some.select("vec_id", vid.alias("vid")).join(outcome, "vid").select("vec_id", "n_links", "component_id")
+    outcome = stage(entries.select("vid", "digest", "low", "copies").join(links, "vid", "left").join(comps, "vid", "left").join(lowest, "component", "left").select(
+        "digest", F.coalesce("lowest", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "outcome")
+    rows = some.select("vec_id", digest).join(outcome, "digest").select("vec_id", "n_links", "component_id")
     alone = made.where("unit IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return rows.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
