@@ -32,7 +32,7 @@ class Trie:
     """Host labels from the right, then path segments; a rule's last, open segment is a prefix.
 
     A node is ``{"hosts": {label: node}, "paths": path node or None}``; a path node is
-    ``{"next": {segment: path node}, "ends": {open segment: (rule text, verdict)}}``.
+    ``{"next": {segment: path node}, "ends": {open segment: (rule text, verdict)}, "sizes": lengths of open segments}``.
     Where two rules have the same host and path the later one wins.
     """
 
@@ -45,12 +45,13 @@ class Trie:
             for label in reversed(host.translate(_LOWER).split(".")):
                 node = node["hosts"].setdefault(label, {"hosts": {}, "paths": None})
             if node["paths"] is None:
-                node["paths"] = {"next": {}, "ends": {}}
+                node["paths"] = {"next": {}, "ends": {}, "sizes": set()}
             at = node["paths"]
             *closed, open_ = path.split("/")
             for segment in closed:
-                at = at["next"].setdefault(segment, {"next": {}, "ends": {}})
+                at = at["next"].setdefault(segment, {"next": {}, "ends": {}, "sizes": set()})
             at["ends"][open_] = (host + path, verdict)
+            at["sizes"].add(len(open_))
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """The rule with the most host labels that fits, among those the one with the longest path."""
@@ -67,9 +68,10 @@ class Trie:
         for at in reversed(fits):
             best = None
             for segment in segments:
-                ends = [x for x in at["ends"] if segment.startswith(x)]
-                if ends:
-                    best = at["ends"][max(ends, key=len)]
+                fitting = (segment[:n] for n in sorted(at["sizes"], reverse=True) if n <= len(segment))
+                longest = next((x for x in fitting if x in at["ends"]), None)
+                if longest is not None:
+                    best = at["ends"][longest]
                 at = at["next"].get(segment)
                 if at is None:
                     break

@@ -243,6 +243,13 @@ def test_recall_of_default_probes(spark):
     assert got.agg(F.sum("n_links")).first()[0] >= 0.97 * want > 0
 
 
+def test_near_vectors_of_ties_and_null_keys(spark):
+    a, b = [1.0, 0.0, 0.0], [0.9, math.sqrt(1 - 0.81), 0.0]
+    rows = [(None, a), (3, a), (3, a), (5, b), (6, [0.0, 0.0, 1.0])]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in quantised.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.8999999).collect())
+    assert got == [("3", 3, "3"), ("3", 3, "3"), ("5", 3, "3"), ("6", 0, "6"), ("None", 3, "3")]
+
+
 # 4
 
 
@@ -478,9 +485,28 @@ def test_url_rules(spark):
     assert [longer.find("z.a.b", p) for p in ("/xyz", "/x/y/z", "/q", "")] == [("a.b/x", "block"), ("a.b/x/y/", "allow"), ("b/", "block"), None]
 
 
+def test_url_rules_with_many_open_segments(spark):
+    rules = [("block", "a.b", f"/a{i}") for i in range(3000)] + [("allow", "a.b", "/a12x")]
+    trie = url_filters.Trie(rules)
+    for i in (0, 12, 123, 2999):
+        assert trie.find("z.a.b", f"/a{i}-q") == (f"a.b/a{i}", "block")
+    assert trie.find("a.b", "/a12xy") == ("a.b/a12x", "allow") and trie.find("a.b", "/b") is None
+    df = spark.createDataFrame([(1, "http://x.net/"), (1, "http://x.net/"), (2, "http://x.net/" + "a/" * 500_000), (None, "http://y.org/")], "page_id long, url string")
+    got = url_filters.url_filter(df).collect()
+    assert sorted((str(r.page_id), r.verdict) for r in got) == [("1", "block"), ("1", "block"), ("2", "block"), ("None", "allow")]
+    assert url_filters.url_filter(df.where("page_id = 9")).count() == 0
+
+
 # 9
 
 
+def test_poisson_mix_of_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", 5, 7), (1, "a", 5, 7), (None, None, 1, 1)], "doc_id long, source string, replica int, _cdf int")
+    out = mixing.poisson_mix(df)
+    assert out.columns == ["doc_id", "source", "replica", "n_copies", "shuffle_key"]
+    assert all(1 <= r.replica <= r.n_copies for r in out.collect())
+
+
 def test_poisson_mix(spark, docs, rows, empty):
     out = mixing.poisson_mix(docs).collect()
     want = {}
