@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +14,25 @@ from curalis.llm.chosen_path import forest, groups
 from curalis.llm.common import DEFAULT_SEED, connected_components, slots, stage
 
 COSINE = 0.9
-#: The quantisers are fitted on at most so many distinct vectors, those with the least hashes; every vector is indexed.
+#: The quantisers are fitted on at most so many distinct vectors, or 32 for each list, those with the least hashes; every vector is indexed.
 SAMPLE = 20_000
-LISTS = 64
+SAMPLE_PER_LIST = 32
+LEAST_LISTS = 64
+MOST_LISTS = 4096
 SUBSPACES = 8
 CODES = 64
-PROBES = 12
 LIST_ROWS = 1024
+CHUNK = 1024
+
+
+def lists_for(entries: int) -> int:
+    """The power of two next to the root of the number of entries, 64 to 4096."""
+    return int(min(MOST_LISTS, max(LEAST_LISTS, 2 ** round(math.log2(max(1, entries)) / 2))))
+
+
+def margin_for(width: int) -> float:
+    """The part of the largest distance of a link by which a query looks over a list's border, two over the root of the width: 0.25 at 64."""
+    return min(1.0, 2 / math.sqrt(width))
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -36,7 +49,9 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
 
 
 def assign(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+    """The nearest centre of each row, a chunk of rows at a time."""
+    square = (centres**2).sum(axis=1)[None, :]
+    return np.concatenate([(square - 2 * x[k:k + CHUNK] @ centres.T).argmin(axis=1) for k in range(0, len(x), CHUNK)] or [np.zeros(0, np.int64)])
 
 
 class Quantiser:
@@ -58,10 +73,17 @@ class Quantiser:
             rest[:, a:b] -= self.books[k][codes[:, k]]
         return at, codes.astype(np.uint8), np.sqrt((rest**2).sum(axis=1))
 
-    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` lists nearest to each row, nearest first."""
-        d = (self.coarse**2).sum(axis=1)[None, :] - 2 * x @ self.coarse.T
-        return np.argsort(d, axis=1, kind="stable")[:, :n]
+    def probes(self, x: np.ndarray, reach: float) -> list[np.ndarray]:
+        """The lists whose border, the plane between their centre and the row's nearest, is within ``reach`` of each row."""
+        square = (self.coarse**2).sum(axis=1)
+        out = []
+        for k in range(0, len(x), CHUNK):
+            d = square[None, :] - 2 * x[k:k + CHUNK] @ self.coarse.T
+            home = d.argmin(axis=1)
+            apart = square[home][:, None] + square[None, :] - 2 * self.coarse[home] @ self.coarse.T
+            inside = d - d[np.arange(len(d)), home][:, None] <= 2 * reach * np.sqrt(np.maximum(apart, 0)) + 1e-12
+            out += [np.nonzero(row)[0] for row in inside]
+        return out
 
     def tables(self, x: np.ndarray) -> list[np.ndarray]:
         """Per subspace, the products of each row with each centre."""
@@ -103,7 +125,7 @@ def _unit(key: str, vector: str):
     return run
 
 
-def _index(model, probes: int):
+def _index(model, reach: float):
     """Each vector once as a member of its list, and as a query of each list that it probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +135,10 @@ def _index(model, probes: int):
                 continue
             x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(batch.num_rows, -1)
             at, codes, error = q.encode(x)
-            near = q.probes(x, probes).astype(np.int32)
+            near = [n.tolist() for n in q.probes(x, reach)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vid"), batch.column("copies"), batch.column("unit"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()),
-                 pa.array(error), pa.array(near.tolist(), pa.list_(pa.int32()))],
+                 pa.array(error), pa.array(near, pa.list_(pa.int32()))],
                 names=["vid", "copies", "unit", "list", "codes", "error", "near"])
 
     return run
@@ -136,7 +158,8 @@ def _search(model, cosine: float):
             y = np.frombuffer(b"".join(r[6] for r in members), np.float64).reshape(len(members), -1)
             codes = np.frombuffer(b"".join(r[8] for r in members), np.uint8).reshape(len(members), -1)
             error = np.array([r[9] for r in members])
-            near = np.array([r[10] for r in members])
+            near = np.concatenate([np.asarray(r[10], np.int64) for r in members])
+            owner = np.repeat(np.arange(len(members)), [len(r[10]) for r in members])
             copies = np.array([r[5] for r in members], np.int64)
             qid = np.array([r[4] for r in queries])
             x = np.frombuffer(b"".join(r[6] for r in queries), np.float64).reshape(len(queries), -1)
@@ -149,7 +172,12 @@ def _search(model, cosine: float):
             exact = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
             i, j = i[exact], j[exact]
             # where the member does not look into the query's list, this is the only place that sees the pair
-            one_sided = ~(near[j] == home[i][:, None]).any(axis=1)
+            homes, home_at = np.unique(home, return_inverse=True)
+            slot = np.minimum(np.searchsorted(homes, near), len(homes) - 1)
+            looks = np.zeros((len(members), len(homes)), bool)
+            there = homes[slot] == near
+            looks[owner[there], slot[there]] = True
+            one_sided = ~looks[j, home_at[i]]
             found: dict[int, int] = {}
             for who, much in ((qid[i], copies[j]), (ids[j[one_sided]], qcopies[i[one_sided]])):
                 for v, k in zip(who.tolist(), much.tolist(), strict=True):
@@ -174,21 +202,24 @@ def _search(model, cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, lists: int = LISTS,
-                    subspaces: int = SUBSPACES, codes: int = CODES, probes: int = PROBES, sample: int = SAMPLE, list_rows: int = LIST_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, lists: int | None = None,
+                    subspaces: int = SUBSPACES, codes: int = CODES, margin: float | None = None, sample: int = SAMPLE, list_rows: int = LIST_ROWS) -> DataFrame:
     """Links between vectors of a cosine of ``cosine`` or more (double precision).
 
     One row per input row: vec_id, n_links (other rows linked directly, equal vectors included),
     component_id (smallest vec_id reachable), kept (vec_id = component_id). Equal vectors (after
     scaling) are one entry with a count. Every entry stands in the list of its nearest coarse
-    centre and is looked up in the ``probes`` nearest lists; table look-ups plus the entry's coding
+    centre and is looked up in that list and in those whose border lies within ``margin`` times the
+    distance of vectors of cosine ``cosine`` (1: no link is lost); table look-ups plus the entry's coding
     error rule out what cannot reach ``cosine``, the rest is compared exactly. A pair is found if
     either side probes the other's list, and counted once for each side. Lists are dealt in blocks
     of about ``list_rows`` entries, queries too, so no task holds a list; links are counted inside
     tasks and never written as pairs, components get a spanning forest per block.
 
-    The quantisers are fitted on ``sample`` entries at most; only which pairs are seen depends on
-    them. Null vectors, null or non-finite components and zero vectors link with nothing; vectors of
+    Unless given, ``lists`` is near the root of the number of entries, so lists stay short as the table
+    grows, and ``margin`` is two over the root of the vectors' length: dense clusters, which centres cut
+    up, are looked up in more lists than sparse regions. The quantisers are fitted on ``sample`` entries,
+    or 32 a list, at most; only which pairs are seen depends on them. Null vectors, null or non-finite components and zero vectors link with nothing; vectors of
     another length than most of the sample's are compared among those of their own length by a
     separate index. Null keys are kept and never become a component id. Repeated rows link with
     each other. An empty table gives an empty result. Other columns are not read.
@@ -201,13 +232,16 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     entries = stage(some.select("vec_id", "unit", digest).groupBy("digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
                     .withColumn("vid", F.monotonically_increasing_id()), "entries")
     exact = None
-    for (width,) in entries.select(F.length("unit")).distinct().collect():  # lengths of vectors: as a rule one
+    widths = entries.groupBy(F.length("unit").alias("width")).agg(F.count("*").alias("n")).where("n > 1")
+    for width, n in widths.collect():  # lengths that several entries have: as a rule one
         own = entries.where(F.length("unit") == width)
-        drawn = own.select("unit").orderBy(F.xxhash64("digest"), "digest").limit(sample).toArrow()["unit"].to_pylist()
+        own_lists = lists or lists_for(n)
+        reach = (margin or margin_for(width // 8)) * math.sqrt(max(0.0, 2 - 2 * cosine))
+        drawn = own.select("unit").orderBy(F.xxhash64("digest"), "digest").limit(max(sample, SAMPLE_PER_LIST * own_lists)).toArrow()["unit"].to_pylist()
         fitted = np.frombuffer(b"".join(drawn), np.float64).reshape(len(drawn), -1)
-        model = spark.sparkContext.broadcast(Quantiser(fitted, lists, subspaces, codes))
+        model = spark.sparkContext.broadcast(Quantiser(fitted, own_lists, subspaces, codes))
         indexed = stage(own.select("vid", "copies", "unit").repartition(slots(spark)).mapInArrow(
-            _index(model, probes), "vid long, copies long, unit binary, list int, codes binary, error double, near array<int>"), "indexed")
+            _index(model, reach), "vid long, copies long, unit binary, list int, codes binary, error double, near array<int>"), "indexed")
         size = stage(indexed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(list_rows)).cast("int").alias("list_blocks")), "lists")
         asked = indexed.withColumn("probe", F.explode("near"))
         asking = stage(asked.groupBy("probe").agg(F.ceil(F.count("*") / F.lit(list_rows)).cast("int").alias("query_blocks")), "asking")
@@ -227,7 +261,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
         part = stage(met.mapInArrow(_search(model, cosine), "a long, b long, links long"), "found")
         exact = part if exact is None else exact.unionByName(part)
     if exact is None:
-        return made.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        exact = spark.createDataFrame([], "a long, b long, links long")
     links = exact.where("b IS NULL").groupBy(F.col("a").alias("vid")).agg(F.sum("links").alias("links"))
     comps = connected_components(exact.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "vid")
     lowest = comps.join(entries.select("vid", "low"), "vid").groupBy("component").agg(F.min("low").alias("lowest"))

@@ -227,7 +227,7 @@ def test_near_vectors(spark):
     rows = [(i, [float(x) for x in v]) for i, v in rows]
     rows += [(200, None), (201, [0.0] * 16), (202, [float("nan")] + [1.0] * 15), (203, [None] + [1.0] * 15), (204, []), (205, [2 * x for x in rows[7][1]]), (206, [1.0, 2.0]), (207, [1.0, 2.1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit(1))
-    for settings in ({"probes": 64}, {"probes": 8, "lists": 8, "list_rows": 20}):
+    for settings in ({}, {"margin": 1.0, "lists": 8, "list_rows": 20}):
         got = {r.vec_id: (r.n_links, r.component_id) for r in quantised.near_duplicates(df, **settings).collect()}
         assert got == brute_vectors(rows)
     assert quantised.near_duplicates(df.where("vec_id < 0")).count() == 0
@@ -243,6 +243,39 @@ def test_recall_of_default_probes(spark):
     assert got.agg(F.sum("n_links")).first()[0] >= 0.97 * want > 0
 
 
+def test_near_vectors_recall_on_hard_pairs(spark):
+    """Pairs of a cosine of 0.90 to 0.92 beside a cluster that holds a third of the rows, its own pairs about 0.9: recall against all pairs."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = 6000
+    x = unit(rng.normal(size=(n, 64)))
+    x[:n // 3] = unit(x[0] + 0.041 * rng.normal(size=(n // 3, 64)))
+    base, noise = x[-1000:], rng.normal(size=(1000, 64))
+    noise = unit(noise - (noise * base).sum(axis=1, keepdims=True) * base)
+    cosine = rng.uniform(0.9, 0.92, (1000, 1))
+    x = np.concatenate([x, cosine * base + np.sqrt(1 - cosine**2) * noise])
+    want = (unit(x) @ unit(x).T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for settings in ({}, {"lists": 256}):
+        got = np.zeros(len(x), int)
+        for r in quantised.near_duplicates(df, **settings).collect():
+            got[r.vec_id] = r.n_links
+        assert (got <= want).all()
+        for part in (slice(0, n // 3), slice(n // 3, None)):
+            assert want[part].sum() and got[part].sum() >= 0.95 * want[part].sum()
+
+
+def test_near_vectors_of_one_vector_and_its_copies(spark):
+    rows = [(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in quantised.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False)]
+
+
+def test_lists_grow_with_the_root_of_the_table():
+    assert [quantised.lists_for(n) for n in (0, 1, 4096, 60_000, 10**6, 10**12)] == [64, 64, 64, 256, 1024, 4096]
+    assert [quantised.margin_for(n) for n in (2, 4, 16, 64, 1024)] == [1.0, 1.0, 0.5, 0.25, 0.0625]
+
+
 def test_near_vectors_of_ties_and_null_keys(spark):
     a, b = [1.0, 0.0, 0.0], [0.9, math.sqrt(1 - 0.81), 0.0]
     rows = [(None, a), (3, a), (3, a), (5, b), (6, [0.0, 0.0, 1.0])]
