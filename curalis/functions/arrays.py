@@ -83,15 +83,104 @@ def neighbours(grid: Column, side: int, kernel: list[list[float]]) -> Column:
     return H.let(grid, lambda g: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: cell(g, i)))
 
 
-def moments(v: Column) -> Column:
-    """Mean, deviation, mean of absolute values, fourth standardised moment (0 without spread)."""
-    def made(p: Column) -> Column:
-        w, m, s = p["v"], p["m"], p["s"]
-        fourth = F.aggregate(w, F.lit(0.0), lambda a, x: a + F.pow(x - m, 4)) / F.size(w)
-        return F.struct(m.alias("mean"), s.alias("std"), (F.aggregate(w, F.lit(0.0), lambda a, x: a + F.abs(x)) / F.size(w)).alias("mean_abs"),
-                        F.when(s > 0, fourth / F.pow(s, 4)).otherwise(0.0).alias("kurtosis"))
+def windowed(grid: Column, side: int, height: int, width: int, cell, down: int = 1, right: int = 1, top: int = 0, left: int = 0) -> Column:
+    """``cell(at)`` for ``height`` by ``width`` places of a grid, ``down`` and ``right`` apart; ``at(r, c)`` is the value that far from the place."""
+    def one(g: Column, i: Column) -> Column:
+        row, column = F.floor(i / width).cast("int") * down + top, i % width * right + left
+        return cell(lambda r, c: F.element_at(g, (row + r) * side + column + c + 1).cast("double"))
 
-    return H.let(H.let(v, lambda w: F.struct(w.alias("v"), mean(w).alias("m"), std(w).alias("s"))), made)
+    return H.let(grid, lambda g: F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: one(g, i)))
+
+
+def gradient(grid: Column, side: int) -> Column:
+    """Lengths of the differences to the right and downwards, where both exist."""
+    return windowed(grid, side, side - 1, side - 1, lambda at: F.sqrt((at(0, 1) - at(0, 0)) * (at(0, 1) - at(0, 0)) + (at(1, 0) - at(0, 0)) * (at(1, 0) - at(0, 0))))
+
+
+def laplacian(grid: Column, side: int) -> Column:
+    """The four neighbours less four times the cell, without the border."""
+    return windowed(grid, side, side - 2, side - 2, lambda at: at(0, 1) + at(2, 1) + at(1, 0) + at(1, 2) - 4 * at(1, 1))
+
+
+def steps(grid: Column, side: int, vertical: bool = False) -> Column:
+    """Absolute differences of cells side by side, or one above the other."""
+    r, c = (1, 0) if vertical else (0, 1)
+    return windowed(grid, side, side - r, side - c, lambda at: F.abs(at(r, c) - at(0, 0)))
+
+
+def block_ratio(grid: Column, side: int, block: int) -> Column:
+    """Mean difference over the borders of blocks against the mean difference of all neighbours; 0 without such borders."""
+    n = (side - 1) // block
+    if not n:
+        return F.lit(0.0)
+    over = lambda vertical: windowed(grid, side, n if vertical else side, side if vertical else n, lambda at: F.abs(at(0, 0) - (at(-1, 0) if vertical else at(0, -1))),
+                                     *((block, 1, block, 0) if vertical else (1, block, 0, block)))
+    return (mean(over(False)) + mean(over(True))) / F.greatest(F.lit(1e-8), mean(steps(grid, side)) + mean(steps(grid, side, True)))
+
+
+def residual_moments(v: Column) -> Column:
+    """Mean of absolute values, deviation, root of the mean square, fourth root of the mean fourth power."""
+    power = lambda w, k: F.aggregate(w, F.lit(0.0), lambda s, x: s + F.pow(F.abs(x), F.lit(float(k)))) / F.size(w)
+    return H.let(v, lambda w: F.struct(power(w, 1).alias("mean_abs"), std(w).alias("std"), F.sqrt(power(w, 2)).alias("rms"), F.pow(F.greatest(power(w, 4), F.lit(1e-12)), F.lit(0.25)).alias("fourth")))
+
+
+def fourier_matrices(side: int) -> tuple[list[list[float]], list[list[float]]]:
+    """Cosines and sines of the discrete Fourier transform."""
+    angle = lambda u, x: 2 * math.pi * u * x / side
+    return ([[math.cos(angle(u, x)) for x in range(side)] for u in range(side)], [[math.sin(angle(u, x)) for x in range(side)] for u in range(side)])
+
+
+def spectrum(grid: Column, side: int) -> Column:
+    """Power of the two-dimensional Fourier transform of a grid less its mean, row-major from frequency 0."""
+    c, s = fourier_matrices(side)
+    centred = H.let(grid, lambda g: H.let(F.struct(g.alias("g"), mean(g).alias("m")), lambda p: F.transform(p["g"], lambda x: x.cast("double") - p["m"])))
+    parts = lambda g: F.struct(*[H.sandwich(a, g, b, side).alias(n) for n, a, b in (("cc", c, c), ("ss", s, s), ("cs", c, s), ("sc", s, c))])
+    power = lambda p: F.zip_with(F.zip_with(p["cc"], p["ss"], lambda x, y: (x - y) * (x - y)), F.zip_with(p["cs"], p["sc"], lambda x, y: (x + y) * (x + y)), lambda x, y: x + y)
+    return H.let(H.let(centred, parts), power)
+
+
+def radial_bands(side: int, cuts: tuple[float, ...]) -> list[int]:
+    """Band of each cell of a spectrum by its distance from the middle, zero frequency moved there, as a part of the largest distance."""
+    middle = (side - 1) / 2
+    radius = [math.hypot((r + side // 2) % side - middle, (c + side // 2) % side - middle) for r in range(side) for c in range(side)]
+    return [sum(x / max(1.0, max(radius)) >= cut for cut in cuts) for x in radius]
+
+
+def band_shares(power: Column, bands: list[int]) -> Column:
+    """Share of the whole power in each band."""
+    at = F.array(*[F.lit(b) for b in bands])
+    one = lambda p, k: total(F.zip_with(p, at, lambda x, b: F.when(b == k, x).otherwise(0.0))) / (total(p) + 1e-12)
+    return H.let(power, lambda p: F.array(*[one(p, k) for k in range(max(bands) + 1)]))
+
+
+def erf(x: Column) -> Column:
+    """The error function, by a series without cancelling terms; beyond 6 it is 1."""
+    def series(y: Column) -> Column:
+        acc = F.struct(y.alias("term"), y.alias("sum"))
+        step = lambda a, n: F.struct((a["term"] * 2 * y * y / (2 * n + 1)).alias("term"), (a["sum"] + a["term"] * 2 * y * y / (2 * n + 1)).alias("sum"))
+        return 2 / math.sqrt(math.pi) * F.exp(-y * y) * F.aggregate(F.sequence(F.lit(1), F.lit(120)), acc, step)["sum"]
+
+    return H.let(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), x.cast("double"))), series)
+
+
+def gelu(x: Column) -> Column:
+    return 0.5 * x * (1 + erf(x / math.sqrt(2)))
+
+
+def layer_norm(v: Column, epsilon: float = 1e-5) -> Column:
+    both = F.struct(v.alias("v"), mean(v).alias("m"), std(v).alias("s"))
+    return H.let(both, lambda p: F.transform(p["v"], lambda x: (x - p["m"]) / F.sqrt(p["s"] * p["s"] + epsilon)))
+
+
+def linear(v: Column, weights: list[list[float]], bias: list[float]) -> Column:
+    """One output for each row of ``weights``."""
+    return H.let(v, lambda w: F.zip_with(F.transform(H.matrix_column(weights), lambda row: dot(w, row)), F.array(*[F.lit(float(b)) for b in bias]), lambda x, b: x + b))
+
+
+def head(v: Column, first: list[list[float]], first_bias: list[float], second: list[float], second_bias: float) -> Column:
+    """A score: normalised vector, linear layer, GELU, linear output."""
+    hidden = F.transform(linear(layer_norm(F.transform(v, lambda x: x.cast("double"))), first, first_bias), gelu)
+    return dot(hidden, F.array(*[F.lit(float(x)) for x in second])) + second_bias
 
 
 def gaussian_matrix(side: int, sigma: float) -> list[list[float]]:
@@ -146,11 +235,11 @@ def quantised(grid: Column, side: int, step: float) -> Column:
 
 
 def noisy(grid: Column, identity: Column, sigma: float) -> Column:
-    """Additive normal noise by Box-Muller from hashes of identity and place, clipped to [0, 1]."""
+    """Additive normal noise by Box-Muller from hashes of identity and place, clipped to [0, 1] and rounded to 8 bits."""
     def one(x: Column, i: Column) -> Column:
         u = H.uniform(F.sha2(F.concat_ws("|", identity, i.cast("string"), F.lit("a")), 256))
         w = H.uniform(F.sha2(F.concat_ws("|", identity, i.cast("string"), F.lit("b")), 256))
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x + sigma * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * w)))
+        return F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x + sigma * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * w))) * 255) / 255
 
     return F.transform(grid, one)
 
@@ -173,3 +262,10 @@ def weighted_picks(identity: Column, weights: dict[str, float], count: Column) -
     """``count`` of the names without replacement, by the least ``-ln(u) / weight``."""
     race = F.array_sort(F.array(*[F.struct((-F.log(H.uniform(F.sha2(F.concat_ws("|", identity, F.lit(k)), 256))) / w).alias("t"), F.lit(k).alias("k")) for k, w in weights.items()]))
     return F.transform(F.slice(race, 1, count), lambda x: x["k"])
+
+
+def folded(grid: Column, operations: list) -> Column:
+    """The operations applied one after another, each a function of a grid."""
+    for f in operations:
+        grid = H.let(grid, f)
+    return grid

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from curalis.functions import arrays as V
@@ -51,34 +47,77 @@ def _(t):
     return t("embeddings").select("vec_id", F.round(V.entropy(V.histogram(vector(), -0.5, 0.5, 64)), 6).alias("entropy"))
 
 
-@query("v3_edges")
+def window_sql(g: str, height: int, width: int, cell, down: int = 1, right: int = 1, top: int = 0, left: int = 0) -> str:
+    at = lambda r, c: f"{g}[(i // {width} * {down} + {top + r}) * 8 + i % {width} * {right} + {left + c} + 1]"
+    return f"list_transform(range(0, {height * width}), lambda i: {cell(at)})"
+
+
+_STD = "list_aggregate({}, 'stddev_pop')"
+_EDGES = f"""WITH x AS (SELECT vec_id, {_GRID} AS g FROM embeddings), y AS (SELECT vec_id,
+{window_sql("g", 7, 7, lambda at: f"sqrt(({at(0, 1)} - {at(0, 0)}) * ({at(0, 1)} - {at(0, 0)}) + ({at(1, 0)} - {at(0, 0)}) * ({at(1, 0)} - {at(0, 0)}))")} AS d,
+{window_sql("g", 6, 6, lambda at: f"{at(0, 1)} + {at(2, 1)} + {at(1, 0)} + {at(1, 2)} - 4 * {at(1, 1)}")} AS l,
+{window_sql("g", 8, 7, lambda at: f"abs({at(0, 1)} - {at(0, 0)})")} AS h, {window_sql("g", 7, 8, lambda at: f"abs({at(1, 0)} - {at(0, 0)})")} AS v,
+{window_sql("g", 8, 1, lambda at: f"abs({at(0, 0)} - {at(0, -1)})", 1, 4, 0, 4)} AS bh, {window_sql("g", 1, 8, lambda at: f"abs({at(0, 0)} - {at(-1, 0)})", 4, 1, 4, 0)} AS bv FROM x)"""
+
+
+@query("v3_edges", f"""{_EDGES}
+SELECT vec_id, round(list_avg(d), 6) AS gradient_mean, round({_STD.format("d")}, 6) AS gradient_std, len(list_filter(d, lambda e: e > list_avg(d) + {_STD.format("d")} + 1e-12)) / 49 AS edge_density,
+  round(list_aggregate(l, 'var_pop'), 6) AS laplacian_variance, round((list_avg(bh) + list_avg(bv)) / greatest(1e-8, list_avg(h) + list_avg(v)), 6) AS block_ratio FROM y""")
 def _(t):
-    grad = V.neighbours(grid(), 8, [[0, 0, 0], [-0.5, 0, 0.5], [0, 0, 0]])
-    lap = V.neighbours(grid(), 8, [[0, 1, 0], [1, -4, 1], [0, 1, 0]])
-    g = t("embeddings").select("vec_id", F.transform(grad, lambda x: F.abs(x)).alias("g"), lap.alias("l"))
-    m = V.mean(F.col("g")) + V.std(F.col("g"))
-    return g.select("vec_id", F.round(V.mean(F.col("g")), 6).alias("gradient"), (F.size(F.filter("g", lambda x: x > m)) / 64).alias("edge_density"), F.round(F.pow(V.std(F.col("l")), 2), 6).alias("laplacian_variance"))
+    g = t("embeddings").select("vec_id", grid().alias("grid")).select("vec_id", "grid", V.gradient(F.col("grid"), 8).alias("d"), V.laplacian(F.col("grid"), 8).alias("l"))
+    edge = H.let(V.mean(F.col("d")) + V.std(F.col("d")) + 1e-12, lambda m: F.size(F.filter("d", lambda x: x > m)))
+    return g.select("vec_id", F.round(V.mean(F.col("d")), 6).alias("gradient_mean"), F.round(V.std(F.col("d")), 6).alias("gradient_std"), (edge / 49).alias("edge_density"),
+                    F.round(F.pow(V.std(F.col("l")), F.lit(2.0)), 6).alias("laplacian_variance"), F.round(V.block_ratio(F.col("grid"), 8, 4), 6).alias("block_ratio"))
+
 
+# The cuts of the radial bands.
+BAND_CUTS = (0.125, 0.25, 0.5)
+_BANDS = V.radial_bands(8, BAND_CUTS)
+_COS, _SIN = V.fourier_matrices(8)
 
-@query("v4_spectrum_bands")
+
+@query("v4_spectrum_bands", f"""
+WITH x AS (SELECT vec_id, {_GRID} AS g FROM embeddings), z AS (SELECT vec_id, list_transform(g, lambda e: e - list_avg(g)) AS g FROM x),
+y AS (SELECT vec_id, {sandwich_sql(_COS, "g", _COS, 8)} AS cc, {sandwich_sql(_SIN, "g", _SIN, 8)} AS ss, {sandwich_sql(_COS, "g", _SIN, 8)} AS cs, {sandwich_sql(_SIN, "g", _COS, 8)} AS sc FROM z),
+p AS (SELECT vec_id, {_BANDS} AS b, list_transform(range(1, 65), lambda i: (cc[i] - ss[i]) * (cc[i] - ss[i]) + (cs[i] + sc[i]) * (cs[i] + sc[i])) AS p FROM y),
+s AS (SELECT vec_id, {", ".join(f"list_sum(list_transform(range(1, 65), lambda i: CASE WHEN b[i] = {k} THEN p[i] ELSE 0 END)) / (list_sum(p) + 1e-12) AS band{k}" for k in range(4))} FROM p)
+SELECT vec_id, {", ".join(f"round(band{k}, 6) AS band{k}" for k in range(4))}, round((band2 + band3) / greatest(1e-12, band0 + band1), 5) AS high_low FROM s""")
 def _(t):
-    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, x = np.meshgrid(np.fft.fftfreq(8), np.fft.fftfreq(8), indexing="ij")
-        band = np.minimum(3, (np.hypot(x, y) / (np.hypot(0.5, 0.5) / 4)).astype(int))
-        for b in batches:
-            power = np.abs(np.fft.fft2(np.stack(b["embedding"].to_numpy()).reshape(-1, 8, 8))) ** 2
-            power[:, 0, 0] = 0
-            share = np.stack([power[:, band == k].sum(axis=1) for k in range(4)], axis=1)
-            share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-12)
-            yield pd.DataFrame({"vec_id": b["vec_id"], **{f"band{k}": share[:, k].round(6) for k in range(4)}})
+    shares = t("embeddings").select("vec_id", V.band_shares(V.spectrum(grid(), 8), _BANDS).alias("s"))
+    s = [F.element_at("s", k) for k in range(1, 5)]
+    return shares.select("vec_id", *[F.round(x, 6).alias(f"band{k}") for k, x in enumerate(s)], F.round((s[2] + s[3]) / F.greatest(F.lit(1e-12), s[0] + s[1]), 5).alias("high_low"))
+
 
-    return t("embeddings").select("vec_id", "embedding").mapInPandas(bands, "vec_id long, band0 double, band1 double, band2 double, band3 double")
+# Residual kernels (Laplacian, two directional ones, chequered), each with its divisor.
+RESIDUAL_KERNELS = {
+    "laplacian": ([[0, 1, 0], [1, -4, 1], [0, 1, 0]], 4),
+    "across": ([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], 8),
+    "down": ([[-1, -2, -1], [0, 0, 0], [1, 2, 1]], 8),
+    "chequer": ([[1, -1, 1], [-1, 1, -1], [1, -1, 1]], 9),
+}
+_MOMENTS = ("mean_abs", "std", "rms", "fourth")
 
 
-@query("v5_residual_statistics")
+def _residual_sql(kernel, divisor: int) -> str:
+    mirror = lambda i: f"(CASE WHEN {i} < 0 THEN -({i}) WHEN {i} > 7 THEN 14 - ({i}) ELSE {i} END)"
+    terms = [f"{kernel[r + 1][c + 1] / divisor!r}::DOUBLE * g[{mirror(f'(i // 8 + {r})')} * 8 + {mirror(f'(i % 8 + {c})')} + 1]" for r in (-1, 0, 1) for c in (-1, 0, 1) if kernel[r + 1][c + 1]]
+    return f"list_transform(range(0, 64), lambda i: {' + '.join(terms)})"
+
+
+def _moments_sql(n: str) -> str:
+    return (f"round(list_avg(list_transform({n}, lambda e: abs(e))), 6) AS {n}_mean_abs, round({_STD.format(n)}, 6) AS {n}_std, round(sqrt(list_avg(list_transform({n}, lambda e: e * e))), 6) AS {n}_rms, "
+            f"round(pow(greatest(list_avg(list_transform({n}, lambda e: pow(e, 4))), 1e-12), 0.25), 6) AS {n}_fourth")
+
+
+@query("v5_residual_statistics", f"""
+WITH x AS (SELECT vec_id, {_GRID} AS g FROM embeddings), y AS (SELECT vec_id, {", ".join(f"{_residual_sql(k, d)} AS {n}" for n, (k, d) in RESIDUAL_KERNELS.items())},
+  {window_sql("g", 8, 7, lambda at: f"abs({at(0, 1)} - {at(0, 0)})")} AS h, {window_sql("g", 7, 8, lambda at: f"abs({at(1, 0)} - {at(0, 0)})")} AS v FROM x)
+SELECT vec_id, {", ".join(_moments_sql(n) for n in RESIDUAL_KERNELS)}, round(list_avg(h), 6) AS horizontal, round(list_avg(v), 6) AS vertical FROM y""")
 def _(t):
-    lap = V.neighbours(grid(), 8, [[0, 1, 0], [1, -4, 1], [0, 1, 0]])
-    return t("embeddings").select("vec_id", lap.alias("r")).select("vec_id", V.moments(F.col("r")).alias("m")).select("vec_id", *[F.round(f"m.{c}", 6).alias(c) for c in ("mean", "std", "mean_abs", "kurtosis")])
+    g = t("embeddings").select("vec_id", grid().alias("g"))
+    made = {n: V.residual_moments(V.neighbours(F.col("g"), 8, [[x / d for x in row] for row in k])) for n, (k, d) in RESIDUAL_KERNELS.items()}
+    m = g.select("vec_id", *[c.alias(n) for n, c in made.items()], F.round(V.mean(V.steps(F.col("g"), 8)), 6).alias("horizontal"), F.round(V.mean(V.steps(F.col("g"), 8, True)), 6).alias("vertical"))
+    return m.select("vec_id", *[F.round(f"{n}.{k}", 6).alias(f"{n}_{k}") for n in RESIDUAL_KERNELS for k in _MOMENTS], "horizontal", "vertical")
 
 
 @query("v6_text_surface", """
@@ -119,6 +158,16 @@ def _(t):
     return t("embeddings").select("vec_id", F.round(V.dot(vector(), w) + 0.25, 6).alias("logit"))
 
 
+def head_weights() -> tuple[list[list[float]], list[float], list[float], float]:
+    """Weights of a small head by a rule."""
+    return [[((i * 5 + k * 3) % 13 - 6) / 12 for i in range(64)] for k in range(4)], [0.1, -0.2, 0.3, 0.0], [0.5, -0.25, 0.75, -1.0], 0.125
+
+
+@query("v10_head")
+def _(t):
+    return t("embeddings").select("vec_id", F.round(V.head(vector(), *head_weights()), 6).alias("logit"))
+
+
 @query("v11_trained_head")
 def _(t):
     from pyspark.ml.classification import LogisticRegression
@@ -154,9 +203,17 @@ def _(t):
     return t("documents").select("doc_id", F.array_join(p, ">").alias("picks"))
 
 
-@query("v15_noise")
+_UNIFORM = "((('0x' || substr(sha256(vec_id || '|' || {}), 1, 13))::BIGINT + 1) / (pow(2.0, 52) + 1))"
+
+
+def noise_sql(g: str, sigma: float) -> str:
+    place = lambda s: _UNIFORM.format(f"(i - 1) || '|{s}'")
+    return f"list_transform(range(1, 65), lambda i: round_even(greatest(0.0, least(1.0, {g}[i] + {sigma} * sqrt(-2 * ln({place('a')})) * cos(2 * pi() * {place('b')}))) * 255, 0) / 255)"
+
+
+@query("v15_noise", f"WITH x AS (SELECT vec_id, {_GRID} AS g FROM embeddings), y AS (SELECT vec_id, {noise_sql('g', 0.05)} AS v FROM x) SELECT vec_id, {digest_sql('v', 5)} FROM y")
 def _(t):
-    return t("embeddings").select("vec_id", V.noisy(grid(), F.col("vec_id").cast("string"), 0.05).alias("v")).select("vec_id", *digest(F.col("v")))
+    return t("embeddings").select("vec_id", V.noisy(grid(), F.col("vec_id").cast("string"), 0.05).alias("v")).select("vec_id", *digest(F.col("v"), 5))
 
 
 def _matrix(name: str, matrix):
@@ -175,22 +232,49 @@ def _(t):
     return t("embeddings").select("vec_id", V.jittered(grid(), F.col("vec_id").cast("string"), 0.2).alias("v")).select("vec_id", *digest(F.col("v")))
 
 
-@query("v20_quantised")
+_DCT = H.cosine_matrix(8)
+_BACK = [list(r) for r in zip(*_DCT, strict=True)]
+
+
+@query("v20_quantised", f"""
+WITH x AS (SELECT vec_id, {_GRID} AS g FROM embeddings), y AS (SELECT vec_id, list_transform({sandwich_sql(_DCT, "g", _DCT, 8)}, lambda e: floor(e / 0.1::DOUBLE + 0.5) * 0.1::DOUBLE) AS g FROM x),
+z AS (SELECT vec_id, {sandwich_sql(_BACK, "g", _BACK, 8)} AS v FROM y) SELECT vec_id, {digest_sql("v", 5)} FROM z""")
 def _(t):
     return t("embeddings").select("vec_id", grid().alias("g")).select("vec_id", V.quantised(F.col("g"), 8, 0.1).alias("v")).select("vec_id", *digest(F.col("v"), 5))
 
 
-@query("v21_scenarios")
+_SCENARIOS = {"clean": (), "blur_1.0": ("blur",), "noise_0.05": ("noise",), "combo_blur_noise": ("blur", "noise"), "combo_resize_crop_noise": ("resize", "crop", "noise")}
+_MATRICES = {"blur": V.gaussian_matrix(8, 1.0), "resize": V.down_up_matrix(8, 0.5), "crop": V.crop_matrix(8, 0.8)}
+
+
+def scenario_grids(t):
+    """Each grid under each scenario: its operations folded in order, noise by the record's own seed."""
+    step = {n: (lambda m: lambda g: V.apply_matrix(g, m, 8))(m) for n, m in _MATRICES.items()} | {"noise": lambda g: V.noisy(g, F.col("vec_id").cast("string"), 0.05)}
+    g = t("embeddings").select("vec_id", "label", grid().alias("g"))
+    made = F.array(*[F.struct(F.lit(k).alias("scenario"), V.folded(F.col("g"), [step[o] for o in ops]).alias("v")) for k, ops in _SCENARIOS.items()])
+    return g.select("vec_id", "label", F.explode(made).alias("x")).select("vec_id", "label", "x.*")
+
+
+def _scenario_sql() -> str:
+    parts = []
+    for k, ops in _SCENARIOS.items():
+        v = f"(SELECT vec_id, label, {_GRID} AS g FROM embeddings)"
+        for o in ops:
+            v = f"(SELECT vec_id, label, {noise_sql('g', 0.05) if o == 'noise' else sandwich_sql(_MATRICES[o], 'g', _MATRICES[o], 8)} AS g FROM {v})"
+        parts.append(f"SELECT vec_id, label, '{k}' AS scenario, g AS v FROM {v}")
+    return " UNION ALL ".join(parts)
+
+
+@query("v21_scenarios", f"SELECT vec_id, scenario, {digest_sql('v', 5)} FROM ({_scenario_sql()})")
 def _(t):
-    g = t("embeddings").select("vec_id", grid().alias("g"))
-    made = {"clean": F.col("g"), "blur_1.0": V.apply_matrix(F.col("g"), V.gaussian_matrix(8, 1.0), 8), "noise_0.05": V.noisy(F.col("g"), F.col("vec_id").cast("string"), 0.05)}
-    both = F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), v.alias("v")) for k, v in made.items()]))
-    return g.select("vec_id", both.alias("x")).select("vec_id", "x.scenario", *digest(F.col("x.v")))
+    return scenario_grids(t).select("vec_id", "scenario", *digest(F.col("v"), 5))
 
 
-@query("v22_variants", "SELECT vec_id, variant, label FROM embeddings, range(0, 3) r(variant)")
+@query("v22_variants", f"""
+SELECT vec_id, any_value(label) AS label, count(*) AS variants, round(avg(list_avg(v)), 6) AS mean FROM ({_scenario_sql()}) GROUP BY 1 HAVING min(label) = max(label) AND count(DISTINCT scenario) = {len(_SCENARIOS)}""")
 def _(t):
-    return t("embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<long>")).alias("variant"), "label")
+    x = scenario_grids(t).groupBy("vec_id").agg(F.min("label").alias("label"), F.max("label").alias("top"), F.count("*").alias("variants"), F.count_distinct("scenario").alias("names"), F.round(F.avg(V.mean(F.col("v"))), 6).alias("mean"))
+    return x.where((F.col("label") == F.col("top")) & (F.col("names") == len(_SCENARIOS))).select("vec_id", "label", "variants", "mean")
 
 
 @query("v13_permutation_importance")
