@@ -96,3 +96,17 @@ def opposite_class(df: DataFrame, group: str, label: str, value: str) -> DataFra
     own = df.groupBy(group, label).agg(F.count("*").alias("own_n"), F.sum(value).alias("own_sum"))
     other = df.groupBy((1 - F.col(label)).alias(label)).agg(F.count("*").alias("other_n"), F.sum(value).alias("other_sum"))
     return own.join(other, label)
+
+
+def label_conflicts(df: DataFrame, digest: str, label: str, fail: bool = False) -> DataFrame:
+    """Digests whose rows have different labels, with the number of rows; with ``fail`` any such digest is an error."""
+    found = df.groupBy(digest).agg(F.count("*").alias("n"), F.min(label).alias("_a"), F.max(label).alias("_b")).where("_a <> _b").select(digest, "n")
+    if fail and found.limit(1).count():
+        raise ValueError("rows of equal content have different labels")
+    return found
+
+
+def declared_mismatches(df: DataFrame, key: str, declared: dict[str, str], found: dict[str, Column]) -> DataFrame:
+    """Rows where a declared value differs from the recomputed one, nulls included: ``key`` and the names that differ."""
+    wrong = F.array_compact(F.array(*[F.when(~F.col(declared[n]).eqNullSafe(found[n]), F.lit(n)) for n in declared]))
+    return df.select(key, wrong.alias("violations")).where(F.size("violations") > 0)

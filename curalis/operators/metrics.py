@@ -137,3 +137,39 @@ def scenario_summary(df: DataFrame, by: list[str], kind: str, metric: str, scena
     of = lambda k: F.when(F.col(kind) == k, F.col(metric))
     return df.groupBy(*by).agg(F.max(of("clean")).alias("clean"), F.avg(of("single")).alias("mean_single"), F.min(of("single")).alias("worst_single"),
                                F.avg(of("composed")).alias("mean_composed"), F.min(of("composed")).alias("worst_composed"), F.min_by(scenario, metric).alias("worst_scenario"))
+
+
+#: What an ablation report compares with its base.
+ABLATION = ("clean_auroc", "mean_single_auroc", "worst_single_auroc", "mean_composed_auroc", "clean_balanced_accuracy", "mean_single_balanced_accuracy", "worst_single_real_recall")
+
+
+def ablation(df: DataFrame, model: str, kind: str, base: Column) -> DataFrame:
+    """Per model the values of ``ABLATION`` over its scenarios (``auroc``, ``balanced_accuracy``, ``real_recall``) and each one's difference from the base model's.
+
+    Models without a clean or a single scenario fail the job.
+    """
+    of = lambda k, c: F.when(F.col(kind) == k, F.col(c))
+    m = df.groupBy(model).agg(
+        F.max(of("clean", "auroc")).alias("clean_auroc"), F.avg(of("single", "auroc")).alias("mean_single_auroc"), F.min(of("single", "auroc")).alias("worst_single_auroc"),
+        F.avg(of("composed", "auroc")).alias("mean_composed_auroc"), F.max(of("clean", "balanced_accuracy")).alias("clean_balanced_accuracy"),
+        F.avg(of("single", "balanced_accuracy")).alias("mean_single_balanced_accuracy"), F.min(of("single", "real_recall")).alias("worst_single_real_recall"))
+    whole = F.col("clean_auroc").isNotNull() & F.col("mean_single_auroc").isNotNull()
+    m = checkpointed(m.withColumn(model, F.when(whole, F.col(model)).otherwise(F.raise_error(F.lit("a model lacks clean or transformed scenarios")).cast(m.schema[model].dataType))))
+    against = m.where(base).limit(1).select(*[F.col(c).alias(f"_{c}") for c in ABLATION])
+    return m.join(F.broadcast(against)).select(*m.columns, *[(F.col(c) - F.col(f"_{c}")).alias(f"{c}_delta") for c in ABLATION])
+
+
+def affine_calibration(df: DataFrame, label: str, logit: str) -> DataFrame:
+    """Slope and intercept of a logistic fit with an L2 penalty of weight 1 on the slope, and the rows of each label; a slope of 0 or less fails."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    n = df.agg(F.count_if(F.col(label) == 0).alias("zeros"), F.count_if(F.col(label) == 1).alias("ones")).first()
+    if not n["zeros"] or not n["ones"]:
+        raise ValueError("calibration needs both labels")
+    x = df.select(F.col(label).cast("double").alias("label"), array_to_vector(F.array(F.col(logit).cast("double"))).alias("features"))
+    fitted = LogisticRegression(regParam=1 / (n["zeros"] + n["ones"]), standardization=False, tol=1e-9).fit(x)
+    slope = float(fitted.coefficients[0])
+    if slope <= 0:
+        raise ValueError(f"slope {slope}")
+    return df.sparkSession.createDataFrame([(slope, float(fitted.intercept), n["zeros"], n["ones"])], "coefficient double, intercept double, zeros long, ones long")

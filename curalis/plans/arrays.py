@@ -136,10 +136,17 @@ def _(t):
     return t("embeddings").select("vec_id", V.normalised(F.transform(vector(), lambda x: x.cast("double") * 3 + 0.1)).alias("v")).select("vec_id", *digest(F.col("v")))
 
 
-@query("v8_gated_fusion")
+_GATE, _BIAS = [((k * 7) % 5 - 2) / 4 for k in range(16)], [0.0, 0.1, -0.1, 0.2]
+
+
+@query("v8_gated_fusion", f"""
+WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT vec_id, [v[1:16], v[17:32], v[33:48], v[49:64]] AS l FROM x),
+e AS (SELECT *, list_transform(range(1, 5), lambda k: list_inner_product(l[k], {_GATE}::DOUBLE[]) + ({_BIAS}::DOUBLE[])[k]) AS e FROM l), w AS (SELECT *, list_transform(e, lambda a: exp(a - list_max(e))) AS w FROM e),
+s AS (SELECT vec_id, list_transform(range(1, 17), lambda i: list_sum(list_transform(range(1, 5), lambda k: w[k] / list_sum(w) * l[k][i]))) AS s FROM w),
+n AS (SELECT vec_id, list_transform(s, lambda a: a / sqrt(list_inner_product(s, s))) AS v FROM s) SELECT vec_id, {digest_sql("v")} FROM n""")
 def _(t):
     layers = F.array(*[F.transform(F.slice(vector(), k * 16 + 1, 16), lambda x: x.cast("double")) for k in range(4)])
-    fused = V.gated_fusion(layers, [((k * 7) % 5 - 2) / 4 for k in range(16)], [0.0, 0.1, -0.1, 0.2])
+    fused = V.gated_fusion(layers, _GATE, _BIAS)
     return t("embeddings").select("vec_id", fused.alias("v")).select("vec_id", *digest(F.col("v")))
 
 
@@ -227,7 +234,16 @@ _matrix("v17_down_up", V.down_up_matrix(8, 0.5))
 _matrix("v19_crop", V.crop_matrix(8, 0.8))
 
 
-@query("v18_jitter")
+def _jitter_sql() -> str:
+    u = {n: _UNIFORM.format(f"'{n}'") for n in ("brightness", "contrast", "order")}
+    bright = "list_transform({0}, lambda e: greatest(0.0, least(1.0, e * b)))"
+    contrast = "list_transform({0}, lambda e: greatest(0.0, least(1.0, (e - list_avg({0})) * k + list_avg({0}))))"
+    return f"""WITH x AS (SELECT vec_id, {_GRID} AS g, 0.8 + 0.4 * {u['brightness']} AS b, 0.8 + 0.4 * {u['contrast']} AS k, {u['order']} < 0.5 AS o FROM embeddings),
+y AS (SELECT *, CASE WHEN o THEN {bright.format('g')} ELSE {contrast.format('g')} END AS h FROM x),
+z AS (SELECT vec_id, CASE WHEN o THEN {contrast.format('h')} ELSE {bright.format('h')} END AS v FROM y) SELECT vec_id, {digest_sql('v')} FROM z"""
+
+
+@query("v18_jitter", _jitter_sql())
 def _(t):
     return t("embeddings").select("vec_id", V.jittered(grid(), F.col("vec_id").cast("string"), 0.2).alias("v")).select("vec_id", *digest(F.col("v")))
 

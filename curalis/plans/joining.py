@@ -162,9 +162,15 @@ def _(t):
     return t("documents").groupBy("lang").agg((F.count("*") >= 100).alias("complete"))
 
 
-@query("q7_declared_size", "SELECT doc_id, n_chars, length(text) AS found FROM documents WHERE n_chars <> length(text)")
-def _(t):
-    return t("documents").where(F.col("n_chars") != F.length("text")).select("doc_id", "n_chars", F.length("text").cast("long").alias("found"))
+@query("q7_declared_values", """
+WITH x AS (SELECT doc_id, text, CASE WHEN doc_id % 41 = 0 THEN n_chars + 1 ELSE n_chars END AS size, CASE WHEN doc_id % 37 = 0 THEN sha256(text || ' ') ELSE sha256(text) END AS digest, CASE WHEN doc_id % 53 = 0 THEN 1 ELSE 2 END AS version FROM documents),
+y AS (SELECT doc_id, concat_ws(',', CASE WHEN size IS DISTINCT FROM length(text) THEN 'size' END, CASE WHEN digest IS DISTINCT FROM sha256(text) THEN 'digest' END, CASE WHEN version <> 2 THEN 'version' END) AS violations FROM x)
+SELECT * FROM y WHERE violations <> ''""")
+def _(t):
+    x = t("documents").select("doc_id", "text", F.when(F.col("doc_id") % 41 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"),
+                              F.sha2(F.when(F.col("doc_id") % 37 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("digest"), F.when(F.col("doc_id") % 53 == 0, 1).otherwise(2).alias("version"))
+    bad = J.declared_mismatches(x, "doc_id", {n: n for n in ("size", "digest", "version")}, {"size": F.length("text").cast("long"), "digest": F.sha2("text", 256), "version": F.lit(2)})
+    return bad.select("doc_id", F.array_join("violations", ",").alias("violations"))
 
 
 @query("u1_union", "SELECT doc_id AS id, 'd' AS origin FROM documents UNION ALL SELECT page_id, 'p' FROM pages UNION ALL SELECT conv_id, 'c' FROM conversations")

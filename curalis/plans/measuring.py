@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from curalis.operators import matching as J
 from curalis.operators import metrics as A
 from curalis.plans.base import query
 
@@ -101,11 +102,11 @@ def _(t):
 
 
 @query("a12_label_conflicts", """
-WITH x AS (SELECT d.doc_id, sha256(text) AS h, toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
-SELECT h, count(*) AS n FROM x GROUP BY 1 HAVING min(toxic) <> max(toxic)""")
+WITH x AS (SELECT d.doc_id, sha256(text) AS h, CASE WHEN d.doc_id % 2 = 0 THEN 1 - quality ELSE quality END AS y FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
+SELECT h, count(*) AS n FROM x GROUP BY 1 HAVING min(y) <> max(y)""")
 def _(t):
-    x = t("documents").join(t("labels"), "doc_id").groupBy(F.sha2("text", 256).alias("h"))
-    return x.agg(F.count("*").alias("n"), F.min("toxic").alias("a"), F.max("toxic").alias("b")).where("a <> b").select("h", "n")
+    x = t("documents").join(t("labels"), "doc_id").select(F.sha2("text", 256).alias("h"), F.when(F.col("doc_id") % 2 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("y"))
+    return J.label_conflicts(x, "h", "y")
 
 
 _RANKED = f"""WITH x AS ({_LI}), s AS (SELECT grp, score, sum(label) AS pos, sum(1 - label) AS neg FROM x GROUP BY 1, 2),
@@ -179,12 +180,9 @@ def _(t):
 
 @query("a22_affine_calibration")
 def _(t):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    x = t("embeddings").select((F.col("label") < 5).cast("double").alias("label"), array_to_vector(F.array(F.col("embedding")[0].cast("double"))).alias("features"))
-    fitted = LogisticRegression(regParam=1 / x.count(), standardization=False).fit(x)
-    return t.spark.createDataFrame([(float(fitted.coefficients[0]), float(fitted.intercept))], "coefficient double, intercept double")
+    x = t("embeddings").select((F.col("label") < 5).cast("int").alias("label"), F.col("embedding")[0].cast("double").alias("logit"))
+    sign = x.agg(F.sign(F.corr("label", "logit"))).first()[0]  # a score that falls with the label is turned
+    return A.affine_calibration(x.withColumn("logit", F.col("logit") * (sign or 1.0)), "label", "logit")
 
 
 @query("a23_losses", f"""
@@ -224,11 +222,22 @@ def _(t):
     return A.scenario_summary(scenario_metrics(t), ["model"], "kind", "auroc", "scenario").withColumn("mean_single", F.round("mean_single", 9)).withColumn("mean_composed", F.round("mean_composed", 9))
 
 
-@query("a26_ablation_summary", _SUMMARY + " SELECT m.model, round(m.clean - b.clean, 9) AS clean_delta, round(m.mean_single - b.mean_single, 8) AS single_delta FROM m, (SELECT * FROM m WHERE model = 0) b")
+_ABLATION = """WITH x AS (SELECT CASE event_type WHEN 'error' THEN 'clean' WHEN 'signup' THEN 'combo_social' WHEN 'purchase' THEN 'combo_crop' ELSE event_type END AS scenario, user_id % 3 AS model, value / 1000 AS score, event_id % 2 AS label FROM events),
+s AS (SELECT scenario, model, count(*) FILTER (label = 0 AND score < 0.05) / greatest(1, count(*) FILTER (label = 0)) AS real, count(*) FILTER (label = 1 AND score >= 0.05) / greatest(1, count(*) FILTER (label = 1)) AS fake, avg(score) AS auroc FROM x GROUP BY 1, 2),
+k AS (SELECT *, CASE WHEN scenario = 'clean' THEN 'clean' WHEN starts_with(scenario, 'combo_') THEN 'composed' ELSE 'single' END AS kind, (real + fake) / 2 AS ba FROM s),
+m AS (SELECT model, max(auroc) FILTER (kind = 'clean') AS clean_auroc, avg(auroc) FILTER (kind = 'single') AS mean_single_auroc, min(auroc) FILTER (kind = 'single') AS worst_single_auroc, avg(auroc) FILTER (kind = 'composed') AS mean_composed_auroc,
+  max(ba) FILTER (kind = 'clean') AS clean_balanced_accuracy, avg(ba) FILTER (kind = 'single') AS mean_single_balanced_accuracy, min(real) FILTER (kind = 'single') AS worst_single_real_recall FROM k GROUP BY 1)"""
+
+
+@query("a26_ablation_summary", _ABLATION + " SELECT m.model, " + ", ".join(f"round(m.{c}, 9) AS {c}, round(m.{c} - b.{c}, 8) AS {c}_delta" for c in A.ABLATION) + " FROM m, (SELECT * FROM m WHERE model = 0) b")
 def _(t):
-    m = A.scenario_summary(scenario_metrics(t), ["model"], "kind", "auroc", "scenario")
-    base = m.where("model = 0").select(F.col("clean").alias("c0"), F.round("mean_single", 9).alias("s0"))
-    return m.join(F.broadcast(base)).select("model", F.round(F.col("clean") - F.col("c0"), 9).alias("clean_delta"), F.round(F.round("mean_single", 9) - F.col("s0"), 8).alias("single_delta"))
+    s = F.col("event_type")
+    name = F.when(s == "error", "clean").when(s == "signup", "combo_social").when(s == "purchase", "combo_crop").otherwise(s)
+    x = t("events").select(name.alias("scenario"), (F.col("user_id") % 3).alias("model"), (F.col("value") / 1000).alias("score"), (F.col("event_id") % 2).alias("label"))
+    m = A.threshold_metrics(x, "label", "score", 0.05, ["scenario", "model"]).withColumn("auroc", F.col("mean_score")).withColumn(
+        "kind", F.when(F.col("scenario") == "clean", "clean").when(F.col("scenario").startswith("combo_"), "composed").otherwise("single"))
+    out = A.ablation(m, "model", "kind", F.col("model") == 0)
+    return out.select("model", *[F.round(c, 9).alias(c) for c in A.ABLATION], *[F.round(f"{c}_delta", 8).alias(f"{c}_delta") for c in A.ABLATION])
 
 
 @query("a27_comparability", f"""

@@ -32,8 +32,9 @@ def read_metadata_csv(spark: SparkSession, path: str, required: list[str]) -> Da
 
 
 def payload(c: Column, kind: str) -> Column:
-    """Bytes of a payload column: binary itself, or the field ``bytes`` of a struct."""
-    return c["bytes"] if kind.startswith("struct") else c.cast("binary")
+    """Bytes of a payload column: binary itself, or the field ``bytes`` of a struct; null fails the job."""
+    found = c["bytes"] if kind.startswith("struct") else c.cast("binary")
+    return F.coalesce(found, F.raise_error(F.lit("payload missing")).cast("binary"))
 
 
 def has_suffix(path: Column) -> Column:
@@ -61,6 +62,35 @@ def write_features(df: DataFrame, path: str, rows: int = 2048) -> None:
     df.write.partitionBy("split", "variant").option("maxRecordsPerFile", rows).parquet(path)
 
 
+def merge_features(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """All row-range files of a feature table; a key twice in one split and variant, or missing from a variant of its split, is an error."""
+    rows = spark.read.schema(schema).parquet(path)
+    repeated = rows.groupBy("split", "variant", key).count().where("count > 1")
+    counts = rows.groupBy("split", "variant").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(key)).alias("ids"))
+    uneven = counts.groupBy("split").agg(F.count_distinct("n", "ids").alias("kinds")).where("kinds > 1")
+    if repeated.limit(1).count() or uneven.limit(1).count():
+        raise ValueError(f"{path}: repeated or missing keys")
+    return rows
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report, a table of bounded size, as JSON lines and as CSV with a header: ``path``/json and ``path``/csv."""
+    one = df.coalesce(1)
+    one.write.mode("overwrite").json(f"{path}/json")
+    one.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+def json_array(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Rows as one JSON array in the order of ``order``: column ``json``, for each group of ``by`` if given.
+
+    An array is one value, so a group must fit a row; JSON lines are the form for large results.
+    """
+    fields = [c for c in df.columns if c not in (by or [])]
+    item = F.struct(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.to_json(F.struct(*fields)).alias("_json"))
+    rows = df.groupBy(*(by or [])).agg(F.sort_array(F.collect_list(item)).alias("_rows"))
+    return rows.select(*(by or []), F.concat(F.lit("["), F.concat_ws(",", F.transform("_rows", lambda x: x["_json"])), F.lit("]")).alias("json"))
+
+
 def append_metric(df: DataFrame, path: str, version: int = 1) -> None:
     df.withColumn("schema_version", F.lit(version)).withColumn("timestamp", F.current_timestamp()).write.mode("append").parquet(path)
 

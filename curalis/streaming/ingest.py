@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,26 +20,57 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: str | None = No
 
 
 def keep_lowest(stream: DataFrame, table: str, checkpoint: str, by: list[str], rank: str, k: int, enough: Callable[[DataFrame], bool] | None = None) -> None:
-    """Per group the ``k`` rows of least rank over all batches, in versions of a table; stops once ``enough`` says so.
+    """Per group the ``k`` rows of least rank over all batches, in versions of a table; the query is stopped once ``enough`` says so.
 
-    A batch that is replayed writes its own version again, so the result is the same.
+    What has not been read by then stays unread. A batch that is replayed writes its own version again, so the result is the same.
     """
-    state: dict[str, object] = {"done": False}
+    done = threading.Event()
 
     def merge(batch: DataFrame, n: int) -> None:
-        if state["done"]:
+        if done.is_set():
             return
         spark = batch.sparkSession
         rows = batch if n == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{table}/v{n - 1}"))
         kept = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(rank))).where(F.col("_n") <= k).drop("_n")
         kept.write.mode("overwrite").parquet(f"{table}/v{n}")
-        state["last"] = n
-        if enough is not None and enough(spark.read.parquet(f"{table}/v{n}")):
-            state["done"] = True
+        if enough is not None and enough(spark.read.schema(batch.schema).parquet(f"{table}/v{n}")):
+            done.set()
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    running = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    while not running.awaitTermination(1):
+        if done.is_set():
+            running.stop()
+
+
+def last_version(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    """The newest of the versions that ``keep_lowest`` wrote."""
+    versions = spark.read.schema(schema).parquet(f"{table}/v*").withColumn("_v", F.regexp_extract(F.input_file_name(), r"/v(\d+)/", 1).cast("int"))
+    return versions.join(F.broadcast(versions.agg(F.max("_v").alias("_v"))), "_v").drop("_v")
 
 
 def stale(stored: str | None, current: str) -> bool:
     """Whether a stored fingerprint no longer fits, so that its checkpoint must go."""
     return stored is None or stored != current
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def invalidate(spark: SparkSession, folder: str, current: str, staged: tuple[str, ...] = ("out",)) -> bool:
+    """Whether an ingestion under ``folder`` starts anew: its stored fingerprint differs from ``current``, or staged rows have vanished.
+
+    Then the checkpoint (``check``) and the staged tables go and the fingerprint is stored. A folder without
+    any of them is new and only gets its fingerprint.
+    """
+    mark, files_ = _path(spark, f"{folder}/fingerprint")
+    stored = spark.read.text(mark.toString()).first() if files_.exists(mark) else None
+    there = lambda name: files_.exists(_path(spark, f"{folder}/{name}")[0])
+    gone = there("check") and not all(there(n) for n in staged)
+    if not stale(stored[0] if stored else None, current) and not gone:
+        return False
+    for name in ("check", *staged):
+        files_.delete(_path(spark, f"{folder}/{name}")[0], True)
+    spark.createDataFrame([(current,)], "value string").coalesce(1).write.mode("overwrite").text(mark.toString())
+    return True

@@ -139,7 +139,7 @@ def test_ingest_stops_when_enough(spark, tmp_path):
     stream = R.files(spark, str(tmp_path / "in"), "id long, g long, r string")
     R.keep_lowest(stream, str(tmp_path / "t"), str(tmp_path / "c"), ["g"], "r", 3, enough=lambda d: d.count() >= 6)
     assert spark.read.parquet(str(tmp_path / "t/v0")).count() == 6
-    assert not (tmp_path / "t/v1").exists()
+    assert not (tmp_path / "t/v1").exists() and len(list((tmp_path / "c/commits").glob("[0-9]*"))) < 4  # files are left unread
     assert R.stale(None, "x") and not R.stale("x", "x")
 
 
@@ -147,3 +147,102 @@ def test_fingerprint_ignores_order(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "id long")
     a = H.fingerprint(df, value="id").first()[0]
     assert a == H.fingerprint(df.orderBy(F.desc("id")), value="id").first()[0] != H.fingerprint(df.where("id > 0"), value="id").first()[0]
+
+
+def test_head_equals_numpy(spark):
+    import math
+
+    import numpy as np
+
+    from curalis.functions import arrays as V
+
+    rng = np.random.default_rng(4)
+    first, b1, second, b2 = rng.normal(size=(5, 12)), rng.normal(size=5), rng.normal(size=5), 0.3
+    x = rng.normal(size=(20, 12)) * 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    got = {r.i: r.s for r in df.select("i", V.head(F.col("v"), first.tolist(), b1.tolist(), second.tolist(), b2).alias("s")).collect()}
+    for i, v in enumerate(x):
+        h = first @ ((v - v.mean()) / math.sqrt(v.var() + 1e-5)) + b1
+        assert abs(got[i] - (sum(0.5 * a * (1 + math.erf(a / math.sqrt(2))) * w for a, w in zip(h, second)) + b2)) < 1e-9
+    points = [-30.0, -6.0, -2.5, -0.1, 0.0, 1e-9, 0.7, 3.3, 5.9, 8.0]
+    for r in spark.createDataFrame([(p,) for p in points], "x double").select("x", V.erf(F.col("x")).alias("e")).collect():
+        assert abs(r.e - math.erf(r.x)) < 1e-12
+
+
+def test_spectrum_equals_fft(spark):
+    import numpy as np
+
+    from curalis.functions import arrays as V
+
+    g = np.random.default_rng(1).random((8, 8))
+    got = spark.createDataFrame([(g.ravel().tolist(),)], "g array<double>").select(V.spectrum(F.col("g"), 8).alias("p")).first().p
+    assert np.allclose(np.array(got).reshape(8, 8), np.abs(np.fft.fft2(g - g.mean())) ** 2)
+    shifted = np.fft.fftshift(np.array(V.radial_bands(8, (0.125, 0.25, 0.5))).reshape(8, 8))
+    y, x = np.indices((8, 8))
+    radius = np.hypot(y - 3.5, x - 3.5)
+    assert (shifted == np.digitize(radius / radius.max(), [0.125, 0.25, 0.5])).all()
+
+
+def test_calibration_refuses_falling_scores_and_single_labels(spark):
+    rows = [(int(i % 3 == 0), float(i % 3 == 0) + (i % 7) / 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    r = A.affine_calibration(df, "y", "s").first()
+    assert r.coefficient > 0 and (r.zeros, r.ones) == (40, 20)
+    for bad in (df.withColumn("s", -F.col("s")), df.where("y = 1"), df.where("y = 2")):
+        with pytest.raises(ValueError):
+            A.affine_calibration(bad, "y", "s")
+
+
+def test_conflicts_and_declared_values(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 0), ("b", 1), ("c", None)], "h string, y int")
+    assert [tuple(r) for r in J.label_conflicts(df, "h", "y").collect()] == [("b", 2)]
+    with pytest.raises(ValueError):
+        J.label_conflicts(df, "h", "y", fail=True)
+    assert J.label_conflicts(df.where("h <> 'b'"), "h", "y", fail=True).count() == 0
+    x = spark.createDataFrame([(1, 3, "abc"), (2, 3, "ab"), (3, None, "x"), (4, None, None)], "id long, size int, text string")
+    got = J.declared_mismatches(x, "id", {"size": "size"}, {"size": F.length("text")})
+    assert sorted((r.id, r.violations) for r in got.collect()) == [(2, ["size"]), (3, ["size"])]
+
+
+def test_ablation_needs_clean_and_transformed_scenarios(spark):
+    rows = [(m, k, a, a, a) for m, k, a in (("x", "clean", 0.9), ("x", "single", 0.5), ("x", "single", 0.7), ("y", "clean", 0.8), ("y", "single", 0.6))]
+    df = spark.createDataFrame(rows, "model string, kind string, auroc double, balanced_accuracy double, real_recall double")
+    got = {r.model: r for r in A.ablation(df, "model", "kind", F.col("model") == "x").collect()}
+    assert got["x"].clean_auroc_delta == 0 and abs(got["y"].clean_auroc_delta + 0.1) < 1e-12 and got["y"].mean_composed_auroc is None
+    assert abs(got["y"].worst_single_real_recall_delta - 0.1) < 1e-12
+    with pytest.raises(Exception, match="clean or transformed"):
+        A.ablation(df.where("NOT (model = 'y' AND kind = 'clean')"), "model", "kind", F.col("model") == "x")
+
+
+def test_ingestion_starts_anew(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    spark.range(10).repartition(2).write.parquet(f"{d}/in")
+    run = lambda: R.ingest(R.files(spark, f"{d}/in", "id long"), f"{d}/out", f"{d}/check")
+    read = lambda: spark.read.schema("id long").parquet(f"{d}/out").count()
+    for revision, anew in (("a", True), ("a", False), ("b", True)):
+        assert R.invalidate(spark, d, revision) is anew
+        run()
+        assert read() == 10
+    (tmp_path / "out").rename(tmp_path / "lost")  # staged rows vanish
+    assert R.invalidate(spark, d, "b")
+    run()
+    assert read() == 10
+
+
+def test_reports_arrays_and_feature_tables(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, None), (3, 'c"')], "id long, name string")
+    S.write_report(df, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r/json")).count() == 3 and spark.read.option("header", True).csv(str(tmp_path / "r/csv")).columns == ["id", "name"]
+    import json
+
+    assert json.loads(S.json_array(df, ["id"]).first().json) == [{"id": 1}, {"id": 2, "name": "b"}, {"id": 3, "name": 'c"'}]
+    rows = spark.createDataFrame([("train", v, i) for v in (0, 1) for i in range(5)], "split string, variant int, id long")
+    S.write_features(rows, str(tmp_path / "f"), 2)
+    assert S.merge_features(spark, str(tmp_path / "f"), "split string, variant int, id long", "id").count() == 10
+    for name, bad in (("missing", rows.where("NOT (variant = 1 AND id = 3)")), ("twice", rows.unionByName(rows.where("variant = 0 AND id = 3")))):
+        S.write_features(bad, str(tmp_path / name), 2)
+        with pytest.raises(ValueError):
+            S.merge_features(spark, str(tmp_path / name), "split string, variant int, id long", "id")
+    p = spark.createDataFrame([(None,)], "b binary")
+    with pytest.raises(Exception, match="payload missing"):
+        p.select(S.payload(F.col("b"), "binary")).collect()
