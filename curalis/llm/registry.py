@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curalis.llm import attribution, chosen_path, language, mixing, packing, quality, quantised, secrets, spelling, suffix_dedup, toxicity, url_filters
+from curalis.llm import attribution, chosen_path, language, mixing, packing, periodic, quality, quantised, secrets, spelling, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
@@ -15,12 +15,14 @@ QUERIES = {
     "op5_pack": packing.op5_pack,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_poisson_mix": mixing.op9_poisson_mix,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_secret_scan": secrets.op13_secret_scan,
 }
 SQL = {
     "op8_url_filters": url_filters.OP8_SQL,
     "op9_poisson_mix": mixing.OP9_SQL,
+    "op11_periodic_runs": periodic.OP11_SQL,
     "op12_spelling_variants": spelling.OP12_SQL,
     "op13_secret_scan": secrets.OP13_SQL,
 }
