@@ -49,3 +49,8 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str,
     offsets = offsets.select(F.col("_range").alias("_r"), *[F.col(c).alias(n) for c, n in names.items()], *[f"_o_{k}" for k in sums])
     joined = local.join(offsets, on)
     return joined.select(*df.columns, *[(F.col(k) + F.col(f"_o_{k}")).alias(k) for k in sums])
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row from 1 in the total order of ``order``, whose columns tell rows apart."""
+    return running_sums(df, [], order, {name: F.lit(1)})

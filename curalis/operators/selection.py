@@ -11,35 +11,35 @@ from curalis.functions.lineage import checkpointed, running_sums
 MAX_STRATA = 1_000_000
 
 
-def square_root_quotas(strata: DataFrame, total: int, cap: int | None = None, fill: bool = False) -> DataFrame:
-    """``total`` over strata (``_g``, ``n``) in proportion to the roots of their sizes: columns ``_g``, ``_quota``.
+def square_root_quotas(strata: DataFrame, total: int | str, cap: int | None = None, fill: bool = False, by: list[str] | None = None) -> DataFrame:
+    """``total`` over strata (``_g``, ``n``) in proportion to the roots of their sizes: columns ``_g``, ``_quota``, and those of ``by``.
 
-    Strata whose share is more than they have (or than ``cap``) give all of it; these are the first ones
-    in the order of room over weight, as the share of a weight only grows when they leave. The others
-    share the rest: whole parts first, then one more to the largest remainders. A ``total`` of more than
-    there is fails, or with ``fill`` takes everything. Over ``MAX_STRATA`` strata are refused.
+    Rounds of filling: each stratum with room (of its ``n`` and of ``cap``) gets the whole part of its share of what is left, one at
+    least, in the order of ``_g`` while something is left. With ``by``, each of its groups has a total of its own, a column that
+    ``total`` names. A total of more than there is fails, or with ``fill`` takes everything. Over ``MAX_STRATA`` strata are refused.
     """
-    room = strata.where("n > 0").select("_g", F.least("n", F.lit(cap)).alias("room") if cap is not None else F.col("n").alias("room"), F.sqrt("n").alias("w"))
-    room = checkpointed(room)
-    size = room.agg(F.count("*").alias("strata"), F.sum("room").alias("there")).first()
-    there = size["there"] or 0
-    if size["strata"] > MAX_STRATA:
+    by = by or []
+    most = F.least("n", F.lit(cap)) if cap is not None else F.col("n")
+    asked = F.col(total) if isinstance(total, str) else F.lit(total)
+    state = strata.where("n > 0").select(*by, "_g", "n", most.cast("long").alias("_room"), asked.cast("long").alias("_left"), F.lit(0).cast("long").alias("_quota"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))  # a bounded table of strata
+    state = checkpointed(state.withColumn("_there", F.sum("_room").over(group)))
+    if state.count() > MAX_STRATA:
         raise ValueError("too many strata")
-    if total < 0 or total > there and not fill:
-        raise ValueError(f"{total} records asked of {there}")
-    total = min(total, there)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("room") / F.col("w"), "_g")  # a bounded table of strata
-    before = F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    full = room.withColumn("full", before + F.col("room") / F.col("w") * rest <= total)
-    everything = Window.partitionBy(F.lit(0))
-    left = F.lit(total) - F.coalesce(F.sum(F.when(F.col("full"), F.col("room"))).over(everything), F.lit(0))
-    weight = F.sum(F.when(~F.col("full"), F.col("w"))).over(everything)
-    shared = full.withColumn("left", left).withColumn("share", F.when(F.col("full"), F.col("room").cast("double")).otherwise(F.col("left") * F.col("w") / weight))
-    shared = shared.withColumn("whole", F.least(F.floor("share"), "room"))
-    spare = F.col("left") - F.sum(F.when(~F.col("full"), F.col("whole"))).over(everything)
-    place = F.row_number().over(everything.orderBy("full", F.desc(F.round(F.col("share") - F.col("whole"), 9)), "_g"))
-    return shared.select("_g", (F.col("whole") + F.when(~F.col("full") & (place <= spare), 1).otherwise(0)).cast("long").alias("_quota"))
+    bad = state.where((F.col("_left") < 0) | (F.col("_left") > F.col("_there")) if not fill else F.col("_left") < 0).select("_left", "_there").first()
+    if bad or not fill and not by and total and not state.limit(1).count():
+        raise ValueError(f"{bad['_left'] if bad else total} records asked of {bad['_there'] if bad else 0}")
+    state = state.withColumn("_left", F.least("_left", "_there"))
+    before = group.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        state = state.withColumn("_w", F.when((F.col("_quota") < F.col("_room")) & (F.col("_left") > 0), F.sqrt("n")))
+        share = F.greatest(F.lit(1), F.floor(F.col("_left") * F.col("_w") / F.sum("_w").over(group)))
+        state = state.withColumn("_p", F.when(F.col("_w").isNotNull(), F.least(F.col("_room") - F.col("_quota"), share)).otherwise(0))
+        given = F.greatest(F.lit(0), F.least("_p", F.col("_left") - F.coalesce(F.sum("_p").over(before), F.lit(0))))
+        state = state.withColumn("_add", given)
+        state = checkpointed(state.select(*by, "_g", "n", "_room", (F.col("_left") - F.sum("_add").over(group)).alias("_left"), (F.col("_quota") + F.col("_add")).alias("_quota")))
+        if not state.where("_left > 0").limit(1).count():
+            return state.select(*by, "_g", "_quota")
 
 
 def strata(df: DataFrame, group: Column) -> DataFrame:
@@ -52,9 +52,14 @@ def quota_table(df: DataFrame, quotas: dict[str, int]) -> DataFrame:
 
 
 def lowest_per_group(df: DataFrame, group: Column, quotas: DataFrame, rank: Column) -> DataFrame:
-    """The rows of least rank in each group, as many as its quota (columns ``_g``, ``_quota``)."""
+    """The rows of least rank in each group, as many as its quota (columns ``_g``, ``_quota``).
+
+    The largest quota bounds the numbering first, as a literal: tasks keep no more rows of a group than that before the shuffle.
+    """
+    quotas = checkpointed(quotas)
+    most = quotas.agg(F.max("_quota")).first()[0] or 0
     ranked = df.withColumn("_g", group.cast("string")).withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(rank)))
-    return ranked.join(quotas, "_g").where(F.col("_n") <= F.col("_quota")).drop("_g", "_n", "_quota")
+    return ranked.where(F.col("_n") <= F.lit(int(most))).join(quotas, "_g").where(F.col("_n") <= F.col("_quota")).drop("_g", "_n", "_quota")
 
 
 def select_by_groups(df: DataFrame, total: int, group: Column, rank: Column, cap: int | None = None, fill: bool = False) -> DataFrame:
@@ -71,16 +76,21 @@ def even_quotas(names: DataFrame, total: int, name: str, by: list[str] | None =
     return names.withColumn("quota", F.floor(t / n) + F.when(place <= t % n, 1).otherwise(0))
 
 
-def bottom_k(df: DataFrame, by: list[str], rank: Column, k: Column | int, identity: str | None = None) -> DataFrame:
-    """The ``k`` rows of least rank in each group; a repeated identity counts once."""
+def bottom_k(df: DataFrame, by: list[str], rank: Column, k: Column | int, identity: str | None = None, most: int | None = None) -> DataFrame:
+    """The ``k`` rows of least rank in each group; a repeated identity counts once.
+
+    Where ``k`` is a column, ``most`` is the largest of its values; it bounds what tasks keep of a group before the shuffle.
+    """
     rows = df.dropDuplicates([*by, identity]) if identity else df
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(rank))).where(F.col("_n") <= k).drop("_n")
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(rank)))
+    most = k if isinstance(k, int) else most
+    return (ranked if most is None else ranked.where(F.col("_n") <= F.lit(most))).where(F.col("_n") <= k).drop("_n")
 
 
 def balanced_sample(df: DataFrame, label: str, most: int, rank: Column) -> DataFrame:
     """Half of ``most`` rows with label 0, the rest with label 1; all rows if there are no more."""
     target = F.when(F.col(label) == 0, most // 2).otherwise(most - most // 2)
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(rank)))
+    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(rank))).where(F.col("_n") <= F.lit(most))
     size = df.groupBy().agg(F.count("*").alias("_all"))
     return ranked.join(F.broadcast(size)).where((F.col("_n") <= target) | (F.col("_all") <= most)).drop("_n", "_all")
 
@@ -105,19 +115,25 @@ def hold_out_groups(df: DataFrame, group: str, cap: int, target: int, seed: int)
 
 
 def roles(df: DataFrame, by: list[str], rank: Column, train: int, val: int, every: int = 14) -> DataFrame:
-    """Role of each row by place in its group: training first, then validation; every so many of the rest a reserve."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(rank))
-    return df.withColumn("_n", n).withColumn("role", F.when(F.col("_n") <= train, "train").when(F.col("_n") <= train + val, "val")
-                                             .when((F.col("_n") - 1) % every == 0, "reserve")).drop("_n")
+    """Role of each row by place in its group: training first, then validation; every so many of the rest a reserve.
+
+    Places are running sums over ranges, so no task holds a group. ``rank`` tells the rows of a group apart.
+    """
+    n = running_sums(df.withColumn("_rank", rank), by, ["_rank"], {"_n": F.lit(1)})
+    return n.withColumn("role", F.when(F.col("_n") <= train, "train").when(F.col("_n") <= train + val, "val")
+                        .when((F.col("_n") - 1) % every == 0, "reserve")).drop("_n", "_rank")
 
 
 def block_assignment(df: DataFrame, key: str, choices: list[str], seed: int, by: list[str] | None = None) -> DataFrame:
-    """One choice per row, in blocks that use each once, in a hashed order per block: counts differ by one at most."""
+    """One choice per row, in blocks that use each once, in a hashed order per block: counts differ by one at most.
+
+    Places are running sums over ranges of the hashed order, so no task holds a group; ``key`` tells its rows apart.
+    """
     k = len(choices)
-    place = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(H.stable_rank(seed, F.col(key)))) - 1
-    block = F.floor(place / k)
+    rows = running_sums(df.withColumn("_rank", H.stable_rank(seed, F.col(key))), by or [], ["_rank"], {"_place": F.lit(1)}).withColumn("_place", F.col("_place") - 1)
+    block = F.floor(F.col("_place") / k)
     order = F.array_sort(F.array(*[F.struct(H.stable_rank(seed, F.lit(c), block).alias("r"), F.lit(c).alias("c")) for c in choices]))
-    return df.withColumn("_place", place).withColumn("choice", F.get(order, (F.col("_place") % k).cast("int"))["c"]).drop("_place")
+    return rows.withColumn("choice", F.get(order, (F.col("_place") % k).cast("int"))["c"]).drop("_place", "_rank")
 
 
 def whole_pairs(df: DataFrame, parent: str, label: str, split: str) -> DataFrame:
@@ -151,75 +167,3 @@ def improvements(df: DataFrame, by: str, order: str, metric: str) -> DataFrame:
     marked = df.withColumn("best_before", best).withColumn("improved", F.col("best_before").isNull() | (F.col(metric) > F.col("best_before"))).withColumn("_n", F.row_number().over(w))
     last = F.max(F.when(F.col("improved"), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("since_improvement", F.col("_n") - last).drop("_n")
-
-
-def two_marginals(df: DataFrame, a: str, b: str, model: str, per_model: int, total: int, rank: Column, fill: bool = False) -> DataFrame:
-    """``total`` rows under a cap per model, spread over the cells of two marginals by the root of their sizes, topped up by rank."""
-    capped = bottom_k(df, [model], rank, per_model)
-    cell = F.concat_ws("|", a, b)
-    return select_by_groups(capped, total, cell, rank, fill=fill)
-
-
-def _any(conditions: list[Column]) -> Column:
-    found = conditions[0]
-    for c in conditions[1:]:
-        found |= c
-    return found
-
-
-def admit(units: DataFrame, edges: DataFrame, key: str, order: str, caps: dict[str, DataFrame], *, deny: DataFrame | None = None,
-          label: str | None = None, rounds: int = 100) -> DataFrame:
-    """What a walk through the units in ``order`` admits.
-
-    A unit is passed over if a cap of it is full; then if it is the duplicate of a denied row or of an
-    admitted unit; else it is admitted. So a unit passed over for a full cap strikes no duplicate of its
-    own. ``edges`` (a, b) holds duplicate pairs of units, ``deny`` the keys of units that equal a denied
-    row (with ``label``, that row's label). ``caps``: for each column of ``units`` a table ``_g``, ``_quota``;
-    a value without a quota is never admitted under the first cap and not limited under the others. With
-    ``label``, a duplicate that is not passed over for a cap and has another label fails the job.
-
-    In rounds over the whole table: a unit goes in when no better unit that is still open could fill its
-    caps or strike it, and is rejected when admitted ones do. The first open unit is decided in every
-    round. Rounds are checkpointed; counts per cap are running sums over ranges, so no task holds a cap.
-    """
-    first = next(iter(caps))
-    state = units.select(key, order, *caps, *([label] if label else []))
-    for name, quotas in caps.items():
-        limit = quotas.select(F.col("_g").alias("_n"), F.col("_quota").alias(f"_cap_{name}"))
-        state = state.join(limit, state[name].cast("string") == F.col("_n"), "left").drop("_n")
-    struck = (deny.select(key) if deny is not None else units.select(key).limit(0)).distinct().withColumn("_denied", F.lit(True))
-    state = state.join(struck, key, "left").withColumn("_denied", F.coalesce("_denied", F.lit(False)))
-    state = checkpointed(state.withColumn("_in", F.when(F.col(f"_cap_{first}").isNull() | F.col("_denied"), F.lit(False))))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    o = lambda x, n: units.select(F.col(key).alias(x), F.col(order).alias(n))
-    better = checkpointed(both.join(o("a", "_oa"), "a").join(o("b", "_ob"), "b").where("_ob < _oa").select("a", "b"))  # b comes before a
-
-    def counted(state: DataFrame) -> DataFrame:
-        """With, for each cap, how many better units are in, and how many are in or open."""
-        for name in caps:
-            one = {f"_in_{name}": F.when(F.col("_in"), 1).otherwise(0), f"_open_{name}": F.when(F.coalesce("_in", F.lit(True)), 1).otherwise(0)}
-            state = running_sums(state, [name], [order], one).withColumns({k: F.col(k) - v for k, v in one.items()})
-        return state
-
-    reaches = lambda kind: _any([F.coalesce(F.col(f"_{kind}_{n}") >= F.col(f"_cap_{n}"), F.lit(False)) for n in caps])
-    for _ in range(rounds):
-        neighbours = better.join(state.select(F.col(key).alias("b"), F.col("_in").alias("_b")), "b").groupBy(F.col("a").alias(key)).agg(
-            F.coalesce(F.bool_or(F.col("_b")), F.lit(False)).alias("_hit"), F.bool_or(F.col("_b").isNull()).alias("_waits"))
-        seen = counted(state).join(neighbours, key, "left")
-        hit, waits = F.coalesce("_hit", F.lit(False)), F.coalesce("_waits", F.lit(False))
-        now = F.when(hit | reaches("in"), F.lit(False)).when(~waits & ~reaches("open"), F.lit(True))
-        state = checkpointed(seen.withColumn("_in", F.coalesce("_in", now)).select(*state.columns))
-        if not state.where("_in IS NULL").limit(1).count():
-            break
-    else:
-        raise RuntimeError("admission did not settle")
-    if label:
-        held = state.where("_in").select(F.col(key).alias("b"), F.col(label).alias("_other"))
-        met = better.join(held, "b").select(F.col("a").alias(key), "_other")
-        if deny is not None:
-            met = met.unionByName(deny.select(key, F.col(label).alias("_other")))
-        open_ = counted(state).where(~reaches("in") & F.col(f"_cap_{first}").isNotNull())
-        found = open_.join(met, key).where(F.col(label) != F.col("_other")).select(key).first()
-        if found:
-            raise ValueError(f"{found[0]} has another label than its duplicate")
-    return units.join(state.where("_in").select(key), key, "left_semi")

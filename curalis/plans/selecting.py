@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curalis.functions import identity as H
 from curalis.functions.lineage import checkpointed
+from curalis.operators import admission as A
 from curalis.operators import selection as W
 from curalis.plans.base import query
 
@@ -17,25 +18,26 @@ def rank(c):
     return H.stable_rank(7, F.col(c))
 
 
-def root_quotas(counts: str, total: str, cap: str = "n") -> str:
-    """SQL (with ``c``: g, n) for quotas in proportion to roots; ``total`` at most what is there."""
-    return f"""c AS ({counts}), rm AS (SELECT g, least(n, {cap}) AS room, sqrt(n) AS w FROM c), tt AS (SELECT least({total}, sum(room)) AS total FROM rm),
-fl AS (SELECT *, coalesce(sum(room) OVER (ORDER BY room / w, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + room / w * sum(w) OVER (ORDER BY room / w, g ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= total AS f FROM rm, tt),
-lf AS (SELECT *, total - coalesce(sum(CASE WHEN f THEN room END) OVER (), 0) AS rest, sum(CASE WHEN NOT f THEN w END) OVER () AS ww FROM fl),
-sh AS (SELECT *, CASE WHEN f THEN room::DOUBLE ELSE rest * w / ww END AS share FROM lf), wh AS (SELECT *, least(floor(share), room)::BIGINT AS whole FROM sh),
-sp AS (SELECT *, rest - sum(CASE WHEN NOT f THEN whole END) OVER () AS spare, row_number() OVER (ORDER BY f, round(share - whole, 9) DESC, g) AS place FROM wh),
-q AS (SELECT g, whole + CASE WHEN NOT f AND place <= spare THEN 1 ELSE 0 END AS quota FROM sp)"""
+def root_quotas(counts: str, total: str, cap: str = "n", by: str = "0", q: str = "q") -> str:
+    """SQL (after WITH RECURSIVE; ``counts`` gives g, n, and p where ``by`` is p) for quotas by rounds of filling; ``total`` at most what is there."""
+    return f"""{q}_c AS (SELECT *, least(n, {cap})::BIGINT AS room FROM ({counts}) WHERE n > 0),
+{q}_r AS (SELECT *, 0::BIGINT AS quota, least({total}, sum(room) OVER (PARTITION BY {by}))::BIGINT AS rest FROM {q}_c
+  UNION ALL SELECT * EXCLUDE given REPLACE (quota + given AS quota, (rest - sum(given) OVER (PARTITION BY {by}))::BIGINT AS rest) FROM (
+    SELECT * EXCLUDE part, greatest(0, least(part, rest - coalesce(sum(part) OVER (PARTITION BY {by} ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS given FROM (
+      SELECT *, CASE WHEN quota < room THEN least(room - quota, greatest(1, floor(rest * sqrt(n) / sum(CASE WHEN quota < room THEN sqrt(n) END) OVER (PARTITION BY {by}))))::BIGINT ELSE 0 END AS part
+      FROM {q}_r WHERE rest > 0))),
+{q} AS (SELECT * EXCLUDE (n, room, rest) FROM {q}_r WHERE rest = 0)"""
 
 
 @query("w1_square_root_quotas", f"""
-WITH {root_quotas("SELECT p_brand AS g, count(*) AS n FROM part GROUP BY 1", "500")} SELECT g AS p_brand, quota FROM q""")
+WITH RECURSIVE {root_quotas("SELECT p_brand AS g, count(*) AS n FROM part GROUP BY 1", "500")} SELECT g AS p_brand, quota FROM q""")
 def _(t):
     q = W.square_root_quotas(W.strata(t("part"), F.col("p_brand")), 500, fill=True)
     return q.select(F.col("_g").alias("p_brand"), F.col("_quota").alias("quota"))
 
 
 @query("w2_select_by_groups", f"""
-WITH {root_quotas("SELECT lang AS g, count(*) AS n FROM documents GROUP BY 1", "300")},
+WITH RECURSIVE {root_quotas("SELECT lang AS g, count(*) AS n FROM documents GROUP BY 1", "300")},
 r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_R.format("doc_id")}) AS n FROM documents)
 SELECT doc_id, lang FROM r JOIN q ON q.g = r.lang WHERE n <= quota""")
 def _(t):
@@ -117,12 +119,24 @@ def _(t):
 
 
 @query("w10_two_marginals", f"""
-WITH k AS (SELECT p_partkey, p_type, p_brand, p_size, concat_ws('|', p_type, p_brand) AS cell FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY {_R.format("p_partkey")}) <= 20),
+WITH RECURSIVE k AS (SELECT p_partkey, p_type, p_brand, p_size, concat_ws('|', p_type, p_brand) AS cell FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY {_R.format("p_partkey")}) <= 20),
 {root_quotas("SELECT cell AS g, count(*) AS n FROM k GROUP BY 1", "600")},
 r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {_R.format("p_partkey")}) AS n FROM k)
 SELECT p_partkey, p_type, p_brand, p_size FROM r JOIN q ON q.g = r.cell WHERE n <= quota""")
 def _(t):
-    return W.two_marginals(t("part"), "p_type", "p_brand", "p_size", 20, 600, rank("p_partkey"), fill=True).select("p_partkey", "p_type", "p_brand", "p_size")
+    capped = W.bottom_k(t("part"), ["p_size"], rank("p_partkey"), 20)
+    return W.select_by_groups(capped, 600, F.concat_ws("|", "p_type", "p_brand"), rank("p_partkey"), fill=True).select("p_partkey", "p_type", "p_brand", "p_size")
+
+
+@query("w10_relaxed_passes")
+def _(t):
+    # half of the parts under targets of type and brand and a cap for each size; a test holds the passes against a walk
+    part = t("part").select("p_partkey", "p_type", "p_brand", "p_size", rank("p_partkey").alias("r"))
+    total = part.count() // 2
+    types = A.marginal_targets(part, "p_type", total, {"ECONOMY": 5.0, "STANDARD": 3.0, "PROMO": 2.0})
+    brands = A.marginal_targets(part, "p_brand", total, {f"Brand#{k}": float(k % 5 + 1) for k in range(11, 56)})
+    caps = part.groupBy(F.col("p_size").cast("string").alias("_g")).agg(F.ceil(F.count("*") * 0.6).alias("_quota"))
+    return A.two_marginals(part, "p_partkey", "r", ("p_type", types), ("p_brand", brands), "p_size", caps, total).select("p_partkey", "p_type", "p_brand", "p_size", "pass")
 
 
 @query("w11_reserve_pruning", f"""
@@ -130,15 +144,15 @@ WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER B
 SELECT doc_id, source FROM r WHERE n <= CASE WHEN source IN ('src0', 'src1') THEN ceil(4 * 1.25) ELSE ceil(8 * 1.25) END""")
 def _(t):
     cap = F.when(F.col("source").isin("src0", "src1"), F.ceil(F.lit(4 * 1.25))).otherwise(F.ceil(F.lit(8 * 1.25)))
-    return W.bottom_k(t("documents"), ["source"], rank("doc_id"), cap).select("doc_id", "source")
+    return W.bottom_k(t("documents"), ["source"], rank("doc_id"), cap, most=10).select("doc_id", "source")
 
 
 @query("w12_successive_draws", f"""
-WITH {root_quotas("SELECT source AS g, count(*) AS n FROM documents GROUP BY 1", "100")},
+WITH RECURSIVE {root_quotas("SELECT source AS g, count(*) AS n FROM documents GROUP BY 1", "100")},
 r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY source ORDER BY {_R.format("doc_id")}) AS n FROM documents),
 first AS (SELECT doc_id, lang, source FROM r JOIN q ON q.g = r.source WHERE n <= quota), left_ AS (SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM first)),
-second AS (WITH {root_quotas("SELECT lang AS g, count(*) AS n FROM left_ GROUP BY 1", "50")},
-r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY {_R.format("doc_id")}) AS n FROM left_) SELECT doc_id, lang, source FROM r JOIN q ON q.g = r.lang WHERE n <= quota)
+{root_quotas("SELECT lang AS g, count(*) AS n FROM left_ GROUP BY 1", "50", q="p")},
+s AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY {_R.format("doc_id")}) AS n FROM left_), second AS (SELECT doc_id, lang, source FROM s JOIN p ON p.g = s.lang WHERE n <= quota)
 SELECT *, 'train' AS role FROM first UNION ALL SELECT *, 'val' FROM second""")
 def _(t):
     d = t("documents").select("doc_id", "lang", "source")
@@ -147,6 +161,25 @@ def _(t):
     return first.unionByName(W.select_by_groups(rest, 50, F.col("lang"), rank("doc_id"), fill=True).withColumn("role", F.lit("val")))
 
 
+def _nested_role(k: int, role: str, amount: int) -> str:
+    """SQL of one role: groups by roots, their sources by roots, then the parents of least rank; ``there{k}`` holds who is left."""
+    return f"""{root_quotas(f"SELECT p_type AS g, count(*) AS n FROM there{k} GROUP BY 1", str(amount), q=f"o{k}")},
+{root_quotas(f"SELECT p_type AS p, p_brand AS g, count(*) AS n, any_value(quota) AS total FROM there{k} JOIN o{k} ON o{k}.g = p_type GROUP BY ALL", "total", by="p", q=f"i{k}")},
+took{k} AS (SELECT p_partkey, p_type, p_brand, '{role}' AS role FROM (SELECT *, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY sha256('{role}' || chr(0) || p_partkey)) AS k FROM there{k})
+  JOIN i{k} ON p = p_type AND g = p_brand WHERE k <= quota),
+there{k + 1} AS (SELECT * FROM there{k} ANTI JOIN took{k} USING (p_partkey))"""
+
+
+_ROLES = [("train", 80), ("val", 30), ("train reserve", 20), ("val reserve", 9)]
+
+
+@query("w12_nested_roles", "WITH RECURSIVE there0 AS (SELECT p_partkey, p_type, p_brand FROM part), " + ", ".join(_nested_role(k, *r) for k, r in enumerate(_ROLES))
+       + " " + " UNION ALL ".join(f"SELECT * FROM took{k}" for k in range(len(_ROLES))))
+def _(t):
+    by = lambda role: H.stable_rank(role, F.col("p_partkey"))
+    return A.successive_roles(t("part").select("p_partkey", "p_type", "p_brand"), "p_partkey", "p_type", "p_brand", _ROLES, by)
+
+
 @query("w13_roles", f"""
 WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_R.format("doc_id")}) AS n FROM documents)
 SELECT doc_id, lang, CASE WHEN n <= 50 THEN 'train' WHEN n <= 70 THEN 'val' WHEN (n - 1) % 14 = 0 THEN 'reserve' END AS role FROM r""")
@@ -161,7 +194,16 @@ def _(t):
     return W.hold_out_groups(t("documents"), "source", 40, 150, 7)
 
 
-@query("w15_block_assignment")
+@query("w15_block_assignment", f"""
+WITH p AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_R.format("o_orderkey")}) - 1 AS place FROM orders),
+c AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS choice),
+b AS (SELECT block, choice, row_number() OVER (PARTITION BY block ORDER BY sha256('7' || chr(0) || choice || chr(0) || block)) - 1 AS k FROM (SELECT DISTINCT place // 5 AS block FROM p), c)
+SELECT o_orderkey, choice FROM p JOIN b ON block = place // 5 AND k = place % 5""")
+def _(t):
+    return W.block_assignment(t("orders"), "o_orderkey", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], 7, ["o_orderstatus"]).select("o_orderkey", "choice")
+
+
+@query("w15_block_counts")
 def _(t):
     return W.block_assignment(t("orders"), "o_orderkey", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], 7, ["o_orderstatus"]).groupBy("o_orderstatus", "choice").agg(F.count("*").alias("n"))
 
@@ -212,7 +254,25 @@ def _(t):
     edges = d.join(d.groupBy("c").agg(F.min_by("doc_id", "r").alias("b")), "c").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     copies = d.select(F.col("h").alias("_g")).distinct().withColumn("_quota", F.lit(1).cast("long"))
     caps = {"lang": W.quota_table(d, {"en": 60, "de": 40, "fr": 40, "es": 40}), "source": W.quota_table(d, {"src0": 50}), "h": copies}
-    return W.admit(d.drop("c"), edges, "doc_id", "r", caps).select("doc_id", "lang", "source")
+    return A.admit(d.drop("c"), edges, "doc_id", "r", caps).select("doc_id", "lang", "source")
+
+
+@query("w20_units")
+def _(t):
+    # conversations enter with their first question and answer or not at all, before documents; one unit for each text.
+    # A test holds units, caps and quotas against a sequential walk.
+    turn = t("conversations").groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("user"),
+                                                     F.min_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("assistant"))
+    unit = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in ("user", "assistant")]))
+    pairs = turn.where("user IS NOT NULL AND assistant IS NOT NULL").select(unit.alias("unit"), F.lit(0).alias("p"), F.lit(None).cast("string").alias("source"), sides.alias("m")).select("unit", "p", "source", "m.*")
+    own = t("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("unit"), F.lit(1).alias("p"), "source", F.col("lang").alias("side"), "text")
+    members = pairs.unionByName(own).withColumn("h", H.content_digest(H.canonical_text(F.col("text")))).withColumn("r", rank("unit")).drop("text")
+    members = checkpointed(members.withColumn("m", F.concat_ws(":", "unit", "side")))
+    once = members.select(F.col("h").alias("_g")).distinct().withColumn("_quota", F.lit(1).cast("long"))
+    caps = {"side": (F.col("side"), W.quota_table(members, {"user": 20, "assistant": 20, "en": 60, "de": 30, "fr": 30})), "source": (F.col("source"), W.quota_table(members, {"src0": 12, "src1": 4})),
+            "text": (F.col("h"), once)}
+    return A.admit_units(members, None, "unit", ["p", "r"], caps, required=("side",), member="m").select("unit", "side", "source")
 
 
 @query("w20_one_per_text", f"""
@@ -223,7 +283,7 @@ def _(t):
     d = t("documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"), rank("doc_id").alias("r"), F.lit("all").alias("whole"))
     best = d.groupBy("h").agg(F.min_by("doc_id", "r").alias("b"))
     edges = d.join(best, "h").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")  # copies lead to the best of them
-    return W.admit(d.drop("h"), edges, "doc_id", "r", {"whole": W.quota_table(d, {"all": 1 << 40})}).select("doc_id", "lang")
+    return A.admit(d.drop("h"), edges, "doc_id", "r", {"whole": W.quota_table(d, {"all": 1 << 40})}).select("doc_id", "lang")
 
 
 @query("w21_budget_prefix", f"""
@@ -236,8 +296,16 @@ def _(t):
 _FAMILIES = ("ECONOMY", "STANDARD", "PROMO")
 
 
+@query("w22_fixed_quotas", f"""
+WITH RECURSIVE {root_quotas("SELECT p_brand AS g, count(*) AS n FROM part WHERE p_brand NOT IN ('Brand#13', 'Brand#21') GROUP BY 1", "93", "15")} SELECT g AS p_brand, quota FROM q
+UNION ALL SELECT * FROM (VALUES ('Brand#13', 5), ('Brand#21', 2)) AS fixed(p_brand, quota)""")
+def _(t):
+    q = A.fixed_and_rooted(W.strata(t("part"), F.col("p_brand")), 100, {"Brand#13": 5, "Brand#21": 2}, 15)
+    return q.select(F.col("_g").alias("p_brand"), F.col("_quota").alias("quota"))
+
+
 @query("w22_quota_table", "\nUNION ALL ".join(
-    "SELECT * FROM (WITH " + root_quotas(f"SELECT p_brand AS g, count(*) AS n FROM part WHERE p_type = '{kind}' GROUP BY 1", "100", "1000") + f" SELECT '{kind}' AS p_type, g AS p_brand, quota FROM q)"
+    "SELECT * FROM (WITH RECURSIVE " + root_quotas(f"SELECT p_brand AS g, count(*) AS n FROM part WHERE p_type = '{kind}' GROUP BY 1", "100", "1000") + f" SELECT '{kind}' AS p_type, g AS p_brand, quota FROM q)"
     for kind in _FAMILIES))
 def _(t):
     out = None

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from curalis.functions import identity as H
 from curalis.functions import lineage
 from curalis.functions import normalise as N
+from curalis.operators import admission as A2
 from curalis.operators import matching as J
 from curalis.operators import metrics as A
 from curalis.operators import selection as W
@@ -13,22 +14,50 @@ from curalis.sources import tables as S
 from curalis.streaming import ingest as R
 
 
-def test_root_quotas(spark):
+def filled(total, sizes, cap=None):
+    """Quotas by rounds of filling, one stratum after another."""
     import math
+
+    got = dict.fromkeys(sizes, 0)
+    while total:
+        open_ = {g: n for g, n in sizes.items() if got[g] < min(n, cap or n)}
+        whole = sum(map(math.sqrt, open_.values()))
+        parts = {g: min(min(n, cap or n) - got[g], max(1, int(total * math.sqrt(n) / whole))) for g, n in open_.items()}
+        for g in sorted(parts):
+            given = min(parts[g], total)
+            got[g] += given
+            total -= given
+    return got
+
+
+def test_root_quotas(spark):
     import random
 
     rng = random.Random(3)
+    counts = spark.createDataFrame([("large", 100), ("small", 4), ("medium", 25)], "_g string, n long")
+    assert {r[0]: r[1] for r in W.square_root_quotas(counts, 12).collect()} == {"large": 8, "medium": 3, "small": 1}
+    sizes = {f"g{i}": rng.randrange(1, 400) for i in range(17)}
+    counts = spark.createDataFrame(list(sizes.items()), "_g string, n long")
     for total in (0, 7, 61, 500):
-        sizes = {f"g{i}": rng.randrange(1, 400) for i in range(17)}
-        counts = spark.createDataFrame(list(sizes.items()), "_g string, n long")
-        got = {r[0]: r[1] for r in W.square_root_quotas(counts, total, cap=60).collect()}
-        assert sum(got.values()) == total and all(got[g] <= min(60, n) for g, n in sizes.items())
-        open_ = [g for g, n in sizes.items() if got[g] < min(60, n)]
-        level = [got[g] / math.sqrt(sizes[g]) for g in open_]
-        assert all(abs(got[g] - math.sqrt(sizes[g]) * (sum(got[x] for x in open_) / sum(math.sqrt(sizes[x]) for x in open_))) <= 1 for g in open_) or not level
+        assert {r[0]: r[1] for r in W.square_root_quotas(counts, total, cap=60).collect()} == filled(total, sizes, 60)
     with pytest.raises(ValueError):
         W.square_root_quotas(counts, 10_000)
     assert W.square_root_quotas(counts, 10_000, fill=True).agg(F.sum("_quota")).first()[0] == sum(sizes.values())
+    nested = counts.withColumn("p", F.substring("_g", 2, 1)).withColumn("t", F.length("_g") * 3)
+    got = {r._g: r._quota for r in W.square_root_quotas(nested, "t", by=["p"], fill=True).collect()}
+    for p in {g[1] for g in sizes}:
+        for part in [{g: n for g, n in sizes.items() if g[1] == p}]:
+            if len({len(g) for g in part}) == 1:
+                want = filled(min(sum(part.values()), 3 * len(next(iter(part)))), part)
+                assert {g: got[g] for g in part} == want
+
+
+def test_plans_bound_groups_before_the_shuffle(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 2).alias("y"))
+    quotas = W.quota_table(df, {"0": 5, "1": 9})
+    for plan in (W.lowest_per_group(df, F.col("g"), quotas, F.col("id")), W.bottom_k(df, ["g"], F.col("id"), F.when(F.col("g") == "0", 3).otherwise(4), most=4), W.balanced_sample(df, "y", 20, F.col("id"))):
+        assert "WindowGroupLimit" in plan._jdf.queryExecution().toString()
+    assert W.lowest_per_group(df, F.col("g"), quotas, F.col("id")).groupBy("g").count().orderBy("g").collect() == [("0", 5), ("1", 9)]
 
 
 def test_running_sums_over_a_hot_group(spark):
@@ -96,21 +125,95 @@ def test_admission_equals_a_walk(spark, seed):
         pairs.setdefault(b, set()).add(a)
     caps = {"q": {"a": 5, "b": 9, "c": 30}, "m": {"m": 8}}
     df = spark.createDataFrame(units, "id string, o int, q string, m string")
-    got = W.admit(df, spark.createDataFrame(edges, "a string, b string"), "id", "o", {k: W.quota_table(df, v) for k, v in caps.items()},
+    got = A2.admit(df, spark.createDataFrame(edges, "a string, b string"), "id", "o", {k: W.quota_table(df, v) for k, v in caps.items()},
                   deny=spark.createDataFrame([("u3",), ("u10",)], "id string"))
     assert {r.id for r in got.collect()} == walk(units, pairs, caps, {"u3", "u10"})
 
 
+def unit_walk(units, near, caps, required, deny=()):
+    """Units in order, each with its rows (member, keys): which enter."""
+    counts, taken, members = {}, [], set()
+    for unit, rows in units:
+        keys = [(n, r[n]) for _, r in rows for n in caps if r.get(n) is not None]
+        if any(k not in caps[n] and n in required for n, k in keys) or any(counts.get(x, 0) >= caps[x[0]][x[1]] for x in keys if x[1] in caps[x[0]]):
+            continue
+        if any(m in deny or near.get(m, set()) & members for m, _ in rows):
+            continue
+        taken.append(unit)
+        members |= {m for m, _ in rows}
+        for x in keys:
+            counts[x] = counts.get(x, 0) + 1
+    return taken
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_pairs_enter_whole(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    units, rows, near = [], [], {}
+    for u in range(70):
+        many = 2 if rng.random() < 0.5 else 1
+        own = [(f"m{u}.{k}", {"key": f"{rng.choice('ab')}{k}", "model": rng.choice(["x", "y", None])}) for k in range(many)]
+        units.append((f"u{u}", own))
+        rows += [(f"u{u}", m, u * 13 % 71, r["key"], r["model"]) for m, r in own]
+    names = [r[1] for r in rows]
+    edges = [tuple(rng.sample(names, 2)) for _ in range(50)]
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    caps = {"key": {"a0": 9, "b0": 12, "a1": 7, "b1": 30}, "model": {"x": 14}}
+    order = {r[0]: r[2] for r in rows}
+    want = unit_walk(sorted(units, key=lambda u: order[u[0]]), near, caps, {"key"}, {"m3.0"})
+    df = spark.createDataFrame(rows, "unit string, m string, o int, key string, model string")
+    named = {k: (F.col(k), W.quota_table(df, v)) for k, v in caps.items()}
+    e, deny = spark.createDataFrame(edges, "a string, b string"), spark.createDataFrame([("m3.0",)], "m string")
+    got = A2.admit_units(df, e, "unit", ["o"], named, required=("key",), deny=deny, member="m").collect()
+    assert sorted(r.m for r in got) == sorted(m for u, x in units if u in want for m, _ in x)
+    with pytest.raises(ValueError, match="quotas are not met"):
+        A2.admit_units(df, e, "unit", ["o"], {"key": (F.col("key"), W.quota_table(df, {"b1": 500}))}, member="m", exact=True)
+
+
+def test_a_long_chain_settles(spark):
+    df = spark.range(1000).select(F.col("id"), F.lit("all").alias("q"))
+    edges = spark.range(999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = A2.admit(df, edges, "id", "id", {"q": W.quota_table(df, {"all": 5000})})
+    assert sorted(r.id for r in got.collect()) == list(range(0, 1000, 2))
+
+
+def test_relaxed_passes(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, i * 37 % 401, rng.choice("abc"), rng.choice("xyz"), rng.choice("mnopq")) for i in range(300)]
+    targets, caps = ({"a": 40, "b": 10, "c": 30}, {"x": 20, "y": 50, "z": 10}), {"m": 20, "n": 20, "o": 25, "p": 40, "q": 5}
+    want, used = {}, [dict.fromkeys(t, 0) for t in (*targets, caps)]
+    for k in range(3):
+        for i, _, a, b, m in sorted(rows, key=lambda r: r[1]):
+            if i in want or len(want) == 95 or used[2][m] >= caps[m] or k < 2 and used[0][a] >= targets[0][a] or k < 1 and used[1][b] >= targets[1][b]:
+                continue
+            want[i] = k
+            for c, v in zip(used, (a, b, m), strict=True):
+                c[v] += 1
+    assert set(want.values()) == {0, 1, 2}
+    df = spark.createDataFrame(rows, "id long, o int, a string, b string, m string")
+    q = lambda d: W.quota_table(df, d)
+    got = A2.two_marginals(df, "id", "o", ("a", q(targets[0])), ("b", q(targets[1])), "m", q(caps), 95)
+    assert {r.id: r["pass"] for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        A2.two_marginals(df, "id", "o", ("a", q(targets[0])), ("b", q(targets[1])), "m", q(caps), 200)
+
+
 def test_full_quota_strikes_no_duplicate(spark):
     df = spark.createDataFrame([("A", 0, "r", 0), ("B", 1, "r", 1), ("C", 2, "s", 0)], "id string, o int, q string, y int")
     edges = spark.createDataFrame([("B", "C")], "a string, b string")
     quotas = lambda n: {"q": W.quota_table(df, {"r": n, "s": 1})}
-    assert {r.id for r in W.admit(df, edges, "id", "o", quotas(1), label="y").collect()} == {"A", "C"}
+    assert {r.id for r in A2.admit(df, edges, "id", "o", quotas(1), label="y").collect()} == {"A", "C"}
     with pytest.raises(ValueError):  # B is admitted, and C is its duplicate under another label
-        W.admit(df, edges, "id", "o", quotas(2), label="y")
+        A2.admit(df, edges, "id", "o", quotas(2), label="y")
     deny = spark.createDataFrame([("C", 1)], "id string, y int")
     with pytest.raises(ValueError):
-        W.admit(df, edges, "id", "o", quotas(1), deny=deny, label="y")
+        A2.admit(df, edges, "id", "o", quotas(1), deny=deny, label="y")
 
 
 def test_manifest_csv_and_sinks(spark, tmp_path):
