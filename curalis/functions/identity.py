@@ -99,6 +99,14 @@ def sandwich(left: list[list[float]], grid: Column, right: list[list[float]], si
                lambda x: F.flatten(F.transform(x["l"], lambda a: F.transform(x["r"], lambda b: one(x["g"], a, b)))))
 
 
+def separable(left: list[list[float]], grid: Column, right: list[list[float]], side: int) -> Column:
+    """``sandwich`` in two steps, rows first: fewer products for matrices of many rows, sums in another order."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    columns = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda j: F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.get(grid, i * side + j).cast("double")))
+    half = let(F.struct(columns.alias("c"), matrix_column(left).alias("l")), lambda x: F.transform(x["l"], lambda a: F.transform(x["c"], lambda c: dot(a, c))))
+    return let(F.struct(half.alias("h"), matrix_column(right).alias("r")), lambda x: F.flatten(F.transform(x["h"], lambda h: F.transform(x["r"], lambda b: dot(h, b)))))
+
+
 def cosine_signature(grid: Column, side: int = 8) -> Column:
     """Which coefficients of a grid's two-dimensional cosine transform exceed their lower median, as hex."""
     c = cosine_matrix(side)
@@ -107,6 +115,52 @@ def cosine_signature(grid: Column, side: int = 8) -> Column:
     return bits_to_hex(let(let(coefficients, pair), lambda p: F.transform(p["c"], lambda x: x > p["m"])), side * side)
 
 
+def stretched(side: int, out: int) -> list[list[float]]:
+    """Matrix that resamples ``side`` values at ``out`` places by linear interpolation, ends held."""
+    rows = []
+    for k in range(out):
+        at = min(max((k + 0.5) * side / out - 0.5, 0.0), side - 1.0)
+        low = min(int(at), side - 2)
+        rows.append([1 - (at - low) if j == low else at - low if j == low + 1 else 0.0 for j in range(side)])
+    return rows
+
+
+def low_frequencies(side: int, low: int = 16) -> list[list[float]]:
+    """Matrix from ``side`` values to the ``low`` first coefficients of their cosine transform at four times as many places."""
+    wide = stretched(side, 4 * low)
+    return [[round(sum(c * w[j] for c, w in zip(row, wide, strict=True)), 12) for j in range(side)] for row in cosine_matrix(4 * low)[:low]]
+
+
+def cosine_signature_256(grid: Column, side: int = 8) -> Column:
+    """64 hex digits: which of the 16 by 16 lowest coefficients of the stretched grid's cosine transform exceed their lower median."""
+    m = low_frequencies(side)
+    coefficients = F.transform(separable(m, grid, m, side), lambda x: F.round(x, 6))
+    pair = lambda c: F.struct(c.alias("c"), F.element_at(F.array_sort(c), 128).alias("m"))
+    return bits_to_hex(let(let(coefficients, pair), lambda p: F.transform(p["c"], lambda x: x > p["m"])), 256)
+
+
+def difference_signature_256(grid: Column, side: int = 8) -> Column:
+    """64 hex digits: which of 16 by 17 cells of the stretched grid are smaller than the next one in their row."""
+    cells = F.transform(separable(stretched(side, 16), grid, stretched(side, 17), side), lambda x: F.round(x, 6))
+    return let(cells, lambda v: bits_to_hex(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.element_at(v, (i + F.floor(i / 16) + 2).cast("int")) > F.element_at(v, (i + F.floor(i / 16) + 1).cast("int"))), 256))
+
+
+def segment_bits(df: DataFrame, key: str, text: str) -> DataFrame:
+    """64-bit signatures of the sentences of every text: ``key``, ``segments`` (hex strings, each once).
+
+    Bit k is set where most of a sentence's words have it set in the first half of their MD5. Each distinct sentence is
+    worked out once. Texts without a sentence are left out.
+    """
+    parts = F.array_distinct(F.filter(F.transform(F.split(canonical_text(F.col(text)), r"[.!?]+ *"), lambda s: F.trim(s)), lambda s: s != ""))
+    own = df.select(key, F.explode(parts).alias("_s"))
+    words = own.select("_s").distinct().select("_s", F.explode(F.split("_s", " ")).alias("_w"))
+    half = lambda k: F.conv(F.substring(F.md5("_w"), 1 + 8 * k, 8), 16, 10).cast("long")
+    words = words.select("_s", half(0).alias("_h0"), half(1).alias("_h1"))
+    votes = [F.sum(F.shiftright(f"_h{k // 32}", 31 - k % 32).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"_b{k}") for k in range(64)]
+    signed = words.groupBy("_s").agg(*votes).select("_s", bits_to_hex(F.array(*[F.col(f"_b{k}") > 0 for k in range(64)]), 64).alias("_x"))
+    return own.join(signed, "_s").groupBy(key).agg(F.collect_set("_x").alias("segments"))
+
+
 def segment_signatures(text: Column) -> Column:
     """Digests of a text's sentences, normalised; empty sentences are left out."""
     parts = F.filter(F.transform(F.split(text, r"[.!?]+[ \t\n]*"), canonical_text), lambda s: s != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,30 +32,97 @@ def exact_duplicates(df: DataFrame, key: str, digests: list[str]) -> DataFrame:
     return rows.withColumn("_f", found).where("_f IS NOT NULL").select("_f.kept", F.col(key).alias("discarded"), "_f.kind")
 
 
-def hamming_join(a: DataFrame, b: DataFrame, key_a: str, key_b: str, signature: str, radius: int, digits: int) -> DataFrame:
+def _cuts(signature: str, radius: int, digits: int, spare: int) -> Column:
+    """Keys of a signature: it is cut into radius + 1 + spare parts, and every choice of 1 + spare parts is a key."""
+    n = min(radius + 1 + spare, digits)
+    edges = [k * digits // n for k in range(n + 1)]
+    part = lambda k: F.substring(signature, edges[k] + 1, edges[k + 1] - edges[k])
+    chosen = combinations(range(n), max(1, n - radius))
+    return F.array(*[F.struct(F.lit(k).alias("n"), F.concat(*[part(p) for p in c]).alias("bits")) for k, c in enumerate(chosen)])
+
+
+def hamming_join(a: DataFrame, b: DataFrame, key_a: str, key_b: str, signature: str, radius: int, digits: int, spare: int = 0) -> DataFrame:
     """Pairs of signatures (hex strings of ``digits`` digits) that differ in at most ``radius`` bits.
 
-    With more bands than ``radius``, one band at least is equal. Equal signatures meet once: the join
-    runs on distinct signatures and its rows stand for all keys that have them.
+    Of radius + 1 + spare parts, 1 + spare at least are equal: every choice of so many is a key; more ``spare`` parts make
+    more and longer keys. ``radius`` is below ``digits``. Equal signatures meet once: the join runs on distinct signatures and
+    its rows stand for all keys that have them, dealt to several tasks where a signature has many.
     """
-    n = radius + 1
-    edges = [k * digits // n for k in range(n + 1)]
+    if radius >= digits:
+        raise ValueError("the radius needs as many digits at least")
+
+    def keyed(x: DataFrame, name: str) -> DataFrame:
+        return x.select(signature).distinct().select(F.col(signature).alias(name), F.explode(_cuts(signature, radius, digits, spare)).alias("key")).select(name, "key.*")
+
+    met = keyed(a, "sa").join(keyed(b, "sb"), ["n", "bits"]).select("sa", "sb").distinct()
+    near = met.withColumn("distance", H.hamming(F.col("sa"), F.col("sb"))).where(F.col("distance") <= radius)
+    out = spread_join(a.select(F.col(key_a).alias("a"), F.col(signature).alias("sa")), near, "sa", "a")
+    return spread_join(b.select(F.col(key_b).alias("b"), F.col(signature).alias("sb")), out, "sb", "b").select("a", "b", "distance")
+
+
+def spread_join(rows: DataFrame, other: DataFrame, on: str, key: str, most: int = 10_000) -> DataFrame:
+    """Inner join where rows of a value of ``on`` that has over ``most`` of them are dealt by ``key`` to parts; ``other`` goes to each part."""
+    parts = rows.groupBy(on).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_parts > 1")
+    dealt = rows.join(parts, on, "left").withColumn("_part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).otherwise(0))
+    copied = other.join(parts, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0)))))
+    return dealt.drop("_parts").join(copied.drop("_parts"), [on, "_part"]).drop("_part")
+
 
-    def bands(x: DataFrame, name: str) -> DataFrame:
-        cut = F.array(*[F.struct(F.lit(k).alias("n"), F.substring(signature, lo + 1, hi - lo).alias("bits")) for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo])
-        return x.select(signature).distinct().select(F.col(signature).alias(name), F.explode(cut).alias("band")).select(name, "band.*")
+def near_signatures(a: DataFrame, b: DataFrame, key_a: str, key_b: str, p: str, d: str, radius_p: int, radius_d: int, digits: int = 64, crowded: int = 1_000) -> DataFrame:
+    """Pairs whose signatures ``p`` differ in at most ``radius_p`` bits and ``d`` in at most ``radius_d``: columns a, b, p_distance, d_distance.
 
-    met = bands(a, "sa").join(bands(b, "sb"), ["n", "bits"]).select("sa", "sb").distinct()
+    Parts of ``p`` are keys, by pigeonhole; a key that over ``crowded`` distinct signatures share is refined by each part of
+    ``d``, which loses no pair either. Distinct pairs of signatures meet once; see ``signature_candidates`` for their number.
+    """
+    near = signature_candidates(a, b, p, d, radius_p, radius_d, digits, crowded)
+    near = near.withColumn("p_distance", H.hamming(F.col("pa"), F.col("pb"))).withColumn("d_distance", H.hamming(F.col("da"), F.col("db")))
+    near = near.where((F.col("p_distance") <= radius_p) & (F.col("d_distance") <= radius_d))
+    near = near.withColumn("sa", F.concat("pa", "da")).withColumn("sb", F.concat("pb", "db")).select("sa", "sb", "p_distance", "d_distance")
+    own = lambda x, key, name: x.select(F.col(key).alias(name), F.concat(p, d).alias(f"s{name}"))
+    out = spread_join(own(a, key_a, "a"), near, "sa", "a")
+    return spread_join(own(b, key_b, "b"), out, "sb", "b").select("a", "b", "p_distance", "d_distance")
+
+
+def signature_candidates(a: DataFrame, b: DataFrame, p: str, d: str, radius_p: int, radius_d: int, digits: int = 64, crowded: int = 1_000) -> DataFrame:
+    """Distinct pairs of signatures (pa, da), (pb, db) that share a key; ``near_signatures`` verifies them."""
+    if max(radius_p, radius_d) >= digits:
+        raise ValueError("the radius needs as many digits at least")
+
+    def keyed(x: DataFrame, name: str) -> DataFrame:
+        own = x.where(F.col(p).isNotNull() & F.col(d).isNotNull()).select(F.col(p).alias(f"p{name}"), F.col(d).alias(f"d{name}")).distinct()
+        return own.select("*", F.explode(_cuts(f"p{name}", radius_p, digits, 0)).alias("key")).select(f"p{name}", f"d{name}", "key.*")
+
+    x, y = keyed(a, "a"), keyed(b, "b")
+    many = x.unionByName(y.select(F.col("pb").alias("pa"), F.col("db").alias("da"), "n", "bits")).groupBy("n", "bits").agg(F.count("*").alias("_m")).where(F.col("_m") > crowded).select("n", "bits", F.lit(True).alias("_many"))
+
+    def refined(x: DataFrame, name: str) -> DataFrame:
+        more = F.when(F.col("_many"), _cuts(f"d{name}", radius_d, digits, 0)).otherwise(F.array(F.struct(F.lit(-1).alias("n"), F.lit("").alias("bits"))))
+        return x.join(many, ["n", "bits"], "left").withColumn("_d", F.explode(more)).select(f"p{name}", f"d{name}", "n", "bits", F.col("_d.n").alias("m"), F.col("_d.bits").alias("more"))
+
+    return refined(x, "a").join(refined(y, "b"), ["n", "bits", "m", "more"]).select("pa", "da", "pb", "db").distinct()
+
+
+def near_segments(a: DataFrame, b: DataFrame, key_a: str, key_b: str, segments: str, radius: int, digits: int = 16, spare: int = 2, least: int = 1) -> DataFrame:
+    """Pairs with at least ``least`` segments of a (arrays of hex strings) within ``radius`` bits of a segment of b: columns a, b, matched, closest.
+
+    Distinct segments meet once, over keys of several parts. A segment that many rows hold is dealt to tasks by their keys, so that
+    no task has all rows of one.
+    """
+    x = a.select(F.col(key_a).alias("_k"), F.explode(F.array_distinct(segments)).alias("_s"))
+    y = b.select(F.col(key_b).alias("_k"), F.explode(F.array_distinct(segments)).alias("_s"))
+    one = lambda z, name: z.select(F.col("_s").alias(name)).distinct().select(name, F.explode(_cuts(name, radius, digits, spare)).alias("key")).select(name, "key.*")
+    met = one(x, "sa").join(one(y, "sb"), ["n", "bits"]).select("sa", "sb").distinct()
     near = met.withColumn("distance", H.hamming(F.col("sa"), F.col("sb"))).where(F.col("distance") <= radius)
-    return (near.join(a.select(F.col(key_a), F.col(signature).alias("sa")), "sa").join(b.select(F.col(key_b).alias("_b"), F.col(signature).alias("sb")), "sb")
-            .select(F.col(key_a).alias("a"), F.col("_b").alias("b"), "distance"))
+    out = spread_join(x.select(F.col("_k").alias("a"), F.col("_s").alias("sa")), near, "sa", "a")
+    out = spread_join(y.select(F.col("_k").alias("b"), F.col("_s").alias("sb")), out, "sb", "b")
+    return out.groupBy("a", "b").agg(F.count_distinct("sa").alias("matched"), F.min("distance").alias("closest")).where(F.col("matched") >= least)
 
 
 def segment_matches(a: DataFrame, b: DataFrame, key_a: str, key_b: str, segments: str) -> DataFrame:
-    """Pairs that share a segment, and how many."""
+    """Pairs that share a segment, and how many; rows of a segment that many rows of a hold are dealt to several tasks."""
     x = a.select(F.col(key_a).alias("a"), F.explode(F.array_distinct(segments)).alias("s"))
     y = b.select(F.col(key_b).alias("b"), F.explode(F.array_distinct(segments)).alias("s"))
-    return x.join(y, "s").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return spread_join(x, y, "s", "a").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def sharing_parents(df: DataFrame, protected: DataFrame, parent: str, segments: str) -> DataFrame:

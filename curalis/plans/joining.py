@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curalis.functions import identity as H
+from curalis.functions.lineage import checkpointed
 from curalis.operators import matching as J
 from curalis.plans.base import query
+from curalis.plans.scalars import sandwich_sql
 
 
 @query("j1_verified_join", """
@@ -58,6 +60,48 @@ def _(t):
     return J.segment_matches(d, t("benchmark").select("item_id", H.segment_signatures(F.col("text")).alias("s")), "doc_id", "item_id", "s")
 
 
+def _two_signatures(name: str, grid: str) -> str:
+    """SQL of both signatures of grids as lists of eight 32-bit numbers."""
+    m, tall, wide = H.low_frequencies(8), H.stretched(8, 16), H.stretched(8, 17)
+    word = "list_transform(range(0, 8), lambda k: list_sum(list_transform(range(0, 32), lambda j: ({0})::BIGINT << (31 - j))))"
+    bit_p, bit_d = "c[k * 32 + j + 1] > m", "e[k * 32 + j + (k * 32 + j) // 16 + 2] > e[k * 32 + j + (k * 32 + j) // 16 + 1]"
+    rounded = lambda x: f"list_transform({x}, lambda v: round(v, 6))"
+    return f"""{name}_g AS (SELECT vec_id, {grid} AS g FROM embeddings), {name}_c AS MATERIALIZED (SELECT vec_id, {rounded(sandwich_sql(m, "g", m, 8))} AS c, {rounded(sandwich_sql(tall, "g", wide, 8))} AS e FROM {name}_g),
+{name} AS MATERIALIZED (SELECT vec_id, {word.format(bit_p)} AS p, {word.format(bit_d)} AS d FROM (SELECT *, list_sort(c)[128] AS m FROM {name}_c))"""
+
+
+_BITS = "list_sum(list_transform(range(1, 9), lambda k: bit_count(xor(x.{0}[k]::BIGINT, y.{0}[k]::BIGINT))))::INTEGER"
+_COPY = 1.003, 0.004  # what copies are scaled and tilted by
+
+
+@query("j4_two_signatures", f"""
+WITH {_two_signatures("x", "list_transform(embedding, lambda v: v::DOUBLE)")}, {_two_signatures("y", f"list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * {_COPY[0]} + {_COPY[1]} * (i % 5))")},
+n AS (SELECT x.vec_id AS a, y.vec_id AS b, {_BITS.format("p")} AS p_distance, {_BITS.format("d")} AS d_distance FROM x, y)
+SELECT * FROM n WHERE p_distance <= 8 AND d_distance <= 8""")
+def _(t):
+    own = F.transform("embedding", lambda v: v.cast("double"))
+    copy = F.transform("embedding", lambda v, i: v.cast("double") * _COPY[0] + _COPY[1] * ((i + 1) % 5))
+    of = lambda g: checkpointed(t("embeddings").select("vec_id", H.cosine_signature_256(g).alias("p"), H.difference_signature_256(g).alias("d")))
+    return J.near_signatures(of(own), of(copy), "vec_id", "vec_id", "p", "d", 8, 8)
+
+
+_SEGMENT_BITS = """{0}_s AS (SELECT DISTINCT k, s FROM (SELECT {1} AS k, trim(unnest(regexp_split_to_array(trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')), '[.!?]+ *'))) AS s FROM {2}) WHERE s <> ''),
+{0}_w AS (SELECT s, md5(w) AS h FROM (SELECT s, unnest(string_split(s, ' ')) AS w FROM (SELECT DISTINCT s FROM {0}_s))),
+{0}_v AS (SELECT s, k, h, sum((('0x' || substr(h0, 1 + 8 * h, 8))::BIGINT >> (31 - k)) & 1) * 2 > count(*) AS b FROM (SELECT s, h AS h0, unnest(range(0, 32)) AS k FROM {0}_w), (VALUES (0), (1)) AS t(h) GROUP BY ALL),
+{0}_x AS (SELECT s, sum(CASE WHEN b AND h = 0 THEN 1::BIGINT << (31 - k) ELSE 0 END)::BIGINT AS lo, sum(CASE WHEN b AND h = 1 THEN 1::BIGINT << (31 - k) ELSE 0 END)::BIGINT AS hi FROM {0}_v GROUP BY s),
+{0} AS MATERIALIZED (SELECT DISTINCT k, lo, hi FROM {0}_s JOIN {0}_x USING (s))"""
+
+
+@query("j5_near_segments", f"""
+WITH {_SEGMENT_BITS.format("x", "doc_id", "documents")}, {_SEGMENT_BITS.format("y", "item_id", "benchmark")},
+xs AS (SELECT DISTINCT lo, hi FROM x), ys AS (SELECT DISTINCT lo, hi FROM y),
+n AS (SELECT xs.lo AS xl, xs.hi AS xh, ys.lo AS yl, ys.hi AS yh, bit_count(xor(xs.lo, ys.lo)) + bit_count(xor(xs.hi, ys.hi)) AS distance FROM xs, ys WHERE bit_count(xor(xs.lo, ys.lo)) + bit_count(xor(xs.hi, ys.hi)) <= 3)
+SELECT x.k AS a, y.k AS b, count(DISTINCT (xl, xh)) AS matched, min(distance)::INTEGER AS closest FROM n JOIN x ON x.lo = xl AND x.hi = xh JOIN y ON y.lo = yl AND y.hi = yh GROUP BY 1, 2""")
+def _(t):
+    d, items = H.segment_bits(t("documents"), "doc_id", "text"), H.segment_bits(t("benchmark"), "item_id", "text")
+    return J.near_segments(d, items, "doc_id", "item_id", "segments", 3, spare=3)
+
+
 @query("j6_leakage_exclusion", f"""
 WITH a AS ({_SEG.format("doc_id", "documents")}), b AS (SELECT s FROM ({_SEG.format("item_id", "benchmark")}))
 SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT k FROM a WHERE s IN (SELECT s FROM b))""")

@@ -248,6 +248,23 @@ def _(t):
     return t("embeddings").select("vec_id", H.cosine_signature(F.col("embedding")).alias("signature"))
 
 
+_HEX = "list_aggregate(list_transform(range(0, 64), lambda i: format('{{:x}}', list_sum(list_transform(range(0, 4), lambda j: ({0})::INTEGER * (8 >> j)))::BIGINT)), 'string_agg', '')"
+
+
+@query("h8_cosine_signature_256", f"""
+WITH x AS (SELECT vec_id, list_transform({sandwich_sql(H.low_frequencies(8), "embedding", H.low_frequencies(8), 8)}, lambda v: round(v, 6)) AS c FROM embeddings), y AS (SELECT vec_id, c, list_sort(c)[128] AS m FROM x)
+SELECT vec_id, {_HEX.format("c[i * 4 + j + 1] > m")} AS signature FROM y""")
+def _(t):
+    return t("embeddings").select("vec_id", H.cosine_signature_256(F.col("embedding")).alias("signature"))
+
+
+@query("h9_difference_signature_256", f"""
+WITH x AS (SELECT vec_id, list_transform({sandwich_sql(H.stretched(8, 16), "embedding", H.stretched(8, 17), 8)}, lambda v: round(v, 6)) AS c FROM embeddings)
+SELECT vec_id, {_HEX.format("c[i * 4 + j + (i * 4 + j) // 16 + 2] > c[i * 4 + j + (i * 4 + j) // 16 + 1]")} AS signature FROM x""")
+def _(t):
+    return t("embeddings").select("vec_id", H.difference_signature_256(F.col("embedding")).alias("signature"))
+
+
 @query("h9_difference_signature", """
 SELECT vec_id, list_aggregate(list_transform(range(0, 15), lambda i: format('{:x}', list_sum(list_transform(range(0, 4), lambda j: (embedding[i * 4 + j + 2] > embedding[i * 4 + j + 1])::INTEGER * (8 >> j)))::BIGINT)), 'string_agg', '') AS signature FROM embeddings""")
 def _(t):

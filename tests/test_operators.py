@@ -84,6 +84,54 @@ def test_hamming_join_finds_all_pairs(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("spare", [1, 3])
+def test_hamming_join_with_longer_keys(spark, spare):
+    rows = [(i, f"{(i * 2654435761) % 2**32:08x}" * 2) for i in range(60)] + [(100 + i, f"{((i * 2654435761) ^ (1 << i % 32)) % 2**32:08x}{(i * 2654435761) % 2**32:08x}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = {(r.a, r.b) for r in J.hamming_join(df, df, "id", "id", "s", 3, 16, spare).collect()}
+    assert got == {(a, b) for a, x in rows for b, y in rows if bin(int(x, 16) ^ int(y, 16)).count("1") <= 3}
+
+
+@pytest.mark.parametrize("crowded", [1_000, 5])
+def test_two_signatures(spark, crowded):
+    import random
+
+    rng = random.Random(6)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(256), n))
+    base = [(rng.getrandbits(256), rng.getrandbits(256)) for _ in range(40)]
+    rows = [(i, p & ~((1 << 120) - 1), d) for i, (p, d) in enumerate(base[:20] * 2)] + [(50 + i, flip(p, rng.randrange(12)), flip(d, rng.randrange(12))) for i, (p, d) in enumerate(base * 2)]
+    rows += [(500 + i, (1 << 200) + (1 << i), rng.getrandbits(256)) for i in range(20)]  # many share nearly all of p
+    df = spark.createDataFrame([(i, f"{p:064x}", f"{d:064x}") for i, p, d in rows] + [(999, None, "0" * 64)], "id long, p string, d string")
+    bits = lambda x, y: bin(x ^ y).count("1")
+    want = {(a, b, bits(p, q), bits(d, e)) for a, p, d in rows for b, q, e in rows if bits(p, q) <= 8 and bits(d, e) <= 8}
+    got = {tuple(r) for r in J.near_signatures(df, df, "id", "id", "p", "d", 8, 8, crowded=crowded).collect()}
+    assert got == want and len(want) > 150
+    assert J.signature_candidates(df, df, "p", "d", 8, 8, crowded=crowded).count() < len(rows) ** 2 // (4 if crowded > 5 else 20)
+
+
+def test_segments_within_a_cutoff(spark):
+    a = [(1, ["00000000000000ff", "aaaaaaaaaaaaaaaa"]), (2, ["00000000000000fe"]), (3, ["5555555555555555"]), (4, [])] + [(10 + i, ["00000000000000ff"]) for i in range(50)]
+    b = [(7, ["00000000000000f8", "aaaaaaaaaaaaaaab"]), (8, ["ffffffffffffffff"])]
+    x, y = (spark.createDataFrame(r, "id long, s array<string>") for r in (a, b))
+    got = {tuple(r) for r in J.near_segments(x, y, "id", "id", "s", 3, spare=3).collect()}
+    assert got == {(1, 7, 2, 1), (2, 7, 1, 2)} | {(10 + i, 7, 1, 3) for i in range(50)}
+    assert {r.a for r in J.near_segments(x, y, "id", "id", "s", 3, least=2).collect()} == {1}
+    spread = J.spread_join(x.select("id", F.explode("s").alias("s")), y.select(F.col("id").alias("b"), F.lit("00000000000000ff").alias("s")), "s", "id", most=7)
+    assert spread.count() == 51 * 2
+
+
+def test_token_signature_values(spark):
+    import xxhash
+
+    text = "one two three two four"
+    votes = [0] * 64
+    for w in {"one", "two", "three", "four"}:
+        h = xxhash.xxh64(w.encode(), seed=42).intdigest()
+        votes = [v + (1 if h >> k & 1 else -1) for k, v in enumerate(votes)]
+    want = "".join(f"{sum((votes[i * 4 + j] > 0) << (3 - j) for j in range(4)):x}" for i in range(16))
+    assert H.token_signature(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").first().signature == want
+
+
 def test_shared_signature_meets_once(spark):
     df = spark.createDataFrame([(i, "ab" * 32) for i in range(100)], "id long, s string")
     assert J.hamming_join(df, df, "id", "id", "s", 8, 64).count() == 100 * 100
