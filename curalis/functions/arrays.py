@@ -264,6 +264,54 @@ def weighted_picks(identity: Column, weights: dict[str, float], count: Column) -
     return F.transform(F.slice(race, 1, count), lambda x: x["k"])
 
 
+# Probabilities, weights and ranges of the augmentation plan.
+PLAN = {
+    "standardise": 0.75, "modes": {"resize": 0.30, "codec": 0.30, "resize_codec": 0.40}, "scale": (0.75, 1.0), "codecs": {"jpeg": 0.80, "webp": 0.20}, "quality": (85, 100),
+    "wide": (0.90, 1.0), "close": (0.50, 0.90), "filters": ("bilinear", "bicubic", "lanczos"), "none": 0.25, "one": 0.50,
+    "operations": {"jpeg": 1.0, "blur": 1.0, "resize": 1.0, "noise": 1.0, "colour": 1.0, "crop": 1.0, "double_jpeg": 0.08, "webp": 0.05},
+    "levels": {"jpeg": (30, 95), "blur": (0.1, 2.0), "resize": (0.25, 1.0), "noise": (0.0, 0.10), "colour": (-0.20, 0.20), "crop": (0.70, 1.0), "double_jpeg": (30, 95), "webp": (30, 95)},
+}
+#: Operations whose level is a whole number, and those that draw a second level.
+WHOLE_LEVELS, SECOND_LEVELS = ("jpeg", "double_jpeg", "webp"), ("double_jpeg", "colour")
+
+
+def augmentation_plan(identity: Column, width: Column, height: Column, plan: dict = PLAN) -> dict[str, Column]:
+    """Everything that an augmented view of a record draws, as named columns of hash-seeded numbers: no draw depends on another row.
+
+    Whether and how to standardise (mode, scale, codec, quality), crops of the wide and the close view (side by half-even rounding of a
+    share of the shorter edge, then left and top), the filter, the number of operations, and for each of the two an operation without
+    replacement with its one or two levels. What a plan does not use is null.
+    """
+    u = lambda name: H.uniform(F.sha2(F.concat_ws("|", identity, F.lit(name)), 256))
+    between = lambda name, low, high: F.lit(float(low)) + u(name) * float(high - low)
+    whole = lambda name, low, high: (F.lit(low) + F.floor(u(name) * (high - low + 1))).cast("long")
+    one_of = lambda name, weights: weighted_picks(F.concat_ws("|", identity, F.lit(name)), weights, F.lit(1))[0]
+    out: dict[str, Column] = {}
+    out["standardised"] = u("standardise") < plan["standardise"]
+    out["mode"] = F.when(out["standardised"], one_of("mode", plan["modes"]))
+    out["scale"] = F.when(out["mode"].contains("resize"), between("scale", *plan["scale"]))
+    out["codec"] = F.when(out["mode"].contains("codec"), one_of("codec", plan["codecs"]))
+    out["quality"] = F.when(out["mode"].contains("codec"), whole("quality", *plan["quality"]))
+    for view in ("wide", "close"):
+        side = F.greatest(F.lit(1), F.bround(F.least(width, height) * between(view, *plan[view]), 0).cast("long"))
+        spot = lambda name, edge, side=side: F.floor(u(name) * (F.greatest(F.lit(0), edge - side) + 1)).cast("long")
+        out |= {f"{view}_side": side, f"{view}_left": spot(f"{view}-left", width), f"{view}_top": spot(f"{view}-top", height)}
+    out["filter"] = one_of("filter", dict.fromkeys(plan["filters"], 1.0))
+    count = F.when(u("count") < plan["none"], 0).when(u("count") < plan["none"] + plan["one"], 1).otherwise(2)
+    out["operations"] = count
+    picks = weighted_picks(F.concat_ws("|", identity, F.lit("operation")), plan["operations"], F.lit(2))
+    for k in (1, 2):
+        op = F.when(count >= k, picks[k - 1])
+        out[f"operation_{k}"] = op
+        for n, names in (("a", tuple(plan["operations"])), ("b", SECOND_LEVELS)):
+            value = F.lit(None).cast("double")
+            for name in names:
+                draw = whole if name in WHOLE_LEVELS else between
+                value = F.when(op == name, draw(f"level-{k}{n}", *plan["levels"][name]).cast("double")).otherwise(value)
+            out[f"level_{k}{n}"] = value
+    return out
+
+
 def folded(grid: Column, operations: list) -> Column:
     """The operations applied one after another, each a function of a grid."""
     for f in operations:

@@ -50,12 +50,15 @@ def content_digest(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
-def fingerprint(df: DataFrame, *keys: str, value: str, by: list[str] | None = None, buckets: int = 64) -> DataFrame:
+def fingerprint(df: DataFrame, *keys: str, value: str, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Digest of a set of ids, per group ``by``: ids are hashed per bucket in order, then the buckets' digests.
 
-    No list holds more than a bucket's ids; give more buckets to larger sets.
+    No list holds more than a bucket's ids. There are 64 buckets, and more (up to 65,536, a power of two) for tables of over 640,000
+    rows, so that a bucket has some 10,000 ids.
     """
     by = by or []
+    if buckets is None:
+        buckets = max(64, min(1 << 16, 1 << (df.count() // 10_000).bit_length()))
     ids = df.select(*by, F.col(value).cast("string").alias("_id"))
     bucket = F.conv(F.substring(F.sha2("_id", 256), 1, 4), 16, 10).cast("int") % buckets
     first = ids.groupBy(*by, bucket.alias("_bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_id")), "\n"), 256).alias("_digest"))

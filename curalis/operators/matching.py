@@ -179,3 +179,27 @@ def declared_mismatches(df: DataFrame, key: str, declared: dict[str, str], found
     """Rows where a declared value differs from the recomputed one, nulls included: ``key`` and the names that differ."""
     wrong = F.array_compact(F.array(*[F.when(~F.col(declared[n]).eqNullSafe(found[n]), F.lit(n)) for n in declared]))
     return df.select(key, wrong.alias("violations")).where(F.size("violations") > 0)
+
+
+def sidecar_faults(base: DataFrame, side: DataFrame, part: str, place: str, key: str, same: list[str], version: str) -> DataFrame:
+    """Parts of a base table that its sidecar does not match: ``part`` and ``faults``, an array of names; none where all is well.
+
+    Per part (a range of rows) both sides are summed up, never listed: rows, versions, and sums of digests of the keys, of keys with their
+    ``place``, and of keys with each column of ``same``. Faults: ``missing`` or ``unknown`` part, ``version``, ``rows``, ``keys``, ``order`` (the same
+    keys at other places), and each column that differs for equal keys. Null keys and values count as a value of their own.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    number = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("|", *[text(x) for x in c])), 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = {"keys": number(key), "order": number(key, place), **{c: number(key, c) for c in same}}
+
+    def summed(df: DataFrame, name: str) -> DataFrame:
+        own = df.groupBy(part).agg(F.count("*").alias("rows"), F.min(text(version)).alias("low"), F.max(text(version)).alias("high"), *[F.sum(v).alias(f"sum_{k}") for k, v in sums.items()])
+        return own.select(F.col(part).alias("_part"), F.struct(*own.columns[1:]).alias(name))
+
+    both = summed(base, "a").join(summed(side, "b"), "_part", "full_outer")
+    differ = lambda c: ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    same_keys = ~differ("rows") & ~differ("sum_keys")
+    found = F.when(F.col("b").isNull(), F.array(F.lit("missing"))).when(F.col("a").isNull(), F.array(F.lit("unknown"))).otherwise(F.array_compact(F.array(
+        F.when(differ("low") | differ("high"), F.lit("version")), F.when(differ("rows"), F.lit("rows")), F.when(~differ("rows") & differ("sum_keys"), F.lit("keys")),
+        F.when(same_keys & differ("sum_order"), F.lit("order")), *[F.when(same_keys & differ(f"sum_{c}"), F.lit(c)) for c in same])))
+    return both.select(F.col("_part").alias(part), found.alias("faults")).where(F.size("faults") > 0)

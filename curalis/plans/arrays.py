@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from curalis.functions import arrays as V
 from curalis.functions import identity as H
+from curalis.functions.lineage import checkpointed
+from curalis.operators import probes as P
 from curalis.plans.base import query
 from curalis.plans.scalars import sandwich_sql
 
@@ -185,21 +187,52 @@ def _(t):
     return model.transform(x.where("vec_id % 5 = 0")).select("vec_id", "y", "prediction")
 
 
+def probe_rows(t):
+    """Vectors as grids with the text of the same number: all surface features of both in one array, a label, its group and a source."""
+    d = t("embeddings").join(t("documents").select(F.col("doc_id").alias("vec_id"), "text", "source"), "vec_id").select("vec_id", "label", "text", "source", grid().alias("g"))
+    features = P.grid_features(F.col("g"), 8, RESIDUAL_KERNELS, _BANDS) | P.text_features(F.col("text"))
+    rows = d.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), F.concat(F.lit("g"), F.col("label")).alias("generator"), "source",
+                    F.when(F.col("vec_id") % 5 == 0, "val").when(F.col("vec_id") % 5 == 1, "test").otherwise("train").alias("split"),
+                    F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in features.values()]).alias("features"))
+    return checkpointed(rows), list(features)
+
+
 @query("v12_nuisance_probe")
 def _(t):
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+    rows, _ = probe_rows(t)
+    score = P.boosted(rows.where("split = 'train'"), "features", "y", iterations=20)
+    return P.probe_report(score(rows.where("split <> 'train'")), "y", "split", "generator", "source")
+
+
+@query("v12_probe_report", """
+WITH r AS (SELECT vec_id % 3 AS split, (label < 5)::INTEGER AS y, 'g' || label AS g, 's' || vec_id % 7 AS s, round(embedding[1]::DOUBLE + 0.5, 3) AS score FROM embeddings),
+p AS (SELECT 'split' AS scope, 'all' AS name, * FROM r UNION ALL SELECT 'source', s, * FROM r UNION ALL SELECT 'generator', n.g, r.* FROM r, (SELECT DISTINCT g FROM r WHERE y = 1) n WHERE r.y = 0 OR r.g = n.g),
+c AS (SELECT scope, name, split, count(*) AS n, sum(y) AS ones, sum(1 - y) AS zeros, sum(y * (score >= 0.5)::INTEGER) AS tp, sum((1 - y) * (score < 0.5)::INTEGER) AS tn, round(avg(score), 9) AS mean_score FROM p GROUP BY ALL),
+w AS (SELECT a.scope, a.name, a.split, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS wins FROM p a JOIN p b USING (scope, name, split) WHERE a.y = 1 AND b.y = 0 GROUP BY ALL)
+SELECT scope, name, split, n, round(wins / (ones * zeros), 9) AS auroc, round(CASE WHEN ones > 0 AND zeros > 0 THEN (tp / ones + tn / zeros) / 2 WHEN ones > 0 THEN tp / ones ELSE tn / zeros END, 9) AS balanced_accuracy, mean_score
+FROM c LEFT JOIN w USING (scope, name, split)""")
+def _(t):
+    s = F.round(F.get("embedding", 0).cast("double") + 0.5, 3)
+    r = t("embeddings").select((F.col("vec_id") % 3).alias("split"), (F.col("label") < 5).cast("int").alias("y"), F.concat(F.lit("g"), F.col("label")).alias("generator"), F.concat(F.lit("s"), F.col("vec_id") % 7).alias("source"), s.alias("score"))
+    m = P.probe_report(r, "y", "split", "generator", "source")
+    return m.select("scope", "name", "split", "n", *[F.round(c, 9).alias(c) for c in ("auroc", "balanced_accuracy", "mean_score")])
+
+
+@query("v23_scored_batches", f"""
+SELECT vec_id, round(1 / (1 + exp(-(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ((i * 5 % 13 - 6) / 12.0::DOUBLE))) + 0.125))), 9) AS chance, (list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ((i * 5 % 13 - 6) / 12.0::DOUBLE))) + 0.125 > 0)::INTEGER AS predicted FROM embeddings""")
+def _(t):
+    def scorer():
+        import numpy as np
 
-    from curalis.operators.metrics import ranking_metrics
+        weights = np.array([(i * 5 % 13 - 6) / 12 for i in range(1, 65)])
 
-    d = t("documents").join(t("labels"), "doc_id").select("doc_id", "lang", F.col("quality").cast("double").alias("y"), F.length("text").alias("size"),
-                                                          (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.length("text")).alias("upper"), (F.regexp_count("text", F.lit(r"[^\w\s]")) / F.length("text")).alias("marks"))
-    x = VectorAssembler(inputCols=["size", "upper", "marks"], outputCol="features").transform(d)
-    model = GBTClassifier(labelCol="y", maxIter=10, stepSize=0.08, maxDepth=4, minInstancesPerNode=20, seed=7).fit(x.where("doc_id % 5 <> 0"))
-    from pyspark.ml.functions import vector_to_array
+        def score(x):
+            logit = x["embedding"].astype(float) @ weights + 0.125
+            return {"chance": 1 / (1 + np.exp(-logit)), "predicted": (logit > 0).astype(int)}
 
-    scored = model.transform(x.where("doc_id % 5 = 0")).select(F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
-    return ranking_metrics(scored, "label", "score")
+        return score
+
+    return P.score_batches(t("embeddings"), scorer, ["embedding"], "chance double, predicted int", ["vec_id"]).withColumn("chance", F.round("chance", 9))
 
 
 @query("v14_augmentation_plan", """
@@ -210,6 +243,41 @@ def _(t):
     return t("documents").select("doc_id", F.array_join(p, ">").alias("picks"))
 
 
+def _u(name: str) -> str:
+    return f"((('0x' || substr(sha256(id || '|{name}'), 1, 13))::BIGINT + 1) / (pow(2.0, 52) + 1))"
+
+
+def _picks_sql(name: str, weights: dict) -> str:
+    race = ", ".join(f"{{'t': -ln({_u(f'{name}|{k}')}) / {float(w)}, 'k': '{k}'}}" for k, w in weights.items())
+    return f"list_transform(list_sort([{race}]), lambda x: x.k)"
+
+
+def _level_sql(k: int, n: str, names) -> str:
+    draw = lambda name, low, high: f"({low} + floor({_u(f'level-{k}{n}')} * {high - low + 1}))::DOUBLE" if name in V.WHOLE_LEVELS else f"{float(low)} + {_u(f'level-{k}{n}')} * {float(high - low)!r}"
+    return f"CASE operation_{k} " + " ".join(f"WHEN '{x}' THEN {draw(x, *V.PLAN['levels'][x])}" for x in names) + " END"
+
+
+def _plan_sql() -> str:
+    p = V.PLAN
+    side = lambda v: f"greatest(1, round_even(least(w, h) * ({float(p[v][0])} + {_u(v)} * {float(p[v][1] - p[v][0])!r}), 0)::BIGINT)"
+    spots = ", ".join(f"floor({_u(f'{v}-{n}')} * (greatest(0, {edge} - {v}_side) + 1))::BIGINT AS {v}_{n}" for v in ("wide", "close") for n, edge in (("left", "w"), ("top", "h")))
+    levels = ", ".join(f"round({_level_sql(k, n, names)}, 9) AS level_{k}{n}" for k in (1, 2) for n, names in (("a", p["operations"]), ("b", V.SECOND_LEVELS)))
+    return f"""WITH d AS (SELECT doc_id, doc_id::VARCHAR AS id, 64 + n_chars % 900 AS w, 64 + doc_id % 700 AS h FROM documents),
+a AS (SELECT *, {_u("standardise")} < {p["standardise"]} AS standardised, {_picks_sql("mode", p["modes"])}[1] AS m, {side("wide")} AS wide_side, {side("close")} AS close_side,
+  CASE WHEN {_u("count")} < {p["none"]} THEN 0 WHEN {_u("count")} < {p["none"] + p["one"]} THEN 1 ELSE 2 END AS operations, {_picks_sql("operation", p["operations"])} AS picks FROM d),
+b AS (SELECT *, CASE WHEN standardised THEN m END AS mode, CASE WHEN operations >= 1 THEN picks[1] END AS operation_1, CASE WHEN operations >= 2 THEN picks[2] END AS operation_2 FROM a)
+SELECT doc_id, standardised, mode, CASE WHEN contains(mode, 'resize') THEN round({float(p["scale"][0])} + {_u("scale")} * {float(p["scale"][1] - p["scale"][0])!r}, 9) END AS scale,
+  CASE WHEN contains(mode, 'codec') THEN {_picks_sql("codec", p["codecs"])}[1] END AS codec, CASE WHEN contains(mode, 'codec') THEN ({p["quality"][0]} + floor({_u("quality")} * {p["quality"][1] - p["quality"][0] + 1}))::VARCHAR END AS quality,
+  wide_side, close_side, {spots}, {_picks_sql("filter", dict.fromkeys(p["filters"], 1.0))}[1] AS filter, operations::INTEGER AS operations, operation_1, operation_2, {levels} FROM b"""
+
+
+@query("v14_full_plan", _plan_sql().replace("::VARCHAR END AS quality", "::BIGINT::VARCHAR END AS quality"))
+def _(t):
+    plan = V.augmentation_plan(F.col("doc_id").cast("string"), F.lit(64) + F.col("n_chars") % 900, F.lit(64) + F.col("doc_id") % 700)
+    plan |= {k: F.round(c, 9) for k, c in plan.items() if k.startswith("level") or k == "scale"} | {"quality": plan["quality"].cast("string")}
+    return t("documents").select("doc_id", *[c.alias(k) for k, c in plan.items()])
+
+
 _UNIFORM = "((('0x' || substr(sha256(vec_id || '|' || {}), 1, 13))::BIGINT + 1) / (pow(2.0, 52) + 1))"
 
 
@@ -295,14 +363,6 @@ def _(t):
 
 @query("v13_permutation_importance")
 def _(t):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    from curalis.operators.probes import permutation_importance
-
-    d = t("documents").join(t("labels"), "doc_id").select("doc_id", F.col("quality").cast("double").alias("y"), F.length("text").cast("double").alias("size"),
-                                                          (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.length("text")).alias("upper"))
-    names = ["size", "upper"]
-    assemble = lambda x: VectorAssembler(inputCols=names, outputCol="features").transform(x)
-    model = LogisticRegression(labelCol="y", regParam=0.01, maxIter=10).fit(assemble(d.where("doc_id % 5 <> 0")))
-    return permutation_importance(model, assemble, d.where("doc_id % 5 = 0"), "doc_id", names, "y", 2)
+    rows, names = probe_rows(t)
+    score = P.boosted(rows.where("split = 'train'"), "features", "y", iterations=20)
+    return P.permutation_importance(score, rows.where("split <> 'train'"), "vec_id", "features", names, "y")

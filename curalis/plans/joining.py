@@ -151,6 +151,26 @@ def _(t):
     return x.select("vec_id", (F.size("violations") > 0).alias("mismatch"))
 
 
+_RANGES = """a AS (SELECT vec_id // 20 AS part, vec_id % 20 AS place, vec_id, label, 'v2' AS version FROM embeddings),
+b AS (SELECT part, CASE WHEN part = 1 AND place < 2 THEN 1 - place ELSE place END AS place, CASE WHEN part = 2 AND place = 3 THEN vec_id + 100000 ELSE vec_id END AS vec_id,
+  CASE WHEN part = 3 AND place = 7 THEN label + 1 ELSE label END AS label, CASE WHEN part = 4 THEN 'v1' ELSE version END AS version FROM a WHERE part <> 5 AND NOT (part = 6 AND place = 0)
+  UNION ALL SELECT -1, place, vec_id, label, version FROM a WHERE part = 0)"""
+
+
+@query("j12_sidecar_faults", f"""
+WITH {_RANGES}, x AS (SELECT coalesce(a.part, b.part) AS part, count(a.vec_id) AS na, count(b.vec_id) AS nb, count(*) FILTER (a.vec_id IS NULL OR b.vec_id IS NULL) AS alone,
+  count(*) FILTER (a.place <> b.place) AS moved, count(*) FILTER (a.label <> b.label) AS changed, count(*) FILTER (a.version <> b.version) AS old FROM a FULL JOIN b ON a.part = b.part AND a.vec_id = b.vec_id GROUP BY 1)
+SELECT * FROM (SELECT part, CASE WHEN nb = 0 THEN 'missing' WHEN na = 0 THEN 'unknown' WHEN old > 0 THEN 'version' WHEN na <> nb THEN 'rows' WHEN alone > 0 THEN 'keys' WHEN moved > 0 THEN 'order' WHEN changed > 0 THEN 'label' END AS faults FROM x) WHERE faults IS NOT NULL""")
+def _(t):
+    a = t("embeddings").select(F.floor(F.col("vec_id") / 20).alias("part"), (F.col("vec_id") % 20).alias("place"), "vec_id", "label", F.lit("v2").alias("version"))
+    at = lambda p, *more: (F.col("part") == p) & F.col("place").isin(*more)
+    b = a.where((F.col("part") != 5) & ~at(6, 0)).select(  # one fault of each kind
+        "part", F.when(at(1, 0, 1), 1 - F.col("place")).otherwise(F.col("place")).alias("place"), F.when(at(2, 3), F.col("vec_id") + 100000).otherwise(F.col("vec_id")).alias("vec_id"),
+        F.when(at(3, 7), F.col("label") + 1).otherwise(F.col("label")).alias("label"), F.when(F.col("part") == 4, "v1").otherwise(F.col("version")).alias("version"))
+    b = b.unionByName(a.where("part = 0").withColumn("part", F.lit(-1).cast("long")))
+    return J.sidecar_faults(a, b, "part", "place", "vec_id", ["label"], "version").select("part", F.array_join("faults", ",").alias("faults"))
+
+
 @query("j13_bound_calibrator", """
 SELECT l_linestatus, count(*) AS n, count(*) FILTER (1 / (1 + exp(-((CASE l_linestatus WHEN 'O' THEN 2.0 ELSE 1.0 END) * (l_discount * 100 - 5)))) >= 0.5) AS positive FROM lineitem GROUP BY 1""")
 def _(t):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from curalis.functions.lineage import shared_folder
+
 from curalis.plans.base import query
 from curalis.sources import tables as S
 
@@ -35,6 +39,19 @@ def _(t):
     return t("documents").select("doc_id", S.object_path(F.sha2("text", 256), F.when(F.col("doc_id") % 2 == 0, "txt")).alias("path"))
 
 
+@query("s10_object_files", """
+SELECT 'objects/' || substr(h, 1, 2) || '/' || h || '.txt' AS path, n AS length FROM (SELECT DISTINCT sha256(text) AS h, octet_length(encode(text)) AS n FROM documents)""")
+def _(t):
+    # distinct texts as files, written twice: the second run finds all of them in place; the result lists the files
+    root = f"{shared_folder(t.spark)}/objects-{uuid.uuid4().hex}"
+    for first in (True, False):
+        done = S.write_objects(t("documents"), root, F.col("text"), F.lit("txt")).agg(F.count_if("written").alias("n")).first()
+        if not first and done["n"]:
+            raise ValueError("a second run wrote again")
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    return files.select(F.regexp_extract("path", r"objects/../[^/]*$", 0).alias("path"), "length")
+
+
 @query("s13_flattened_results", "SELECT user_id % 3 AS model, event_type AS scenario, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2")
 def _(t):
     m = t("events").groupBy((F.col("user_id") % 3).alias("model"), "event_type").agg(F.struct(F.count("*").alias("n"), F.max("value").alias("top")).alias("m"))

@@ -100,6 +100,46 @@ def object_path(digest: Column, suffix: Column) -> Column:
     return F.concat_ws("/", F.lit("objects"), F.substring(digest, 1, 2), F.concat_ws(".", digest, F.coalesce(suffix, F.lit("bin"))))
 
 
+def write_objects(df: DataFrame, root: str, payload_: Column, suffix: Column, digest: Column | None = None) -> DataFrame:
+    """Payloads as files under ``root``, each once, at the place that its SHA-256 gives: digest, path, bytes, written.
+
+    Files go through the file system of ``root`` (any that pyarrow opens: local or mounted folders, HDFS, object stores). A payload is written beside its
+    place and moved there, so a task that is retried or runs twice leaves one whole file; a file of the right size is not written again, so a
+    second run writes nothing. Null payloads are left out; of equal payloads with different suffixes the first suffix in order counts.
+    With ``digest``, a payload that has another one fails the job. The write happens when the result is worked out: stage it.
+    """
+    rows = df.select(payload_.cast("binary").alias("data"), suffix.alias("suffix"), (digest if digest is not None else F.lit(None).cast("string")).alias("declared")).where("data IS NOT NULL")
+    rows = rows.withColumn("digest", F.sha2("data", 256))
+    wrong = F.raise_error(F.concat(F.lit("payload differs from its digest "), "declared")).cast("string")
+    rows = rows.withColumn("digest", F.when(F.col("declared").isNull() | (F.col("declared") == F.col("digest")), F.col("digest")).otherwise(wrong))
+    once = rows.groupBy("digest").agg(F.min(object_path(F.col("digest"), F.col("suffix"))).alias("path"), F.any_value("data").alias("data"))
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            made = []
+            for path, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                place = f"{top}/{path}"
+                there = files.get_file_info(place)
+                fresh = there.type != fs.FileType.File or there.size != len(data)
+                if fresh:
+                    files.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                    beside = f"{place}.{uuid.uuid4().hex}.part"
+                    with files.open_output_stream(beside) as out:
+                        out.write(data)
+                    files.move(beside, place)
+                made.append((len(data), fresh))
+            sizes = pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes], ["digest", "path", "bytes", "written"])
+
+    return once.select("digest", "path", "data").mapInArrow(write, "digest string, path string, bytes long, written boolean")
+
+
 def flatten_results(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Rows (scenario, metrics) of a map column of metric structs."""
     return df.select(*by, F.explode(column).alias("scenario", "_m")).select(*by, "scenario", "_m.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +23,14 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: str | None = No
 def keep_lowest(stream: DataFrame, table: str, checkpoint: str, by: list[str], rank: str, k: int, enough: Callable[[DataFrame], bool] | None = None) -> None:
     """Per group the ``k`` rows of least rank over all batches, in versions of a table; the query is stopped once ``enough`` says so.
 
-    What has not been read by then stays unread. A batch that is replayed writes its own version again, so the result is the same.
+    What has not been read by then stays unread: a batch that starts after the stop fails before it is committed, and the next run on
+    this checkpoint reads it. A batch that is replayed writes its own version again, so the result is the same.
     """
     done = threading.Event()
 
     def merge(batch: DataFrame, n: int) -> None:
         if done.is_set():
-            return
+            raise InterruptedError("enough rows are there: this batch stays unread")
         spark = batch.sparkSession
         rows = batch if n == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{table}/v{n - 1}"))
         kept = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(rank))).where(F.col("_n") <= k).drop("_n")
@@ -37,9 +39,17 @@ def keep_lowest(stream: DataFrame, table: str, checkpoint: str, by: list[str], r
             done.set()
 
     running = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    while not running.awaitTermination(1):
+    while True:
+        try:
+            if running.awaitTermination(1):
+                return
+        except StreamingQueryException:
+            if not done.is_set():
+                raise
+            return
         if done.is_set():
             running.stop()
+            return
 
 
 def last_version(spark: SparkSession, table: str, schema: str) -> DataFrame:
