@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,10 @@ _SORT_ROWS = 4000
 _NO_KEY = -(1 << 63)
 
 _FOUND = ("rid long, did long, digest string, n_bytes long, pos array<int>, h array<long>, c array<long>, d array<long>, "
-          "own array<struct<lo: int, hi: int>>")
-_CONTEXT = "h long, rid long, pos int, alone boolean, before binary, after binary"
+          "own array<struct<h: long, c: long, d: long, lo: int, hi: int>>")
+_CONTEXT = "g long, h long, rid long, pos int, wanted boolean, several boolean, before binary, after binary"
 _SPAN = "rid long, lo int, hi int"
+_MATCHED = "h long, rid long, pos int, several boolean, lo int, hi int"
 
 
 def _context_digests(data: bytes, at: list[int], length: int, back: int) -> list[bytes]:
@@ -42,7 +44,7 @@ def _context_digests(data: bytes, at: list[int], length: int, back: int) -> list
 
 
 def _anchors(length: int, gram: int):
-    """Anchors of each text, each context once; a context that a text repeats is a span of its own already."""
+    """Anchors of each text, each context twice at most; where a text repeats one, ``own`` has the spans of all its places."""
     back = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,17 +60,20 @@ def _anchors(length: int, gram: int):
                     digests = _context_digests(data, at.tolist(), length, back)
                     spans: list[dict] = []
                     if len(set(digests)) < len(digests):
-                        count = Counter(digests)
-                        end = -1
-                        for p, x in zip(at.tolist(), digests, strict=True):
+                        count, last, seen, first = Counter(digests), {}, Counter(), []
+                        for k, (p, x) in enumerate(zip(at.tolist(), digests, strict=True)):
+                            seen[x] += 1
+                            if seen[x] < 3:
+                                first.append(k)
+                            if count[x] < 2:
+                                continue
                             a, b = max(p - back, 0), min(p + length, len(data))
-                            if count[x] > 1 and b - a >= length:
-                                if a <= end:
-                                    spans[-1]["hi"] = b
-                                else:
-                                    spans.append({"lo": a, "hi": b})
-                                end = b
-                        first = sorted({x: k for k, x in reversed(list(enumerate(digests)))}.values())
+                            if x in last and a <= last[x]["hi"]:
+                                last[x]["hi"] = b
+                            else:
+                                c, d = np.frombuffer(x, np.int64).tolist()
+                                last[x] = {"h": int(h[k].astype(np.int64)), "c": c, "d": d, "lo": a, "hi": b}
+                                spans.append(last[x])
                         at, h, digests = at[first], h[first], [digests[k] for k in first]
                     own.append(spans)
                     made.append((at.astype(np.int32), h.view(np.int64), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)))
@@ -79,7 +84,7 @@ def _anchors(length: int, gram: int):
                 next_id += cut.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [ids, cut.column("did"), cut.column("digest"), pa.array(sizes, pa.int64()), *(pa.ListArray.from_arrays(offsets, x) for x in flat),
-                     pa.array(own, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))],
+                     pa.array(own, pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])))],
                     names=["rid", "did", "digest", "n_bytes", "pos", "h", "c", "d", "own"])
 
     return run
@@ -94,11 +99,11 @@ def _contexts(length: int, gram: int):
                     data = r["text"].encode()
                     for s in r["spots"]:
                         p = s["pos"]
-                        rows.append((s["h"], r["rid"], p, s["alone"], data[max(0, p - length + gram):p], data[p:p + length]))
+                        rows.append((s["g"], s["h"], r["rid"], p, s["wanted"], s["several"], data[max(0, p - length + gram):p], data[p:p + length]))
                 if rows:
-                    types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+                    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
-                                                     names=["h", "rid", "pos", "alone", "before", "after"])
+                                                     names=["g", "h", "rid", "pos", "wanted", "several", "before", "after"])
 
     return run
 
@@ -114,10 +119,16 @@ def _match(length: int):
     """Contexts sorted by anchor -> spans; whole groups of equal anchors are suffix-sorted together."""
 
     def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
-        _, group = np.unique(rows.column("h").to_numpy(), return_inverse=True)
-        alone = rows.column("alone").to_numpy(zero_copy_only=False)
-        left, right = extents(Texts.column(rows.column("before"), back=True), Texts.column(rows.column("after")), group, length, wanted=alone)
-        return _reached(rows.column("rid").to_numpy(), rows.column("pos").to_numpy().astype(np.int64), left, right)
+        _, group = np.unique(rows.column("g").to_numpy(), return_inverse=True)
+        wanted, several = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("wanted", "several"))
+        left, right = extents(Texts.column(rows.column("before"), back=True), Texts.column(rows.column("after")), group, length, wanted=wanted)
+        size = [pc.binary_length(rows.column(c)).to_numpy() for c in ("before", "after")]
+        if ((left < size[0]) | (right < size[1]))[wanted & several].any():
+            raise ValueError("contexts of one digest differ")
+        some = wanted & ((left > 0) | (right > 0))
+        pos = rows.column("pos").to_numpy().astype(np.int64)
+        made = [pa.array((pos - left).astype(np.int32)), pa.array((pos + right).astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("h", "rid", "pos", "several")), *made], names=["h", "rid", "pos", "several", "lo", "hi"]).filter(pa.array(some))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -126,7 +137,7 @@ def _match(length: int):
                 part = batch.slice(lo, _SORT_ROWS)
                 held = pa.concat_batches([held, part]) if held is not None else part
                 if held.num_rows > _SORT_ROWS:  # all but the last group of equal anchors, of which more may follow
-                    h = held.column("h").to_numpy()
+                    h = held.column("g").to_numpy()
                     cut = int(np.flatnonzero(h[1:] != h[:-1])[-1]) + 1 if h[0] != h[-1] else 0
                     if cut:
                         yield settle(held.slice(0, cut))
@@ -197,7 +208,7 @@ def _settle_hot(length: int):
         shared = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in right["keys"]]) if len(right) else np.zeros((0, 2), np.uint64)
         shared = shared[np.argsort(shared[:, 0])]
         high, low = np.full(len(left), -1), np.full(len(left), length + 1)
-        alone = left["alone"].to_numpy(bool)
+        alone = left["wanted"].to_numpy(bool)
         for d, rows, one, two in _window_keys(left, length):
             order, count = _repeats(np.stack([one, two], axis=1))
             twice = np.zeros(len(rows), bool)
@@ -258,15 +269,16 @@ def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
 
     1. Each text marks its anchors, positions whose ``gram`` bytes hash least in some window of
        ``length`` bytes: equal windows have equal anchors.
-    2. Anchors that occur once are dropped (a count per hash). Where an anchor's whole context occurs
-       twice (told by 128 bits of BLAKE2, which no two texts are known to share), the match is as long
-       as the context.
-    3. Of the other contexts one of each kind is dealt by anchor with its bytes, suffix-sorted both ways
-       by prefix hashes, matched with its neighbours and verified. The union of matches over all anchors
-       is exactly the repeated strings' bytes.
-    4. Anchors with over ``max_group`` kinds of contexts are dealt in blocks, which exchange window hashes
+    2. Anchors that occur once are dropped (a count per hash). Contexts of an anchor are of one kind if 128 bits
+       of BLAKE2 agree.
+    3. One context of each kind, and a second one of kinds that occur again, are dealt by anchor with their
+       bytes, suffix-sorted both ways by prefix hashes, matched with their neighbours and verified. A kind
+       that occurs again must match itself whole (else the job fails: a digest has collided); then its span counts at
+       all its places. The union of matches over all anchors is exactly the repeated strings' bytes.
+    4. Different contexts of anchors with over ``max_group`` kinds are dealt in blocks, which exchange window hashes
        of 128 bits instead of bytes: no task holds a group.
 
+    Of rows with equal text the first is judged and cut, and the others share its outcome.
     Null texts count as empty. Texts shorter than ``length`` lose nothing. Repeated rows, or two rows
     with equal text, lose everything from ``length`` bytes on. Null keys are kept. An empty table gives an
     empty result. Other columns are not read.
@@ -283,38 +295,49 @@ def _settle(docs: DataFrame, key: str, text: str, length: int, gram: int, max_gr
     read = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
         F.coalesce("doc_id", F.lit(_NO_KEY)).alias("did"), "text", F.sha2("text", 256).alias("digest"))
     found = stage(read.mapInArrow(_anchors(length, gram), _FOUND), "anchors")
-    texts = stage(found.groupBy("digest").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")), "texts")
+    texts = stage(found.groupBy("digest").agg(F.min("rid").alias("rid")), "texts")
 
     spots = found.select("rid", F.col("n_bytes").cast("int").alias("size"), F.explode(F.arrays_zip("pos", "h", "c", "d")).alias("x")).select(
         "rid", "size", "x.pos", "x.h", "x.c", "x.d")
     twice = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared = stage(spots.join(twice, "h"), "shared")
-    every = stage(shared.groupBy("h", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("rep")), "every")
-    several = every.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    kinds = stage(every.join(several, "h"), "kinds")
+    place = F.struct("rid", "pos")
+    every = shared.groupBy("h", "c", "d").agg(F.count("*").alias("n"), F.min(place).alias("rep"), F.max(place).alias("other"))
+    every = stage(every, "every")
+    sizes = every.groupBy("h").agg(F.count("*").alias("kinds"))
+    kinds = stage(every.join(sizes, "h").where("n > 1 OR kinds > 1"), "kinds")
     hot = stage(kinds.where(F.col("kinds") > max_group).select("h", "kinds").distinct(), "hot")
-    whole_span = (F.greatest(F.col("pos") - back, F.lit(0)).alias("lo"), F.least(F.col("pos") + length, F.col("size")).alias("hi"))
-    equal = shared.join(every.where("n > 1").select("h", "c", "d"), ["h", "c", "d"])
-    spans = stage(equal.select("rid", *whole_span).where(F.col("hi") - F.col("lo") >= length), "equal")
 
-    asked = kinds.select("rep.rid", F.struct("rep.pos", "h", (F.col("n") == 1).alias("alone")).alias("spot"), "h")
+    # one context of each kind is sorted, and a second one of kinds that occur again: the first must find it
+    again = F.col("n") > 1
+    alone = F.when(F.col("kinds") > max_group, F.xxhash64("h", "c", "d")).otherwise(F.col("h"))  # kinds of hot anchors are verified by themselves
+    spot = lambda g, at, wanted, several: F.struct(g.alias("g"), "h", F.col(at)["pos"].alias("pos"), F.lit(wanted).alias("wanted"), F.lit(several).alias("several"))
+    single = kinds.where(~again & (F.col("kinds") <= max_group)).select("rep.rid", spot(F.col("h"), "rep", True, False).alias("spot"))
+    first = kinds.where(again).select("rep.rid", spot(alone, "rep", True, True).alias("spot"))
+    second = kinds.where(again).select("other.rid", spot(alone, "other", False, True).alias("spot"))
+    asked = single.unionByName(first).unionByName(second)
     any_hot = bool(hot.limit(1).count())
     if any_hot:
-        hot_asked = asked.join(hot.select("h"), "h", "left_semi")
-        asked = asked.join(hot.select("h"), "h", "left_anti")
+        crowded = kinds.where(F.col("kinds") > max_group)
+        hot_asked = crowded.select("rep.rid", F.struct(F.col("h").alias("g"), "h", "rep.pos", (~again).alias("wanted"), again.alias("several")).alias("spot"))
     per_text = lambda x: x.groupBy("rid").agg(F.collect_list("spot").alias("spots"))
-    # texts that lose something or are compared; copies of a text lose everything and are represented by one
-    involved = spans.select("rid").unionByName(kinds.select("rep.rid")).unionByName(found.where(F.size("own") > 0).select("rid")).distinct()
-    places = found.select("rid", "did", "digest").join(involved, "rid").join(texts.select("digest", "copies", F.col("rid").alias("low")), "digest")
-    places = places.select("rid", "did", "digest", (F.col("copies") == 1).alias("single"))
-    asked_ids = kinds.select("rep.rid").distinct().withColumn("asked", F.lit(True))
-    places = places.join(asked_ids, "rid", "left").where(F.col("single") | F.col("asked"))
-    sources = stage(read.join(places.drop("asked"), ["did", "digest"]).dropDuplicates(["rid"]).select("rid", "single", "digest", "text"), "sources")
+    # texts that are compared, and of equal texts the first, which is cut for all of them
+    asked_ids = kinds.select("rep.rid").unionByName(kinds.where(again).select("other.rid")).distinct().withColumn("asked", F.lit(True))
+    involved = shared.select("rid").distinct()
+    places = found.select("rid", "did", "digest").join(involved, "rid").join(texts.select("digest", F.col("rid").alias("low")), "digest")
+    places = places.select("rid", "did", "digest", (F.col("rid") == F.col("low")).alias("low"))
+    places = places.join(asked_ids, "rid", "left").where(F.col("low") | F.col("asked"))
+    sources = stage(read.join(places.drop("asked"), ["did", "digest"]).dropDuplicates(["rid"]).select("rid", "low", "digest", "text"), "sources")
 
     def contexts(of: DataFrame) -> DataFrame:
         return sources.select("rid", "text").join(per_text(of), "rid").select("rid", "text", "spots").mapInArrow(_contexts(length, gram), _CONTEXT)
 
-    spans = spans.unionByName(contexts(asked).repartition("h").sortWithinPartitions("h").mapInArrow(_match(length), _SPAN))
+    matched = stage(contexts(asked).repartition("g").sortWithinPartitions("g").mapInArrow(_match(length), _MATCHED), "matched")
+    verified = matched.where("several").select("h", "rid", "pos").join(every.where("n > 1").select("h", "c", "d", "rep.rid", "rep.pos"), ["h", "rid", "pos"]).select("h", "c", "d")
+    whole_span = (F.greatest(F.col("pos") - back, F.lit(0)).alias("lo"), F.least(F.col("pos") + length, F.col("size")).alias("hi"))
+    equal = shared.join(verified, ["h", "c", "d"]).select("rid", *whole_span)
+    own = found.select("rid", F.explode("own").alias("x")).select("rid", "x.*").join(verified, ["h", "c", "d"]).select("rid", "lo", "hi")
+    spans = matched.where("NOT several").select("rid", "lo", "hi").unionByName(equal).unionByName(own)
     if any_hot:
         blocks = hot.select("h", F.ceil(F.col("kinds") / F.lit(max(2, max_group // 2))).alias("blocks"),
                             F.greatest(F.lit(BUCKETS), F.ceil(F.col("kinds") / F.lit(BUCKET_KINDS))).alias("buckets"))
@@ -322,17 +345,12 @@ def _settle(docs: DataFrame, key: str, text: str, length: int, gram: int, max_gr
         published = crowd.groupBy("h", "block").applyInPandas(_publish(length), "h long, block long, bucket long, keys binary")
         common = published.groupBy("h", "bucket").applyInPandas(_shared, "h long, block long, keys binary")
         spans = spans.unionByName(crowd.groupBy("h", "block").cogroup(common.groupBy("h", "block")).applyInPandas(_settle_hot(length), _SPAN))
-    own = found.select("rid", F.explode("own").alias("x")).select("rid", "x.lo", "x.hi")
-    gathered = spans.unionByName(own).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    done = sources.where("single").select("rid", "digest", "text").join(gathered, "rid").mapInArrow(
+    gathered = spans.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    done = sources.where("low").select("rid", "digest", "text").join(gathered, "rid").mapInArrow(
         _cut(with_text), "digest string, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    outcome = texts.select("digest", "copies", "n_bytes").join(done, "digest", "left").select(
-        "digest",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
-        F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
+    outcome = texts.select("digest").join(done, "digest", "left").select(
+        "digest", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("kept_sha256", "digest").alias("kept_sha256"), "kept_text")
     return stage(found.select("did", "digest", "n_bytes"), "rows"), stage(outcome, "outcome")
 
 
