@@ -16,11 +16,9 @@ HIDDEN = 8
 #: Texts are read in windows of so many bytes, each from the states that the network is in after so many bytes beside it.
 WINDOW = 256
 BESIDE = 32
-#: Training reads whole texts of each language in the order of their hashes (longer ones than ``SAMPLE_BYTES`` last), at
-#: most so many and together at most so many bytes, but one text at least.
+#: Training reads one window of each of at most so many texts a language; texts and the windows' places go by hashes.
 SAMPLE = 600
-SAMPLE_BYTES = 150_000
-EPOCHS = 9
+EPOCHS = 14
 BATCH = 96
 UNKNOWN = "und"
 
@@ -242,24 +240,17 @@ def training_rows(rows: DataFrame, label: str, most: int, salt: str) -> DataFram
     return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank", "_h")
 
 
-def train(docs: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, hidden: int = HIDDEN, seed: int = DEFAULT_SEED,
-          epochs: int = EPOCHS, window: int = WINDOW) -> tuple[ByteGru, list[str]]:
-    """The network and its class names, from rows (doc_id, text, lang): whole texts, cut into windows for back-propagation."""
+def train(docs: DataFrame, *, sample: int = SAMPLE, hidden: int = HIDDEN, seed: int = DEFAULT_SEED, epochs: int = EPOCHS, window: int = WINDOW) -> tuple[ByteGru, list[str]]:
+    """The network and its class names, from rows (doc_id, text, lang): many texts, a window of each for back-propagation."""
     chosen = training_rows(docs.where("lang IS NOT NULL AND length(text) > 0"), "lang", sample, "language")
-    order = Window.partitionBy("lang").orderBy(F.col("bytes") > sample_bytes, F.xxhash64(F.lit("language"), "doc_id"), "text").rowsBetween(Window.unboundedPreceding, 0)
-    held = chosen.withColumn("bytes", F.octet_length("text")).withColumn("so_far", F.sum("bytes").over(order)).withColumn("place", F.count("*").over(order))
-    rows = held.where((F.col("so_far") <= sample_bytes) | (F.col("place") == 1)).select("doc_id", "lang", "text").orderBy("lang", "doc_id", "text").toArrow()
+    data = F.encode("text", "UTF-8")
+    start = F.pmod(F.xxhash64(F.lit("window"), "doc_id", "text"), F.greatest(F.lit(1), F.octet_length("text") - window + 1)).cast("int")
+    rows = chosen.select("doc_id", "lang", F.substr(data, start + 1, F.lit(window)).alias("part")).orderBy("lang", "doc_id", "part").toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
     if not names:
         return ByteGru(1, 1), [UNKNOWN]
-    parts, label = [], []
-    for text, lang in zip(rows["text"].to_pylist(), rows["lang"].to_pylist(), strict=True):
-        data = text.encode()
-        cut = [data[k:k + window] for k in range(0, len(data), window)]
-        parts += cut
-        label += [names.index(lang)] * len(cut)
     net = ByteGru(len(names), hidden, seed)
-    net.fit(parts, np.array(label), epochs=epochs, seed=seed)
+    net.fit(rows["part"].to_pylist(), np.array([names.index(x) for x in rows["lang"].to_pylist()]), epochs=epochs, seed=seed)
     return net, names
 
 
@@ -268,7 +259,7 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     """Predicted language of every whole text: doc_id, held_out, lang_pred, score (mean probability over its bytes).
 
     Learns from rows with a language that are not ``held_out`` (default: crc32 of the key as text,
-    modulo 4, is 2): whole texts of each language within ``SAMPLE`` and ``SAMPLE_BYTES``. Every byte of
+    modulo 4, is 2): a window of each of at most ``SAMPLE`` texts a language. Every byte of
     a text gets class probabilities from the network run from both sides over its window of ``window``
     bytes and ``BESIDE`` bytes before and after; the text's are their mean. Null texts and texts without a letter are ``und`` with score 0; without any
     labelled row every text is. Null keys are not held out; repeated rows are judged alike; an empty
