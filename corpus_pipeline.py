@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalis.llm.chosen_path import jaccard_join
-from curalis.llm.common import stage
+from curalis.llm.common import stage, working
 from curalis.llm.mixing import poisson_mix
 from curalis.llm.packing import pack
 from curalis.llm.quality import quality_rules
@@ -26,7 +26,10 @@ def _key(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rows are told apart by a hash of id and text, so ids may be null or repeated."""
+    """Documents that the quality rules keep; rows are told apart by a hash of id and text, so ids may be null or repeated.
+
+    Null and empty texts have fewer words than the rules ask for and go; repeated rows are judged alike; an empty table gives an empty result.
+    """
     rows = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
     kept = quality_rules(rows, key="_row").where("kept").select(F.col("doc_id").alias("_row")).distinct()
     return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
@@ -35,14 +38,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates; a repeated row once.
 
-    Rows without id stay unless their group has a row with one.
+    Rows are told apart by a hash of id and text, so ids may be repeated; rows without id come after those with one. A null or empty text
+    is in no group and stays. Of equal ids in a group the least hash stays. An empty table gives an empty result.
     """
-    kept = stage(jaccard_join(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    rows = docs.select(*COLUMNS)
-    rows = rows.join(kept.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
+    with working(spark) as keep:
+        classes = stage(jaccard_join(rows, key="_row").groupBy(F.col("doc_id").alias("_row")).agg(F.min("class_id").alias("_class"), F.count("*").alias("rows")), "classes")
+        named = rows.select("_row", "doc_id").join(classes, "_row")
+        best = named.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row", "rows")).alias("b"))
+        kept = keep(stage(best.select("b._row", "b.rows"), "kept"))
+    rows = rows.join(kept.select("_row"), "_row", "left_semi")
     if kept.where("rows > 1").limit(1).count():
-        rows = _key(rows).dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
-    return rows
+        rows = rows.dropDuplicates(["_row"])
+    return rows.select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,20 @@ def test_pipeline_of_odd_rows(spark):
     assert df.count() <= 1
 
 
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(8)
+    words = [a + b for a in ("st", "wal", "mor", "qui") for b in ("one", "ks", "ning", "ck", "ver")]
+    text = lambda n: " ".join(rng.choice(words) + str(rng.randrange(50)) for _ in range(n))
+    a, b, c = text(90), text(90), text(90)
+    near = a.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a), (1, near), (2, b), (2, near), (3, b), (None, b), (None, c), (None, c + " more"), (4, None), (5, None), (4, None), (6, ""), (7, c.upper()), (8, a)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, df.repartition(3), DATA).collect()]
+    assert sum(r in got for r in ((1, a), (1, near))) == 1 and (2, near) not in got and (8, a) not in got
+    assert (2, b) in got and (3, b) not in got and (None, b) not in got and sum(k is None for k, _ in got) == 1
+    assert sorted(k for k, t in got if not t) == [4, 5, 6] and (7, c.upper()) in got and len(got) == 7
+
+
 def test_planted_passages_go(spark):
     rng = random.Random(3)
     words = [a + b for a in ("st", "wal", "mor", "qui", "ri", "cl") for b in ("one", "ks", "ning", "ck", "ver", "oud", "a", "es")]
