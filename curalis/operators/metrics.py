@@ -10,6 +10,7 @@ from curalis.functions.lineage import checkpointed, running_sums
 
 #: Curves are drawn for so many groups at most; each has a row for every threshold.
 MAX_GROUPS = 10_000
+MAX_POINTS = 2_000_000_000
 
 
 def value_counts(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -30,6 +31,24 @@ def quota_audit(df: DataFrame, quotas: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("complete", F.col("actual") == F.col("quota"))
 
 
+def preparation_audit(df: DataFrame, split: str, label: str, generator: str, size: str, strata: list[str], expected: DataFrame | None = None) -> DataFrame:
+    """What a prepared set holds, as rows (section, key, n, expected, short): classes and bytes by split, generators of label 1, strata.
+
+    Keys join values by ``:``; null values read null. ``expected`` (section, key, expected) is held against the counts, with keys that have no
+    row; ``short`` is how many are missing. Bytes are the section ``bytes``. One pass over the rows, then a table of groups.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    joined = lambda *c: F.concat_ws(":", *[text(x) for x in c])
+    base = checkpointed(df.groupBy(*dict.fromkeys([split, label, generator, *strata])).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col(size), F.lit(0))).cast("long").alias("bytes")))
+    part = lambda name, key, n, rows=base: rows.groupBy(F.lit(name).alias("section"), key.alias("key")).agg(F.sum(n).cast("long").alias("n"))
+    out = part("class", joined(split, label), "n").unionByName(part("generator", joined(split, generator), "n", base.where(F.col(label) == 1)))
+    out = out.unionByName(part("stratum", joined(*strata), "n")).unionByName(part("bytes", text(split), "bytes"))
+    if expected is None:
+        return out.withColumns({"expected": F.lit(None).cast("long"), "short": F.lit(None).cast("long")})
+    both = out.join(expected.select("section", "key", F.col("expected").cast("long").alias("expected")), ["section", "key"], "full_outer")
+    return both.select("section", "key", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "expected", F.when(F.col("expected").isNotNull(), F.greatest(F.lit(0), F.col("expected") - F.coalesce("n", F.lit(0)))).cast("long").alias("short"))
+
+
 def index_quantiles(df: DataFrame, value: str, fractions: list[float]) -> DataFrame:
     """Sorted values at places ``min(n - 1, floor(n * f))``, from running counts per distinct value: (fraction, value)."""
     counts = checkpointed(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")))
@@ -83,7 +102,7 @@ def accuracy_curve(df: DataFrame, label: str, score: str, group: str, extra: tup
     """Balanced accuracy of each group at every threshold that occurs as a score in any group, and at ``extra``.
 
     Scores and thresholds are events on one line per group; running sums replace the table of all
-    thresholds times all scores. Groups without both labels are left out.
+    thresholds times all scores. Groups without both labels are left out. Over ``MAX_GROUPS`` groups, or ``MAX_POINTS`` points, are refused.
     """
     spark = df.sparkSession
     s = checkpointed(df.groupBy(group, F.col(score).cast("double").alias("t")).agg(
@@ -91,7 +110,9 @@ def accuracy_curve(df: DataFrame, label: str, score: str, group: str, extra: tup
     totals = checkpointed(s.groupBy(group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).where("P > 0 AND N > 0"))
     if totals.count() > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
-    thresholds = s.select("t").unionByName(spark.createDataFrame([(float(x),) for x in extra], "t double")).distinct()
+    thresholds = checkpointed(s.select("t").unionByName(spark.createDataFrame([(float(x),) for x in extra], "t double")).distinct())
+    if thresholds.count() * totals.count() > MAX_POINTS:
+        raise ValueError(f"more than {MAX_POINTS} points: round the scores or take fewer groups")
     points = thresholds.join(F.broadcast(totals))  # every threshold for each of a checked number of groups
     events = points.join(s.select(group, "t", "pos", "neg"), [group, "t"], "left").fillna(0, ["pos", "neg"])
     out = running_sums(events, [group], ["t"], {"_pos_to": F.col("pos"), "_neg_to": F.col("neg")})

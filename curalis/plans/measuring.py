@@ -52,6 +52,22 @@ def _(t):
         F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"), F.sum("n_chars").alias("chars"))
 
 
+_EXPECTED = [("class", "en:1", 90), ("class", "xx:0", 5), ("generator", "de:src3", 2), ("stratum", "fr:src0", 1), ("stratum", "none", 4)]
+
+
+@query("a5_full_audit", f"""
+WITH d AS (SELECT lang, source, quality, n_chars FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+x AS (SELECT 'class' AS section, lang || ':' || quality AS key, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'generator', lang || ':' || source, count(*) FROM d WHERE quality = 1 GROUP BY 2
+  UNION ALL SELECT 'stratum', lang || ':' || source, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'bytes', lang, sum(n_chars)::BIGINT FROM d GROUP BY 2),
+e AS (SELECT * FROM (VALUES {", ".join(map(str, _EXPECTED))}) AS e(section, key, expected))
+SELECT coalesce(x.section, e.section) AS section, coalesce(x.key, e.key) AS key, coalesce(n, 0)::BIGINT AS n, expected::VARCHAR AS expected, CASE WHEN expected IS NOT NULL THEN greatest(0, expected - coalesce(n, 0))::VARCHAR END AS short FROM x FULL JOIN e ON x.section = e.section AND x.key = e.key""")
+def _(t):
+    d = t("documents").join(t("labels"), "doc_id").select("lang", "source", "quality", "n_chars")
+    e = t.spark.createDataFrame(_EXPECTED, "section string, key string, expected long")
+    a = A.preparation_audit(d, "lang", "quality", "source", "n_chars", ["lang", "source"], e)
+    return a.select("section", "key", "n", F.col("expected").cast("string").alias("expected"), F.col("short").cast("string").alias("short"))
+
+
 @query("a6_index_quantiles", """
 WITH s AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents), f AS (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS fraction)
 SELECT fraction, n_chars AS value FROM s JOIN f ON i = least(n - 1, floor(n * fraction))""")

@@ -22,6 +22,17 @@ def _(t):
     return t("pages").where(F.lower(F.regexp_extract("url", r"(\.[^./]*)$", 1)).isin(".html", ".jpg", ".jpeg", ".png")).select("page_id", "url")
 
 
+@query("s5_discovered_files", """
+WITH p AS (SELECT sha256(html) AS h, min(CASE page_id % 3 WHEN 0 THEN 'JPG' WHEN 1 THEN 'html' ELSE 'png' END) AS suffix, any_value(octet_length(encode(html))) AS length FROM pages WHERE html IS NOT NULL GROUP BY 1)
+SELECT 'objects/' || substr(h, 1, 2) || '/' || h || '.' || suffix AS path, length FROM p WHERE suffix <> 'html'""")
+def _(t):
+    # pages as files of three suffixes in nested folders, of which two are images in either case
+    root = f"{shared_folder(t.spark)}/listing-{uuid.uuid4().hex}"
+    suffix = F.when(F.col("page_id") % 3 == 0, "JPG").when(F.col("page_id") % 3 == 1, "html").otherwise("png")
+    S.write_objects(t("pages"), root, F.col("html"), suffix).agg(F.count("*")).first()
+    return S.discover(t.spark, root).select(F.regexp_extract("path", r"objects/../[^/]*$", 0).alias("path"), "length")
+
+
 @query("s6_suspicious", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice >= 1024 AND l_quantity * l_linenumber / l_extendedprice < 0.0005")
 def _(t):
     x = t("lineitem").withColumn("packed", F.col("l_quantity") * F.col("l_linenumber"))

@@ -132,3 +132,22 @@ def test_early_stop_loses_no_batch(spark, tmp_path):
     assert max(90, first) <= there() < 140
     run(None)
     assert there() == 140
+
+
+def test_trained_head_against_newton(spark):
+    from curalis.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    got = {r.vec_id: r.prediction for r in registry.queries()["v11_trained_head"](spark, data).collect()}
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").collect()
+    x, y, ids = np.array([r.embedding for r in rows], float), np.array([r.label < 5 for r in rows], float), np.array([r.vec_id for r in rows])
+    train = ids % 5 != 0
+    std = x[train].std(0, ddof=1)
+    z = np.c_[x / std, np.ones(len(x))]
+    penalty, w = np.r_[np.full(64, 0.01), 0.0], np.zeros(65)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z[train] @ w))
+        gradient = z[train].T @ (p - y[train]) / train.sum() + penalty * w
+        w -= np.linalg.solve((z[train] * (p * (1 - p))[:, None]).T @ z[train] / train.sum() + np.diag(penalty), gradient)
+    want = {int(i): float(v > 0) for i, v in zip(ids[~train], z[~train] @ w, strict=True)}
+    assert got.keys() == want.keys() and np.mean([got[i] == want[i] for i in want]) > 0.97
