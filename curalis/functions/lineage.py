@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,22 @@ def shared_folder(df_or_spark) -> str:
     return (found or "file://" + tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
 
 
+def scratch_folder(df_or_spark, name: str) -> str:
+    """A new folder below ``shared_folder``, removed when the driver ends: for what a query stages in files of its own."""
+    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session ended before: its folder goes with it
+            pass
+
+    atexit.register(remove)
+    return path
+
+
 def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
     """``df`` with, for each name, the sum of its column over the rows of the group up to and with this one.
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from curalis.functions import identity as H
-from curalis.functions.lineage import shared_folder
+from curalis.functions.lineage import scratch_folder
 from curalis.plans.base import query
 from curalis.streaming import ingest as R
 
 
 def _folder(t) -> str:
-    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    return scratch_folder(t.spark, "stream")
 
 
 @query("r1_resumable_ingest", "SELECT event_id, user_id, event_type FROM events")

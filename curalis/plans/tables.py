@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from curalis.functions.lineage import shared_folder
-
+from curalis.functions.lineage import scratch_folder
 from curalis.plans.base import query
 from curalis.sources import tables as S
 
@@ -27,7 +24,7 @@ WITH p AS (SELECT sha256(html) AS h, min(CASE page_id % 3 WHEN 0 THEN 'JPG' WHEN
 SELECT 'objects/' || substr(h, 1, 2) || '/' || h || '.' || suffix AS path, length FROM p WHERE suffix <> 'html'""")
 def _(t):
     # pages as files of three suffixes in nested folders, of which two are images in either case
-    root = f"{shared_folder(t.spark)}/listing-{uuid.uuid4().hex}"
+    root = scratch_folder(t.spark, "listing")
     suffix = F.when(F.col("page_id") % 3 == 0, "JPG").when(F.col("page_id") % 3 == 1, "html").otherwise("png")
     S.write_objects(t("pages"), root, F.col("html"), suffix).agg(F.count("*")).first()
     return S.discover(t.spark, root).select(F.regexp_extract("path", r"objects/../[^/]*$", 0).alias("path"), "length")
@@ -54,7 +51,7 @@ def _(t):
 SELECT 'objects/' || substr(h, 1, 2) || '/' || h || '.txt' AS path, n AS length FROM (SELECT DISTINCT sha256(text) AS h, octet_length(encode(text)) AS n FROM documents)""")
 def _(t):
     # distinct texts as files, written twice: the second run finds all of them in place; the result lists the files
-    root = f"{shared_folder(t.spark)}/objects-{uuid.uuid4().hex}"
+    root = scratch_folder(t.spark, "objects")
     for first in (True, False):
         done = S.write_objects(t("documents"), root, F.col("text"), F.lit("txt")).agg(F.count_if("written").alias("n")).first()
         if not first and done["n"]:
