@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalis.llm.common import stage, working
-from curalis.llm.suffix_sort import Texts, anchors, extents
+from curalis.llm.suffix_sort import Texts, anchors, extents, word_anchors, words
 
 LENGTH = 400
 GRAM = 64
+#: A passage that other documents share: so many words, and how many of them an anchor has.
+PASSAGE_WORDS = 50
+WORD_GRAM = 8
 #: Anchors with more kinds of context are compared by window hashes over many tasks instead of in one.
 MAX_GROUP = 4096
 #: Kinds of context of a hot anchor for each bucket of window hashes; there are at least ``BUCKETS``.
@@ -28,7 +31,7 @@ _SORT_ROWS = 4000
 _NO_KEY = -(1 << 63)
 
 _FOUND = ("rid long, did long, digest string, n_bytes long, pos array<int>, h array<long>, c array<long>, d array<long>, "
-          "own array<struct<h: long, c: long, d: long, lo: int, hi: int>>")
+          "own array<struct<h: long, c: long, d: long, lo: int, hi: int>>, n_words long, grams array<struct<w: long, v: long>>")
 _CONTEXT = "g long, h long, rid long, pos int, wanted boolean, several boolean, before binary, after binary"
 _SPAN = "rid long, lo int, hi int"
 _MATCHED = "h long, rid long, pos int, several boolean, lo int, hi int"
@@ -43,8 +46,21 @@ def _context_digests(data: bytes, at: list[int], length: int, back: int) -> list
     return made
 
 
-def _anchors(length: int, gram: int):
-    """Anchors of each text, each context twice at most; where a text repeats one, ``own`` has the spans of all its places."""
+def _word_grams(data: bytes, passage: int) -> tuple[int, np.ndarray]:
+    """Number of words, and each different pair of an anchor's hash and its window's."""
+    starts, ends = words(data)
+    _, w, v = word_anchors(data, starts, ends, passage, min(WORD_GRAM, passage))
+    pairs = np.stack([w, v], axis=1).view(np.int64)
+    if len(set(w.tolist())) < len(w):
+        pairs = np.unique(pairs, axis=0)
+    return len(starts), pairs
+
+
+def _anchors(length: int, gram: int, passage: int):
+    """Anchors of each text, each context twice at most; where a text repeats one, ``own`` has the spans of all its places.
+
+    With ``passage`` its anchors among words too.
+    """
     back = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,11 +68,15 @@ def _anchors(length: int, gram: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 cut = batch.slice(lo, 512)
-                sizes, made, own = [], [], []
+                sizes, made, own, counts, grams = [], [], [], [], []
                 for text in cut.column("text").to_pylist():
                     data = text.encode() if text else b""
                     at, h = anchors(data, length, gram)
                     sizes.append(len(data))
+                    if passage:
+                        n_words, pairs = _word_grams(data, passage)
+                        counts.append(n_words)
+                        grams.append(pairs)
                     digests = _context_digests(data, at.tolist(), length, back)
                     spans: list[dict] = []
                     if len(set(digests)) < len(digests):
@@ -80,12 +100,50 @@ def _anchors(length: int, gram: int):
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in made])]), pa.int32())
                 both = np.concatenate([x[2] for x in made])
                 flat = [pa.array(np.concatenate([x[k] for x in made])) for k in range(2)] + [pa.array(both[:, k].copy()) for k in range(2)]
+                if passage:
+                    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in grams])]), pa.int32())
+                    pairs = np.concatenate(grams)
+                    of_words = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(pairs[:, k].copy()) for k in range(2)], names=["w", "v"]))
+                else:
+                    counts = [None] * cut.num_rows
+                    of_words = pa.nulls(cut.num_rows, pa.list_(pa.struct([("w", pa.int64()), ("v", pa.int64())])))
                 ids = pa.array(np.arange(next_id, next_id + cut.num_rows))
                 next_id += cut.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [ids, cut.column("did"), cut.column("digest"), pa.array(sizes, pa.int64()), *(pa.ListArray.from_arrays(offsets, x) for x in flat),
-                     pa.array(own, pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])))],
-                    names=["rid", "did", "digest", "n_bytes", "pos", "h", "c", "d", "own"])
+                     pa.array(own, pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))),
+                     pa.array(counts, pa.int64()), of_words],
+                    names=["rid", "did", "digest", "n_bytes", "pos", "h", "c", "d", "own", "n_words", "grams"])
+
+    return run
+
+
+def _passages(passage: int):
+    """Per text: 16 bytes of BLAKE2 of each different window of ``passage`` words, joined by a blank, over one of its anchors asked for."""
+    width = min(WORD_GRAM, passage)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                ids, keys = [], []
+                for r in batch.slice(lo, 64).to_pylist():
+                    data = r["text"].encode()
+                    starts, ends = words(data)
+                    at, w, _ = word_anchors(data, starts, ends, passage, width)
+                    at = at[np.isin(w.view(np.int64), np.array(r["asked"], np.int64))]
+                    # windows that start at most passage - width words before an anchor
+                    opened = np.zeros(len(starts) + 1, np.int64)
+                    np.add.at(opened, np.maximum(at - (passage - width), 0), 1)
+                    np.add.at(opened, at + 1, -1)
+                    begin = np.flatnonzero(np.cumsum(opened[:max(0, len(starts) - passage + 1)]) > 0)
+                    joined = b" ".join(data.split())
+                    place = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+                    found = {hashlib.blake2b(joined[a:b], digest_size=16).digest()
+                             for a, b in zip(place[begin].tolist(), (place[begin + passage] - 1).tolist(), strict=True)}
+                    ids += [r["rid"]] * len(found)
+                    keys += found
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["rid", "k"])
 
     return run
 
@@ -260,12 +318,13 @@ def _cut(with_text: bool):
 
 
 def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM,
-                 max_group: int = MAX_GROUP, with_text: bool = False) -> DataFrame:
+                 max_group: int = MAX_GROUP, with_text: bool = False, passage: int = 0) -> DataFrame:
     """Judge every byte of every whole text; one row per input row.
 
     doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` digest and kept_text (what is
-    left where something was removed, else null; characters cut in two are dropped from it). A byte goes
-    if a string of ``length`` bytes over it starts anywhere else too. Steps:
+    left where something was removed, else null; characters cut in two are dropped from it), with ``passage``
+    shares_passage (whether some ``passage`` consecutive words occur in another row's text too, whatever the white space between them,
+    and however few bytes they have). A byte goes if a string of ``length`` bytes over it starts anywhere else too. Steps:
 
     1. Each text marks its anchors, positions whose ``gram`` bytes hash least in some window of
        ``length`` bytes: equal windows have equal anchors.
@@ -278,24 +337,28 @@ def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     4. Different contexts of anchors with over ``max_group`` kinds are dealt in blocks, which exchange window hashes
        of 128 bits instead of bytes: no task holds a group.
 
+    Passages have anchors of their own, places whose ``WORD_GRAM`` words hash least in a window of ``passage`` words. Texts that share
+    an anchor and the window around it are settled by two 64-bit hashes; where a text is not, all windows over the anchors it shares
+    are compared by 128 bits of BLAKE2, its own and those of the texts it shares them with.
+
     Of rows with equal text the first is judged and cut, and the others share its outcome.
     Null texts count as empty. Texts shorter than ``length`` lose nothing. Repeated rows, or two rows
     with equal text, lose everything from ``length`` bytes on. Null keys are kept. An empty table gives an
     empty result. Other columns are not read.
     """
     with working(docs.sparkSession) as keep:
-        rows, outcome = map(keep, _settle(docs, key, text, length, gram, max_group, with_text))
+        rows, outcome = map(keep, _settle(docs, key, text, length, gram, max_group, with_text, passage))
     return rows.join(outcome, "digest").select(F.nullif(F.col("did"), F.lit(_NO_KEY)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256",
-                                               *(["digest", "kept_text"] if with_text else []))
+                                               *(["digest", "kept_text"] if with_text else []), *(["shares_passage"] if passage else []))
 
 
-def _settle(docs: DataFrame, key: str, text: str, length: int, gram: int, max_group: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
+def _settle(docs: DataFrame, key: str, text: str, length: int, gram: int, max_group: int, with_text: bool, passage: int) -> tuple[DataFrame, DataFrame]:
     """Staged tables of ``suffix_dedup``: a row for each input row, and what becomes of each text."""
     back = length - gram
     read = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
         F.coalesce("doc_id", F.lit(_NO_KEY)).alias("did"), "text", F.sha2("text", 256).alias("digest"))
-    found = stage(read.mapInArrow(_anchors(length, gram), _FOUND), "anchors")
-    texts = stage(found.groupBy("digest").agg(F.min("rid").alias("rid")), "texts")
+    found = stage(read.mapInArrow(_anchors(length, gram, passage), _FOUND), "anchors")
+    texts = stage(found.groupBy("digest").agg(F.min("rid").alias("rid"), F.count("*").alias("rows"), F.min("n_words").alias("n_words")), "texts")
 
     spots = found.select("rid", F.col("n_bytes").cast("int").alias("size"), F.explode(F.arrays_zip("pos", "h", "c", "d")).alias("x")).select(
         "rid", "size", "x.pos", "x.h", "x.c", "x.d")
@@ -324,6 +387,9 @@ def _settle(docs: DataFrame, key: str, text: str, length: int, gram: int, max_gr
     # texts that are compared, and of equal texts the first, which is cut for all of them
     asked_ids = kinds.select("rep.rid").unionByName(kinds.where(again).select("other.rid")).distinct().withColumn("asked", F.lit(True))
     involved = shared.select("rid").distinct()
+    if passage:
+        sure, unsure = _common_grams(found, texts)
+        involved = involved.unionByName(unsure.select("rid")).distinct()
     places = found.select("rid", "did", "digest").join(involved, "rid").join(texts.select("digest", F.col("rid").alias("low")), "digest")
     places = places.select("rid", "did", "digest", (F.col("rid") == F.col("low")).alias("low"))
     places = places.join(asked_ids, "rid", "left").where(F.col("low") | F.col("asked"))
@@ -348,12 +414,30 @@ def _settle(docs: DataFrame, key: str, text: str, length: int, gram: int, max_gr
     gathered = spans.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     done = sources.where("low").select("rid", "digest", "text").join(gathered, "rid").mapInArrow(
         _cut(with_text), "digest string, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    outcome = texts.select("digest").join(done, "digest", "left").select(
-        "digest", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+    outcome = texts.join(done, "digest", "left").select(
+        "digest", "rid", "rows", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("kept_sha256", "digest").alias("kept_sha256"), "kept_text")
+    if passage:
+        windows = stage(sources.select("rid", "text").join(unsure, "rid").mapInArrow(_passages(passage), "rid long, k binary"), "windows")
+        common = windows.groupBy("k").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("k")
+        sharing = sure.unionByName(windows.join(common, "k").select("rid")).distinct().withColumn("found", F.lit(True))
+        outcome = outcome.join(sharing, "rid", "left").withColumn(
+            "shares_passage", F.coalesce("found", (F.col("rows") > 1) & (F.col("n_words") >= passage))).drop("found")
+    outcome = outcome.drop("rid", "rows", "n_words")
     return stage(found.select("did", "digest", "n_bytes"), "rows"), stage(outcome, "outcome")
 
 
+def _common_grams(found: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts that share a word anchor and the window around it with another text; and, where one that does not shares anchors, all texts with these."""
+    grams = found.select("rid", "grams").join(texts.select("rid"), "rid", "left_semi").select("rid", F.explode("grams").alias("x")).select("rid", "x.w", "x.v")
+    several = lambda x, *by: x.groupBy(*by).agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select(*by)
+    common = stage(grams.join(several(grams, "w"), "w"), "common")
+    sure = stage(common.join(several(common, "w", "v"), ["w", "v"]).select("rid").distinct(), "sure")
+    unsettled = common.join(sure, "rid", "left_anti").select("w").distinct()
+    unsure = common.join(unsettled, "w", "left_semi").groupBy("rid").agg(F.collect_set("w").alias("asked"))
+    return sure, stage(unsure, "unsure")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, strings of 400 bytes."""
-    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents, strings of 400 bytes; passages of 50 words that other documents share are told too, as fewer bytes may hold them."""
+    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=PASSAGE_WORDS)

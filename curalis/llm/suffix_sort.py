@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -10,6 +12,7 @@ _RNG = np.random.default_rng(20240607)
 VALUES = _RNG.integers(1, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -138,6 +141,13 @@ def _scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _least(h: np.ndarray, count: int) -> np.ndarray:
+    """Places whose value is the least of some ``count`` neighbours."""
+    least = _sliding(h, count, np.minimum)
+    edge = np.zeros(count - 1, np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), count, np.maximum) == h)
+
+
 def anchors(data: bytes, length: int, width: int, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose ``width`` bytes hash least in some window of ``length`` bytes, and these hashes.
 
@@ -156,9 +166,7 @@ def anchors(data: bytes, length: int, width: int, segment: int = 1 << 20) -> tup
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(VALUES[part] * up[:len(part)], out=sums[1:])
         h = _scramble((sums[width:] - sums[:-width]) * down[:len(part) + 1 - width])
-        least = _sliding(h, back + 1, np.minimum)
-        edge = np.zeros(back, np.uint64)
-        chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), back + 1, np.maximum) == h)
+        chosen = _least(h, back + 1)
         made.append((chosen + lo, h[chosen]))
     if len(made) == 1:
         return made[0]
@@ -167,6 +175,53 @@ def anchors(data: bytes, length: int, width: int, segment: int = 1 << 20) -> tup
     return places, hashes[one]
 
 
+def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word, a run of bytes other than ASCII white space, starts and ends."""
+    inside = np.concatenate([[False], ~_BLANK[np.frombuffer(data, np.uint8)], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
+def _word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, segment: int = 1 << 20) -> np.ndarray:
+    """A hash of each word's bytes, from BLAKE2 for words of over 512 bytes; long texts are taken in segments."""
+    raw = np.frombuffer(data, np.uint8)
+    out = np.empty(len(starts), np.uint64)
+    short = ends - starts <= 512
+    at, end = starts[short], ends[short]
+    made = np.empty(len(at), np.uint64)
+    first = np.flatnonzero(np.diff(at // segment, prepend=-1)).tolist()
+    for i, j in zip(first, [*first[1:], len(at)], strict=True):
+        lo = int(at[i])
+        part = raw[lo:int(end[j - 1])]
+        up, down = powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(VALUES[part] * up[:len(part)], out=sums[1:])
+        a, b = at[i:j] - lo, end[i:j] - lo
+        made[i:j] = (sums[b] - sums[a]) * down[a]
+    out[short] = made
+    for k in np.flatnonzero(~short).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k]:ends[k]], digest_size=8).digest(), "little")
+    return _scramble(out)
+
+
+def word_anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words whose ``width`` words hash least in some window of ``length`` words, these hashes, and that of a window around each.
+
+    As with ``anchors`` equal windows have equal anchors. The window around an anchor has ``length`` words too: as many before
+    the anchor's words as after them, but where the text ends.
+    """
+    n = len(starts)
+    if n < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    up, down = powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_word_hashes(data, starts, ends) * up[:n], out=sums[1:])
+    h = _scramble((sums[width:] - sums[:-width]) * down[:n + 1 - width])
+    chosen = _least(h, length - width + 1)
+    at = np.clip(chosen - (length - width) // 2, 0, n - length)
+    return chosen, h[chosen], _scramble((sums[at + length] - sums[at]) * down[at])
+
+
 def extents(left: Texts, right: Texts, group: np.ndarray, length: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Per row, how far matches of at least ``length`` bytes reach left and right of its anchor (0, 0: none).
 

@@ -590,6 +590,62 @@ def test_repeated_strings(docs, rows, settings):
     assert got == brute_repeats(rows, settings.get("length", 400))
 
 
+def brute_passages(rows, n):
+    holders = {}
+    lists = [(r[1] or "").encode().split() for r in rows]
+    windows = [{tuple(w[i:i + n]) for i in range(len(w) - n + 1)} for w in lists]
+    for k, own in enumerate(windows):
+        for x in own:
+            holders.setdefault(x, set()).add(k)
+    return sorted((str(r[0]), any(len(holders[x]) > 1 for x in own)) for r, own in zip(rows, windows, strict=True))
+
+
+@pytest.mark.parametrize("passage", [5, 50])
+def test_passages_of_other_documents(spark, docs, rows, passage):
+    got = sorted((str(r.doc_id), r.shares_passage) for r in suffix_dedup.suffix_dedup(docs, passage=passage).collect())
+    assert got == brute_passages(rows, passage)
+    assert {True, False} == {x for _, x in got}
+
+
+def test_passages_of_nothing(empty):
+    assert suffix_dedup.suffix_dedup(empty, passage=50).count() == 0
+
+
+def test_passages_under_the_byte_length(spark, tmp_path):
+    rng = random.Random(21)
+    short = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(n)]
+    rows = []
+    for k in range(60):  # 49 to 52 words, under 260 bytes, between others; white space differs; a passage twice in one text does not count
+        shared, n = short(52), 49 + k % 4
+        gap = rng.choice(["\n", "  ", "\t"])
+        for side in (0, 1):
+            rows.append((2 * k + side, " ".join(short(rng.randrange(80))) + gap + (gap if side else " ").join(shared[:n]) + gap + " ".join(short(rng.randrange(80)))))
+        rows.append((1000 + k, " ".join([*shared[:20], *short(30), *(own := short(60)), *short(9), *own])))
+    want = brute_passages(rows, 50)
+    assert 80 < sum(x for _, x in want) <= 90
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    made = suffix_dedup.op10_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.shares_passage) for r in made) == want
+    # strings of 400 bytes, as told by n_removed, are another thing
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in made) == brute_repeats(rows, 400)
+
+
+def test_word_anchors():
+    rng = random.Random(3)
+    data = b" \n".join(bytes(rng.choices(b"abcd", k=rng.choice([1, 2, 3, 700]))) for _ in range(400)) + b"\t" + b"ab " * 200
+    starts, ends = suffix_sort.words(data)
+    assert [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] == data.split()
+    whole, parts = suffix_sort._word_hashes(data, starts, ends), suffix_sort._word_hashes(data, starts, ends, segment=64)
+    assert (whole == parts).all() and len(set(whole.tolist())) == len(set(data.split()))
+    at, _, v = suffix_sort.word_anchors(data, starts, ends, 50, 8)
+    assert all(any(s <= p <= s + 42 for p in at.tolist()) for s in range(len(starts) - 49))
+    of = {}
+    for p, x in zip(at.tolist(), v.tolist(), strict=True):
+        s = min(max(p - 21, 0), len(starts) - 50)
+        of.setdefault(tuple(data.split()[s:s + 50]), set()).add(x)
+    assert all(len(x) == 1 for x in of.values()) and len({x for y in of.values() for x in y}) == len(of)
+
+
 def test_repeated_strings_of_nothing(empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
