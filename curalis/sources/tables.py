@@ -140,6 +140,33 @@ def write_objects(df: DataFrame, root: str, payload_: Column, suffix: Column, di
     return once.select("digest", "path", "data").mapInArrow(write, "digest string, path string, bytes long, written boolean")
 
 
+def stored_objects(spark: SparkSession, root: str) -> DataFrame:
+    """Files that ``write_objects`` put under ``root``: path (below ``root``) and length. Empty files count; parts that a lost task left beside their place do not.
+
+    The folders of digests are listed in tasks, so neither the driver nor a task holds the whole listing.
+    """
+
+    def found(batches):
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                there = files.get_file_info(fs.FileSelector(f"{top}/objects/{folder}", allow_not_found=True))
+                whole = [f for f in there if f.type == fs.FileType.File and re.match(r"[0-9a-f]{64}\.(?!.*\.[0-9a-f]{32}\.part$)", f.base_name)]
+                yield pa.RecordBatch.from_arrays([pa.array([f"objects/{folder}/{f.base_name}" for f in whole], pa.string()), pa.array([f.size for f in whole], pa.int64())], ["path", "length"])
+
+    return _digest_folders(spark).mapInArrow(found, "path string, length long")
+
+
+def _digest_folders(spark: SparkSession) -> DataFrame:
+    """The 256 folders that ``object_path`` deals files to, four to a task."""
+    return spark.range(0, 256, 1, 64).select(F.lpad(F.lower(F.hex("id")), 2, "0").alias("folder"))
+
+
 def flatten_results(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Rows (scenario, metrics) of a map column of metric structs."""
     return df.select(*by, F.explode(column).alias("scenario", "_m")).select(*by, "scenario", "_m.*")

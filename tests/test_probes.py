@@ -111,6 +111,31 @@ def test_payload_files(spark, tmp_path):
         S.write_objects(df, root, F.col("data"), F.col("kind"), F.lit("00")).collect()
 
 
+def test_stored_objects_are_whole_files(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    df = spark.createDataFrame([(b"one",), (b"",), (None,)], "data binary")
+    want = {(r.path, r.bytes) for r in S.write_objects(df, root, F.col("data"), F.lit("txt")).collect()}
+    place = tmp_path / "store" / min(want)[0]
+    place.with_name(f"{place.name}.{'0' * 32}.part").write_bytes(b"o")  # left by a task that was killed
+    (tmp_path / "store" / "objects" / "readme").write_bytes(b"x")
+    got = S.stored_objects(spark, root).collect()
+    assert len(got) == len(want) == 2 and {tuple(r) for r in got} == want
+
+
+@pytest.mark.parametrize("texts", [["a", "", None, "a", None, "b"], ["", ""], [None]])
+def test_object_files_of_odd_texts(spark, tmp_path, texts):
+    import duckdb
+
+    from curalis.plans import registry
+
+    spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = duck.execute(registry.oracle_sql()["s10_object_files"]).fetchall()
+    got = [tuple(r) for r in registry.queries()["s10_object_files"](spark, str(tmp_path)).select("path", "length").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_sidecar_of_equal_and_repeated_rows(spark):
     a = spark.createDataFrame([(0, 0, "k", 1, "v"), (0, 1, None, None, "v"), (1, 0, "z", 2, "v"), (1, 1, "z", 2, "v")], "part int, place int, id string, label int, version string")
     assert J.sidecar_faults(a, a.orderBy("place"), "part", "place", "id", ["label"], "version").count() == 0
