@@ -32,13 +32,21 @@ def exact_duplicates(df: DataFrame, key: str, digests: list[str]) -> DataFrame:
     return rows.withColumn("_f", found).where("_f IS NOT NULL").select("_f.kept", F.col(key).alias("discarded"), "_f.kind")
 
 
-def _cuts(signature: str, radius: int, digits: int, spare: int) -> Column:
-    """Keys of a signature: it is cut into radius + 1 + spare parts, and every choice of 1 + spare parts is a key."""
+# Fixed value: the share of all pairs that meet under a key of random signatures, over which comparing all pairs costs less than joining keys.
+_CROWDED_KEYS = 1 / 500
+
+
+def _chosen_parts(radius: int, digits: int, spare: int) -> list[list[tuple[int, int]]]:
+    """For each key its parts, as first and last digit (exclusive)."""
     n = min(radius + 1 + spare, digits)
     edges = [k * digits // n for k in range(n + 1)]
-    part = lambda k: F.substring(signature, edges[k] + 1, edges[k + 1] - edges[k])
-    chosen = combinations(range(n), max(1, n - radius))
-    return F.array(*[F.struct(F.lit(k).alias("n"), F.concat(*[part(p) for p in c]).alias("bits")) for k, c in enumerate(chosen)])
+    return [[(edges[p], edges[p + 1]) for p in c] for c in combinations(range(n), max(1, n - radius))]
+
+
+def _cuts(signature: str, radius: int, digits: int, spare: int) -> Column:
+    """Keys of a signature: it is cut into radius + 1 + spare parts, and every choice of 1 + spare parts is a key."""
+    part = lambda low, high: F.substring(signature, low + 1, high - low)
+    return F.array(*[F.struct(F.lit(k).alias("n"), F.concat(*[part(*p) for p in c]).alias("bits")) for k, c in enumerate(_chosen_parts(radius, digits, spare))])
 
 
 def hamming_join(a: DataFrame, b: DataFrame, key_a: str, key_b: str, signature: str, radius: int, digits: int, spare: int = 0) -> DataFrame:
@@ -46,7 +54,8 @@ def hamming_join(a: DataFrame, b: DataFrame, key_a: str, key_b: str, signature:
 
     Of radius + 1 + spare parts, 1 + spare at least are equal: every choice of so many is a key; more ``spare`` parts make
     more and longer keys. ``radius`` is below ``digits``. Equal signatures meet once: the join runs on distinct signatures and
-    its rows stand for all keys that have them, dealt to several tasks where a signature has many.
+    its rows stand for all keys that have them, dealt to several tasks where a signature has many. Keys so short that a large
+    share of all pairs would meet under one (12 bits of 60: some half) are no help: then ``signature_pairs`` compares all.
     """
     if radius >= digits:
         raise ValueError("the radius needs as many digits at least")
@@ -54,12 +63,82 @@ def hamming_join(a: DataFrame, b: DataFrame, key_a: str, key_b: str, signature:
     def keyed(x: DataFrame, name: str) -> DataFrame:
         return x.select(signature).distinct().select(F.col(signature).alias(name), F.explode(_cuts(signature, radius, digits, spare)).alias("key")).select(name, "key.*")
 
-    met = keyed(a, "sa").join(keyed(b, "sb"), ["n", "bits"]).select("sa", "sb").distinct()
-    near = met.withColumn("distance", H.hamming(F.col("sa"), F.col("sb"))).where(F.col("distance") <= radius)
+    if sum(16.0 ** -sum(high - low for low, high in c) for c in _chosen_parts(radius, digits, spare)) > _CROWDED_KEYS:
+        near = signature_pairs(a, b, signature, radius)
+    else:
+        met = keyed(a, "sa").join(keyed(b, "sb"), ["n", "bits"]).select("sa", "sb").distinct()
+        near = met.withColumn("distance", H.hamming(F.col("sa"), F.col("sb"))).where(F.col("distance") <= radius)
     out = spread_join(a.select(F.col(key_a).alias("a"), F.col(signature).alias("sa")), near, "sa", "a")
     return spread_join(b.select(F.col(key_b).alias("b"), F.col(signature).alias("sb")), out, "sb", "b").select("a", "b", "distance")
 
 
+def signature_pairs(a: DataFrame, b: DataFrame, signature: str, radius: int, most: int = 16_384) -> DataFrame:
+    """All pairs of distinct signatures of equal length that differ in at most ``radius`` bits: columns sa, sb, distance.
+
+    Every pair is compared, a block of up to about ``most`` signatures against another in each unit of work, so the time grows with
+    the square of the table, dealt over tasks, and the memory of a task does not grow. Where ``a`` is ``b`` each pair is compared once.
+    """
+    same = a is b
+    own = [checkpointed(x.select(F.col(signature).alias("_s")).where(F.col("_s").rlike("^[0-9A-Fa-f]+$")).distinct()) for x in ([a] if same else [a, b])]
+    counts = [x.count() for x in own]
+    size = min(most, max(2_048, max(counts) // 16))
+    n = [max(1, -(-c // size)) for c in counts]
+    dealt = lambda x, k: x.groupBy(F.length("_s").alias("_length"), F.pmod(F.xxhash64("_s"), F.lit(k)).cast("int").alias("_block")).agg(F.array_join(F.collect_list("_s"), "").alias("_all"))
+    left, right = dealt(own[0], n[0]), dealt(own[-1], n[-1])
+    tasks = min(2_000, 2 * n[0] * n[-1])
+    on = ["_length", "_i", "_j"]
+    left = left.select("_length", F.col("_block").alias("_i"), F.explode(F.sequence(F.col("_block") if same else F.lit(0), F.lit(n[-1] - 1))).alias("_j"), F.col("_all").alias("_x"))
+    right = right.select("_length", F.explode(F.sequence(F.lit(0), F.col("_block") if same else F.lit(n[0] - 1))).alias("_i"), F.col("_block").alias("_j"), F.col("_all").alias("_y"))
+    units = left.repartition(tasks, *on).join(right.repartition(tasks, *on).hint("merge"), on).select("_length", F.lit(same) & (F.col("_i") < F.col("_j")), "_x", "_y")
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        value = np.zeros(256, np.uint8)
+        for k, c in enumerate("0123456789abcdef"):
+            value[ord(c)] = value[ord(c.upper())] = k
+
+        def words(text, length):
+            """64 bits of all signatures at a time, a row for each 16 digits."""
+            wide = -(-length // 16) * 16
+            digits = np.zeros((len(text) // length, wide), np.uint8)
+            digits[:, wide - length:] = value[np.frombuffer(text, np.uint8)].reshape(-1, length)
+            return np.ascontiguousarray((digits[:, ::2] << 4 | digits[:, 1::2]).view(">u8").T.astype(np.uint64))
+
+        def near(x, y):
+            rows = max(1, 131_072 // y.shape[1])
+            for at in range(0, x.shape[1], rows):
+                part = x[:, at:at + rows]
+                distance = np.bitwise_count(part[0][:, None] ^ y[0])
+                for k in range(1, len(x)):
+                    distance = np.add(distance, np.bitwise_count(part[k][:, None] ^ y[k]), dtype=np.int32)
+                found = np.flatnonzero(distance <= radius)
+                if len(found):
+                    yield found // y.shape[1] + at, found % y.shape[1], distance.ravel()[found].astype(np.int32)
+
+        def made(parts):
+            sa, sb, distance = (np.concatenate(c) for c in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(sa).cast(pa.string()), pa.array(sb).cast(pa.string()), pa.array(distance)], ["sa", "sb", "distance"])
+
+        for batch in batches:
+            for length, both, *texts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                x, y = (t.encode() for t in texts)
+                names, parts, held = [np.frombuffer(t, f"S{length}") for t in (x, y)], [], 0
+                for i, j, distance in near(words(x, length), words(y, length)):
+                    parts.append((names[0][i], names[1][j], distance))
+                    if both:
+                        parts.append((names[1][j], names[0][i], distance))
+                    held += len(i)
+                    if held > 50_000:
+                        yield made(parts)
+                        parts, held = [], 0
+                if parts:
+                    yield made(parts)
+
+    return units.mapInArrow(compare, "sa string, sb string, distance int")
+
+
 def spread_join(rows: DataFrame, other: DataFrame, on: str, key: str, most: int = 10_000) -> DataFrame:
     """Inner join where rows of a value of ``on`` that has over ``most`` of them are dealt by ``key`` to parts; ``other`` goes to each part."""
     parts = rows.groupBy(on).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_parts > 1")

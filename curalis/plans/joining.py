@@ -46,7 +46,7 @@ n AS (SELECT vec_id, ('0x' || substr(s, 1, 7))::BIGINT AS a, ('0x' || substr(s,
 @query("j4_hamming_join", _SIGN + """
 SELECT x.vec_id AS a, y.vec_id AS b, (bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)))::INTEGER AS distance FROM n x JOIN n y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 12""")
 def _(t):
-    s = t("embeddings").select("vec_id", H.difference_signature(F.col("embedding"), 60).alias("s"))
+    s = checkpointed(t("embeddings").select("vec_id", H.difference_signature(F.col("embedding"), 60).alias("s")))
     return J.hamming_join(s, s, "vec_id", "vec_id", "s", 12, 15).where("a < b")
 
 

@@ -92,6 +92,44 @@ def test_hamming_join_with_longer_keys(spark, spare):
     assert got == {(a, b) for a, x in rows for b, y in rows if bin(int(x, 16) ^ int(y, 16)).count("1") <= 3}
 
 
+def _near_pairs(x, y, radius):
+    return {(a, b, n) for a, s in x for b, t in y if s and t and len(s) == len(t) and (n := bin(int(s, 16) ^ int(t, 16)).count("1")) <= radius}
+
+
+@pytest.mark.parametrize("digits", [3, 15, 16, 17, 70])
+def test_hamming_join_with_a_large_radius(spark, digits):
+    import random
+
+    rng = random.Random(digits)
+    base = [rng.getrandbits(4 * digits) for _ in range(60)]
+    rows = [(i, f"{x:0{digits}x}") for i, x in enumerate(base + base[:20])] + [(100 + i, f"{x ^ sum(1 << b for b in rng.sample(range(4 * digits), rng.randrange(min(12, digits) + 3))):0{digits}x}") for i, x in enumerate(base)]
+    rows += [(500, None), (501, ""), (502, "0" * (digits + 1)), (503, "1" + "0" * digits)]
+    x, y = (spark.createDataFrame(r, "id long, s string") for r in (rows, rows[40:]))
+    radius = min(12, digits - 1)
+    got = [tuple(r) for r in J.hamming_join(x, x, "id", "id", "s", radius, digits).collect()]
+    assert len(got) == len(set(got)) and set(got) == _near_pairs(rows, rows, radius)
+    got = [tuple(r) for r in J.hamming_join(x, y, "id", "id", "s", radius, digits).collect()]
+    assert len(got) == len(set(got)) and set(got) == _near_pairs(rows, rows[40:], radius)
+
+
+def test_all_signatures_meet_block_by_block(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"{rng.getrandbits(12):0{d}x}",) for d in (12, 15) for _ in range(300)]
+    x, y = spark.createDataFrame(rows, "s string"), spark.createDataFrame(rows[:450], "s string")
+    for other, own in ((x, rows), (y, rows[:450])):
+        got = [tuple(r) for r in J.signature_pairs(x, other, "s", 2, most=50).collect()]
+        names = lambda r: sorted({(s, s) for s, in r})
+        assert len(got) == len(set(got)) and set(got) == _near_pairs(names(rows), names(own), 2)
+
+
+def test_short_keys_are_not_joined(spark):
+    df = spark.createDataFrame([(i, f"{(i * 2654435761 << 27) % 2**60:015x}") for i in range(300)], "id long, s string")
+    keys = lambda radius: "bits#" in J.hamming_join(df, df, "id", "id", "s", radius, 15)._jdf.queryExecution().optimizedPlan().toString()
+    assert keys(3) and not keys(12)  # a key of one digit would bring half of all pairs together
+
+
 @pytest.mark.parametrize("crowded", [1_000, 5])
 def test_two_signatures(spark, crowded):
     import random
