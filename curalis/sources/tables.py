@@ -103,41 +103,78 @@ def object_path(digest: Column, suffix: Column) -> Column:
 def write_objects(df: DataFrame, root: str, payload_: Column, suffix: Column, digest: Column | None = None) -> DataFrame:
     """Payloads as files under ``root``, each once, at the place that its SHA-256 gives: digest, path, bytes, written.
 
-    Files go through the file system of ``root`` (any that pyarrow opens: local or mounted folders, HDFS, object stores). A payload is written beside its
-    place and moved there, so a task that is retried or runs twice leaves one whole file; a file of the right size is not written again, so a
-    second run writes nothing. Null payloads are left out; of equal payloads with different suffixes the first suffix in order counts.
+    Files go through the file system of ``root`` (any that pyarrow opens: local or mounted folders, HDFS, object stores). Tasks write where the
+    payloads lie, to a name of the digest alone, and only digests and paths are shuffled; then each file is moved to its place. All writes end in
+    a move, so a task that is retried or runs twice leaves one whole file; a file of the right size is not written again, so a second run moves nothing.
+    Null payloads are left out; of equal payloads with different suffixes the first suffix in order counts.
     With ``digest``, a payload that has another one fails the job. The write happens when the result is worked out: stage it.
     """
     rows = df.select(payload_.cast("binary").alias("data"), suffix.alias("suffix"), (digest if digest is not None else F.lit(None).cast("string")).alias("declared")).where("data IS NOT NULL")
     rows = rows.withColumn("digest", F.sha2("data", 256))
     wrong = F.raise_error(F.concat(F.lit("payload differs from its digest "), "declared")).cast("string")
     rows = rows.withColumn("digest", F.when(F.col("declared").isNull() | (F.col("declared") == F.col("digest")), F.col("digest")).otherwise(wrong))
-    once = rows.groupBy("digest").agg(F.min(object_path(F.col("digest"), F.col("suffix"))).alias("path"), F.any_value("data").alias("data"))
 
-    def write(batches):
+    def stage(batches):
+        import contextlib
         import uuid
 
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyarrow import fs
 
         files, top = fs.FileSystem.from_uri(root)
+        whole = lambda info, size: info.type == fs.FileType.File and info.size == size
+        made = set()
         for batch in batches:
-            made = []
-            for path, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                place = f"{top}/{path}"
-                there = files.get_file_info(place)
-                fresh = there.type != fs.FileType.File or there.size != len(data)
-                if fresh:
-                    files.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                    beside = f"{place}.{uuid.uuid4().hex}.part"
-                    with files.open_output_stream(beside) as out:
-                        out.write(data)
-                    files.move(beside, place)
-                made.append((len(data), fresh))
-            sizes = pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes], ["digest", "path", "bytes", "written"])
-
-    return once.select("digest", "path", "data").mapInArrow(write, "digest string, path string, bytes long, written boolean")
+            sizes = pc.binary_length(batch.column(2)).cast(pa.int64())
+            places = files.get_file_info([f"{top}/{p}" for p in batch.column(1).to_pylist()])
+            for k, (name, size, there) in enumerate(zip(batch.column(0).to_pylist(), sizes.to_pylist(), places, strict=True)):
+                staged = f"{top}/objects/{name[:2]}/{name}~"
+                if whole(there, size) or whole(files.get_file_info(staged), size):
+                    continue
+                if name[:2] not in made:
+                    files.create_dir(f"{top}/objects/{name[:2]}", recursive=True)
+                    made.add(name[:2])
+                beside = staged + uuid.uuid4().hex
+                try:
+                    with files.open_output_stream(beside, compression=None) as out:
+                        out.write(batch.column(2)[k].as_buffer())
+                    files.move(beside, staged)
+                except OSError:
+                    with contextlib.suppress(OSError):
+                        files.delete_file(beside)
+                    if not whole(files.get_file_info(staged), size):  # else another task was faster
+                        raise
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], ["digest", "path", "bytes"])
+
+    def place(batches):
+        import contextlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(root)
+        whole = lambda info, size: info.type == fs.FileType.File and info.size == size
+        for batch in batches:
+            places, made = [f"{top}/{p}" for p in batch.column(1).to_pylist()], []
+            staged = [f"{top}/objects/{name[:2]}/{name}~" for name in batch.column(0).to_pylist()]
+            for to, there, at, left, size in zip(places, files.get_file_info(places), staged, files.get_file_info(staged), batch.column(2).to_pylist(), strict=True):
+                fresh = not whole(there, size)
+                with contextlib.suppress(OSError):  # another attempt of this task may be at it
+                    if fresh and there.type == fs.FileType.File:
+                        files.delete_file(to)  # torn
+                    if fresh:
+                        files.move(at, to)
+                    elif left.type == fs.FileType.File:
+                        files.delete_file(at)
+                if fresh and not whole(files.get_file_info(to), size):
+                    raise OSError(f"{to} could not be written")
+                made.append(fresh)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.bool_())], ["digest", "path", "bytes", "written"])
+
+    staged = rows.select("digest", object_path(F.col("digest"), F.col("suffix")).alias("path"), "data").mapInArrow(stage, "digest string, path string, bytes long")
+    once = staged.groupBy("digest").agg(F.min("path").alias("path"), F.min("bytes").alias("bytes"))
+    return once.mapInArrow(place, "digest string, path string, bytes long, written boolean")
 
 
 def stored_objects(spark: SparkSession, root: str) -> DataFrame:

@@ -122,6 +122,25 @@ def test_stored_objects_are_whole_files(spark, tmp_path):
     assert len(got) == len(want) == 2 and {tuple(r) for r in got} == want
 
 
+def test_payloads_are_written_where_they_lie(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    rows = [(f"{k % 40}".encode(), ("txt", "bin")[k % 3 // 2]) for k in range(400)] + [(b"", "txt"), (None, "txt")]
+    df = spark.createDataFrame(rows, "data binary, kind string").repartition(8)
+    kept = {d: min(k for e, k in rows if e == d) for d, _ in rows if d is not None}
+    name = lambda data: hashlib.sha256(data).hexdigest()
+    (at := tmp_path / "store" / "objects" / name(b"7")[:2]).mkdir(parents=True)
+    (at / f"{name(b'7')}~").write_bytes(b"7")  # staged by a job that was killed
+    (at / f"{name(b'7')}~{'0' * 32}").write_bytes(b"")
+    out = S.write_objects(df, root, F.col("data"), F.col("kind"))
+    assert not any("data" in line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line)  # else payloads are shuffled
+    for fresh in (True, False):
+        got = out.collect()
+        assert sorted((r.path, r.bytes, r.written) for r in got) == sorted((f"objects/{name(d)[:2]}/{name(d)}.{k}", len(d), fresh) for d, k in kept.items())
+        assert sorted(tuple(r) for r in S.stored_objects(spark, root).collect()) == sorted((r.path, r.bytes) for r in got)
+    left = [p for p in (tmp_path / "store").rglob("*") if p.is_file() and not p.name.endswith(".crc")]
+    assert len(left) == len(kept) + 1 and all(name(p.read_bytes()) == p.stem for p in left if "~" not in p.name)
+
+
 @pytest.mark.parametrize("texts", [["a", "", None, "a", None, "b"], ["", ""], [None]])
 def test_object_files_of_odd_texts(spark, tmp_path, texts):
     import duckdb
